@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, quality, sharding
+from . import ann, decontaminate, licenses, linededup, minhash, mixing, quality, sharding, urlfilter, warc
 from .common import table
 
 KEEP_SCORE = 0.3
+#: (verdict, host and start of the path)
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,18 +25,40 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.site_line_dedup(table(spark, sf_dir, "pages")).select("page_id", "host", "clean_text", "n_lines", "n_dropped")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.fit(docs, labels.where(~quality.is_held_out()))
@@ -47,7 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_mixing, op6_decontamination, op8_minhash, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_linededup, op3_mixing, op4_licenses, op5_ann, op6_decontamination, op7_urlfilter, op8_minhash, op9_warc, op10_quality)}
 
 
 #: Brute force over all pairs that share a shingle; components by recursion.
@@ -69,5 +93,36 @@ FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    list_filter(list_transform(
+      regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script>', chr(10), 'gis'), '<style\b.*?</style>', chr(10), 'gis'), '<!--.*?-->', chr(10), 'gs'), '<[^>]*>', chr(10), 'g'), '[\n\r]+'),
+      x -> regexp_replace(regexp_replace(x, '^[\x09-\x0D ]+', ''), '[\x09-\x0D ]+$', '')), x -> x <> '') AS lines
+  FROM pages),
+t AS (SELECT host, count(*) AS total FROM p GROUP BY host),
+d AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) JOIN t USING (host)
+  GROUP BY host, line, total HAVING count(*) >= 3 AND count(*) > 0.3 * total),
+b AS (SELECT host, list(line) AS drops FROM d GROUP BY host)
+SELECT page_id, host, array_to_string(list_filter(lines, x -> NOT list_contains(coalesce(drops, []), x)), chr(10)) AS clean_text,
+  len(lines) AS n_lines, len(list_filter(lines, x -> list_contains(coalesce(drops, []), x))) AS n_dropped
+FROM p LEFT JOIN b USING (host)
+"""
+
+#: base32 of a SHA-1 digest: character i holds the five bits from bit 5 i on.
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) || '0' AS x FROM p),
+g AS (
+  SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY x) AS first_id, array_to_string(list_transform(range(32), i ->
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((16 * (position(substr(x, 1 + (i * 5) // 4, 1) IN '0123456789abcdef') - 1)
+      + position(substr(x, 2 + (i * 5) // 4, 1) IN '0123456789abcdef') - 1) >> (3 - (i * 5) % 4)) & 31)::INTEGER, 1)), '') AS payload_digest
+  FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash": OP8_SQL}
+    return {"op2_linededup": OP2_SQL, "op8_minhash": OP8_SQL, "op9_warc": OP9_SQL}
