@@ -9,10 +9,12 @@ read.
 How pairs stay few.  Texts with equal shingle sets are one class and take part
 once.  A band's bucket compares its members with its smallest one only (a
 star), not with one another.  Members that a star did not bring into one
-component are compared in further stars around other members, and what is left
-then, pairs of a bucket whose ends are still in different components, is
-compared in full: a pair within one component cannot change the result, so no
-link between components is lost.
+component are compared in further stars around other members.  A set too few of
+whose shingles occur in any other component's open sets cannot link to one and
+is set aside, by an exact count.  What is left then, pairs of a bucket whose
+ends are still in different components, is compared in full where bounds on the
+common shingles allow a link: a pair within one
+component cannot change the result, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, shingle_hashes, shingle_set, words_of
-from .components import connected_components
+from .components import connected_components, nearby_roots
 
 BANDS, ROWS = 40, 5
 UNIVERSE = 1 << 22
+MAP_LONGS = 16
+_MAP = [f"m{i}" for i in range(MAP_LONGS)]
 _SKETCH = "doc_id long, n_shingles long, fp binary, bands array<long>"
 _pi: np.ndarray | None = None
 
@@ -104,9 +108,46 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb", F.lit(percent).alias("p")).mapInArrow(_verify, "a long, b long").distinct()
 
 
-def _close(x: str, y: str, percent: int) -> str:
-    """Sets of a similarity s have sizes within the factor s of one another."""
-    return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+def _open(placed: DataFrame) -> DataFrame:
+    """Rows of buckets (bucket, rep, root, ...) with members of more than one root,
+    with m, their number of members, and sq, the squares of their parts' sizes summed."""
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c_"))
+    open_ = parts.groupBy("bucket").agg(F.sum("c_").alias("m"), F.sum(F.col("c_") * F.col("c_")).alias("sq"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(open_.drop("parts"), "bucket")
+
+
+def _maps(hashes: np.ndarray) -> np.ndarray:
+    """Which of 64 * MAP_LONGS cells a set's hashes fall into, as longs."""
+    cells = np.zeros(64 * MAP_LONGS, np.uint8)
+    cells[(hashes & np.uint64(64 * MAP_LONGS - 1)).astype(np.int64)] = 1
+    return np.packbits(cells).view(np.int64)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingle_hashes(words_of(t.as_py())) for t in batch.column(2)]
+        maps = np.stack([_maps(h) for h in found]) if found else np.empty((0, MAP_LONGS), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), *(pa.array(maps[:, i]) for i in range(MAP_LONGS))], ["rep", "root", "hs", *_MAP])
+
+
+def _foreign(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, c, cell map): c is how many of a set's shingles sets of another root hold too."""
+    sets = texts.join(reps, F.col("doc_id") == F.col("rep")).select("rep", "root", "text")
+    sets = materialise(sets.mapInArrow(_hashes, f"rep long, root long, hs array<long>, {', '.join(f'{m} long' for m in _MAP)}"), "shingle")
+    rows = sets.select("rep", "root", F.explode("hs").alias("h"))
+    mixed = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
+    return rows.join(mixed, "h").groupBy("rep").agg(F.count("*").alias("c")).join(sets.select("rep", *_MAP), "rep")
+
+
+def _may_link(percent: int) -> str:
+    """Whether bounds allow sets (n, c, cells m0...) and (an, ac, a_m0...) to be similar.
+
+    Common shingles are at most c of either, and at most a set's size less its
+    cells that the other one leaves empty, each of which holds a shingle of its own."""
+    only = " + ".join(f"bit_count({m} & ~a_{m})" for m in _MAP)
+    other = " + ".join(f"bit_count(a_{m} & ~{m})" for m in _MAP)
+    common = f"least(c, ac, n - ({only}), an - ({other}))"
+    return f"root != ar and 100 * {common} >= {percent} * (n + an - {common})"
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) -> DataFrame:
@@ -126,14 +167,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) ->
     sketches = materialise(docs.mapInArrow(_sketch, _SKETCH), "sketch")
     usable = sketches.where("doc_id is not null and n_shingles > 0")
     # One representative a set; partial minima collapse hot groups of copies before the shuffle.
-    classes = materialise(usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "class")
-    chosen = usable.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"]).dropDuplicates(["fp"])
-    buckets = chosen.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = materialise(classes, "class")
+    buckets = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
     pivots = buckets.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1")
     shared = materialise(buckets.join(pivots, "bucket"), "bucket")
 
-    sizes = shared.where("rep = pivot").select("bucket", F.col("n").alias("pivot_n"))
-    stars = shared.where("rep != pivot").join(sizes, "bucket").where(_close("n", "pivot_n", percent))
+    stars = shared.where("rep != pivot")
     tested = materialise(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pair")
     texts = docs.where("doc_id is not null").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = materialise(texts, "text")
@@ -144,28 +184,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) ->
     members = shared.where("m > 2").select("bucket", "rep", "n")
 
     for k in range(star_rounds + 1):
-        roots = materialise(connected_components(links), "root")
-        placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        open_ = parts.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("parts")).where("parts > 1")
-        placed = materialise(placed.join(open_.select("bucket", "m", "sq"), "bucket"), "open")
-        rows, pairs = placed.select(F.count("*"), F.sum((F.col("m") * F.col("m") - F.col("sq")) / F.col("m") / 2)).first()
+        placed = members.join(nearby_roots(links).withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
+        open_ = materialise(_open(placed), "open")
+        # A set links to another component only through shingles that some other component's open sets hold too.
+        foreign = _foreign(open_.select("rep", "root").distinct(), texts)
+        members = materialise(_open(open_.select("bucket", "rep", "n", "root").join(foreign, "rep").where(f"100 * c >= {percent} * n")), "open")
+        rows, pairs = members.select(F.count("*"), F.sum((F.col("m") * F.col("m") - F.col("sq")) / F.col("m") / 2)).first()
         if not rows:
             break
-        if last := k == star_rounds or pairs <= 16 * rows:
-            one = placed.select("bucket", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-            todo = placed.join(one, "bucket").where("a < rep and root != ar").where(_close("n", "an", percent))
-        else:  # stars around another member each time; the same one in all buckets that hold it
-            centre = placed.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar")), F.xxhash64("rep", F.lit(k))).alias("c")).select("bucket", "c.*")
-            todo = placed.join(centre, "bucket").where("a != rep and root != ar").where(_close("n", "an", percent))
+        last = k == star_rounds or pairs <= 16 * rows
+        one = F.struct(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("c").alias("ac"), *(F.col(m).alias(f"a_{m}") for m in _MAP))
+        if last:
+            todo = members.join(members.select("bucket", one.alias("x")).select("bucket", "x.*"), "bucket").where(f"a < rep and {_may_link(percent)}")
+        else:  # stars around the sets with the largest shared part, mostly the same one in all buckets that hold it
+            hubs = members.groupBy("bucket").agg(F.max_by(one, F.struct(F.col("c") / F.col("n"), F.xxhash64("rep", F.lit(k)))).alias("x"))
+            todo = members.join(hubs.select("bucket", "x.*"), "bucket").where(f"a != rep and {_may_link(percent)}")
         todo = todo.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         todo = materialise(todo, "pair")
         links = materialise(links.union(verified(todo, texts, percent)), "link")
         if last:
-            roots = materialise(connected_components(links), "root")
             break
         tested = tested.union(todo)
+        members = members.select("bucket", "rep", "n")
 
+    roots = materialise(connected_components(links), "root")
     placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("fp")).alias("fp")).join(placed, "fp", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
