@@ -98,14 +98,14 @@ WITH p AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     list_filter(list_transform(
       regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script>', chr(10), 'gis'), '<style\b.*?</style>', chr(10), 'gis'), '<!--.*?-->', chr(10), 'gs'), '<[^>]*>', chr(10), 'g'), '[\n\r]+'),
-      x -> regexp_replace(regexp_replace(x, '^[\x09-\x0D ]+', ''), '[\x09-\x0D ]+$', '')), x -> x <> '') AS lines
+      lambda x: regexp_replace(regexp_replace(x, '^[\x09-\x0D ]+', ''), '[\x09-\x0D ]+$', '')), lambda x: x <> '') AS lines
   FROM pages),
 t AS (SELECT host, count(*) AS total FROM p GROUP BY host),
 d AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) JOIN t USING (host)
   GROUP BY host, line, total HAVING count(*) >= 3 AND count(*) > 0.3 * total),
 b AS (SELECT host, list(line) AS drops FROM d GROUP BY host)
-SELECT page_id, host, array_to_string(list_filter(lines, x -> NOT list_contains(coalesce(drops, []), x)), chr(10)) AS clean_text,
-  len(lines) AS n_lines, len(list_filter(lines, x -> list_contains(coalesce(drops, []), x))) AS n_dropped
+SELECT page_id, host, array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(drops, []), x)), chr(10)) AS clean_text,
+  len(lines) AS n_lines, len(list_filter(lines, lambda x: list_contains(coalesce(drops, []), x))) AS n_dropped
 FROM p LEFT JOIN b USING (host)
 """
 
@@ -114,7 +114,7 @@ OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) || '0' AS x FROM p),
 g AS (
-  SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY x) AS first_id, array_to_string(list_transform(range(32), i ->
+  SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY x) AS first_id, array_to_string(list_transform(range(32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((16 * (position(substr(x, 1 + (i * 5) // 4, 1) IN '0123456789abcdef') - 1)
       + position(substr(x, 2 + (i * 5) // 4, 1) IN '0123456789abcdef') - 1) >> (3 - (i * 5) % 4)) & 31)::INTEGER, 1)), '') AS payload_digest
   FROM h)
