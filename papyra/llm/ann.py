@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-PROJECTIONS = 96
-#: Half a window's width in units of the radius, and the share of windows that makes a candidate.
-HALF_WIDTH, COLLISIONS = 1.35, 0.76
+PROJECTIONS = 32
+#: Half a window's width in units of the radius, and the number of windows that makes a candidate.
+HALF_WIDTH, COLLISIONS = 1.35, 20
 GROWTH = 1.15
+#: The first radius is this share of the distance to the nearest of some vectors of the block.
+START, START_VECTORS = 0.6, 256
 BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 2_048
 
 
@@ -30,44 +32,39 @@ class Block:
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, seed: int = 5) -> None:
         self.x, self.ids = x, ids
-        self.axes = np.random.default_rng(seed).standard_normal((x.shape[1], PROJECTIONS))
+        draw = np.random.default_rng(seed)
+        self.axes = draw.standard_normal((x.shape[1], PROJECTIONS))
         at = (x @ self.axes).T
         self.order = np.argsort(at, axis=1, kind="stable")
         self.at = np.take_along_axis(at, self.order, axis=1)
+        self.some = x[draw.integers(0, len(ids), START_VECTORS)]
+
+    def distances(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.x[rows] - q) ** 2).sum(1))
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, nearest first, ties to the smaller id."""
         n, centre = len(self.ids), q @ self.axes
-        collisions, verified = np.zeros(n, np.int16), np.zeros(n, bool)
-        verified[self.ids == own] = True
+        collisions, verified = np.zeros(n, np.int64), self.ids == own
         want = min(k, n - int(verified.sum()))
-        need = int(np.ceil(COLLISIONS * PROJECTIONS))
         found, gap = np.empty(0, np.int64), np.empty(0)
         low = np.array([np.searchsorted(a, c) for a, c in zip(self.at, centre)])
-        high, radius = low.copy(), 0.0
-        while want and len(found) < n:
-            # the next radius: at least a step, and enough to reach the nearest value outside a window
-            outside = [min(c - a[lo - 1] if lo else np.inf, a[hi] - c if hi < n else np.inf) for a, c, lo, hi in zip(self.at, centre, low, high)]
-            reach = np.sort(outside)[min(need, PROJECTIONS) - 1] / HALF_WIDTH
-            if not np.isfinite(reach):
-                reach = np.inf
-            radius = max(radius * GROWTH, reach)
+        high = low.copy()
+        near = np.sqrt(((self.some - q) ** 2).sum(1))
+        radius = START * float(near[near > 0].min(initial=np.inf))
+        while want:
             half = radius * HALF_WIDTH
-            for j in range(PROJECTIONS):
-                a, order = self.at[j], self.order[j]
-                lo = int(np.searchsorted(a, centre[j] - half, "left"))
-                hi = int(np.searchsorted(a, centre[j] + half, "right"))
-                lo, hi = min(lo, low[j]), max(hi, high[j])
-                collisions[order[lo : low[j]]] += 1
-                collisions[order[high[j] : hi]] += 1
-                low[j], high[j] = lo, hi
-            new = np.flatnonzero((collisions >= need) & ~verified)
+            wider = [(int(np.searchsorted(a, c - half, "left")), int(np.searchsorted(a, c + half, "right"))) for a, c in zip(self.at, centre)]
+            fresh = [part for j, (lo, hi) in enumerate(wider) for part in (self.order[j, min(lo, low[j]) : low[j]], self.order[j, high[j] : max(hi, high[j])])]
+            collisions += np.bincount(np.concatenate(fresh), minlength=n)
+            low, high = np.minimum(low, [lo for lo, _ in wider]), np.maximum(high, [hi for _, hi in wider])
+            new = np.flatnonzero((collisions >= COLLISIONS) & ~verified)
             if len(new):
                 verified[new] = True
-                found = np.concatenate([found, new])
-                gap = np.concatenate([gap, np.sqrt(((self.x[new] - q) ** 2).sum(1))])
+                found, gap = np.concatenate([found, new]), np.concatenate([gap, self.distances(new, q)])
             if len(gap) >= want and np.partition(gap, want - 1)[want - 1] <= radius or (low == 0).all() and (high == n).all():
                 break
+            radius *= GROWTH
         best = np.lexsort((self.ids[found], gap))[:k]
         return self.ids[found[best]], gap[best]
 
