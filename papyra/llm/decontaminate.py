@@ -174,10 +174,10 @@ def indexes(items: DataFrame, block_bytes: int = 16 << 20) -> Iterator[Index]:
     n_items = items.count()
     mean = items.agg(F.avg(F.size(F.split(F.trim("text"), "[ \\t\\n\\x0B\\f\\r]+")))).first()[0] or 1.0
     for k in range(n):
-        rows = dealt.where(F.col("block") == k).orderBy("item_id", "text").toPandas()
-        index = Index([int(i) for i in rows.item_id], [plain_words(t) for t in rows.text])
-        df = terms.where(F.col("block") == k).join(frequent, "term").select("term", "df").toPandas()
-        yield index.weigh(n_items, mean, {bytes(t): int(c) for t, c in zip(df.term, df.df)})
+        rows = dealt.where(F.col("block") == k).select("item_id", "text").toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        index = Index(rows["item_id"].to_pylist(), [plain_words(t.as_py()) for t in rows["text"]])
+        df = terms.where(F.col("block") == k).join(frequent, "term").select("term", "df").toArrow()
+        yield index.weigh(n_items, mean, dict(zip(df["term"].to_pylist(), df["df"].to_pylist())))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, percent: int = 75, part_percent: int = 50) -> DataFrame:

@@ -4,8 +4,9 @@ Indicators of byte 2-grams (exact), byte 3-grams and words (hashed), and of the
 share of word 2-grams that repeat one word, are scaled
 by the log-count ratio of the two classes, and dual coordinate descent fits a
 linear hinge-loss model on them; a logistic curve over margins of rows that
-the fit did not see gives the score.  Class counts cover all labelled training
-rows; the linear fit takes at most ``max_fit_rows`` of them, chosen by hash.
+the fit did not see gives the score.  The fit is on a bounded number of labelled
+rows, chosen by hash: ``max_count_rows`` for the class counts, ``max_fit_rows``
+of them for the linear model.
 """
 
 from __future__ import annotations
@@ -60,27 +61,28 @@ class Model:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int, seed: int = 1) -> tuple[np.ndarray, float]:
-    """w and bias that minimise |w|^2/2 + sum cost * max(0, 1 - y (w x + b)).
+    """w times ratio, and the bias, that minimise |w|^2/2 + sum cost * max(0, 1 - y (w x + b)).
 
     x is a row's log-count ratios over the root of their number, with a
     constant 1 for the bias; each step solves one row's dual variable."""
-    w, b = np.zeros(FEATURES), 0.0
-    x = [ratio[r] / max(1, len(r)) ** 0.5 for r in rows]
-    alpha, square = np.zeros(len(rows)), np.array([v @ v + 1 for v in x])
+    # v is w times ratio, so that a row's margin is a sum of v; only v is kept.
+    v, b, squares = np.zeros(FEATURES), 0.0, ratio * ratio
+    root = np.array([max(1, len(r)) ** 0.5 for r in rows])
+    alpha, norm = np.zeros(len(rows)), np.array([squares[r].sum() / n**2 + 1 for r, n in zip(rows, root)])
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            slope = y[i] * (w[rows[i]] @ x[i] + b) - 1
-            new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
+            slope = y[i] * (v[rows[i]].sum() / root[i] + b) - 1
+            new = min(max(alpha[i] - slope / norm[i], 0.0), cost[i])
             if step := (new - alpha[i]) * y[i]:
-                w[rows[i]] += step * x[i]
+                v[rows[i]] += step / root[i] * squares[rows[i]]
                 b += step
                 alpha[i] = new
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w, b
+    return v, b
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -112,46 +114,44 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = pa.array([features(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32()))
+        found = pa.array([features(t.as_py()).tobytes() for t in batch.column(0)], pa.binary())
         yield pa.RecordBatch.from_arrays([found, batch.column(1), batch.column(2)], ["at", "y", "k"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 4000, rounds: int = 12, cost: float = 2.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 4000, max_count_rows: int = 20_000, rounds: int = 12, cost: float = 2.0) -> Model:
     """Fit on ``docs`` (doc_id, text) that ``labels`` (doc_id, label 0 or 1) marks.
 
     Rows with a null doc_id, or a label that is neither 0 nor 1, teach nothing;
     of several labels for one doc_id the smallest holds.  Without any row of
     one of the classes the model scores every text with the classes' smoothed
-    share.  ``max_fit_rows`` bounds what reaches the driver: at most that many
-    rows' feature numbers, besides one pair of counts a feature."""
+    share.  The ids that are picked are bounded, so they are broadcast and no
+    text is shuffled; what reaches the driver is at most ``max_fit_rows`` rows'
+    feature numbers, besides one pair of counts a feature."""
     marked = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("y"))
+    keyed = marked.select("doc_id", "y", F.xxhash64("doc_id", F.lit(7)).alias("k"))
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    count = texts.join(marked, "doc_id").select("text", "y").mapInArrow(_counts, "f int, n0 long, n1 long")
-    count = count.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    rows = count[count.f == -1][["n0", "n1"]].sum().to_numpy()
+    counted = keyed.orderBy("k", "doc_id").limit(max_count_rows)
+    count = texts.join(F.broadcast(counted), "doc_id").select("text", "y").mapInArrow(_counts, "f int, n0 long, n1 long")
+    f, *n = (c.to_numpy() for c in count.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().columns)
+    rows = np.array([c[f == -1].sum() for c in n])
     if not rows.all():
         share = (rows[1] + 1) / (rows.sum() + 2)
         return Model(np.zeros(FEATURES, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     p = np.ones((2, FEATURES))
-    count = count[count.f >= 0]
-    p[:, count.f] += count[["n0", "n1"]].to_numpy().T
+    p[:, f[f >= 0]] += [c[f >= 0] for c in n]
     ratio = np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
 
-    # A bounded choice: hash order within each class, so that the rarer one is there in full strength.
-    pick = marked.select("doc_id", "y", F.xxhash64("doc_id", F.lit(7)).alias("k"))
-    chosen = [pick.where(F.col("y") == y).orderBy("k", "doc_id").limit(max_fit_rows // 2) for y in (0, 1)]
-    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("text", "y", "k").mapInArrow(_features, "at array<int>, y int, k long").toPandas()
-    sample = sample.sort_values("k").reset_index(drop=True)
-    at, y = [np.asarray(a, np.int32) for a in sample["at"]], np.where(sample.y == 1, 1.0, -1.0)
+    # Hash order within each class, so that the rarer one is there in full strength.
+    chosen = [counted.where(F.col("y") == y).orderBy("k", "doc_id").limit(max_fit_rows // 2) for y in (0, 1)]
+    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("text", "y", "k").mapInArrow(_features, "at binary, y int, k long").toArrow().sort_by([("k", "ascending"), ("at", "ascending")])
+    at, y = [np.frombuffer(a.as_py(), np.int32) for a in sample["at"]], np.where(sample["y"].to_numpy() == 1, 1.0, -1.0)
     held = np.arange(len(at)) % 4 == 3
-    w, b = dual_coordinate_descent([a for a, h in zip(at, held) if not h], ratio, y[~held], np.full((~held).sum(), cost), rounds)
-    weights = (w * ratio).astype(np.float32)
+    weights, b = dual_coordinate_descent([a for a, h in zip(at, held) if not h], ratio, y[~held], np.full((~held).sum(), cost), rounds)
     # The curve is weighted back to the classes' true shares through its offset.
-    raw = Model(weights, b, 1.0, 0.0)
-    margin = np.array([float(raw.weights[a].sum()) / max(1, len(a)) ** 0.5 + b for a in at])
+    margin = np.array([weights[a].sum() / max(1, len(a)) ** 0.5 + b for a in at])
     slope, offset = platt(margin[held], y[held])
     drawn = (y > 0).sum() / max(1, (y <= 0).sum())
-    return Model(weights, b, slope, offset + float(np.log(rows[1] / rows[0] / drawn)))
+    return Model(weights.astype(np.float32), b, slope, offset + float(np.log(rows[1] / rows[0] / drawn)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
