@@ -20,17 +20,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def nearby_roots(edges: DataFrame) -> DataFrame:
-    """(node, root) after one step to the smallest neighbour and two of pointer
-    jumping: never across components, though not always all the way."""
-    low = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node != root").groupBy("node").agg(F.min("root").alias("root"))
-    low = materialise(low, "near")
-    up = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    for _ in range(2):
-        low = low.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return low
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of ``edges`` (a, b long); root is the smallest
     node that can be reached.

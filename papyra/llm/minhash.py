@@ -8,13 +8,12 @@ read.
 
 How pairs stay few.  Texts with equal shingle sets are one class and take part
 once.  A band's bucket compares its members with its smallest one only (a
-star), not with one another.  Members that a star did not bring into one
-component are compared in further stars around other members.  A set too few of
-whose shingles occur in any other component's open sets cannot link to one and
-is set aside, by an exact count.  What is left then, pairs of a bucket whose
-ends are still in different components, is compared in full where bounds on the
-common shingles allow a link: a pair within one
-component cannot change the result, so no link between components is lost.
+star), not with one another.  Where a bucket then still holds several
+components, the members outside its largest one are compared with all others,
+as a pair within one component cannot change the result.  Before that, a set
+too few of whose shingles occur in any other component's open sets is set
+aside, by an exact count, and bounds on the common shingles drop most of the
+pairs that are left, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, shingle_hashes, shingle_set, words_of
-from .components import connected_components, nearby_roots
+from .components import connected_components
 
 BANDS, ROWS = 40, 5
 UNIVERSE = 1 << 22
@@ -108,14 +107,6 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb", F.lit(percent).alias("p")).mapInArrow(_verify, "a long, b long").distinct()
 
 
-def _open(placed: DataFrame) -> DataFrame:
-    """Rows of buckets (bucket, rep, root, ...) with members of more than one root,
-    with m, their number of members, and sq, the squares of their parts' sizes summed."""
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c_"))
-    open_ = parts.groupBy("bucket").agg(F.sum("c_").alias("m"), F.sum(F.col("c_") * F.col("c_")).alias("sq"), F.count("*").alias("parts")).where("parts > 1")
-    return placed.join(open_.drop("parts"), "bucket")
-
-
 def _maps(hashes: np.ndarray) -> np.ndarray:
     """Which of 64 * MAP_LONGS cells a set's hashes fall into, as longs."""
     cells = np.zeros(64 * MAP_LONGS, np.uint8)
@@ -150,7 +141,7 @@ def _may_link(percent: int) -> str:
     return f"root != ar and 100 * {common} >= {percent} * (n + an - {common})"
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Documents whose sets of distinct five-word shingles have a Jaccard
@@ -169,45 +160,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3) ->
     # One representative a set; partial minima collapse hot groups of copies before the shuffle.
     classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n"))
     classes = materialise(classes, "class")
-    buckets = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
+    buckets = classes.select(F.explode("bands").alias("bucket"), "rep")
     pivots = buckets.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    shared = materialise(buckets.join(pivots, "bucket"), "bucket")
-
-    stars = shared.where("rep != pivot")
+    stars = buckets.join(pivots.select("bucket", "pivot"), "bucket").where("rep != pivot")
     tested = materialise(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pair")
-    texts = docs.where("doc_id is not null").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = materialise(texts, "text")
-    links = verified(tested, texts, percent)
+    sharing = materialise(tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "sharing")
+    texts = materialise(docs.where("doc_id is not null").join(sharing, "doc_id", "left_semi"), "text")
     # Rows that share a doc_id are one node, so what one of their texts reaches the others reach.
     spread = usable.groupBy("doc_id").agg(F.min(F.xxhash64("fp")).alias("lo"), F.max(F.xxhash64("fp")).alias("hi")).where("lo != hi").select("doc_id")
-    links = materialise(links.union(usable.join(spread, "doc_id").join(classes, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "link")
-    members = shared.where("m > 2").select("bucket", "rep", "n")
-
-    for k in range(star_rounds + 1):
-        placed = members.join(nearby_roots(links).withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        open_ = materialise(_open(placed), "open")
-        # A set links to another component only through shingles that some other component's open sets hold too.
-        foreign = _foreign(open_.select("rep", "root").distinct(), texts)
-        members = materialise(_open(open_.select("bucket", "rep", "n", "root").join(foreign, "rep").where(f"100 * c >= {percent} * n")), "open")
-        rows, pairs = members.select(F.count("*"), F.sum((F.col("m") * F.col("m") - F.col("sq")) / F.col("m") / 2)).first()
-        if not rows:
-            break
-        last = k == star_rounds or pairs <= 16 * rows
-        one = F.struct(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("c").alias("ac"), *(F.col(m).alias(f"a_{m}") for m in _MAP))
-        if last:
-            todo = members.join(members.select("bucket", one.alias("x")).select("bucket", "x.*"), "bucket").where(f"a < rep and {_may_link(percent)}")
-        else:  # stars around the sets with the largest shared part, mostly the same one in all buckets that hold it
-            hubs = members.groupBy("bucket").agg(F.max_by(one, F.struct(F.col("c") / F.col("n"), F.xxhash64("rep", F.lit(k)))).alias("x"))
-            todo = members.join(hubs.select("bucket", "x.*"), "bucket").where(f"a != rep and {_may_link(percent)}")
-        todo = todo.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        todo = materialise(todo, "pair")
-        links = materialise(links.union(verified(todo, texts, percent)), "link")
-        if last:
-            break
-        tested = tested.union(todo)
-        members = members.select("bucket", "rep", "n")
-
-    roots = materialise(connected_components(links), "root")
+    equal = usable.join(spread, "doc_id").join(classes, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    roots = materialise(connected_components(materialise(verified(tested, texts, percent).union(equal), "link")), "root")
+
+    # Each set's component with the component's size, then the buckets that hold more than one.
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    placed = classes.join(sharing.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").join(roots.join(sizes, "root").withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.select("rep", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("size", F.lit(1)).alias("size"), "bands")
+    rows = placed.select(F.explode("bands").alias("bucket"), "rep", "n", "root", "size")
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", F.struct("size", "root")).alias("main")).where("lo != hi")
+    open_ = materialise(rows.drop("size").join(mixed.select("bucket", "main"), "bucket"), "open")
+    members = materialise(open_.join(_foreign(open_.select("rep", "root").distinct(), texts), "rep").where(f"100 * c >= {percent} * n"), "open")
+    one = F.struct(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("c").alias("ac"), *(F.col(m).alias(f"a_{m}") for m in _MAP))
+    outside = members.where("root != main").select("bucket", one.alias("x")).select("bucket", "x.*")
+    todo = members.join(outside, "bucket").where(_may_link(percent)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    found = materialise(verified(todo.join(tested, ["a", "b"], "left_anti"), texts, percent), "link")
+    if not found.isEmpty():
+        stars = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        roots = materialise(connected_components(stars.union(found)), "root")
+
     placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("fp")).alias("fp")).join(placed, "fp", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
