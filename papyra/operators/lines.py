@@ -48,8 +48,10 @@ def prepare_lines(lines: DataFrame) -> DataFrame:
     mark = F.regexp_extract("text", PAGE_MARK, 1)
     paged = spaced.withColumn("mark", F.when(mark != "", mark.cast("int")))
     paged = paged.withColumn("page", F.last("mark", ignorenulls=True).over(running("line_num"))).where("mark is null")
-    parts = paged.select("doc_id", "line_num", "page", F.posexplode(t.letterhead_parts("text")).alias("part", "raw"))
-    clean = parts.withColumn("text", t.rule_corrections("raw")).where(~t.is_garbage(t.stripped("text")))
+    # Inside the array a line is named once, so the rules do not multiply in the plan.
+    repaired = F.transform(t.letterhead_parts("text"), lambda x: t.rule_corrections(x))
+    kept = F.filter(repaired, lambda x: ~t.is_garbage(t.stripped(x)))
+    clean = paged.select("doc_id", "line_num", "page", F.posexplode(kept).alias("part", "text"))
     return clean.select("doc_id", F.row_number().over(in_order("line_num", "part")).alias("line_id"), "text", "page")
 
 
