@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lines as ln
-from ..operators import packing, rules, toc, tree
+from ..operators import packing, recognition, rules, toc, tree
 from .derived import ITEMS_SQL, OUTLINE_SQL, outline_lines, table, unique_items
 
 
@@ -224,8 +224,17 @@ def trust_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_id", "role", "trust", "final_decision", "final_level", "applied", "is_node")
 
 
+def recognition_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.recognition_prompts(packing.chunk_signals(packing.semantic_chunks(_outline_blocks(spark, sf_dir)))).select("doc_id", "batch", F.size("chunk_ids").alias("n"), F.length("prompt").alias("chars"))
+
+
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tree.with_depth(tree.with_node_ids(_nodes(spark, sf_dir))).withColumn("summary", F.lit("s"))
+    return recognition.descriptions(nodes)
+
+
 QUERIES = [
-    heading_extract, node_text, tree_parent, tree_node_id, subtree_size, leaf_nodes, dotted_tree, node_bounds, node_context, outline_text, top_headings, sibling_levels, nodes_in_pages, page_spans, preface, toc_page_runs,
+    recognition_prompts, descriptions, heading_extract, node_text, tree_parent, tree_node_id, subtree_size, leaf_nodes, dotted_tree, node_bounds, node_context, outline_text, top_headings, sibling_levels, nodes_in_pages, page_spans, preface, toc_page_runs,
     toc_offset_mode, toc_fill_missing, toc_neighbours, toc_truncate, toc_accuracy, toc_repair, large_sections, chunk_lines, sentence_segments, text_blocks, sections, semantic_chunks, block_roles, outline_nodes, page_parts,
     tree_thinning, trust_decisions,
 ]
@@ -239,6 +248,9 @@ bounds AS (SELECT *, lead(line_num) OVER (PARTITION BY doc_id ORDER BY line_num)
 _TREE_SQL = OUTLINE_SQL + ", nodes AS (SELECT doc_id, line_num AS ord, level, own, up, regexp_replace(line, '^#+ ', '') AS title FROM outline)"
 
 SQL = {
+    "descriptions": f"""WITH {_TREE_SQL}, n AS (SELECT doc_id, ord, level, '{{"title":"' || title || '","node_id":"' || printf('%04d', ord - 1) || '","depth":' || (level - 1) || CASE WHEN level = 1 THEN ',"summary":"s"}}' ELSE '}}' END AS j FROM nodes),
+l AS (SELECT doc_id, d, '[' || string_agg(j, ',' ORDER BY ord) || ']' AS s FROM n, (SELECT unnest([0, 1, 2]) AS d) WHERE level - 1 <= d GROUP BY doc_id, d)
+SELECT doc_id, coalesce(arg_max(s, d) FILTER (WHERE length(s) <= 8000), max(s[1:8000] || '...') FILTER (WHERE d = 0)) AS structure FROM l GROUP BY doc_id""",
     "heading_extract": f"WITH {_SHALLOW_SQL} SELECT doc_id, ord, level, title, line_num FROM heads",
     "node_text": rf"WITH {_SHALLOW_SQL} SELECT b.doc_id, b.ord, b.line_num, regexp_replace(string_agg(s.line, chr(10) ORDER BY s.line_num), '\s+$', '') AS text FROM bounds b JOIN shallow s ON s.doc_id = b.doc_id AND s.line_num >= b.line_num AND (b.end_line IS NULL OR s.line_num <= b.end_line) GROUP BY ALL",
     "tree_parent": f"WITH {_TREE_SQL} SELECT doc_id, own, up FROM nodes",
