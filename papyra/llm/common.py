@@ -51,6 +51,13 @@ def release_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shielded(rows: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """``rows`` with all columns but the ``needed`` ones under names that no operator
+    uses, and the columns that give them their names back."""
+    names = {c: c if c in needed else f"_own{i}" for i, c in enumerate(rows.columns)}
+    return rows.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def ascii_lower(col: Column | str) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())
 

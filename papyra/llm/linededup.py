@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, shielded
 
 #: Fixed patterns: what comes after "://", and what separates lines in HTML.
 HOST = r"(?s)^.*?://([^/?#]*)"
@@ -41,8 +41,7 @@ def site_line_dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3) ->
     repeats or is null.  Null and empty html has no lines and an empty text;
     a null url, or one without ``://``, is on the host "".  Columns named like
     the added ones are replaced."""
-    added = ("host", "clean_text", "n_lines", "n_dropped")
-    pages = pages.drop(*added)
+    pages, own = shielded(pages.drop("host", "clean_text", "n_lines", "n_dropped"), "url", "html")
     rows = pages.withColumn("host", host_of("url")).withColumn("_lines", html_lines("html"))
     hashes = rows.select("host", F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x))).alias("hs"))
     totals = hashes.groupBy("host").agg(F.count("*").alias("total"))
@@ -53,4 +52,4 @@ def site_line_dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3) ->
     rows = rows.join(drop, "host", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<bigint>")))
     kept = F.filter("_lines", lambda x: ~F.array_contains("_drop", F.xxhash64(x)))
     rows = rows.withColumn("_kept", kept)
-    return rows.select(*pages.columns, "host", F.array_join("_kept", "\n").alias("clean_text"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
+    return rows.select(*own, "host", F.array_join("_kept", "\n").alias("clean_text"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))

@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shielded
 
 DIMENSIONS = ("length", "origin", "tongue")
 #: Candidate cuts a node; with more nodes fewer, as each then holds less of the data.
 CUTS = 1024
+#: A group of equal texts over this part of a shard is cut in pieces; up to so many such groups are broadcast.
+PIECES, BROADCAST_GROUPS = 64, 50_000
 #: Nodes up to which a level's cuts (8 bytes each, CUTS a node at most) are broadcast.
 BROADCAST_NODES = 256
 
@@ -47,7 +49,8 @@ _GROUP = ["_h", "_crc", "_size"]
 
 
 def _with_pieces(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    out = rows.join(F.broadcast(hot), _GROUP, "left")
+    small = hot.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    out = rows.join(F.broadcast(hot) if small else hot, _GROUP, "left")
     return out.withColumn("_piece", F.coalesce(F.pmod("_salt", F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
 
 
@@ -55,8 +58,8 @@ def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     """Groups of equal texts with weight and coordinates, and the hot ones' numbers of pieces."""
     weights = rows.groupBy(*_GROUP).agg((F.count("*") * F.col("_size")).alias("w"))
     total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    limit = max(1, total // (16 * shards))
-    # At most 16 groups a shard can exceed the limit, so this table may be broadcast.
+    # At most PIECES groups a shard can exceed the limit.
+    limit = max(1, total // (PIECES * shards))
     hot = materialise(weights.where((F.col("w") > limit) & (F.col("w") > F.col("_size"))).select(*_GROUP, F.ceil(F.col("w") / limit).cast("int").alias("pieces")), "hot")
     placed = _with_pieces(rows, hot)
     length = (F.log2(F.col("_size").cast("double")) * 2**24).cast("long")
@@ -126,13 +129,13 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     Needs text; doc_id, source and lang are used where present, further columns
     pass through, one named shard is replaced.  Null and empty texts weigh one
     byte and form one group; nulls in the metadata sort first.  Equal texts stay
-    together unless their group outweighs a 16th of a shard, and then its pieces
+    together unless their group outweighs a 64th of a shard, and then its pieces
     part by the hash of doc_id.  Texts are never cut, so a shard misses its size
     by half a document at most and by the sketch's error, under a thousandth of
     its node.  An empty table gives an empty result."""
-    rows, hot, leaves = assign(docs.drop("shard"), shards, target_bytes)
-    out = _with_pieces(rows, hot).join(leaves, [*_GROUP, "_piece"])
-    return out.select(*(c for c in docs.columns if c != "shard"), "shard")
+    docs, own = shielded(docs.drop("shard"), "doc_id", "text", "source", "lang")
+    rows, hot, leaves = assign(docs, shards, target_bytes)
+    return _with_pieces(rows, hot).join(leaves, [*_GROUP, "_piece"]).select(*own, "shard")
 
 
 def with_slots(rows: DataFrame, order: list[Column], buckets: int = 256) -> DataFrame:

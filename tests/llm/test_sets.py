@@ -264,3 +264,12 @@ def test_archive_frames_stand_alone():
     assert raw[:4] == b"\x5d\x2a\x4d\x18" and [p for _, p in warc.read_archive(io.BytesIO(raw), chunk=777)] == payloads
     with pytest.raises(ValueError):
         list(warc.read_archive(io.BytesIO(raw[:-3])))
+
+
+def test_clashing_columns_pass_through(spark):
+    _, frame = some_docs(spark, 60)
+    clash = frame.selectExpr("*", *(f"doc_id as {c}" for c in ("_h", "_size", "_piece", "pieces", "w", "node", "leaves", "passes", "cut", "units", "quota", "copies", "turn", "at", "_key", "place", "_lines", "_drop", "hs", "total")))
+    for out in (sharding.shard(clash, shards=3), mixing.mix(clash, shards=3), linededup.site_line_dedup(clash.withColumnsRenamed({"source": "url", "text": "html"}))):
+        extra = [c for c in clash.columns if c not in ("doc_id", "text", "lang", "source")]
+        rows = out.collect()
+        assert rows and all(r[c] == r.doc_id for r in rows for c in extra)
