@@ -101,6 +101,24 @@ def suppress(boxes: DataFrame, most_iou: float = 0.45, edge: float = 1.0) -> Dat
     return boxes.groupBy("page", "kind").applyInPandas(keep, boxes.schema)
 
 
+def clean_layouts(layouts: DataFrame, least: float = 0.7) -> DataFrame:
+    """Layouts (page, box_id, type, score, ...) without those that a better one of the same
+    type and page covers, or is covered by, to ``least`` or more; ties keep the earlier."""
+    pairs = layouts.join(_other(layouts), "page").where("b_type = type and b_box_id != box_id")
+    better = (F.col("b_score") > F.col("score")) | ((F.col("b_score") == F.col("score")) & (F.col("b_box_id") < F.col("box_id")))
+    worse = pairs.where(better & (F.greatest(overlap_area(), overlap_area("b_", "")) >= least)).select("page", "box_id").distinct()
+    return layouts.join(worse, ["page", "box_id"], "left_anti")
+
+
+def compose_pages(texts: DataFrame, tables: DataFrame, least: float = 0.5) -> DataFrame:
+    """(page, text): recognised boxes outside tables, and the tables (page, box_id, sides,
+    markdown), from top to bottom with blank lines between."""
+    covered = texts.join(_other(tables), "page").where(overlap_area() >= least).select("page", "box_id").distinct()
+    free = texts.join(covered, ["page", "box_id"], "left_anti").select("page", "top", "x0", F.col("text").alias("t"))
+    parts = free.unionByName(tables.select("page", "top", "x0", F.col("markdown").alias("t")))
+    return parts.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "t"))), lambda r: r["t"]), "\n\n").alias("text"))
+
+
 def cell_type(text: Column) -> Column:
     s, out = t.strip(text), None
     for pattern, kind in CELL_TYPES:

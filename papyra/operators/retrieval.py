@@ -92,6 +92,17 @@ def final_sources(answers: DataFrame) -> DataFrame:
     return answers.select("*", F.coalesce(cited["file"], F.col("filename")).alias("source_file"), F.coalesce(cited["lines"], F.col("lines")).alias("source_lines"), t.without_citations("answer").alias("plain_answer"))
 
 
+def ask_document(chunks: DataFrame, doc_id: str | int, query: list[float], question: str, model: Callable[[], Callable[[str], str]], fallback: str = "") -> DataFrame:
+    """One row (doc_id, answer, source_file, source_lines): the answer from a document's best
+    chunks (chunk_id, doc_id, text, vector, line_num, end_line_num, filename)."""
+    best = top_per_document(scored(chunks.where(F.col("doc_id") == doc_id), query, question))
+    first = best.where("rank = 1").select("doc_id", "filename", F.concat_ws("-", F.col("line_num").cast("string"), F.col("end_line_num").cast("string")).alias("lines"))
+    prompt = F.concat(t.truncate_context("context"), F.lit(f"\n\n{question}"))
+    answered = with_model(answer_context(best).withColumn("prompt", prompt), "prompt", model, "answer", fallback)
+    told = final_sources(answered.join(first, "doc_id"))
+    return told.select("doc_id", F.col("plain_answer").alias("answer"), "source_file", "source_lines")
+
+
 def with_model(rows: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], out: str, fallback: str = "") -> DataFrame:
     """``rows`` with ``out``, a text model's reply to ``prompt``; empty prompts and failing
     calls get ``fallback``.  ``model`` makes the callable once a task."""

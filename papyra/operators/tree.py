@@ -192,6 +192,12 @@ def nodes_in_pages(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.withColumn("_n", first).where("_n = 1").drop("_n", "lo", "hi")
 
 
+def pages_asked(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pages (doc_id, page, text) that a request (doc_id, pages like ``3,8``) names; others are ignored."""
+    wanted = asked.select("doc_id", F.explode(t.page_numbers("pages")).alias("page")).distinct()
+    return pages.join(wanted, ["doc_id", "page"], "left_semi")
+
+
 def sibling_levels(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``fixed_level``: siblings that share a kind of marker, two or
     more, stand at the level of that kind."""

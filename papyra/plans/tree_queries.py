@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import lines as ln
@@ -89,6 +89,12 @@ def nodes_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.nodes_in_pages(_nodes(spark, sf_dir), asked).select("doc_id", "line_num", "title")
 
 
+def pages_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as pages 1 to n; the first, third to fifth and hundredth are asked for."""
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"), F.col("o_orderpriority").alias("text"))
+    return tree.pages_asked(pages, pages.select("doc_id").distinct().withColumn("pages", F.lit("3-5,1,100")))
+
+
 def _toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders as entries on every third page, every fourth entry's page unknown."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey")
@@ -234,7 +240,7 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    recognition_prompts, descriptions, heading_extract, node_text, tree_parent, tree_node_id, subtree_size, leaf_nodes, dotted_tree, node_bounds, node_context, outline_text, top_headings, sibling_levels, nodes_in_pages, page_spans, preface, toc_page_runs,
+    recognition_prompts, descriptions, pages_asked, heading_extract, node_text, tree_parent, tree_node_id, subtree_size, leaf_nodes, dotted_tree, node_bounds, node_context, outline_text, top_headings, sibling_levels, nodes_in_pages, page_spans, preface, toc_page_runs,
     toc_offset_mode, toc_fill_missing, toc_neighbours, toc_truncate, toc_accuracy, toc_repair, large_sections, chunk_lines, sentence_segments, text_blocks, sections, semantic_chunks, block_roles, outline_nodes, page_parts,
     tree_thinning, trust_decisions,
 ]
@@ -270,6 +276,7 @@ SELECT doc_id, count(*) AS node_count, string_agg(title, ', ' ORDER BY ord) FILT
     "sibling_levels": f"""WITH {_TREE_SQL}, k AS (SELECT *, CASE WHEN level = 2 THEN 'ARTICLE' WHEN level = 3 AND title LIKE '%. %' THEN 'NUMBER' WHEN level = 3 THEN 'LETTER' END AS kind FROM nodes), n AS (SELECT *, count(kind) OVER (PARTITION BY doc_id, up, kind) AS c FROM k)
 SELECT doc_id, own, CASE WHEN c < 2 THEN level WHEN kind = 'ARTICLE' THEN 2 WHEN kind = 'NUMBER' THEN 3 WHEN kind = 'LETTER' THEN 4 ELSE level END AS fixed_level FROM n""",
     "nodes_in_pages": f"WITH {_TREE_SQL} SELECT doc_id, ord AS line_num, title FROM nodes WHERE ord BETWEEN 3 AND 12",
+    "pages_asked": "SELECT * FROM (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderpriority AS text FROM orders) WHERE page IN (1, 3, 4, 5, 100)",
     "page_spans": f"""WITH {_TOC_SQL}, k AS (SELECT *, lead(physical_index) OVER w AS n, lead(appear_start) OVER w AS s FROM toc WHERE physical_index IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
 SELECT doc_id, ord, physical_index AS start_index, CASE WHEN n IS NULL THEN 400 WHEN s = 'yes' THEN n - 1 ELSE n END AS end_index FROM k""",
     "preface": f"WITH {_TOC_SQL} SELECT doc_id, ord, ord::VARCHAR AS structure, title, physical_index FROM toc UNION ALL SELECT doc_id, 0, '0', 'Preface', 1 FROM toc WHERE ord = 1 AND physical_index > 1",

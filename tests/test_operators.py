@@ -294,3 +294,22 @@ def test_streams(spark, tmp_path, rows):
         stream = spark.readStream.schema(ingest.PROGRESS).parquet(str(updates))
         ingest.keep_newest(stream, str(tmp_path / "p"), str(tmp_path / "c2")).awaitTermination(60)
     assert rows(spark.read.parquet(str(tmp_path / "p" / "1")).select("document_id", "payload")) == [("d", "p2"), ("e", "p1")]
+
+
+def test_layout_cleanup_and_page_composition(spark):
+    schema = "page int, box_id int, type string, score double, x0 double, x1 double, top double, bottom double"
+    layouts = spark.createDataFrame([(1, 1, "text", 0.9, 0.0, 10.0, 0.0, 10.0), (1, 2, "text", 0.8, 0.0, 10.0, 1.0, 10.0), (1, 3, "table", 0.7, 0.0, 10.0, 0.0, 10.0), (1, 4, "text", 0.5, 50.0, 60.0, 0.0, 10.0)], schema)
+    assert sorted(r.box_id for r in geometry.clean_layouts(layouts).collect()) == [1, 3, 4]
+    texts = spark.createDataFrame([(1, 1, 0.0, 9.0, 50.0, 60.0, "below"), (1, 2, 0.0, 9.0, 1.0, 5.0, "in table"), (2, 1, 0.0, 9.0, 1.0, 5.0, "alone")], "page int, box_id int, x0 double, x1 double, top double, bottom double, text string")
+    tables = spark.createDataFrame([(1, 1, 0.0, 10.0, 0.0, 10.0, "| a |")], "page int, box_id int, x0 double, x1 double, top double, bottom double, markdown string")
+    assert {r.page: r.text for r in geometry.compose_pages(texts, tables).collect()} == {1: "| a |\n\nbelow", 2: "alone"}
+
+
+def test_asking_one_document(spark):
+    rows = [(1, "d", "luật đất đai\nđiều 1", [1.0, 0.0], 3, 4, "a.md"), (2, "d", "khác", [0.0, 1.0], 9, 9, "a.md"), (3, "e", "luật đất đai", [1.0, 0.0], 1, 1, "b.md")]
+    chunks = spark.createDataFrame(rows, "chunk_id int, doc_id string, text string, vector array<double>, line_num int, end_line_num int, filename string")
+    seen = lambda: lambda p: "[3] luật" in p and "yes" or "no"
+    assert retrieval.ask_document(chunks, "d", [1.0, 0.1], "luật gì", seen).collect() == [("d", "yes", "a.md", "3-4")]
+    cites = lambda: lambda p: "x [Nguồn: c.md, Dòng: 7-8]"
+    assert retrieval.ask_document(chunks, "d", [1.0, 0.1], "luật gì", cites).collect() == [("d", "x", "c.md", "7-8")]
+    assert retrieval.ask_document(chunks, "none", [1.0, 0.1], "luật gì", cites).count() == 0
