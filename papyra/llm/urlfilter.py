@@ -42,17 +42,17 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
 def _merged(children: DataFrame) -> DataFrame:
     """(host, tmpl, seg, name) of the literal children, similar ones under one name.
 
-    Siblings stand in order of their shares of bad labels, and a chain of
-    neighbours that do not differ is one branch; unlabelled ones differ from
-    none, so they join the sibling before them.  The windows hold at most ten
-    rows, the literal children of a node."""
+    Siblings with labels stand in order of their shares of bad ones, and a chain
+    of neighbours that do not differ is one branch; a sibling without labels
+    shows no likeness and stays alone.  The windows hold at most ten rows, the
+    literal children of a node."""
     node = Window.partitionBy("host", "tmpl")
     bad = children.withColumn("m", F.col("bad") + F.col("good")).withColumn("p", (F.col("bad") + 1) / (F.col("m") + 2))
-    line = node.orderBy("p", "seg")
+    line = node.orderBy(F.col("m") == 0, "p", "seg")
     p0, m0 = F.lag("p").over(line), F.lag("m").over(line)
     pooled = (F.col("p") * F.col("m") + p0 * m0) / (F.col("m") + m0)
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("m") + 1 / m0))
-    differs = (F.col("m") > 0) & (m0 > 0) & (F.col("p") - p0 > Z * error)
+    differs = (F.col("m") == 0) | (F.col("p") - p0 > Z * error)
     cut = bad.withColumn("cut", F.coalesce(differs, F.lit(False)).cast("int"))
     cut = cut.withColumn("branch", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     names = F.array_join(F.array_sort(F.collect_set("seg").over(Window.partitionBy("host", "tmpl", "branch"))), "|")
@@ -63,16 +63,14 @@ def path_templates(urls: DataFrame) -> DataFrame:
     """(host, path, template, n, bad, good, purity) of every distinct host and path.
 
     ``urls`` has host, path and bad (1, 0, or null where no label is known).
-    purity is (bad + prior) / (bad + good + 1) over the template, prior being the
-    share of bad among all labels (0 without labels)."""
+    purity is (bad + 1) / (bad + good + 2) over the template, so one half where no
+    label is known and below 0.7 until two labels say bad."""
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(F.when(F.col("bad") == 1, 1)).alias("bad"), F.count(F.when(F.col("bad") == 0, 1)).alias("good"))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     tail = F.array(F.array_join(F.slice(parts, MAX_DEPTH, 2**20), "/"))
     segs = F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH - 1), tail)).otherwise(parts)
     state = materialise(paths.select("host", "path", "n", "bad", "good", segs.alias("segs"), F.lit("").alias("tmpl")), "paths")
-    known = state.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.max(F.size("segs")), F.lit(0)).alias("depth")).first()
-    prior = known.b / (known.b + known.g) if known.b + known.g else 0.0
-    for depth in range(known.depth):
+    for depth in range(state.agg(F.coalesce(F.max(F.size("segs")), F.lit(0))).first()[0]):
         seg = F.get("segs", F.lit(depth))
         at = state.where(F.size("segs") > depth).select("host", "tmpl", seg.alias("seg"), "n", "bad", "good")
         children = at.groupBy("host", "tmpl", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "good")))
@@ -83,7 +81,7 @@ def path_templates(urls: DataFrame) -> DataFrame:
         state = state.withColumn("tmpl", F.when(F.col("seg").isNull(), F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), F.coalesce("name", F.lit("*")))))
         state = materialise(state.select("host", "path", "n", "bad", "good", "segs", "tmpl"), "paths")
     sums = state.groupBy("host", "tmpl").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "bad", "good")))
-    purity = (F.col("t_bad") + prior) / (F.col("t_bad") + F.col("t_good") + 1)
+    purity = (F.col("t_bad") + 1) / (F.col("t_bad") + F.col("t_good") + 2)
     return state.join(sums, ["host", "tmpl"]).select("host", "path", F.col("tmpl").alias("template"), F.col("t_n").alias("n"), F.col("t_bad").alias("bad"), F.col("t_good").alias("good"), purity.alias("purity"))
 
 

@@ -228,6 +228,13 @@ def test_templates_generalise_and_reject(spark):
     assert judged["http://h.com/ads/new"] == ("/ads/*", "block") and judged["http://h.com/news/new"] == ("/news/*", "allow")
 
 
+def test_similar_branches_merge_and_unlabelled_ones_stay(spark):
+    rows = [(f"http://h.com/{kind}/{i}", int(kind in ("ads", "promo"))) for kind in ("ads", "promo", "news") for i in range(40)]
+    pages = spark.createDataFrame([(u,) for u, _ in rows] + [(f"http://h.com/blog/{i}",) for i in range(40)], "url string")
+    found = {(r.template, r.verdict) for r in urlfilter.judge_urls(pages, [], spark.createDataFrame(rows, "url string, bad int")).collect()}
+    assert found == {("/ads|promo/*", "block"), ("/news/*", "allow"), ("/blog/*", "allow")}
+
+
 def digest(html):
     return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 
