@@ -116,9 +116,8 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
         # A node's number is its first leaf, so the last level's nodes are the shards.
         leaves = F.when(F.col("left").isNull(), F.col("leaves")).when(F.col("up") == 1, F.col("leaves") - F.col("left")).otherwise(F.col("left"))
         points = joined.select(*_GROUP, "_piece", "w", *DIMENSIONS, (F.col("node") + F.col("up") * F.coalesce("left", F.lit(0))).alias("node"), leaves.alias("leaves"))
-        level += 1
-        if level % 4 == 0:
-            points = materialise(points, "point")
+        # Written at every level: the next one's plan then starts from a scan.
+        points, level = materialise(points, "point"), level + 1
     return rows, hot, points.select(*_GROUP, "_piece", F.col("node").alias("shard"))
 
 
