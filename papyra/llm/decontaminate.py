@@ -34,7 +34,7 @@ def plain_words(text: str | None) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Postings of a bounded block of items."""
+    """Postings of a bounded block of items, all of one length class."""
 
     items: list[int]
     words: list[list[bytes]]
@@ -104,14 +104,13 @@ class Index:
             cursors = [c for c in cursors if c[0] < high]
         return found
 
-    def search(self, words: list[bytes], threshold: float) -> dict[int, tuple[float, int]]:
-        """For each item that some passage retrieves: its best score and that passage's start."""
+    def search(self, words: list[bytes], threshold: float) -> Iterator[tuple[int, float, int]]:
+        """(item, score, passage start) of every passage that retrieves an item."""
         get, none = self.vocabulary.get, len(self.postings)
         ids = np.array([get(w, none) for w in words], np.int64)
-        best: dict[int, tuple[float, int]] = {}
         step = self.passage // 2
         if not len(ids):
-            return best
+            return
         # Bounds of half passages, each term once a half; two of them bound a passage.
         terms = np.unique(np.arange(len(ids)) // step * (none + 1) + ids)
         half = np.searchsorted(terms, np.arange(-(-len(ids) // step)) * (none + 1))
@@ -123,22 +122,50 @@ class Index:
             terms = np.unique(ids[start : start + self.passage])
             for block in np.flatnonzero(self.block_max[terms].sum(0) >= threshold - 1e-6):
                 for i, s in self.wand(terms[terms < none].tolist(), int(block), threshold):
-                    if s > best.get(i, (0.0, 0))[0]:
-                        best[i] = (s, start)
+                    yield i, s, start
+
+    def confirmed(self, words: list[bytes], threshold: float, percent: int, part_percent: int) -> dict[int, tuple[float, ...]]:
+        """For each item in the text: the best of score, item, question and answer
+        overlap over the passages that retrieve it and pass the overlap check.
+
+        A score says nothing of word order, so no passage stands for another."""
+        best: dict[int, tuple[float, ...]] = {}
+        at, have = -1, {}
+        for i, score, start in self.search(words, threshold):
+            if start != at:
+                at, have = start, {}
+            size = shingle_size(self.halves[i])
+            if size not in have:
+                have[size] = shingles_of(words[start : start + self.passage], size)
+            whole, question, answer = shares(have[size], self.halves[i])
+            if 100 * whole >= percent and 100 * min(question, answer) >= part_percent:
+                figures = (score, whole, question, answer)
+                best[i] = tuple(map(max, figures, best.get(i, figures)))
         return best
 
 
-def overlap(words: list[bytes], parts: tuple[set, set, set]) -> tuple[float, ...]:
+def length_class(words: list[bytes]) -> int:
+    """Items of one class differ in length by a factor of two at most, or have up to 64 words."""
+    return max(6, (max(1, len(words)) - 1).bit_length())
+
+
+def shingle_size(parts: tuple[set, set, set]) -> int:
+    return min(len(next(iter(parts[0]))), 5)
+
+
+def shingles_of(words: list[bytes], size: int) -> set:
+    return set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else set()
+
+
+def shares(have: set, parts: tuple[set, set, set]) -> tuple[float, ...]:
     """Shares of the item's, question's and answer's shingles among a text's."""
-    whole, question, answer = parts
-    size = min(len(next(iter(whole))), 5)
-    have = set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else set()
+    size = shingle_size(parts)
 
     def share(part: set) -> float:
         part = {s for s in part if len(s) == size}  # halves under five words: the whole decides
         return len(part & have) / len(part) if part else 1.0
 
-    return share(whole), share(question), share(answer)
+    return tuple(map(share, parts))
 
 
 _HITS = "doc_id long, item_id long, bm25 double, item_overlap double, question_overlap double, answer_overlap double"
@@ -152,8 +179,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([flat, pa.array(block, pa.int32())], ["term", "block"])
 
 
-def indexes(items: DataFrame, block_bytes: int = 16 << 20) -> Iterator[Index]:
-    """One index after another, each over items of about ``block_bytes`` of text.
+def indexes(items: DataFrame, block_bytes: int = 16 << 20) -> Iterator[list[Index]]:
+    """One block after another, each of items of about ``block_bytes`` of text, with
+    an index for each length class, so that passages fit their items.
 
     Items are dealt by hash until no block of more than one item exceeds twice
     that size, so what reaches the driver and is broadcast is bounded however
@@ -175,18 +203,24 @@ def indexes(items: DataFrame, block_bytes: int = 16 << 20) -> Iterator[Index]:
     mean = items.agg(F.avg(F.size(F.split(F.trim("text"), "[ \\t\\n\\x0B\\f\\r]+")))).first()[0] or 1.0
     for k in range(n):
         rows = dealt.where(F.col("block") == k).select("item_id", "text").toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        index = Index(rows["item_id"].to_pylist(), [plain_words(t.as_py()) for t in rows["text"]])
+        classes: dict[int, tuple[list, list]] = {}
+        for item_id, text in zip(rows["item_id"].to_pylist(), rows["text"]):
+            words = plain_words(text.as_py())
+            ids, texts = classes.setdefault(length_class(words), ([], []))
+            ids.append(item_id)
+            texts.append(words)
         df = terms.where(F.col("block") == k).join(frequent, "term").select("term", "df").toArrow()
-        yield index.weigh(n_items, mean, dict(zip(df["term"].to_pylist(), df["df"].to_pylist())))
+        counts = dict(zip(df["term"].to_pylist(), df["df"].to_pylist()))
+        yield [Index(*classes[c]).weigh(n_items, mean, counts) for c in sorted(classes)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, percent: int = 75, part_percent: int = 50) -> DataFrame:
     """(doc_id, item_id, bm25, item_overlap, question_overlap, answer_overlap) of
     every document that contains a benchmark item.
 
-    Every overlapping passage (twice the longest item, at least 128 words, half
-    of it shared with the next) of every document is a query; an item it
-    retrieves is confirmed if at least ``percent`` hundredths of the item's
+    Every overlapping passage (twice the longest item of a length class, at least
+    128 words, half of it shared with the next) of every document is a query; an
+    item it retrieves is confirmed, passage by passage, if at least ``percent`` hundredths of the item's
     five-word shingles, and ``part_percent`` of those of its question (first
     half) and of its answer (second half), are in the passage.
 
@@ -196,19 +230,17 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, perc
     reported.  Other columns are ignored; no items give an empty result."""
     spark = docs.sparkSession
     texts, found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for index in indexes(items):
-        shared = spark.sparkContext.broadcast(index)
+    for block in indexes(items):
+        shared = spark.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     words = plain_words(text.as_py())
-                    for i, (score, start) in index.search(words, threshold).items():
-                        whole, question, answer = overlap(words[start : start + index.passage], index.halves[i])
-                        if 100 * whole >= percent and 100 * min(question, answer) >= part_percent:
-                            rows.append((doc_id, index.items[i], score, whole, question, answer))
+                    for index in shared.value:
+                        pairs = index.confirmed(words, threshold, percent, part_percent)
+                        rows += [(doc_id, index.items[i], *figures) for i, figures in pairs.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[c.split()[0] for c in _HITS.split(", ")])
 

@@ -104,6 +104,36 @@ def test_decontamination_finds_items_in_long_texts(spark, rows):
     assert decontaminate.contaminated(frame, bench.where("false")).count() == 0
 
 
+def hidden_copies(items):
+    """Documents that hold an item's words in reverse and, in two of three, a copy or near copy further on."""
+    rng = random.Random(11)
+    word = lambda: f"f{rng.randrange(3000)}"
+    near = items[1][1].split()
+    near[20] = "changed"
+    docs = []
+    for d, copy in enumerate((items[0][1].split(), near, [])):
+        scattered = items[min(d, 1)][1].split()[::-1]
+        docs.append((d, " ".join(scattered + [word() for _ in range(400)] + copy + [word() for _ in range(400)])))
+    return docs
+
+
+def test_scattered_words_do_not_hide_a_copy_further_on(spark):
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(40))) for i in range(3)]
+    found = decontaminate.contaminated(spark.createDataFrame(hidden_copies(items), DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (1, 1)}
+    near = next(r for r in found if r.doc_id == 1)
+    assert near.bm25 < 1 and near.item_overlap == 31 / 36
+
+
+def test_passages_fit_items_beside_a_long_one(spark):
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(40))) for i in range(3)] + [(9, " ".join(f"long{k}" for k in range(5000)))]
+    halves = items[2][1].split()
+    apart = " ".join(halves[:18] + [f"g{k}" for k in range(600)] + halves[18:])  # no passage of the item's size holds it
+    docs = [*hidden_copies(items), (3, items[3][1]), (4, apart)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (1, 1), (3, 9)}
+
+
 def test_wand_scores_what_a_full_scan_scores():
     rng = random.Random(2)
     words = [[f"t{rng.randrange(80)}".encode() for _ in range(rng.randrange(3, 30))] for _ in range(50)]
