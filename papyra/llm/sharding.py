@@ -3,9 +3,10 @@
 Points are groups of equal texts (a group too heavy for one shard is cut in
 pieces by a hash of the id), weighed in bytes.  Each level of the tree takes,
 for all its nodes at once, the metadata dimension of the largest extent, gets
-candidate cuts from mergeable quantile sketches, weighs the slices between
-them exactly and cuts at the one nearest to the weighted median (for an odd
-number of leaves: the matching quantile).  Ties along a dimension are told
+candidate cuts from mergeable quantile sketches and weighs the slices between
+them exactly, then again inside the slice that holds the weighted median (for
+an odd number of leaves: the matching quantile) until that slice is light or
+one point, and cuts at the nearest candidate.  Ties along a dimension are told
 apart by a hash of the text, so a dimension of few values can be cut anywhere.
 """
 
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import materialise, shielded
 
 DIMENSIONS = ("length", "origin", "tongue")
-#: Candidate cuts a node; with more nodes fewer, as each then holds less of the data.
-CUTS = 1024
+#: Candidate cuts a node and round; a slice over this share of its node is cut again.
+CUTS, LIGHT = 1024, 1 / 512
 #: A group of equal texts over this part of a shard is cut in pieces; up to so many such groups are broadcast.
 PIECES, BROADCAST_GROUPS = 64, 50_000
 #: Nodes up to which a level's cuts (8 bytes each, CUTS a node at most) are broadcast.
@@ -71,29 +72,43 @@ def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _cut_level(points: DataFrame, extent: dict[str, float], n_nodes: int) -> DataFrame:
-    """(node, dim, cut, left) of every node that still has leaves to part."""
+    """(node, dim, cut, left) of every node that still has leaves to part.
+
+    Sketches count points, not bytes, so a slice can be heavy; each round goes
+    on inside the slice that holds the median, with a share of its points."""
     split = points.where("leaves > 1")
-    share = max(16, CUTS * min(1, BROADCAST_NODES // max(1, n_nodes)))
-    steps = [i / share for i in range(1, share)]
-    wide = split.groupBy("node", "leaves").agg(F.sum("w").alias("all"), *(F.percentile_approx(d, steps, 4 * share).alias(d) for d in DIMENSIONS), *((F.shiftright(F.max(d), 31) - F.shiftright(F.min(d), 31)).alias(f"{d}_extent") for d in DIMENSIONS))
-    width = [F.struct((F.col(f"{d}_extent") / max(extent[d], 1e-9)).alias("x"), F.lit(-i).alias("i"), F.lit(d).alias("dim"), F.array_distinct(d).alias("cuts")) for i, d in enumerate(DIMENSIONS)]
-    wide = materialise(wide.withColumn("best", F.greatest(*width)).select("node", "leaves", "all", "best.dim", "best.cuts"), "cut")
-    known = F.broadcast(wide) if n_nodes <= BROADCAST_NODES else wide
-    at = F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS))
-    # slice number: how many cuts lie at or below the point, by halving
-    steps_needed = max(1, share).bit_length()
-    rows = split.join(known.drop("leaves", "all"), "node").withColumn("at", at).withColumn("lo", F.lit(0)).withColumn("hi", F.size("cuts"))
-    for _ in range(steps_needed):
-        mid = F.shiftright(F.col("lo") + F.col("hi"), 1)
-        up = (F.col("lo") < F.col("hi")) & (F.get("cuts", mid) <= F.col("at"))
-        rows = rows.select("node", "w", "cuts", "at", F.when(up, mid + 1).otherwise(F.col("lo")).alias("lo"), F.when(up | (F.col("lo") >= F.col("hi")), F.col("hi")).otherwise(mid).alias("hi"))
-    slices = rows.groupBy("node", F.col("lo").alias("slice")).agg(F.sum("w").alias("w"))
-    below = F.sum("w").over(Window.partitionBy("node").orderBy("slice"))
-    slices = slices.withColumn("below", below).join(known, "node")
+    wide = split.groupBy("node", "leaves").agg(F.sum("w").alias("all"), *((F.shiftright(F.max(d), 31) - F.shiftright(F.min(d), 31)).alias(f"{d}_extent") for d in DIMENSIONS))
+    width = [F.struct((F.col(f"{d}_extent") / max(extent[d], 1e-9)).alias("x"), F.lit(-i).alias("i"), F.lit(d).alias("dim")) for i, d in enumerate(DIMENSIONS)]
     left = F.floor(F.col("leaves") / 2).cast("int")
-    miss = F.abs(F.col("below") - F.col("all") * left / F.col("leaves"))
-    best = slices.where(F.col("slice") < F.size("cuts")).groupBy("node", "dim", left.alias("left")).agg(F.min_by(F.get("cuts", F.col("slice")), F.struct(miss, F.col("slice"))).alias("cut"))
-    return materialise(best, "level")
+    wide = wide.select("node", "all", F.greatest(*width)["dim"].alias("dim"), left.alias("left"), (F.col("all") * left / F.col("leaves")).alias("goal"))
+    whole = {"best": F.lit(None).cast("struct<miss:double,cut:bigint>"), "under": F.lit(0).cast("long"), "first": F.lit(-(2**63)), "last": F.lit(2**63 - 1), "more": F.lit(True)}
+    state, found = materialise(wide.withColumns(whole), "node"), None
+    at = F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS))
+    near = lambda df: F.broadcast(df) if n_nodes <= BROADCAST_NODES else df
+    steps = [i / CUTS for i in range(1, CUTS)]
+    while state.limit(1).count():
+        inside = split.join(near(state.select("node", "dim", "first", "last")), "node").withColumn("at", at).where("at between first and last").select("node", "w", "at")
+        # with the largest point as a cut, no slice is the whole of several points
+        cuts = F.array_sort(F.array_distinct(F.concat(F.percentile_approx("at", steps, 4 * CUTS), F.array(F.max("at")))))
+        known = materialise(inside.groupBy("node").agg(cuts.alias("cuts")), "cut")
+        # slice number: how many cuts lie at or below the point, by halving
+        rows = inside.join(near(known), "node").withColumn("lo", F.lit(0)).withColumn("hi", F.size("cuts"))
+        for _ in range(CUTS.bit_length()):
+            mid = F.shiftright(F.col("lo") + F.col("hi"), 1)
+            up = (F.col("lo") < F.col("hi")) & (F.get("cuts", mid) <= F.col("at"))
+            rows = rows.select("node", "w", "cuts", "at", F.when(up, mid + 1).otherwise(F.col("lo")).alias("lo"), F.when(up | (F.col("lo") >= F.col("hi")), F.col("hi")).otherwise(mid).alias("hi"))
+        slices = rows.groupBy("node", F.col("lo").alias("slice")).agg(F.sum("w").alias("w"), F.min("at").alias("x0"), F.max("at").alias("x1"))
+        below = F.sum("w").over(Window.partitionBy("node").orderBy("slice"))
+        slices = slices.withColumn("below", below).join(known, "node").join(state.drop("first", "last", "more"), "node").withColumn("below", F.col("below") + F.col("under"))
+        cut = F.when(F.col("slice") < F.size("cuts"), F.struct(F.abs(F.col("below") - F.col("goal")).alias("miss"), F.get("cuts", F.col("slice")).alias("cut")))
+        holds = F.when(F.col("below") >= F.col("goal"), F.struct("slice", "w", "below", "x0", "x1"))
+        out = slices.groupBy("node", "all", "dim", "left", "goal").agg(F.min("best").alias("old"), F.min(cut).alias("new"), F.min(holds).alias("s"))
+        more = (F.col("s.w") > F.col("all") * LIGHT) & (F.col("s.x0") < F.col("s.x1"))
+        out = materialise(out.select("node", "all", "dim", "left", "goal", F.least("old", "new").alias("best"), (F.col("s.below") - F.col("s.w")).alias("under"), F.col("s.x0").alias("first"), F.col("s.x1").alias("last"), more.alias("more")), "level")
+        ended = out.where("not more and best is not null").select("node", "dim", "left", F.col("best.cut").alias("cut"))
+        found = ended if found is None else found.union(ended)
+        state = out.where("more")
+    return state.select("node", "dim", "left", F.col("best.cut").alias("cut")) if found is None else found
 
 
 def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -130,8 +145,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     byte and form one group; nulls in the metadata sort first.  Equal texts stay
     together unless their group outweighs a 64th of a shard, and then its pieces
     part by the hash of doc_id.  Texts are never cut, so a shard misses its size
-    by half a document at most and by the sketch's error, under a thousandth of
-    its node.  An empty table gives an empty result."""
+    by half a document at most or by a thousandth of its node at each level.  An empty table gives an empty result."""
     docs, own = shielded(docs.drop("shard"), "doc_id", "text", "source", "lang")
     rows, hot, leaves = assign(docs, shards, target_bytes)
     return _with_pieces(rows, hot).join(leaves, [*_GROUP, "_piece"]).select(*own, "shard")

@@ -40,6 +40,15 @@ def test_shards_are_even_in_bytes_and_hold_all_rows(spark):
     assert all(len(s) == 1 for t, s in by_text.items() if t not in (None, "", "copy of one text " * 9))
 
 
+@pytest.mark.parametrize("n_nodes", [1, 300])
+def test_the_median_is_found_inside_a_heavy_slice(spark, n_nodes):
+    n, heavy, each = 200_000, 150, 2000  # fewer heavy points than a slice has
+    points = spark.range(n).select(F.lit(0).alias("node"), F.lit(2).alias("leaves"), F.when(F.col("id") < n - heavy, 1).otherwise(each).cast("long").alias("w"), *(F.shiftleft("id", 31).alias(d) for d in sharding.DIMENSIONS))
+    (cut,) = sharding._cut_level(points, {d: float(n) for d in sharding.DIMENSIONS}, n_nodes).collect()
+    total, low = points.agg(F.sum("w"), F.sum(F.when(F.col("length") < cut.cut, F.col("w")))).first()
+    assert cut.left == 1 and abs(low - total / 2) <= each / 2
+
+
 def test_shards_by_target_bytes_and_of_nothing(spark):
     _, frame = some_docs(spark, 400)
     total = frame.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0]
