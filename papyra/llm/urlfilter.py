@@ -18,7 +18,6 @@ from .linededup import host_of
 LITERAL_SHARE = 0.1
 #: Two-sided 5 % point of the normal distribution, for the comparison of two shares.
 Z = 1.96
-MAX_DEPTH = 6
 
 
 def path_of(url: Column | str) -> Column:
@@ -67,19 +66,25 @@ def path_templates(urls: DataFrame) -> DataFrame:
     label is known and below 0.7 until two labels say bad."""
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(F.when(F.col("bad") == 1, 1)).alias("bad"), F.count(F.when(F.col("bad") == 0, 1)).alias("good"))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    tail = F.array(F.array_join(F.slice(parts, MAX_DEPTH, 2**20), "/"))
-    segs = F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH - 1), tail)).otherwise(parts)
-    state = materialise(paths.select("host", "path", "n", "bad", "good", segs.alias("segs"), F.lit("").alias("tmpl")), "paths")
-    for depth in range(state.agg(F.coalesce(F.max(F.size("segs")), F.lit(0))).first()[0]):
+    columns = ["host", "path", "n", "bad", "good", "segs", "tmpl"]
+    state = materialise(paths.select("host", "path", "n", "bad", "good", parts.alias("segs"), F.lit("").alias("tmpl")), "paths")
+    ended, depth = state.where(F.size("segs") == 0), 0
+    # One round a depth at which paths still share a node; the rest of a path alone in its node is settled at once.
+    while (live := state.where(F.size("segs") > depth)).limit(1).count():
         seg = F.get("segs", F.lit(depth))
-        at = state.where(F.size("segs") > depth).select("host", "tmpl", seg.alias("seg"), "n", "bad", "good")
-        children = at.groupBy("host", "tmpl", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "good")))
-        nodes = children.groupBy("host", "tmpl").agg(F.sum("n").alias("all"))
-        literal = children.join(nodes, ["host", "tmpl"]).where(F.col("n") >= LITERAL_SHARE * F.col("all")).where(~F.col("seg").rlike("[0-9]"))
+        at = live.select("host", "tmpl", seg.alias("seg"), "n", "bad", "good")
+        children = at.groupBy("host", "tmpl", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "good")), F.count("*").alias("paths"))
+        nodes = children.groupBy("host", "tmpl").agg(F.sum("n").alias("all"), F.sum("paths").alias("paths"))
+        literal = children.drop("paths").join(nodes, ["host", "tmpl"]).where(F.col("n") >= LITERAL_SHARE * F.col("all")).where(~F.col("seg").rlike("[0-9]"))
         named = _merged(literal.select("host", "tmpl", "seg", "bad", "good"))
-        state = state.withColumn("seg", seg).join(named, ["host", "tmpl", "seg"], "left")
-        state = state.withColumn("tmpl", F.when(F.col("seg").isNull(), F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), F.coalesce("name", F.lit("*")))))
-        state = materialise(state.select("host", "path", "n", "bad", "good", "segs", "tmpl"), "paths")
+        lone = nodes.where("paths = 1").select("host", "tmpl", F.lit(True).alias("lone"))
+        rest = F.transform(F.slice("segs", depth + 1, F.size("segs")), lambda x: F.when(x.rlike("[0-9]"), "*").otherwise(x))
+        state = live.withColumn("seg", seg).join(named, ["host", "tmpl", "seg"], "left").join(lone, ["host", "tmpl"], "left")
+        step = F.when(F.col("lone"), F.array_join(rest, "/")).otherwise(F.coalesce("name", F.lit("*")))
+        state = state.withColumn("tmpl", F.concat("tmpl", F.lit("/"), step)).withColumn("over", F.coalesce("lone", F.lit(False)) | (F.size("segs") == depth + 1))
+        state = materialise(state.select(*columns, "over"), "paths")
+        ended, state, depth = ended.union(state.where("over").select(columns)), state.where("not over").select(columns), depth + 1
+    state = ended
     sums = state.groupBy("host", "tmpl").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "bad", "good")))
     purity = (F.col("t_bad") + 1) / (F.col("t_bad") + F.col("t_good") + 2)
     return state.join(sums, ["host", "tmpl"]).select("host", "path", F.col("tmpl").alias("template"), F.col("t_n").alias("n"), F.col("t_bad").alias("bad"), F.col("t_good").alias("good"), purity.alias("purity"))

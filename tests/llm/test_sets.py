@@ -244,6 +244,15 @@ def test_similar_branches_merge_and_unlabelled_ones_stay(spark):
     assert found == {("/ads|promo/*", "block"), ("/news/*", "allow"), ("/blog/*", "allow")}
 
 
+def test_templates_reach_the_true_depth(spark):
+    rows = [(f"http://h.com/a/b/c/d/e/f/{kind}/x/{i}", int(kind == "spam")) for kind in ("spam", "news") for i in range(20)]
+    pages = spark.createDataFrame([(u,) for u, _ in rows] + [("http://alone.com/" + "s/1/" * 300,), ("http://h.com/a/b/c/d/e/f/spam/x/new",)], "url string")
+    judged = {r.url: (r.template, r.verdict) for r in urlfilter.judge_urls(pages, [], spark.createDataFrame(rows, "url string, bad int")).collect()}
+    assert all(judged[u] == (f"/a/b/c/d/e/f/{'spam' if bad else 'news'}/x/*", "block" if bad else "allow") for u, bad in rows)
+    assert judged["http://h.com/a/b/c/d/e/f/spam/x/new"] == ("/a/b/c/d/e/f/spam/x/*", "block")
+    assert judged["http://alone.com/" + "s/1/" * 300] == ("/s/*" * 300, "allow")
+
+
 def digest(html):
     return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 
