@@ -6,10 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space, the set bytes.split() cuts at.
@@ -25,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    Only where the setting is absent (tests, a laptop) a local temporary
-    folder takes its place for the life of this process."""
+    Only where the setting is absent and everything runs in this one process
+    (tests, a laptop) a local temporary folder takes its place; a cluster
+    without the setting is an error, as its machines share no such folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="papyra-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
         shared = f"file://{shared}"
@@ -36,19 +40,50 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/papyra-scratch"
 
 
+#: Scratch tables of this process that release_scratch() has not deleted.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor then
     costs a re-read, never a rerun of what came before."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     # zstd works on heap buffers; many small files cost no direct memory
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table; call it once no result that reads one is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the scratch tables written from number ``since`` on, but for the last
+    ``keep``; nothing that is still to be computed may read them."""
+    gone = _written[since : len(_written) - keep]
+    for each in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(each)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(each)
+
+
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns, materialised, without the scratch tables on its way."""
+    since = len(_written)
+    out = materialise(build(), name)
+    release_scratch(out.sparkSession, since, keep=1)
+    return out
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with the totals of ``sums`` over all rows before each, in a total order.
+
+    Ranges of the order are summed on their own and begin where those before
+    them end, so no task holds more than a range, or one row a range."""
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_range").agg(*(F.sum(x).alias(f"_{n}") for n, x in sums.items()))
+    starts = totals.select("_range", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    out = dealt.join(F.broadcast(starts), "_range")
+    return out.withColumns({n: F.coalesce(F.sum(x).over(within), F.lit(0)) + F.col(f"_{n}") for n, x in sums.items()}).drop("_range", *(f"_{n}" for n in sums))
 
 
 def shielded(rows: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
@@ -97,7 +132,3 @@ def shingle_hashes(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
         out += mix64(ids[i : len(ids) - k + 1 + i] + _ODD[i]) * _ODD[i]
     return np.unique(mix64(out))
 
-
-def size_in_bytes(df: DataFrame) -> int:
-    """What the optimiser knows of a table's size; file sizes for a plain scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

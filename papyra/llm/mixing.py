@@ -4,46 +4,47 @@ Every source's documents lie in blocks by a permuting hash, another one for
 each pass over the source.  A source's target says how many whole passes it
 makes and which blocks, with a cut inside the last one, a further pass takes.
 The exact numbers of blocks are then split between the output shards by a tree
-of multivariate hypergeometric draws, each shard draws that many of the
-source's permuted blocks, disjoint from the others', and orders its rows by a
-hash of its own.
+of multivariate hypergeometric draws.  Each shard draws that many of the
+source's blocks from a random permutation, disjoint from the others', and
+orders its rows by a hash of its own.  What no shard draws is not taken.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, shielded
+from .common import WORD, materialise, running, shielded
 
-BLOCK_BITS = 12
-BLOCKS = 1 << BLOCK_BITS
-#: A prime above the number of a source's blocks, so that u -> u * PRIME mod n permutes them.
-PRIME = 2654435761
-#: Source tables up to this many rows (with shard quotas under 1 KB each) are broadcast, larger ones joined with salt.
+#: All sources' blocks of one pass, in proportion to their words; a source has one at least and at most one a row.
+BLOCKS = 1 << 16
+#: Sources whose blocks are split by one tree; more are dealt to several, each even over all shards.
+TREE_SOURCES = 4096
+#: Source tables up to this many rows are broadcast (with BLOCKS and most as factors, some MB), larger ones joined with salt.
 BROADCAST_SOURCES = 20_000
 SALTS = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``sizes`` (source, source_size) with ``target``: the sources, by code point
+    """``sizes`` (source, source_size, ...) with ``target``: the sources, by code point
     and null last, weigh ``weights``, repeating, and share ``share`` of all sizes;
     no target exceeds ``most`` times its source's size, and the excess is shared
-    by weight until none does.
+    by weight until none does.  Without sources there are no targets.
 
     In closed form: sorted by limit over weight, the sources before some place
-    stop at their limits and those after it get one level times their weight.
-    The windows hold one row a source."""
-    ranked = sizes.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    stop at their limits and those after it get one level times their weight."""
+    ranked = running(sizes, [F.col("source").asc_nulls_last()], {"k": F.lit(1)}, "ranked")
     ranked = ranked.withColumn("w", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("k") % len(weights) + 1).cast("int"))).withColumn("limit", F.col("source_size") * float(most))
-    by_level = Window.orderBy(F.col("limit") / F.col("w"), "k")
-    before, every = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(every) * float(share) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    ranked = ranked.withColumn("level", left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    first = F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.struct(F.col("limit") / F.col("w"), "k", "level"))).over(every)
-    return ranked.withColumn("level", first["level"]).select("source", "source_size", F.coalesce(F.least(F.col("limit"), F.col("level") * F.col("w")), F.col("limit")).alias("target"))
+    ranked = running(ranked.withColumn("ratio", F.col("limit") / F.col("w")), [F.col("ratio"), F.col("k")], {"full": F.col("limit"), "used": F.col("w")}, "level")
+    whole = ranked.agg(F.sum("source_size").alias("words"), F.sum("w").alias("weight"))
+    ranked = ranked.crossJoin(F.broadcast(whole)).withColumn("level", (F.col("words") * float(share) - F.col("full")) / (F.col("weight") - F.col("used")))
+    first = ranked.agg(F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.struct("ratio", "k", "level")))["level"].alias("common"))
+    goal = F.coalesce(F.least(F.col("limit"), F.col("common") * F.col("w")), F.col("limit"))
+    return ranked.crossJoin(F.broadcast(first)).select(*sizes.columns, goal.alias("target"))
 
 
 def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -58,20 +59,30 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.hstack([split_quotas(draw, left, rng), split_quotas(quotas - draw, shards - left, rng)])
 
 
+def deal(source: str | None, quota: np.ndarray, seed: int) -> np.ndarray:
+    """The shard that draws each of a source's blocks: a random permutation of
+    the blocks, from which shard after shard takes its quota."""
+    deck = np.empty(int(quota.sum()), np.int32)
+    order = np.random.default_rng([seed, zlib.crc32(repr(source).encode())]).permutation(len(deck))
+    deck[order] = np.repeat(np.arange(len(quota), dtype=np.int32), quota)
+    return deck
+
+
 def _placed(key: Column, turn: Column, seed: int) -> Column:
     """A document's place (63 bits) in the permuted order of a pass."""
     return F.shiftrightunsigned(F.xxhash64(key, turn, F.lit(seed)), 1)
 
 
-def _block(place: Column) -> Column:
-    return F.shiftright(place, 63 - BLOCK_BITS)
+def _block(place: Column, blocks: Column) -> Column:
+    return F.shiftright(F.shiftright(place, 31) * blocks, 32)
 
 
 def by_source(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """``docs`` with the columns of ``plan``, which has one row a ``source``.
 
     A plan of a checked size is broadcast; a larger one is repeated under salts,
-    so that a source with a third of all rows is spread over many tasks."""
+    so that a source with a third of all rows is spread over many tasks.  Rows of
+    a source that the plan lacks go; a null source meets a null source."""
     plan = plan.withColumnRenamed("source", "_source")
     same = F.col("source").eqNullSafe(F.col("_source"))
     if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
@@ -81,34 +92,46 @@ def by_source(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def plan_mixture(rows: DataFrame, shards: int = 16, seed: int = 1, **kinds) -> DataFrame:
-    """One row a source: its target, whole passes, cut of the pass after them,
-    number of blocks and cumulated quota of every shard.  ``rows`` has source,
-    _size and _key; ``kinds`` go to targets()."""
-    sizes = rows.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    goal = targets(sizes, **kinds).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+    """One row a source: its size and target, whole passes, cut of the pass after
+    them, number of blocks a pass, and ``deck``, the shard that draws each block.
+
+    ``rows`` has source, _size and _key; ``kinds`` go to targets().  A source
+    without words has an empty deck; no rows give no plan."""
+    sizes = materialise(rows.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n")), "source")
+    words, n_sources = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
+    blocks = F.greatest(F.lit(1), F.least(F.ceil(F.col("source_size") * (BLOCKS / max(1, words))), F.col("n"))).cast("long")
+    goal = targets(sizes.withColumn("blocks", blocks), **kinds)
+    goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     goal = materialise(goal.withColumn("part", F.col("target") - F.col("passes") * F.col("source_size")), "goal")
-    partial = goal.where("part > 0").select("source", "passes", "part")
+    partial = goal.where("part > 0").select("source", "passes", "part", "blocks")
     placed = by_source(rows, partial).withColumn("place", _placed(F.col("_key"), F.col("passes"), seed))
-    blocks = placed.groupBy("source", "part", _block(F.col("place")).alias("block")).agg(F.sum("_size").alias("n"))
+    filled = placed.groupBy("source", "part", _block(F.col("place"), F.col("blocks")).alias("block")).agg(F.sum("_size").alias("n"))
     in_order = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = blocks.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).where("before < part and before + n >= part").select("source", "block", "before")
+    last = filled.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).where("before < part and before + n >= part").select("source", "block", "before")
     last = materialise(last.groupBy("source").agg(F.min(F.struct("block", "before")).alias("x")).select("source", "x.*"), "block")
-    # the last block of each source holds a 4096th of it: its documents up to the one that comes nearest
-    inside = by_source(placed, last).where(_block(F.col("place")) == F.col("block"))
+    # Of each source's last block (a bounded part of all rows): its documents up to the one that comes nearest.
+    inside = by_source(placed, last).where(_block(F.col("place"), F.col("blocks")) == F.col("block"))
     walk = Window.partitionBy("source").orderBy("place", "_size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("at", F.coalesce(F.sum("_size").over(walk), F.lit(0)) + F.col("before") + F.col("_size") / 2)
-    cut = inside.groupBy("source").agg(F.max(F.when(F.col("at") <= F.col("part"), F.col("place"))).alias("cut"), F.min("block").alias("b"))
-    cut = cut.select("source", F.coalesce("cut", F.shiftleft("b", 63 - BLOCK_BITS) - 1).alias("cut"), (F.col("b") + 1).alias("b"))
-    plan = goal.join(cut.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    plan = plan.select("source", "source_size", "target", "passes", F.coalesce("cut", F.lit(-1)).alias("cut"), (F.col("passes") * BLOCKS + F.coalesce("b", F.lit(0))).alias("units"))
-
-    def quotas(part: pd.DataFrame) -> pd.DataFrame:
+    cut = inside.groupBy(F.col("source").alias("_source")).agg(F.max(F.when(F.col("at") <= F.col("part"), F.col("place"))).alias("cut"), F.min("block").alias("b"))
+    plan = goal.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left")
+    # where the nearest cut is before the block's first document, no document of the block is taken
+    cut, units = F.coalesce("cut", F.lit(-1)), F.col("passes") * F.col("blocks") + F.coalesce(F.col("b") + F.col("cut").isNotNull().cast("int"), F.lit(0))
+    before = F.expr("shiftleft((shiftleft(b, 32) + blocks - 1) div blocks, 31) - 1")
+    plan = plan.select("source", "source_size", "target", "passes", F.when(F.col("cut").isNull() & F.col("b").isNotNull(), before).otherwise(cut).alias("cut"), "blocks", units.alias("units"))
+    trees = max(1, -(-n_sources // TREE_SOURCES))
+
+    def dealt(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("source", na_position="last", ignore_index=True)
-        split = split_quotas(part.units.to_numpy(np.int64), shards, np.random.default_rng(seed))
-        return part.drop(columns="all").assign(quota=list(np.cumsum(split, axis=1)))
+        tree = int(part.tree[0])
+        quotas = split_quotas(part.units.to_numpy(np.int64), shards, np.random.default_rng([seed, tree]))
+        quotas = np.roll(quotas, tree, axis=1)  # the odd blocks of many trees go round the shards
+        return part.drop(columns=["tree", "units"]).assign(deck=[deal(s, q, seed) for s, q in zip(part.source, quotas)])
 
-    # One group of one row a source: the tree draws over sources and blocks, never over documents.
-    return materialise(plan.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(quotas, f"{', '.join(f'{n} {t}' for n, t in plan.dtypes)}, quota array<long>"), "mixture")
+    # A group has one row a source, TREE_SOURCES or so of them: trees draw over sources and blocks, never over documents.
+    plan = plan.withColumn("tree", F.pmod(F.xxhash64("source"), F.lit(trees)).cast("int"))
+    kept = ", ".join(f"{n} {t}" for n, t in plan.dtypes if n not in ("tree", "units"))
+    return materialise(plan.groupBy("tree").applyInPandas(dealt, f"{kept}, deck array<int>"), "mixture")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -116,16 +139,26 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_key": F.xxhash64("doc_id", "text")})
 
 
-def copies(rows: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
-    """``rows`` with their source's plan and ``copies``, how often the mix takes each."""
+def drawn(rows: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
+    """``rows`` with their source's plan and ``draws``: (turn, mix_shard, mix_order) of
+    every time that a shard draws the block the row lies in; none for most rows
+    of a source that is taken in part.
+
+    A row with a null source follows the plan of the null source; equal rows are
+    drawn together; rows whose source the plan lacks go."""
     out = by_source(rows, plan)
-    return out.withColumn("copies", F.col("passes") + (_placed(F.col("_key"), F.col("passes"), seed) <= F.col("cut")).cast("int"))
+    turns = F.transform(F.sequence(F.lit(0), F.col("passes")), lambda t: F.struct(t.alias("turn"), _placed(F.col("_key"), t, seed).alias("place")))
+    lies = F.filter(turns, lambda x: (x["turn"] < F.col("passes")) | (x["place"] <= F.col("cut")))
+    shards = F.transform(lies, lambda x: F.struct(x["turn"].alias("turn"), F.get("deck", (x["turn"] * F.col("blocks") + _block(x["place"], F.col("blocks"))).cast("int")).alias("mix_shard")))
+    got = F.filter(shards, lambda x: x["mix_shard"].isNotNull())
+    draws = F.transform(got, lambda x: F.struct(x["turn"].alias("turn"), x["mix_shard"].alias("mix_shard"), F.xxhash64("_key", x["turn"], x["mix_shard"]).alias("mix_order")))
+    return out.withColumn("draws", draws)
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 1, **kinds) -> DataFrame:
     """The mixture: the rows of ``docs`` (doc_id, text, source, ...), each as often
     as it is taken, with ``mix_shard`` and ``mix_order``, its place in the shard's
-    local shuffle.
+    local shuffle; rows lie by shard and in that order.
 
     Whole documents are taken, so a source comes within half a document of its
     target.  Null texts have size 0; a null source is a source of its own, after
@@ -134,21 +167,21 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 1, **kinds) -> DataFrame:
     give the same mixture in any order and partitioning."""
     docs, own = shielded(docs.drop("mix_shard", "mix_order"), "doc_id", "text", "source")
     columns = docs.columns
-    # Only ids and sizes are written; the mixture itself reads the texts once more.
+    # Only sizes and keys are written; the mixture itself reads the texts once more.
     rows = materialise(sized(docs).select("source", "_size", "_key"), "size")
-    plan = plan_mixture(rows, shards, seed, **kinds)
-    taken = copies(sized(docs).select(*columns, "_size", "_key"), plan.select("source", "passes", "cut", "units", "quota"), seed)
-    turn = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("turn")
-    taken = taken.where("copies > 0").select(*columns, "_key", "units", "quota", turn)
-    unit = F.col("turn") * BLOCKS + _block(_placed(F.col("_key"), F.col("turn"), seed))
-    at = F.pmod(unit * PRIME + F.xxhash64("source") % 1000, F.col("units"))
-    shard = F.size(F.filter("quota", lambda q: q <= F.col("at")))
-    out = taken.withColumn("at", at).withColumn("mix_shard", shard)
-    return out.select(*own, "mix_shard", F.xxhash64("_key", "turn", "mix_shard").alias("mix_order"))
-
-
-def taken_words(docs: DataFrame, **kinds) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
+    plan = plan_mixture(rows, shards, seed, **kinds).select("source", "passes", "cut", "blocks", "deck")
+    taken = drawn(docs.withColumn("_key", F.xxhash64("doc_id", "text")), plan, seed).select(*columns, F.explode("draws").alias("d"))
+    out = taken.select(*own, "d.mix_shard", "d.mix_order")
+    return out.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+
+
+def taken_words(docs: DataFrame, shards: int = 16, seed: int = 1, **kinds) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, mix_shards, mix_orders) for every row of
+    ``docs``: ``taken`` are its words in the blocks that shards drew, and the two
+    lists say which shards, and where in their order, one entry a copy.
+
+    Nulls, ties and empty tables are as in mix(), whose draws these are."""
     rows = materialise(sized(docs).select("doc_id", "source", "_size", "_key"), "size")
-    out = copies(rows, plan_mixture(rows, **kinds))
-    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
+    out = drawn(rows, plan_mixture(rows, shards, seed, **kinds), seed)
+    lists = F.col("draws.mix_shard").alias("mix_shards"), F.col("draws.mix_order").alias("mix_orders")
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.size("draws") * F.col("_size")).cast("long").alias("taken"), *lists)

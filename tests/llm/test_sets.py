@@ -115,6 +115,51 @@ def test_mixture_meets_targets_and_reruns_agree(spark):
     assert mixing.mix(frame.where("false")).count() == 0
 
 
+def test_shards_hold_the_blocks_of_their_quotas(spark):
+    _, frame = some_docs(spark, 1500)
+    rows = mixing.sized(frame).select("doc_id", "source", "_size", "_key")
+    plan = mixing.plan_mixture(rows, shards=5).cache()
+    units = {r.source: (r.passes, r.blocks, r.deck) for r in plan.collect()}
+    drawn_blocks = Counter(s for _, _, deck in units.values() for s in deck)
+    assert set(drawn_blocks) == set(range(5)) and max(drawn_blocks.values()) - min(drawn_blocks.values()) <= 1
+    assert all(passes * blocks <= len(deck) <= (passes + 1) * blocks for passes, blocks, deck in units.values())
+    # every row's places, counted again from its key: a shard holds a row if, and only if, it drew the row's block
+    turns = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda t: mixing._placed(F.col("_key"), t, 1))
+    places = {r.doc_id: (r.source, r.turns) for r in rows.select("doc_id", "source", turns.alias("turns")).collect()}
+    cuts = {r.source: r.cut for r in plan.collect()}
+    want = Counter()
+    for i, (source, at) in places.items():
+        passes, blocks, deck = units[source]
+        for turn in range(passes + 1):
+            unit = turn * blocks + ((at[turn] >> 31) * blocks >> 32)
+            if unit < len(deck) and (turn < passes or at[turn] <= cuts[source]):
+                want[i, deck[unit]] += 1
+    got = mixing.mix(frame, shards=5).select("doc_id", "mix_shard", "mix_order").collect()
+    assert Counter((r.doc_id, r.mix_shard) for r in got) == want
+    listed = mixing.taken_words(frame, shards=5).collect()
+    assert Counter((r.doc_id, s) for r in listed for s in r.mix_shards) == want and all(r.taken == r.size * len(r.mix_shards) for r in listed)
+    assert sorted((r.doc_id, o) for r in listed for o in r.mix_orders) == sorted((r.doc_id, r.mix_order) for r in got)
+
+
+def test_mixed_rows_lie_by_shard_in_shuffled_order(spark):
+    _, frame = some_docs(spark, 600)
+    parts = mixing.mix(frame, shards=3).select("mix_shard", "mix_order", F.spark_partition_id().alias("p")).collect()
+    assert [(r.mix_shard, r.mix_order) for r in parts] == sorted((r.mix_shard, r.mix_order) for r in parts)
+
+
+def test_many_sources_are_split_by_several_trees(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TREE_SOURCES", 8)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    rows = [(i, "w " * (1 + i % 7), "en", None if i % 50 == 0 else f"s{i % 50:02d}") for i in range(1000)]
+    frame = spark.createDataFrame(rows, DOCS)
+    sizes, taken, goal = Counter(), Counter(), {}
+    for r, d in zip(sorted(mixing.taken_words(frame, shards=4).collect()), rows):
+        sizes[d[3]] += r.size
+        taken[d[3]] += r.taken
+        goal[d[3]] = r.target
+    assert goal == pytest.approx(target_loop(sizes)) and all(abs(taken[s] - goal[s]) <= 7 for s in goal)
+
+
 def test_quotas_split_exactly():
     import numpy as np
 
