@@ -86,6 +86,25 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name:
     return out.withColumns({n: F.coalesce(F.sum(x).over(within), F.lit(0)) + F.col(f"_{n}") for n, x in sums.items()}).drop("_range", *(f"_{n}" for n in sums))
 
 
+#: Ways in which a table too large to broadcast is repeated, so that a hot key meets as many tasks.
+SALTS = 32
+
+
+def at_most(table: DataFrame, rows: int) -> bool:
+    return table.limit(rows + 1).count() <= rows
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], salt: Column, few: bool) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row a key; nulls where it has none).
+
+    A table of ``few`` rows, as the caller has checked, is broadcast; any other is
+    repeated under salts, so that a key with a third of all rows is spread."""
+    if few:
+        return rows.join(F.broadcast(table), on, "left")
+    table = table.withColumn("_salted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salted", F.pmod(salt, F.lit(SALTS)).cast("int")).join(table, [*on, "_salted"], "left").drop("_salted")
+
+
 def shielded(rows: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
     """``rows`` with all columns but the ``needed`` ones under names that no operator
     uses, and the columns that give them their names back."""

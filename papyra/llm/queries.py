@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, licenses, linededup, minhash, mixing, quality, sharding, urlfilter, warc
-from .common import table
+from .common import materialise, table
 
 KEEP_SCORE = 0.3
 #: (verdict, host and start of the path)
@@ -17,11 +17,10 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows, hot, leaves = sharding.assign(docs, shards=16)
-    narrow = rows.drop("text")
-    placed = sharding._with_pieces(narrow, hot).join(leaves, [*sharding._GROUP, "_piece"])
-    placed = placed.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "_h")
-    out = sharding.with_slots(placed, [F.col("_h"), F.col("doc_id")])
+    facts, placed = sharding.assign(docs, shards=16)
+    # Written, so that the numbers of the slots and their starts come from the same rows.
+    rows = placed(facts).select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "_h", "_salt", "_row")
+    out = sharding.with_slots(materialise(rows, "placed"), [F.col("_salt"), F.col("_h"), F.col("_row")])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

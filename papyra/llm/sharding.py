@@ -1,139 +1,194 @@
 """Sharding by a k-d tree over document metadata, in DataFrame operations only.
 
-Points are groups of equal texts (a group too heavy for one shard is cut in
-pieces by a hash of the id), weighed in bytes.  Each level of the tree takes,
-for all its nodes at once, the metadata dimension of the largest extent, gets
-candidate cuts from mergeable quantile sketches and weighs the slices between
-them exactly, then again inside the slice that holds the weighted median (for
-an odd number of leaves: the matching quantile) until that slice is light or
-one point, and cuts at the nearest candidate.  Ties along a dimension are told
-apart by a hash of the text, so a dimension of few values can be cut anywhere.
+Points are groups of equal texts, weighed in bytes; a group that no shard can
+hold is cut in pieces by a hash of the id.  Each level of the tree takes, for
+all its nodes at once, the metadata dimension of the largest extent and finds
+its weighted median (for an odd number of leaves: the matching quantile) from
+exact weights of equal bins, then of bins inside the one that holds it, until
+that bin is light or one point.  Ties along a dimension are told apart by a
+hash of the text, so a dimension of few values can be cut anywhere.  Where the
+point at the median is heavy and leaves the halves uneven, it goes whole to one
+side, and lighter points get a cut of their own that evens them out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shielded
+from .common import at_most, looked_up, materialise, running, shielded
 
 DIMENSIONS = ("length", "origin", "tongue")
-#: Candidate cuts a node and round; a slice over this share of its node is cut again.
-CUTS, LIGHT = 1024, 1 / 512
-#: A group of equal texts over this part of a shard is cut in pieces; up to so many such groups are broadcast.
-PIECES, BROADCAST_GROUPS = 64, 50_000
-#: Nodes up to which a level's cuts (8 bytes each, CUTS a node at most) are broadcast.
-BROADCAST_NODES = 256
-
+#: Bins a node and round, and the part of a leaf's bytes under which a bin, or what a cut misses, is light.
+BINS, LIGHT = 1024, 1 / 512
+#: Cuts a node can have, each for lighter points than the one before.
+TIERS = 5
+#: Pieces that a leaf's bytes of a group too heavy for a leaf make.
+PIECES = 64
+#: Rows up to which nodes, values of a dimension and groups cut in pieces are broadcast (40 bytes or so each).
+BROADCAST_ROWS = 50_000
 
-def _prefix_code(col: str) -> Column:
-    """The first five bytes of a string as a number in the same order, from 1; null: 0."""
-    head = F.substring(F.rpad(F.hex(F.encode(F.col(col), "UTF-8")), 10, "0"), 1, 10)
-    return F.coalesce(F.conv(head, 16, 10).cast("double") / 2**40 * 2**29 + 1, F.lit(0)).cast("long")
+_GROUP = ["_h", "_crc", "_size"]
 
 
 def _described(docs: DataFrame) -> DataFrame:
     """``docs`` with the _-columns that place a row; absent metadata columns count as null."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    has = set(docs.columns)
+    text, has = F.coalesce(F.col("text"), F.lit("")), set(docs.columns)
+    row = F.xxhash64(F.monotonically_increasing_id(), F.lit(11))
     return docs.withColumns({
         "_h": F.xxhash64(text),
         "_crc": F.crc32(text.cast("binary")),
         "_size": F.octet_length(text).cast("long") + 1,
-        "_salt": F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 1) if "doc_id" in has else F.lit(0).cast("long"),
-        "_origin": _prefix_code("source") if "source" in has else F.lit(0).cast("long"),
-        "_tongue": _prefix_code("lang") if "lang" in has else F.lit(0).cast("long"),
+        "_row": row,
+        # without an id only the place in the table tells rows apart
+        "_salt": F.when(F.col("doc_id").isNull(), row).otherwise(F.xxhash64("doc_id", F.lit(11))) if "doc_id" in has else row,
+        "_source": F.col("source").cast("string") if "source" in has else F.lit(None).cast("string"),
+        "_lang": F.col("lang").cast("string") if "lang" in has else F.lit(None).cast("string"),
     })
 
 
-_GROUP = ["_h", "_crc", "_size"]
+def _with_pieces(rows: DataFrame, hot: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with the piece of its group that each belongs to."""
+    out = looked_up(rows, hot, _GROUP, F.col("_salt"), few)
+    salt = F.when(F.col("one_id"), F.col("_row")).otherwise(F.col("_salt"))
+    return out.withColumn("_piece", F.coalesce(F.pmod(salt, F.col("pieces")), F.lit(0)).cast("int")).drop("pieces", "one_id")
+
+
+def _ranked(points: DataFrame) -> DataFrame:
+    """``points`` with the ranks of their source and lang among all that occur; null: 0."""
+    kinds = {"_source": "origin", "_lang": "tongue"}
+    pairs = F.array(*(F.struct(F.lit(d).alias("kind"), F.col(c).alias("value")) for c, d in kinds.items()))
+    values = points.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null").distinct()
+    ranks = materialise(running(values, [F.col("kind"), F.col("value")], {"rank": F.lit(1)}, "values"), "ranks")
+    few = at_most(ranks, BROADCAST_ROWS)
+    for c, d in kinds.items():
+        of = ranks.where(F.col("kind") == d).select(F.col("value").alias(c), (F.col("rank") + 1).cast("long").alias(d))
+        points = looked_up(points, of, [c], F.col("_h"), few).withColumn(d, F.coalesce(d, F.lit(0).cast("long"))).drop(c)
+    return points
+
+
+def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Groups of equal texts with weight and coordinates, the pieces of those that no
+    shard can hold, and whether these are few."""
+    weights = rows.groupBy(*_GROUP).agg((F.count("*") * F.col("_size")).alias("w"), (F.min("_salt") == F.max("_salt")).alias("one_id"))
+    share = max(1, rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0] // shards)
+    heavy = (F.col("w") > share) & (F.col("w") > F.col("_size"))
+    hot = materialise(weights.where(heavy).select(*_GROUP, "one_id", F.ceil(F.col("w") * PIECES / share).cast("int").alias("pieces")), "hot")
+    few = at_most(hot, BROADCAST_ROWS)
+    points = _with_pieces(rows, hot, few).groupBy(*_GROUP, "_piece").agg(F.sum("_size").alias("w"), F.min("_source").alias("_source"), F.min("_lang").alias("_lang"))
+    points = _ranked(materialise(points, "group"))
+    points = points.withColumn("length", (F.log2(F.col("_size").cast("double")) * 2**24).cast("long"))
+    # One sortable number a dimension: 31 bits of the coordinate, then 31 of the text's hash.
+    tie = F.shiftrightunsigned(F.xxhash64("_h", "_piece"), 33)
+    return points.select(*_GROUP, "_piece", "w", *((F.shiftleft(F.col(d), 31) + tie).alias(d) for d in DIMENSIONS)), hot, few
+
+
+def _near(nodes: DataFrame, n_nodes: int) -> DataFrame:
+    return F.broadcast(nodes) if n_nodes <= BROADCAST_ROWS else nodes
+
+
+def _medians(points: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
+    """(node, cut, miss): where to cut ``points`` (node, w, at) so that ``goal`` of their
+    weight lies below, and by how much the nearest cut misses it.
+
+    ``nodes`` has node, goal, first and last (the range of ``at``) and light, the
+    weight of a bin that is not looked into."""
+    state, found = nodes.select("node", "goal", "light", "first", "last", F.lit(0).cast("long").alias("under")), None
+    own = ["node", "goal", "light", "under"]
+    width = (F.col("last") - F.col("first")).cast("double") / BINS + 1
+    upto = F.col("under") + F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
+    # of the bin that holds the goal (the last one, if none reaches it)
+    low = F.col("upto") < F.col("goal")
+    holds = F.min(F.struct(low, F.when(low, -F.col("bin")).otherwise(F.col("bin")), "w", "upto", "x0", "x1"))
+    more = (F.col("w") > F.col("light")) & (F.col("x0") < F.col("x1"))
+    over, short = F.abs(F.col("upto") - F.col("goal")), F.abs(F.col("goal") - F.col("upto") + F.col("w"))
+    cut = F.when(over <= short, F.struct((F.col("x1") + 1).alias("cut"), over.alias("miss"))).otherwise(F.struct(F.col("x0").alias("cut"), short.alias("miss")))
+    while True:
+        inside = points.join(_near(state, n_nodes), "node").where("at between first and last")
+        bins = inside.groupBy(*own, F.floor((F.col("at") - F.col("first")) / width).alias("bin")).agg(F.sum("w").alias("w"), F.min("at").alias("x0"), F.max("at").alias("x1"))
+        out = bins.withColumn("upto", upto).groupBy("node", "goal", "light").agg(holds.alias("s")).select("node", "goal", "light", "s.*")
+        out = materialise(out.withColumn("more", more), "level")
+        ended = out.where("not more").select("node", cut.alias("c")).select("node", "c.*")
+        found = ended if found is None else found.union(ended)
+        state = out.where("more")
+        if state.isEmpty():
+            return found
+        state = state.select("node", "goal", "light", F.col("x0").alias("first"), F.col("x1").alias("last"), (F.col("upto") - F.col("w")).alias("under"))
 
 
-def _with_pieces(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    small = hot.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    out = rows.join(F.broadcast(hot) if small else hot, _GROUP, "left")
-    return out.withColumn("_piece", F.coalesce(F.pmod("_salt", F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
+def _at() -> Column:
+    return F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS))
 
 
-def _points(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """Groups of equal texts with weight and coordinates, and the hot ones' numbers of pieces."""
-    weights = rows.groupBy(*_GROUP).agg((F.count("*") * F.col("_size")).alias("w"))
-    total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    # At most PIECES groups a shard can exceed the limit.
-    limit = max(1, total // (PIECES * shards))
-    hot = materialise(weights.where((F.col("w") > limit) & (F.col("w") > F.col("_size"))).select(*_GROUP, F.ceil(F.col("w") / limit).cast("int").alias("pieces")), "hot")
-    placed = _with_pieces(rows, hot)
-    length = (F.log2(F.col("_size").cast("double")) * 2**24).cast("long")
-    points = placed.groupBy(*_GROUP, "_piece").agg(F.sum("_size").alias("w"), F.min("_origin").alias("origin"), F.min("_tongue").alias("tongue"))
-    # One sortable number a dimension: 31 bits of the coordinate, then 31 of the text's hash.
-    tie = F.shiftrightunsigned(F.xxhash64("_h", "_piece"), 33)
-    points = points.withColumn("length", length)
-    return points.select(*_GROUP, "_piece", "w", *((F.shiftleft(F.col(d), 31) + tie).alias(d) for d in DIMENSIONS)), hot
+def _right(tiers: str = "tiers") -> Column:
+    """Whether a point lies above the cut for its weight."""
+    cut = F.get(F.filter(tiers, lambda t: F.col("w") > t["above"]), F.lit(0))["cut"]
+    return F.coalesce(_at() >= cut, F.lit(False))
 
 
 def _cut_level(points: DataFrame, extent: dict[str, float], n_nodes: int) -> DataFrame:
-    """(node, dim, cut, left) of every node that still has leaves to part.
-
-    Sketches count points, not bytes, so a slice can be heavy; each round goes
-    on inside the slice that holds the median, with a share of its points."""
+    """(node, dim, left, tiers) of every node that still has leaves to part: the
+    dimension, the leaves below the cut, and cuts for points above some weight."""
     split = points.where("leaves > 1")
-    wide = split.groupBy("node", "leaves").agg(F.sum("w").alias("all"), *((F.shiftright(F.max(d), 31) - F.shiftright(F.min(d), 31)).alias(f"{d}_extent") for d in DIMENSIONS))
-    width = [F.struct((F.col(f"{d}_extent") / max(extent[d], 1e-9)).alias("x"), F.lit(-i).alias("i"), F.lit(d).alias("dim")) for i, d in enumerate(DIMENSIONS)]
+    ends = [F.struct(F.lit(d).alias("dim"), F.min(d).alias("first"), F.max(d).alias("last")).alias(d) for d in DIMENSIONS]
+    wide = split.groupBy("node", "leaves").agg(F.sum("w").alias("all"), *ends)
+    extents = {d: (F.shiftright(F.col(d)["last"], 31) - F.shiftright(F.col(d)["first"], 31)) / max(extent[d], 1e-9) for d in DIMENSIONS}
+    best = F.greatest(*(F.struct(x.alias("x"), F.lit(-i).alias("i"), F.col(d).alias("of")) for i, (d, x) in enumerate(extents.items())))["of"]
     left = F.floor(F.col("leaves") / 2).cast("int")
-    wide = wide.select("node", "all", F.greatest(*width)["dim"].alias("dim"), left.alias("left"), (F.col("all") * left / F.col("leaves")).alias("goal"))
-    whole = {"best": F.lit(None).cast("struct<miss:double,cut:bigint>"), "under": F.lit(0).cast("long"), "first": F.lit(-(2**63)), "last": F.lit(2**63 - 1), "more": F.lit(True)}
-    state, found = materialise(wide.withColumns(whole), "node"), None
-    at = F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS))
-    near = lambda df: F.broadcast(df) if n_nodes <= BROADCAST_NODES else df
-    steps = [i / CUTS for i in range(1, CUTS)]
-    while state.limit(1).count():
-        inside = split.join(near(state.select("node", "dim", "first", "last")), "node").withColumn("at", at).where("at between first and last").select("node", "w", "at")
-        # with the largest point as a cut, no slice is the whole of several points
-        cuts = F.array_sort(F.array_distinct(F.concat(F.percentile_approx("at", steps, 4 * CUTS), F.array(F.max("at")))))
-        known = materialise(inside.groupBy("node").agg(cuts.alias("cuts")), "cut")
-        # slice number: how many cuts lie at or below the point, by halving
-        rows = inside.join(near(known), "node").withColumn("lo", F.lit(0)).withColumn("hi", F.size("cuts"))
-        for _ in range(CUTS.bit_length()):
-            mid = F.shiftright(F.col("lo") + F.col("hi"), 1)
-            up = (F.col("lo") < F.col("hi")) & (F.get("cuts", mid) <= F.col("at"))
-            rows = rows.select("node", "w", "cuts", "at", F.when(up, mid + 1).otherwise(F.col("lo")).alias("lo"), F.when(up | (F.col("lo") >= F.col("hi")), F.col("hi")).otherwise(mid).alias("hi"))
-        slices = rows.groupBy("node", F.col("lo").alias("slice")).agg(F.sum("w").alias("w"), F.min("at").alias("x0"), F.max("at").alias("x1"))
-        below = F.sum("w").over(Window.partitionBy("node").orderBy("slice"))
-        slices = slices.withColumn("below", below).join(known, "node").join(state.drop("first", "last", "more"), "node").withColumn("below", F.col("below") + F.col("under"))
-        cut = F.when(F.col("slice") < F.size("cuts"), F.struct(F.abs(F.col("below") - F.col("goal")).alias("miss"), F.get("cuts", F.col("slice")).alias("cut")))
-        holds = F.when(F.col("below") >= F.col("goal"), F.struct("slice", "w", "below", "x0", "x1"))
-        out = slices.groupBy("node", "all", "dim", "left", "goal").agg(F.min("best").alias("old"), F.min(cut).alias("new"), F.min(holds).alias("s"))
-        more = (F.col("s.w") > F.col("all") * LIGHT) & (F.col("s.x0") < F.col("s.x1"))
-        out = materialise(out.select("node", "all", "dim", "left", "goal", F.least("old", "new").alias("best"), (F.col("s.below") - F.col("s.w")).alias("under"), F.col("s.x0").alias("first"), F.col("s.x1").alias("last"), more.alias("more")), "level")
-        ended = out.where("not more and best is not null").select("node", "dim", "left", F.col("best.cut").alias("cut"))
-        found = ended if found is None else found.union(ended)
-        state = out.where("more")
-    return state.select("node", "dim", "left", F.col("best.cut").alias("cut")) if found is None else found
-
-
-def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Described rows, hot groups, and points with their ``shard``."""
+    wide = wide.select("node", left.alias("left"), best.alias("of"), (F.col("all") * left / F.col("leaves")).alias("goal"), (F.col("all") / F.col("leaves") * LIGHT).alias("light"))
+    nodes = materialise(wide.select("node", "left", "goal", "light", "of.*"), "wide")
+    placed = split.join(_near(nodes.select("node", "dim"), n_nodes), "node").select("node", "w", _at().alias("at"))
+    cuts = _medians(placed, nodes, n_nodes)
+    known = nodes.join(cuts, "node").withColumn("tiers", F.array(F.struct(F.lit(0.0).alias("above"), "cut"))).drop("cut")
+    for _ in range(TIERS - 1):
+        if known.where("miss > light").isEmpty():
+            break
+        known = materialise(known, "tiers")
+        poor = known.where("miss > light")
+        # What outweighs the miss stays where it is; the rest is cut anew, for what is then missing on the left.
+        last = F.transform("tiers", lambda t, i: F.when(i == F.size("tiers") - 1, F.struct(F.col("miss").alias("above"), t["cut"].alias("cut"))).otherwise(t))
+        poor = poor.withColumn("held", last)
+        rows = split.join(_near(poor.select("node", "dim", "miss", "held"), n_nodes), "node").withColumn("at", _at())
+        heavy = rows.where("w > miss").groupBy("node").agg(F.sum(F.when(~_right("held"), F.col("w")).otherwise(0)).alias("low"))
+        loose = rows.where("w <= miss").select("node", "w", "at")
+        ranges = loose.groupBy("node").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        again = poor.select("node", "goal", "light").join(heavy, "node", "left").join(ranges, "node").withColumn("goal", F.greatest(F.col("goal") - F.coalesce("low", F.lit(0)), F.lit(0.0)))
+        finer = _medians(loose, again, n_nodes).select("node", F.col("cut").alias("cut2"), F.col("miss").alias("miss2"))
+        known = known.join(poor.select("node", "held"), "node", "left").join(finer, "node", "left")
+        better = F.col("miss2") < F.col("miss")
+        known = known.withColumn("tiers", F.when(better, F.concat("held", F.array(F.struct(F.lit(0.0).alias("above"), F.col("cut2").alias("cut"))))).otherwise(F.col("tiers")))
+        # a node that nothing improves is done
+        known = known.withColumn("miss", F.when(better, F.col("miss2")).when(F.col("held").isNotNull(), 0.0).otherwise(F.col("miss"))).drop("held", "cut2", "miss2")
+    return known.select("node", "dim", "left", "tiers")
+
+
+def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The described rows of ``docs``, without their texts, and a function that
+    gives described rows their ``shard``.
+
+    Needs text; see shard() for null and empty texts, ties and empty tables."""
     rows = _described(docs)
-    facts = rows.select(*_GROUP, "_salt", "_origin", "_tongue")
-    facts = materialise(facts, "fact")
+    kept = [c for c in ("doc_id",) if c in docs.columns]
+    facts = materialise(rows.select(*kept, *_GROUP, "_salt", "_row", "_source", "_lang"), "fact")
     if shards is None:
         total = facts.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
         shards = max(1, -(-total // target_bytes))
-    points, hot = _points(facts, shards)
+    points, hot, few = _points(facts, shards)
     points = materialise(points.withColumns({"node": F.lit(0), "leaves": F.lit(shards)}), "point")
     ends = points.agg(*(F.shiftright(F.max(d), 31) - F.shiftright(F.min(d), 31) for d in DIMENSIONS)).first()
     extent, level = dict(zip(DIMENSIONS, (float(e or 0) for e in ends))), 0
     while 1 << level < shards:
-        cuts = _cut_level(points, extent, min(shards, 1 << level))
-        known = F.broadcast(cuts) if 1 << level <= BROADCAST_NODES * 16 else cuts
-        at = F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS))
-        joined = points.join(known, "node", "left").withColumn("up", F.coalesce(at >= F.col("cut"), F.lit(False)).cast("int"))
+        n_nodes = min(shards, 1 << level)
+        joined = points.join(_near(_cut_level(points, extent, n_nodes), n_nodes), "node", "left").withColumn("up", _right().cast("int"))
         # A node's number is its first leaf, so the last level's nodes are the shards.
         leaves = F.when(F.col("left").isNull(), F.col("leaves")).when(F.col("up") == 1, F.col("leaves") - F.col("left")).otherwise(F.col("left"))
-        points = joined.select(*_GROUP, "_piece", "w", *DIMENSIONS, (F.col("node") + F.col("up") * F.coalesce("left", F.lit(0))).alias("node"), leaves.alias("leaves"))
+        node = F.col("node") + F.col("up") * F.coalesce("left", F.lit(0))
         # Written at every level: the next one's plan then starts from a scan.
-        points, level = materialise(points, "point"), level + 1
-    return rows, hot, points.select(*_GROUP, "_piece", F.col("node").alias("shard"))
+        points, level = materialise(joined.select(*_GROUP, "_piece", "w", *DIMENSIONS, node.alias("node"), leaves.alias("leaves")), "point"), level + 1
+    leaves = points.select(*_GROUP, "_piece", F.col("node").alias("shard"))
+    return facts, lambda described: _with_pieces(described, hot, few).join(leaves, [*_GROUP, "_piece"])
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -141,17 +196,20 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     ``shards`` says or as ``target_bytes`` (of text, plus one a row) asks for.
 
     Needs text; doc_id, source and lang are used where present, further columns
-    pass through, one named shard is replaced.  Null and empty texts weigh one
-    byte and form one group; nulls in the metadata sort first.  Equal texts stay
-    together unless their group outweighs a 64th of a shard, and then its pieces
-    part by the hash of doc_id.  Texts are never cut, so a shard misses its size
-    by half a document at most or by a thousandth of its node at each level.  An empty table gives an empty result."""
+    pass through, one named shard is replaced.  The dimensions are the logarithm
+    of the size and the ranks of source and lang among the values that occur;
+    nulls sort first.  Null and empty texts weigh one byte and form one group.
+    Equal texts stay together unless their group outweighs a shard; the pieces
+    of such a group part by the hash of doc_id, or by their place in the table
+    where doc_id is null or the same in all of them.  Texts are never cut, so a
+    shard misses its size by about half of the lightest documents of its node at
+    each level, or by a 512th.  An empty table gives an empty result."""
     docs, own = shielded(docs.drop("shard"), "doc_id", "text", "source", "lang")
-    rows, hot, leaves = assign(docs, shards, target_bytes)
-    return _with_pieces(rows, hot).join(leaves, [*_GROUP, "_piece"]).select(*own, "shard")
+    _, placed = assign(docs, shards, target_bytes)
+    return placed(_described(docs)).select(*own, "shard")
 
 
-def with_slots(rows: DataFrame, order: list[Column], buckets: int = 256) -> DataFrame:
+def with_slots(rows: DataFrame, order: list[Column], buckets: int = 1024) -> DataFrame:
     """``rows`` with ``slot``, gapless from 0 in each ``shard``.
 
     Rows are numbered in hashed buckets and each bucket starts where the counts
