@@ -4,9 +4,10 @@ Indicators of byte 2-grams (exact), byte 3-grams and words (hashed), and of the
 share of word 2-grams that repeat one word, are scaled
 by the log-count ratio of the two classes, and dual coordinate descent fits a
 linear hinge-loss model on them; a logistic curve over margins of rows that
-the fit did not see gives the score.  The fit is on a bounded number of labelled
-rows, chosen by hash: ``max_count_rows`` for the class counts, ``max_fit_rows``
-of them for the linear model.
+neither the ratios nor the fit saw gives the score.  The fit is on a bounded
+number of labelled rows, half of them of each class, chosen by hash:
+``max_count_rows`` for the class counts, ``max_fit_rows`` of them, with
+``max_fit_bytes`` of text, for the linear model and the curve.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 18
@@ -118,40 +119,61 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([found, batch.column(1), batch.column(2)], ["at", "y", "k"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 4000, max_count_rows: int = 20_000, rounds: int = 12, cost: float = 2.0) -> Model:
+def _held(k: str = "k") -> Callable:
+    """A quarter of the fit's rows, by hash, on which only the curve is fitted."""
+    return F.pmod(F.shiftright(k, 8), F.lit(4)) == 3
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 4000, max_count_rows: int = 20_000, max_fit_bytes: int = 64 << 20, rounds: int = 12, cost: float = 2.0) -> Model:
     """Fit on ``docs`` (doc_id, text) that ``labels`` (doc_id, label 0 or 1) marks.
 
     Rows with a null doc_id, or a label that is neither 0 nor 1, teach nothing;
-    of several labels for one doc_id the smallest holds.  Without any row of
-    one of the classes the model scores every text with the classes' smoothed
-    share.  The ids that are picked are bounded, so they are broadcast and no
-    text is shuffled; what reaches the driver is at most ``max_fit_rows`` rows'
-    feature numbers, besides one pair of counts a feature."""
+    of several labels for one doc_id the smallest holds.  Half of each bound is
+    for either class, so a rare one is there in full strength; the score is set
+    back to the classes' shares of all labels.  Without any text of one of the
+    classes every text scores the classes' smoothed share.  The ids that are
+    picked are bounded, so they are broadcast and no text is shuffled; what
+    reaches the driver is the feature numbers of at most ``max_fit_rows`` rows
+    with ``max_fit_bytes`` of text (and a text more a class), besides one pair of
+    counts a feature."""
     marked = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("y"))
     keyed = marked.select("doc_id", "y", F.xxhash64("doc_id", F.lit(7)).alias("k"))
+    totals = {r.y: r.n for r in keyed.groupBy("y").agg(F.count("*").alias("n")).collect()}
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    counted = keyed.orderBy("k", "doc_id").limit(max_count_rows)
+
+    def first(rows: int) -> DataFrame:
+        """The first rows of each class, by hash."""
+        each = [keyed.where(F.col("y") == y).orderBy("k", "doc_id").limit(rows // 2) for y in (0, 1)]
+        return each[0].union(each[1])
+
+    chosen, size = first(max_fit_rows), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    # Windows over max_fit_rows rows: the bounds also hold where rows repeat a doc_id, or texts are very long.
+    by_class = Window.partitionBy("y").orderBy("k", "size")
+    sized = texts.select("doc_id", size).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "k").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    fitted = sized.withColumns({"before": F.sum("size").over(by_class) - F.col("size"), "row": F.sum("n").over(by_class)})
+    fitted = fitted.where((F.col("before") < max_fit_bytes // 2) & ((F.col("row") <= max_fit_rows // 2) | (F.col("before") == 0))).select("doc_id", "y", "k")
+    counted = first(max_count_rows).join(F.broadcast(fitted.where(_held()).select("doc_id")), "doc_id", "left_anti")
     count = texts.join(F.broadcast(counted), "doc_id").select("text", "y").mapInArrow(_counts, "f int, n0 long, n1 long")
     f, *n = (c.to_numpy() for c in count.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().columns)
     rows = np.array([c[f == -1].sum() for c in n])
-    if not rows.all():
-        share = (rows[1] + 1) / (rows.sum() + 2)
+    sample = texts.join(F.broadcast(fitted), "doc_id").select("text", "y", "k").mapInArrow(_features, "at binary, y int, k long").toArrow().sort_by([("k", "ascending"), ("at", "ascending")])
+    at, y = [np.frombuffer(a.as_py(), np.int32) for a in sample["at"]], np.where(sample["y"].to_numpy() == 1, 1.0, -1.0)
+    held = (sample["k"].to_numpy() >> 8) % 4 == 3
+    if not rows.all() or len(set(y[~held])) < 2:
+        share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
         return Model(np.zeros(FEATURES, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     p = np.ones((2, FEATURES))
     p[:, f[f >= 0]] += [c[f >= 0] for c in n]
     ratio = np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
 
-    # Hash order within each class, so that the rarer one is there in full strength.
-    chosen = [counted.where(F.col("y") == y).orderBy("k", "doc_id").limit(max_fit_rows // 2) for y in (0, 1)]
-    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("text", "y", "k").mapInArrow(_features, "at binary, y int, k long").toArrow().sort_by([("k", "ascending"), ("at", "ascending")])
-    at, y = [np.frombuffer(a.as_py(), np.int32) for a in sample["at"]], np.where(sample["y"].to_numpy() == 1, 1.0, -1.0)
-    held = np.arange(len(at)) % 4 == 3
     weights, b = dual_coordinate_descent([a for a, h in zip(at, held) if not h], ratio, y[~held], np.full((~held).sum(), cost), rounds)
-    # The curve is weighted back to the classes' true shares through its offset.
     margin = np.array([weights[a].sum() / max(1, len(a)) ** 0.5 + b for a in at])
-    slope, offset = platt(margin[held], y[held])
-    drawn = (y > 0).sum() / max(1, (y <= 0).sum())
-    return Model(weights.astype(np.float32), b, slope, offset + float(np.log(rows[1] / rows[0] / drawn)))
+    # with too few unseen rows of a class the curve has to make do with the seen ones
+    on = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
+    slope, offset = platt(margin[on], y[on])
+    # The curve is set back to the classes' shares of all labels through its offset.
+    drawn = (y[on] > 0).sum() / (y[on] <= 0).sum()
+    return Model(weights.astype(np.float32), b, slope, offset + float(np.log(totals[1] / totals[0] / drawn)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

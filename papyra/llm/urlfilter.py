@@ -1,23 +1,30 @@
 """URL filter: stated rules, and a tree of path templates judged by labels.
 
-For every host the tree is built from the root: at each depth a segment that
-takes less than a share of its node's pages is variable and becomes ``*``, and
-literal siblings whose labelled shares do not differ significantly are merged.
-A template whose smoothed share of bad labels is high rejects its pages.
+For every host the tree is built from the root.  At each depth a position with
+many rarely seen segments is variable, and those segments become ``*``; a
+segment that is seen often, or whose labels differ significantly from those of
+the rest, is a branch.  Branches of similar labelled shares are merged.  A
+template whose smoothed share of bad labels is high rejects its pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import at_most, looked_up, materialise
 from .linededup import host_of
 
-#: A segment with a smaller share of its node's pages is variable, so a node has at most 10 literal children.
-LITERAL_SHARE = 0.1
+#: A segment with fewer pages is rare, and a node with that many distinct rare segments is variable there.
+SUPPORT, DISTINCT = 5, 5
 #: Two-sided 5 % point of the normal distribution, for the comparison of two shares.
 Z = 1.96
+#: Classes of labelled shares, of equal width on the arcsine scale, within which branches are compared.
+GRADES = 5
+#: Nodes, or classes of branches, of a depth that are broadcast (some 100 bytes each).
+BROADCAST_NODES = 100_000
 
 
 def path_of(url: Column | str) -> Column:
@@ -38,24 +45,44 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>")) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _merged(children: DataFrame) -> DataFrame:
-    """(host, tmpl, seg, name) of the literal children, similar ones under one name.
-
-    Siblings with labels stand in order of their shares of bad ones, and a chain
-    of neighbours that do not differ is one branch; a sibling without labels
-    shows no likeness and stays alone.  The windows hold at most ten rows, the
-    literal children of a node."""
-    node = Window.partitionBy("host", "tmpl")
-    bad = children.withColumn("m", F.col("bad") + F.col("good")).withColumn("p", (F.col("bad") + 1) / (F.col("m") + 2))
-    line = node.orderBy(F.col("m") == 0, "p", "seg")
-    p0, m0 = F.lag("p").over(line), F.lag("m").over(line)
-    pooled = (F.col("p") * F.col("m") + p0 * m0) / (F.col("m") + m0)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("m") + 1 / m0))
-    differs = (F.col("m") == 0) | (F.col("p") - p0 > Z * error)
-    cut = bad.withColumn("cut", F.coalesce(differs, F.lit(False)).cast("int"))
-    cut = cut.withColumn("branch", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    names = F.array_join(F.array_sort(F.collect_set("seg").over(Window.partitionBy("host", "tmpl", "branch"))), "|")
-    return cut.select("host", "tmpl", "seg", names.alias("name"))
+def _differs(bad: Column, m: Column, all_bad: Column, all_m: Column) -> Column:
+    """Whether the share of ``bad`` among ``m`` labels differs from that among the rest of ``all_m``."""
+    rest, p = all_m - m, all_bad / all_m
+    error = F.sqrt(p * (1 - p) * (1 / m + 1 / rest))
+    return F.coalesce(F.when((m > 0) & (rest > 0), F.abs(bad / m - (all_bad - bad) / rest) > Z * error), F.lit(False))
+
+
+def _with_totals(children: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``children`` with ``sums`` over each of ``keys``, which may hold very many of them."""
+    totals = materialise(children.groupBy(*keys).agg(*(F.sum(x).alias(n) for n, x in sums.items())), "totals")
+    return looked_up(children, totals, keys, F.xxhash64("seg"), at_most(totals, BROADCAST_NODES))
+
+
+def _branches(children: DataFrame) -> DataFrame:
+    """(host, tmpl, seg, name) of the children (n, bad, good) of every node: ``*`` for the
+    rare segments of a variable position, a common name for branches that are
+    alike, else the segment.
+
+    Rare segments are pooled but for those whose labels differ from the pool's.
+    Branches with labels are alike if their smoothed shares are of one class and
+    neither differs from the class's other labels; a branch without labels shows
+    no likeness.  All are sums over children: no node is collected."""
+    rare, m = F.col("n") < SUPPORT, F.col("m")
+    children = children.withColumn("m", F.col("bad") + F.col("good"))
+    pool = {"rare": rare.cast("int"), "rare_bad": F.when(rare, F.col("bad")), "rare_m": F.when(rare, m)}
+    pooled = rare & (F.col("rare") >= DISTINCT) & ~_differs(F.col("bad"), m, F.col("rare_bad"), F.col("rare_m"))
+    grade = F.floor(F.asin(F.sqrt((F.col("bad") + 1) / (m + 2))) * (2 * GRADES / math.pi))
+    placed = _with_totals(children, ["host", "tmpl"], pool).withColumn("grade", F.when(~pooled & (m > 0), grade))
+    placed = materialise(placed.select("host", "tmpl", "seg", "bad", "m", "grade", pooled.alias("pooled")), "branch")
+    graded = _with_totals(placed.where("grade is not null"), ["host", "tmpl", "grade"], {"all_bad": F.col("bad"), "all_m": m})
+    alike = materialise(graded.where(~_differs(F.col("bad"), m, F.col("all_bad"), F.col("all_m"))).select("host", "tmpl", "seg", "grade"), "alike")
+    sets = alike.groupBy("host", "tmpl", "grade").agg(F.min("seg").alias("a"), F.max("seg").alias("z"), F.count("*").alias("of"))
+    # two sets have no segment in common, so their first ones tell them apart
+    name = F.when(F.col("of") == 1, F.col("a")).when(F.col("of") == 2, F.concat_ws("|", "a", "z")).otherwise(F.concat_ws("|", "a", F.concat(F.lit("…"), F.col("of") - 2), "z"))
+    sets = materialise(sets.select("host", "tmpl", "grade", name.alias("name")), "sets")
+    named = looked_up(alike, sets, ["host", "tmpl", "grade"], F.xxhash64("seg"), at_most(sets, BROADCAST_NODES)).select("host", "tmpl", "seg", "name")
+    alone = placed.join(named.select("host", "tmpl", "seg"), ["host", "tmpl", "seg"], "left_anti")
+    return named.union(alone.select("host", "tmpl", "seg", F.when(F.col("pooled"), "*").otherwise(F.col("seg"))))
 
 
 def path_templates(urls: DataFrame) -> DataFrame:
@@ -63,31 +90,30 @@ def path_templates(urls: DataFrame) -> DataFrame:
 
     ``urls`` has host, path and bad (1, 0, or null where no label is known).
     purity is (bad + 1) / (bad + good + 2) over the template, so one half where no
-    label is known and below 0.7 until two labels say bad."""
+    label is known and below 0.7 until two labels say bad.  Empty segments do not
+    count; the rest of a path that is alone in its node is settled at once, by
+    its own pages.  An empty table gives an empty result."""
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(F.when(F.col("bad") == 1, 1)).alias("bad"), F.count(F.when(F.col("bad") == 0, 1)).alias("good"))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     columns = ["host", "path", "n", "bad", "good", "segs", "tmpl"]
     state = materialise(paths.select("host", "path", "n", "bad", "good", parts.alias("segs"), F.lit("").alias("tmpl")), "paths")
     ended, depth = state.where(F.size("segs") == 0), 0
-    # One round a depth at which paths still share a node; the rest of a path alone in its node is settled at once.
-    while (live := state.where(F.size("segs") > depth)).limit(1).count():
+    while not (live := state.where(F.size("segs") > depth)).isEmpty():
         seg = F.get("segs", F.lit(depth))
         at = live.select("host", "tmpl", seg.alias("seg"), "n", "bad", "good")
-        children = at.groupBy("host", "tmpl", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "good")), F.count("*").alias("paths"))
-        nodes = children.groupBy("host", "tmpl").agg(F.sum("n").alias("all"), F.sum("paths").alias("paths"))
-        literal = children.drop("paths").join(nodes, ["host", "tmpl"]).where(F.col("n") >= LITERAL_SHARE * F.col("all")).where(~F.col("seg").rlike("[0-9]"))
-        named = _merged(literal.select("host", "tmpl", "seg", "bad", "good"))
-        lone = nodes.where("paths = 1").select("host", "tmpl", F.lit(True).alias("lone"))
-        rest = F.transform(F.slice("segs", depth + 1, F.size("segs")), lambda x: F.when(x.rlike("[0-9]"), "*").otherwise(x))
-        state = live.withColumn("seg", seg).join(named, ["host", "tmpl", "seg"], "left").join(lone, ["host", "tmpl"], "left")
-        step = F.when(F.col("lone"), F.array_join(rest, "/")).otherwise(F.coalesce("name", F.lit("*")))
+        children = materialise(at.groupBy("host", "tmpl", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "good")), F.count("*").alias("paths")), "children")
+        lone = children.groupBy("host", "tmpl").agg(F.sum("paths").alias("paths")).where("paths = 1").select("host", "tmpl", F.lit(True).alias("lone"))
+        named = _branches(children.drop("paths")).join(lone, ["host", "tmpl"], "left")
+        rest = F.transform(F.slice("segs", depth + 1, F.size("segs")), lambda x: F.when(F.col("n") >= SUPPORT, x).otherwise("*"))
+        state = live.withColumn("seg", seg).join(named, ["host", "tmpl", "seg"])
+        step = F.when(F.col("lone"), F.array_join(rest, "/")).otherwise(F.col("name"))
         state = state.withColumn("tmpl", F.concat("tmpl", F.lit("/"), step)).withColumn("over", F.coalesce("lone", F.lit(False)) | (F.size("segs") == depth + 1))
         state = materialise(state.select(*columns, "over"), "paths")
         ended, state, depth = ended.union(state.where("over").select(columns)), state.where("not over").select(columns), depth + 1
-    state = ended
-    sums = state.groupBy("host", "tmpl").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "bad", "good")))
+    sums = materialise(ended.groupBy("host", "tmpl").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "bad", "good"))), "purity")
     purity = (F.col("t_bad") + 1) / (F.col("t_bad") + F.col("t_good") + 2)
-    return state.join(sums, ["host", "tmpl"]).select("host", "path", F.col("tmpl").alias("template"), F.col("t_n").alias("n"), F.col("t_bad").alias("bad"), F.col("t_good").alias("good"), purity.alias("purity"))
+    judged = looked_up(ended, sums, ["host", "tmpl"], F.xxhash64("path"), at_most(sums, BROADCAST_NODES))
+    return judged.select("host", "path", F.col("tmpl").alias("template"), F.col("t_n").alias("n"), F.col("t_bad").alias("bad"), F.col("t_good").alias("good"), purity.alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, max_purity: float = 0.7) -> DataFrame:

@@ -181,3 +181,32 @@ def test_neighbours_edge_cases(spark, rows):
     frame = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, rank int")
     assert [(r[0], r[1], r[2], round(r[3], 9)) for r in rows(ann.nearest(frame, 10, 100))] == [(0, 1, 1, 0.0), (0, 2, 2, round(5**0.5, 9))]
     assert ann.nearest(frame.where("false")).count() == 0
+
+
+def test_distances_of_large_and_small_numbers():
+    x = np.array([[1e200, 0.0], [3e200, 4e200], [-1.7e308, 1.7e308], [3e-200, 4e-200], [1.0, 2.0]])
+    assert ann.distances(x, np.array([0.0, 0.0])) == pytest.approx([1e200, 5e200, float("inf"), 5e-200, 5**0.5])
+    assert ann.distances(np.array([[1e200, 5.0], [1e200, 1e200]]), np.array([1e200, 2.0])) == pytest.approx([0.0, 1e200], abs=1e185)
+
+
+def test_neighbours_of_large_numbers_do_not_tie(spark):
+    vectors = [(i, [1e200 * (1 + i % 37), 1e180 * i]) for i in range(120)] + [(500, [1.0, 2.0])]
+    got = [r.vec_id for r in ann.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 5, 100).where("query_id = 100").orderBy("rank").collect()]
+    assert got[:2] == [63, 26] and len(got) == 5
+
+
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 8 * 8 * 40)  # forty vectors a block
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((600, 8))
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = ann.nearest(frame, 10, 50).collect()
+    assert len(found) == 12 * 10
+    hits = 0
+    for q in range(0, 600, 50):
+        gap = np.sqrt(((x - x[q]) ** 2).sum(1))
+        gap[q] = np.inf
+        mine = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [r for r, _, _ in mine] == list(range(1, 11)) and [s for _, _, s in mine] == pytest.approx([gap[i] for _, i, _ in mine])
+        hits += len({i for _, i, _ in mine} & set(np.argsort(gap)[:10].tolist()))
+    assert hits >= 0.9 * 120
