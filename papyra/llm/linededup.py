@@ -3,7 +3,9 @@
 A line is boilerplate on a host if the pages of the host that hold it are more
 than a ratio of the host's pages.  Counting moves hashes only: a host's hot
 lines are summed where they are read, and (host, line) keys spread even a host
-with a third of all pages over all tasks.
+with a third of all pages over all tasks.  The lines to drop come back to the
+pages as a broadcast table while they are few; beyond that the pages are
+shuffled once, by host and a salt.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shielded
+from .common import ascii_lower, at_most, looked_up, materialise, shielded
 
 #: Fixed patterns: what comes after "://", and what separates lines in HTML.
 HOST = r"(?s)^.*?://([^/?#]*)"
 INVISIBLE = r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->"
 TAG = r"<[^>]*>"
+#: Lines to drop, of all hosts, that are broadcast (8 bytes each), and hosts that have any.
+BROADCAST_LINES, BROADCAST_HOSTS = 2_000_000, 100_000
 
 
 def host_of(url: Column | str) -> Column:
@@ -48,8 +52,9 @@ def site_line_dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3) ->
     counts = hashes.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     # A host has few lines above the ratio (each page holds them), so its list travels as one array.
     common = counts.join(totals, "host").where(F.col("pages") > ratio * F.col("total"))
-    drop = common.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("_drop"))
-    rows = rows.join(drop, "host", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<bigint>")))
+    drop = materialise(common.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("_drop")), "boilerplate")
+    few = at_most(drop, BROADCAST_HOSTS) and drop.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0] <= BROADCAST_LINES
+    rows = looked_up(rows, drop, ["host"], F.xxhash64("url", "html"), few).withColumn("_drop", F.coalesce("_drop", F.array().cast("array<bigint>")))
     kept = F.filter("_lines", lambda x: ~F.array_contains("_drop", F.xxhash64(x)))
     rows = rows.withColumn("_kept", kept)
     return rows.select(*own, "host", F.array_join("_kept", "\n").alias("clean_text"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
