@@ -1,10 +1,11 @@
 """WARC archives in Zstandard frames with an embedded dictionary.
 
 Each task writes its partition as one archive: a leading skippable frame that
-holds a dictionary built from the archive's first records, then every record
-as a frame of its own, so that any record can be read alone with the
-dictionary.  Of records with equal payloads one is a response and the others
-are revisits that refer to it.
+holds the dictionary, then every record as a frame of its own, so that any
+record can be read alone with the dictionary.  The dictionary is built once,
+from records chosen by hash over the whole table, and every archive embeds it.
+Of records with equal payloads one is a response and the others are revisits
+that refer to it.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_dir
+from .common import at_most, looked_up, materialise, scratch_dir
 
 #: Fixed by the format: magic number of the skippable frame with a dictionary, and of a frame's start.
 DICTIONARY_FRAME = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records and bytes from which an archive's dictionary is built, and its size.
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 20, 1 << 15
+#: Records and bytes from which the dictionary is built, and its size.
+SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 4 << 20, 1 << 15
+#: Payloads that occur more than once, up to which they are broadcast (some 60 bytes each).
+BROADCAST_DIGESTS = 200_000
 EPOCH = "1970-01-01T00:00:00Z"
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -78,37 +81,20 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 class ArchiveWriter:
-    """Writes records to a stream; the first ones wait for the dictionary they build."""
+    """Writes the dictionary, then records, to a stream."""
 
-    def __init__(self, sink) -> None:
-        self.sink, self.waiting, self.held, self.packer = sink, [], 0, None
-        self.records = self.bytes = 0
+    def __init__(self, sink, dictionary: bytes) -> None:
+        self.sink, self.records, self.bytes = sink, 0, 0
+        self.packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
+        self._put(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
 
     def _put(self, data: bytes) -> None:
         self.sink.write(data)
         self.bytes += len(data)
 
-    def _start(self) -> None:
-        raw = build_dictionary(self.waiting)
-        self._put(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
-        self.packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw))
-        for record in self.waiting:
-            self._put(self.packer.compress(record))
-        self.waiting = []
-
     def add(self, record: bytes) -> None:
         self.records += 1
-        if self.packer:
-            self._put(self.packer.compress(record))
-            return
-        self.waiting.append(record)
-        self.held += len(record)
-        if len(self.waiting) >= SAMPLE_RECORDS or self.held >= SAMPLE_BYTES:
-            self._start()
-
-    def close(self) -> None:
-        if not self.packer and self.waiting:
-            self._start()
+        self._put(self.packer.compress(record))
 
 
 def read_archive(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -138,6 +124,27 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str],
         raise ValueError("the archive ends inside a record")
 
 
+def sample_dictionary(rows: DataFrame) -> bytes:
+    """A dictionary from records of ``rows`` (page_id, url, html, digest), of all rows
+    the first by hash that come to SAMPLE_RECORDS and SAMPLE_BYTES at most.
+
+    Digests are chosen before any payload moves.  Records longer than a tenth of
+    SAMPLE_BYTES come last; where not even the first fits, it is the whole sample."""
+    size = F.octet_length("html")
+    sizes = rows.groupBy("digest").agg(F.min(size).alias("size")).withColumn("k", F.xxhash64("digest", F.lit(13)))
+    some = sizes.orderBy(F.col("size") > SAMPLE_BYTES // 10, "k", "digest").limit(SAMPLE_RECORDS)
+    # a window over SAMPLE_RECORDS rows
+    upto = F.sum("size").over(Window.orderBy(F.col("size") > SAMPLE_BYTES // 10, "k", "digest"))
+    some = some.withColumn("upto", upto).where((F.col("upto") <= SAMPLE_BYTES) | (F.col("upto") == F.col("size"))).select("digest")
+    picked = rows.join(F.broadcast(some), "digest").groupBy("digest").agg(F.min(F.struct("page_id", "url", "html")).alias("r"))
+    found = picked.orderBy("digest").select("r.*").toArrow().to_pylist()
+    return build_dictionary([encode_record(r["page_id"], r["url"], r["html"].encode(), sha1_base32(r["html"].encode()), None) for r in found])
+
+
+def sha1_base32(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
 def write_archives(pages: DataFrame, path: str, archives: int | None = None, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) under ``path``; returns the manifest
     (archive, records, bytes), written too, which lists what is valid there.
@@ -147,14 +154,18 @@ def write_archives(pages: DataFrame, path: str, archives: int | None = None, min
     the others revisit it; rows that repeat that page_id with the same payload
     are responses too, as is every row where no page_id is known.  A null url
     becomes about:blank; other columns are left out.  Without rows no archive
-    is written.  A task that is run again writes a file of its own, and only
-    the attempt that ends well is in the manifest."""
+    is written.  Payloads move only if ``archives`` asks for a number of files,
+    or if the repeated ones are too many to broadcast.  A task that is run again
+    writes a file of its own, and only the attempt that ends well is in the
+    manifest."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # Digests of what occurs more than once; partial minima keep a hot payload to a row a task.
     equal = rows.groupBy("digest").agg(F.min("page_id").alias("response"), F.count("*").alias("n"), F.max(F.octet_length("html")).alias("size"))
-    equal = equal.where((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("digest", "response")
-    rows = rows.join(equal, "digest", "left").withColumn("response", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")))
+    equal = materialise(equal.where((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("digest", "response"), "repeated")
+    dictionary = sample_dictionary(rows)
+    rows = looked_up(rows, equal, ["digest"], F.xxhash64("page_id"), at_most(equal, BROADCAST_DIGESTS))
+    rows = rows.withColumn("response", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")))
     rows = rows.select("page_id", "url", "html", "response")
     if archives:
         rows = rows.repartition(archives)
@@ -169,12 +180,10 @@ def write_archives(pages: DataFrame, path: str, archives: int | None = None, min
                     task = TaskContext.get()
                     name = f"part-{task.partitionId():05d}-{uuid.uuid4().hex[:12]}.warc.zst"
                     sink = store.open_output_stream(f"{folder}/{name}")
-                    writer = ArchiveWriter(sink)
+                    writer = ArchiveWriter(sink, dictionary)
                 payload = html.as_py().encode()
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                writer.add(encode_record(page_id.as_py(), url.as_py(), payload, digest, response.as_py()))
+                writer.add(encode_record(page_id.as_py(), url.as_py(), payload, sha1_base32(payload), response.as_py()))
         if writer is not None:
-            writer.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"archive": [f"{path}/{name}"], "records": [writer.records], "bytes": [writer.bytes]})
 
@@ -196,7 +205,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 with store.open_input_stream(file) as stream:
                     for fields, payload in read_archive(stream):
                         kind, digest, size = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
-                        if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+                        if kind == "response" and (len(payload) != size or sha1_base32(payload) != digest):
                             raise ValueError(f"{archive}: a payload differs from its digest")
                         page, to = fields.get("x-row-id"), fields.get("x-refers-to-row-id")
                         rows.append((page and int(page), fields["warc-target-uri"], kind, to and int(to), digest, size))
