@@ -1,19 +1,22 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
 A multinomial logistic regression over indicators of word 2- and 3-grams says
-for each paragraph (line) which licence family it states, or none: the class
-"unknown" is learnt from the corpus's own paragraphs, and the score a family
-needs is set on others of them.  What the classifier finds is then compared
-with the family's templates.  Everything that touches the corpus is built-in
-functions; the weights come back as a table of the templates' n-grams.
+for each paragraph which licence family it states, or none: the class "unknown"
+is learnt from the corpus's own paragraphs.  How far a family is ahead of
+"unknown" becomes a probability by a curve calibrated on all paragraphs of the
+corpus, and what the classifier finds is compared with the family's templates.
+Everything that touches the corpus is built-in functions.  A paragraph is read
+once: of its words only those of the templates count, and only the templates'
+n-grams leave the scan.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,29 +63,36 @@ TEMPLATES: dict[str, list[str]] = {
     ],
 }
 
-_BREAK = "[^a-z0-9.À-\U0010ffff-]+"
+_WORD = "a-z0-9À-\U0010ffff"
+#: Margins of the same quarter are one row of the calibration, from -CLIP to CLIP.
+QUARTER, CLIP = 4, 40
+
+
+def paragraphs(text: Column | str) -> Column:
+    """The paragraphs of a text: lines, where a line that ends within a sentence goes
+    on in the next one, unless that is blank.  Blank ones count as paragraphs too."""
+    return F.split(F.regexp_replace(text, r"(?<=[^.!?:;\s])[ \t\r]*\n(?=[ \t]*[^\s])", " "), "\n")
 
 
 def paragraph_words(paragraph: Column) -> Column:
-    """Lower-cased words without outer punctuation; empty strings do not occur."""
-    parts = F.split(F.lower(paragraph), _BREAK)
-    return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
+    """Lower-cased words without outer dots and hyphens; empty strings do not occur."""
+    plain = F.regexp_replace(F.lower(paragraph), f"(?<![{_WORD}.-])[.-]+|[.-]+(?![{_WORD}.-])", " ")
+    return F.filter(F.split(plain, f"[^{_WORD}.-]+"), lambda w: w != "")
 
 
 def _grams(words: Column, n: int) -> Column:
-    # shorter paragraphs have no n-grams of that length
-    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    return F.transform(F.slice(words, 1, count), lambda w, i: F.array_join(F.slice(words, i + 1, n), " "))
+    """Runs of n words; none where a word is null, or of a shorter paragraph."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(starts, lambda i: F.concat(F.get(words, i), *(part for j in range(1, n) for part in (F.lit(" "), F.get(words, i + j))))), lambda g: g.isNotNull())
 
 
 def ngrams(words: Column) -> Column:
     return F.array_distinct(F.concat(_grams(words, 2), _grams(words, 3)))
 
 
-def shingles(words: Column) -> Column:
-    """Distinct five-word shingles; fewer words are one shingle."""
-    whole = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(words) < SHINGLE_WORDS, whole).otherwise(F.array_distinct(_grams(words, SHINGLE_WORDS)))
+def shingles(words: Column, sizes: tuple[int, ...] = (SHINGLE_WORDS,)) -> Column:
+    """Distinct shingles of each of the sizes."""
+    return F.array_distinct(F.concat(*(_grams(words, n) for n in sizes)))
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -91,101 +101,161 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 
 
 def templates_table(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
+    """(family, template, words) of the templates that have words."""
     rows = [{"family": f, "template": i, "text": t} for f, texts in sorted(templates.items()) for i, t in enumerate(texts)]
-    return literal_table(spark, rows, "family:string,template:int,text:string")
+    return literal_table(spark, rows, "family:string,template:int,text:string").select("family", "template", paragraph_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """Weights of the templates' n-grams, one a class, whatever the corpus; and what
+    the scan keeps: the templates' words, n-grams and shingle sizes."""
+
+    classes: list[str]
+    weights: dict[str, list[float]]
+    intercepts: list[float]
+    words: list[str]
+    sizes: tuple[int, ...]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return literal_table(spark, [{"gram": g, "w": w} for g, w in sorted(self.weights.items())], "gram:string,w:array<double>")
+
+
+def _examples(stated: DataFrame, frames: DataFrame) -> DataFrame:
+    """(family, words): templates, their overlapping halves, and each of them between corpus words."""
+    half, third = F.floor(F.size("words") / 2).cast("int"), F.floor(F.size("words") / 3).cast("int")
+    first, second = F.slice("words", 1, F.greatest(half + third, F.lit(4))), F.slice("words", F.greatest(F.least(half - third, F.size("words") - 4), F.lit(0)) + 1, 10_000)
+    cuts = stated.select("family", F.explode(F.array(F.col("words"), first, second)).alias("words"))
+    framed = cuts.crossJoin(F.broadcast(frames)).select("family", F.concat("frame", "words", "frame").alias("words"))
+    return cuts.union(framed)
+
+
+def background_paragraphs(docs: DataFrame, stated: DataFrame, background: int) -> DataFrame:
+    """(k, words) of one paragraph of each of at most ``background`` documents, by hash
+    order, less those that hold a shingle of a template.  Ids are chosen first, so
+    no other text moves."""
+    with_text = docs.where("doc_id is not null and trim(text) != ''")
+    some = with_text.select("doc_id").distinct().select("doc_id", F.xxhash64("doc_id", F.lit(9)).alias("k")).orderBy("k", "doc_id").limit(background)
+    texts = with_text.join(F.broadcast(some), "doc_id").groupBy("k").agg(F.min("text").alias("text"))
+    lines = F.filter(paragraphs("text"), lambda x: F.trim(x) != "")
+    picked = texts.select("k", lines.alias("lines")).where(F.size("lines") > 0).select("k", paragraph_words(F.get("lines", F.pmod("k", F.size("lines")).cast("int"))).alias("words"))
+    told = stated.agg(F.array_distinct(F.flatten(F.collect_list(shingles(F.col("words"))))).alias("told"))
+    none = materialise(picked, "background").crossJoin(F.broadcast(told))
+    return none.where(~F.arrays_overlap(shingles(F.col("words")), "told")).drop("told")
+
+
+def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, background: int = 3000) -> tuple[Classifier, DataFrame]:
+    """The classifier, and (family, words) of examples that it has not seen.
+
+    Examples of a family are its templates whole, their halves, and each of them
+    between corpus words; those of "unknown" are at most ``background``
+    paragraphs of the corpus.  Half of these and of the framed examples are kept
+    back.  Null and empty texts teach nothing; without any text "unknown" is
+    learnt from an empty paragraph."""
+    spark = docs.sparkSession
+    stated = templates_table(spark, templates)
+    rows = stated.select("words", ngrams(F.col("words")).alias("grams")).collect()
+    vocabulary = sorted({g for r in rows for g in r.grams})
+    classes = [UNKNOWN, *sorted(templates)]
+    none = materialise(background_paragraphs(docs, stated, background), "unknown")
+    seen = F.pmod(F.col("k"), F.lit(2)) == 0
+    frames = none.where(F.size("words") > 0).groupBy(seen.alias("seen")).agg(F.slice(F.sort_array(F.collect_list(F.struct("k", F.slice("words", 1, 12).alias("frame")))), 1, 4).alias("f"))
+    frames = frames.select("seen", F.explode("f.frame").alias("frame"))
+    empty = spark.range(1).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("words"))
+    number = F.coalesce(*(F.when(F.col("family") == c, float(i)) for i, c in enumerate(classes)))
+    rows_seen = _examples(stated, frames.where("seen").select("frame")).union(none.where(seen).select(F.lit(UNKNOWN), "words")).union(empty)
+    examples = materialise(rows_seen.select(number.alias("label"), ngrams(F.col("words")).alias("grams")), "example")
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=1.0)
+    model = LogisticRegression(maxIter=60, regParam=1e-3, elasticNetParam=0.0, family="multinomial", standardization=False).fit(vectors.transform(examples))
+    matrix = model.coefficientMatrix.toArray()
+    weights = {g: [round(float(x), 9) for x in matrix[:, i]] for i, g in enumerate(vocabulary)}
+    sizes = tuple(sorted({min(len(r.words), SHINGLE_WORDS) for r in rows}))
+    unseen = _examples(stated, frames.where("not seen").select("frame")).union(none.where(~seen).select(F.lit(UNKNOWN), "words")).union(empty)
+    return Classifier(classes, weights, [float(x) for x in model.interceptVector], sorted({w for r in rows for w in r.words}), sizes), unseen
 
 
-def _paragraphs(docs: DataFrame) -> DataFrame:
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.where("trim(line) != ''")
+def _known(words: Column, model: Classifier) -> Column:
+    """The words with null for those that no template has."""
+    return F.transform(words, lambda w: F.when(w.isin(model.words), w))
 
 
-def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, background: int = 3000, false_share: float = 1e-3) -> tuple[DataFrame, list[str], dict]:
-    """Weights (gram, w: one weight a class), the classes, and {intercepts, accept}.
+def _vocabulary_grams(known: Column, model: Classifier) -> Column:
+    return F.filter(ngrams(known), lambda g: g.isin(list(model.weights)))
 
-    Positive examples are the templates whole, their halves' overlaps and each
-    of them inside a paragraph of the corpus; the unknown class is learnt from
-    at most ``background`` paragraphs, taken by hash order from as many
-    documents, less those that hold a template.  ``accept`` is the family
-    probability that all but ``false_share`` of other such paragraphs stay
-    under, and 0.5 at least."""
-    spark = docs.sparkSession
-    stated = templates_table(spark, templates).withColumn("words", paragraph_words(F.col("text")))
-    vocabulary = sorted(r.g for r in stated.select(F.explode(ngrams(F.col("words"))).alias("g")).distinct().collect())
-    classes = [UNKNOWN, *sorted(templates)]
 
-    # One paragraph of each of a bounded number of documents, chosen by hash.
-    some = docs.where("text is not null").select(F.xxhash64("doc_id", F.lit(9)).alias("k"), "doc_id", "text").orderBy("k", "doc_id").limit(background)
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    picked = some.select("k", lines.alias("lines")).where(F.size("lines") > 0).select("k", F.get("lines", F.pmod("k", F.size("lines")).cast("int")).alias("line"))
-    picked = materialise(picked.select("k", paragraph_words(F.col("line")).alias("words")), "background")
-    known = F.array_distinct(F.flatten(F.collect_list(shingles(F.col("words")))))
-    told = stated.agg(known.alias("told"))
-    none = picked.crossJoin(F.broadcast(told)).where(~F.arrays_overlap(shingles(F.col("words")), "told")).drop("told")
-
-    half = F.floor(F.size("words") / 2).cast("int")
-    third = F.floor(F.size("words") / 3).cast("int")
-    cuts = stated.select("family", F.explode(F.array(F.col("words"), F.slice("words", 1, F.greatest(half + third, F.lit(4))), F.slice("words", F.least(half - third, F.size("words") - 4) + 1, 10_000))).alias("words"))
-    # each template also between two runs of corpus words
-    frames = none.orderBy("k").limit(4).select(F.slice("words", 1, 12).alias("before"))
-    framed = cuts.crossJoin(F.broadcast(frames)).select("family", F.concat("before", "words", "before").alias("words"))
-    spare = F.pmod("k", F.lit(2)) == 1
-    unknown = none.where(~spare).select(F.lit(UNKNOWN).alias("family"), "words")
-    number = F.coalesce(*(F.when(F.col("family") == c, float(i)) for i, c in enumerate(classes)))
-    rows = cuts.union(framed).union(unknown).select(number.alias("label"), ngrams(F.col("words")).alias("grams"))
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=1.0)
-    vectors = vectors.setBinary(True) if hasattr(vectors, "setBinary") else vectors
-    rows = materialise(rows, "example")
-    model = LogisticRegression(maxIter=60, regParam=1e-3, elasticNetParam=0.0, family="multinomial", standardization=False).fit(vectors.transform(rows))
-    matrix, intercepts = model.coefficientMatrix.toArray(), [float(x) for x in model.interceptVector]
-    table = literal_table(spark, [{"gram": g, "w": [round(float(x), 9) for x in matrix[:, i]]} for i, g in enumerate(vocabulary)], "gram:string,w:array<double>")
-
-    held = none.where(spare).select(F.col("k").alias("doc_id"), F.lit(0).alias("paragraph"), "words")
-    scored = _scored(held, table, classes, intercepts)
-    top = scored.agg(F.percentile_approx("probability", 1 - false_share, 10_000)).first()[0]
-    return table, classes, {"intercepts": intercepts, "accept": max(0.5, top or 0.0)}
-
-
-def _scored(paragraphs: DataFrame, weights: DataFrame, classes: list[str], intercepts: list[float]) -> DataFrame:
-    """(doc_id, paragraph, family, probability) of paragraphs with any known n-gram;
-    the others all have the intercepts' class, which is unknown."""
-    grams = paragraphs.select("doc_id", "paragraph", F.explode(ngrams(F.col("words"))).alias("gram"))
+def _scored(found: DataFrame, keys: list[str], model: Classifier) -> DataFrame:
+    """``keys`` and has, with family, margin and share: the likeliest family of each
+    row (keys, grams, has), how far its logit is above "unknown" and its share among families."""
     # the weights have one row an n-gram of the templates, whatever the corpus
-    found = grams.join(F.broadcast(weights), "gram")
-    sums = found.groupBy("doc_id", "paragraph").agg(*(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(classes))))
-    logits = [F.col(f"s{i}") + F.lit(b) for i, b in enumerate(intercepts)]
-    most = F.greatest(*logits)
-    total = sum((F.exp(x - most) for x in logits[1:]), F.exp(logits[0] - most))
-    best = F.greatest(*(F.struct((F.exp(x - most) / total).alias("p"), F.lit(c).alias("family")) for x, c in zip(logits[1:], classes[1:])))
-    return sums.select("doc_id", "paragraph", best["family"].alias("family"), best["p"].alias("probability"))
+    each = found.select(*keys, "has", F.explode("grams").alias("gram")).join(F.broadcast(model.table(found.sparkSession)), "gram")
+    sums = each.groupBy(*keys).agg(F.first("has").alias("has"), *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(model.classes))))
+    logits = [F.col(f"s{i}") + F.lit(b) for i, b in enumerate(model.intercepts)]
+    most = F.greatest(*logits[1:], F.lit(float("-inf")))
+    total = sum((F.exp(x - most) for x in logits[2:]), F.exp(logits[1] - most))
+    best = F.greatest(*(F.struct(x.alias("x"), F.lit(c).alias("family")) for x, c in zip(logits[1:], model.classes[1:])))
+    return sums.select(*keys, "has", best["family"].alias("family"), (best["x"] - logits[0]).alias("margin"), (1 / total).alias("share"))
+
+
+def _curve(scored: DataFrame, unseen: DataFrame, percent: int) -> tuple[float, float]:
+    """Slope and offset of the probability that a margin means a licence.
+
+    Learnt from all paragraphs of the corpus: those that a template confirms are
+    licences, those that share less than half as much with one are none, and what
+    lies between says nothing.  Examples that the classifier has not seen are
+    added, each as one paragraph.  The fit is on counts by quarters of a margin."""
+    told = F.when(F.col("similarity") * 100 >= percent, 1.0).when(F.col("similarity") * 200 < percent, 0.0)
+    at = (F.round(F.greatest(F.least("margin", F.lit(float(CLIP))), F.lit(-float(CLIP))) * QUARTER) / QUARTER).alias("m")
+    counts = scored.select(at, told.alias("label")).union(unseen.select(at, "label")).where("label is not null").groupBy("m", "label").agg(F.count("*").cast("double").alias("n"))
+    counts = materialise(VectorAssembler(inputCols=["m"], outputCol="features").transform(counts), "margin")
+    if counts.select("label").distinct().count() < 2:
+        return 1.0, 0.0
+    curve = LogisticRegression(maxIter=100, regParam=1e-6, weightCol="n", standardization=False).fit(counts)
+    return float(curve.coefficients[0]), float(curve.intercept)
+
+
+def scan(docs: DataFrame, model: Classifier) -> DataFrame:
+    """(row, doc_id, paragraph, grams, has) of the paragraphs with any of the templates'
+    n-grams: those n-grams, and the shingles that are words of templates throughout."""
+
+    def read(p: Column, i: Column) -> Column:
+        known = F.transform(F.array(_known(paragraph_words(p), model)), lambda w: F.struct(i.alias("paragraph"), _vocabulary_grams(w, model).alias("grams"), w.alias("known")))
+        return F.get(known, F.lit(0))
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.transform(paragraphs("text"), read)).alias("p"))
+    rows = rows.where(F.size("p.grams") > 0)
+    return rows.select("row", "doc_id", "p.paragraph", "p.grams", shingles(F.col("p.known"), model.sizes).alias("has"))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent: int = 75) -> DataFrame:
     """(doc_id, paragraph, family, probability, template_similarity, confirmed) of each
-    paragraph that the classifier gives a licence family.
+    paragraph that states a licence family, as the classifier finds it at a
+    calibrated probability of one half, or below if a template confirms the family.
 
-    A paragraph is a line, numbered from 0 in its document; similarity is the
-    largest share of a template of that family whose five-word shingles are in
-    the paragraph, confirmed if it reaches ``percent`` hundredths.
+    A paragraph is a line, or several where a line ends within a sentence,
+    numbered from 0 in its document, blank ones included.  Similarity is the
+    largest share of a template of that family whose five-word shingles (all
+    words of a shorter template) are in the paragraph, confirmed if it reaches
+    ``percent`` hundredths.
 
     Null and empty texts and blank lines yield nothing.  Rows without a doc_id
-    are left out.  Rows that repeat a doc_id count together for a paragraph
-    number, once if their lines are equal.  Other columns are ignored; an empty
-    table gives an empty result."""
+    are left out.  Rows that repeat a doc_id are scanned each; equal findings are
+    one row, with the highest figures.  Other columns are ignored; an empty table
+    gives an empty result."""
+    spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    weights, classes, facts = train(docs, templates)
-    scored = _scored(_paragraphs(docs).select("doc_id", "paragraph", paragraph_words(F.col("line")).alias("words")), weights, classes, facts["intercepts"])
-    chosen = materialise(scored.where(F.col("probability") >= facts["accept"]), "licence")
-    # Back to the texts of what was predicted; each predicted line is compared with its family's templates.
-    lines = _paragraphs(docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"))
-    stated = templates_table(docs.sparkSession, templates).select("family", shingles(paragraph_words(F.col("text"))).alias("told"))
-    both = chosen.join(lines, ["doc_id", "paragraph"]).withColumn("has", shingles(paragraph_words(F.col("line")))).join(F.broadcast(stated), "family")
-    share = F.size(F.array_intersect("told", _contained(F.col("line"), F.col("has"), F.col("told")))) / F.size("told")
-    best = both.groupBy("doc_id", "paragraph", "family").agg(F.max("probability").alias("probability"), F.max(share).alias("template_similarity"))
-    return best.withColumn("confirmed", F.col("template_similarity") * 100 >= percent)
-
-
-def _contained(line: Column, has: Column, told: Column) -> Column:
-    """The paragraph's shingles, and a short template itself where its words occur in order."""
-    plain = F.concat(F.lit(" "), F.array_join(paragraph_words(line), " "), F.lit(" "))
-    return F.concat(has, F.filter(told, lambda t: plain.contains(F.concat(F.lit(" "), t, F.lit(" ")))))
+    model, unseen = train(docs, templates)
+    keys = ["row", "doc_id", "paragraph"]
+    scored = _scored(scan(docs, model), keys, model)
+    size = F.least(F.size("words"), F.lit(SHINGLE_WORDS))
+    told = F.coalesce(*(F.when(size == n, F.array_distinct(_grams(F.col("words"), n))) for n in model.sizes))
+    # some thirty rows: the templates
+    stated = templates_table(spark, templates).groupBy("family").agg(F.collect_list(told).alias("told"))
+    share = F.array_max(F.transform("told", lambda t: F.size(F.array_intersect(t, F.col("has"))) / F.size(t)))
+    scored = materialise(scored.join(F.broadcast(stated), "family").select("doc_id", "paragraph", "family", "margin", "share", share.alias("similarity")), "licence")
+    held = unseen.select(F.monotonically_increasing_id().alias("row"), (F.col("family") != UNKNOWN).cast("double").alias("label"), _vocabulary_grams(F.col("words"), model).alias("grams"), F.array().cast("array<string>").alias("has"))
+    slope, offset = _curve(scored, _scored(held, ["row", "label"], model), percent)
+    licence = 1 / (1 + F.exp(-F.greatest(F.least(F.col("margin") * slope + offset, F.lit(30.0)), F.lit(-30.0))))
+    confirmed = F.col("similarity") * 100 >= percent
+    out = scored.withColumn("licence", licence).where((F.col("licence") >= 0.5) | confirmed)
+    out = out.groupBy("doc_id", "paragraph", "family").agg(F.max(F.col("licence") * F.col("share")).alias("probability"), F.max("similarity").alias("template_similarity"))
+    return out.withColumn("confirmed", F.col("template_similarity") * 100 >= percent)
