@@ -10,6 +10,7 @@ import pytest
 from test_linking import brute
 
 from papyra.llm import quality
+from papyra.llm.common import materialise
 from papyra.llm.queries import KEEP_SCORE, quality_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -51,7 +52,7 @@ def test_stages(spark, corpus):
     assert names == ["quality classifier", "minhash near-dedup", "benchmark decontamination", "source mixing", "sharding"]
     after = [docs]
     for _, stage in corpus_pipeline.STAGES:
-        after.append(corpus_pipeline.materialise(stage(spark, after[-1], folder), "test"))
+        after.append(materialise(stage(spark, after[-1], folder), "test"))
     assert all(a.columns == docs.columns for a in after[:-1])
     ids = [[r.doc_id for r in a.select("doc_id").collect()] for a in after]
     texts = {r.doc_id: r.text for r in docs.collect()}
