@@ -6,6 +6,8 @@ that belong together get an island number and are joined by an ordered list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def running(*order: str, by: str = "doc_id"):
     return in_order(*order, by=by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def judged(rows: DataFrame, value: Column, judge: Callable[[Column], list[Column]]) -> DataFrame:
+    """``rows`` with the columns that ``judge`` makes of ``value``, which is known to be stripped.
+
+    The value is computed once a row and named once inside an array, so rules that
+    are put together neither multiply in the plan nor swell the generated code;
+    a generator's output is not merged into what reads it."""
+    made = F.transform(F.array(value), lambda x: F.struct(*judge(t.stripped(x))))
+    return rows.select("*", F.explode(made).alias("_judged")).select(*(F.col(c) for c in rows.columns), "_judged.*")
+
+
 def explode_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, line_num from 1, line) of every line; a null text has none, an empty one has one."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("line_num"), "line")
@@ -44,14 +56,16 @@ def kept_lines(lines: DataFrame) -> DataFrame:
 def prepare_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, line_id, text, page): spaced, repaired lines without noise; a page
     mark says on which page the lines after it are, letterheads are taken apart."""
-    spaced = lines.withColumn("text", t.spacing("line")).where("text != ''")
-    mark = F.regexp_extract("text", PAGE_MARK, 1)
-    paged = spaced.withColumn("mark", F.when(mark != "", mark.cast("int")))
+
+
+    def parts(x: Column) -> list[Column]:
+        mark = F.regexp_extract(x, PAGE_MARK, 1)
+        repaired = F.transform(t.letterhead_parts(x), lambda y: t.rule_corrections(y))
+        return [(x == "").alias("blank"), F.when(mark != "", mark.cast("int")).alias("mark"), F.filter(repaired, lambda y: ~t.is_garbage(t.stripped(y))).alias("parts")]
+
+    paged = judged(lines.select("doc_id", "line_num", "line"), t.spacing("line"), parts).where("not blank")
     paged = paged.withColumn("page", F.last("mark", ignorenulls=True).over(running("line_num"))).where("mark is null")
-    # Inside the array a line is named once, so the rules do not multiply in the plan.
-    repaired = F.transform(t.letterhead_parts("text"), lambda x: t.rule_corrections(x))
-    kept = F.filter(repaired, lambda x: ~t.is_garbage(t.stripped(x)))
-    clean = paged.select("doc_id", "line_num", "page", F.posexplode(kept).alias("part", "text"))
+    clean = paged.select("doc_id", "line_num", "page", F.posexplode("parts").alias("part", "text"))
     return clean.select("doc_id", F.row_number().over(in_order("line_num", "part")).alias("line_id"), "text", "page")
 
 
@@ -60,22 +74,21 @@ def merge_wrapped(lines: DataFrame, text: str = "text", order: str = "line_id")
 
     The score looks at a line's end only, so comparing neighbours gives the same
     islands as comparing with what was merged so far."""
-    spaced = lines.withColumn("_s", t.spacing(text))
-    c = t.stripped("_s")
-    scored = spaced.withColumns({"_hard": t.is_hard_structural(c) | (c == ""), "_own": t.joins_previous(c), "_asks": F.when(c != "", t.asks_for_next(c))})
+    scored = judged(lines, t.spacing(text), lambda c: [(t.is_hard_structural(c) | (c == "")).alias("_hard"), t.joins_previous(c).alias("_own"), F.when(c != "", t.asks_for_next(c)).alias("_asks")])
     merges = ~F.col("_hard") & (F.lag("_asks").over(in_order(order)) + F.col("_own") >= MERGE_SCORE)
     islands = scored.withColumn("b", 1 - F.coalesce(merges, F.lit(False)).cast("int")).withColumn("island", F.sum("b").over(running(order)))
     page = F.min_by("page", order) if "page" in lines.columns else F.lit(None).cast("int")
     one = islands.groupBy("doc_id", "island").agg(ordered_text(F.col(text), F.col(order), " ").alias("raw"), F.min(order).alias("source_line"), page.alias("page"), F.count("*").alias("n"))
-    merged = F.when(F.col("n") == 1, F.col("raw")).otherwise(t.spacing("raw"))
-    return one.select("doc_id", F.col("island").cast("int").alias("line_id"), merged.alias("text"), "page", "source_line")
+    merged = judged(one, F.when(F.col("n") == 1, F.col("raw")).otherwise(t.spacing("raw")), lambda x: [x.alias("text")])
+    return merged.select("doc_id", F.col("island").cast("int").alias("line_id"), "text", "page", "source_line")
 
 
 def final_cleanup(lines: DataFrame) -> DataFrame:
     """One text a document: noise out, wrapped lines merged, rules applied."""
-    clean = lines.where(t.strip("line") != "").withColumn("text", t.spacing("line")).where(~t.is_garbage(t.stripped("text")))
+    clean = judged(lines.where(t.strip("line") != ""), t.spacing("line"), lambda x: [x.alias("text"), t.is_garbage(x).alias("garbage")]).where("not garbage")
     merged = merge_wrapped(clean.select("doc_id", "line_num", "text"), order="line_num")
-    joined = merged.groupBy("doc_id").agg(ordered_text(t.rule_corrections("text"), F.col("line_id")).alias("text"))
+    ruled = judged(merged.select("doc_id", "line_id", F.col("text").alias("raw")), F.col("raw"), lambda x: [t.rule_corrections(x).alias("text")])
+    joined = ruled.groupBy("doc_id").agg(ordered_text(F.col("text"), F.col("line_id")).alias("text"))
     return joined.withColumn("text", F.concat(t.strip(F.regexp_replace("text", r"[ \t]{2,}", " ")), F.lit("\n")))
 
 
@@ -151,7 +164,7 @@ def missing_lines(lines: DataFrame, rendered: DataFrame) -> DataFrame:
 def loss_signal(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, line_id, status): whether a line of 12 characters or more is in its
     document's new text (doc_id, new_text) exactly, after folding, or not."""
-    rows = lines.withColumn("s", t.strip("text")).where(F.length("s") >= 12).where(~t.is_garbage(t.stripped("s")))
+    rows = judged(lines.withColumn("s", t.strip("text")).where(F.length("s") >= 12), F.col("s"), lambda x: [t.is_garbage(x).alias("garbage")]).where("not garbage").drop("garbage")
     new = texts.select("doc_id", "new_text", F.regexp_replace("new_text", r"(?U)\s+", " ").alias("compact"), t.compare_key("new_text").alias("key"))
     both = rows.join(new, "doc_id")
     exact = F.contains("new_text", "s") | F.contains(F.col("compact"), F.regexp_replace("s", r"(?U)\s+", " "))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .lines import in_order, ordered_text, running
+from .lines import in_order, judged, ordered_text, running
 
 CHUNK_CHARS, CHUNK_OVERLAP = 1000, 150
 SEGMENT_LINES, SEGMENT_CHARS = 8, 1200
@@ -63,15 +63,21 @@ def chunk_lines(docs: DataFrame, most: int = CHUNK_CHARS, overlap: int = CHUNK_O
     return docs.where("text is not null").select("doc_id", "text").mapInPandas(pack, f"doc_id {kind}, chunk int, text string, line_num int, end_line_num int")
 
 
-def _grouped(rows: DataFrame, order: str, fold: Callable[[pd.DataFrame], list[int]], out: str) -> DataFrame:
-    """``rows`` with ``out``, the group numbers from 1 that ``fold`` gives a document's rows in order."""
+def _grouped(rows: DataFrame, order: str, needs: list[Column], fold: Callable[..., list[int]], out: str) -> DataFrame:
+    """``rows`` with ``out``, the group numbers from 1 that ``fold`` gives a document's
+    rows in order, from the lists of what it ``needs`` of them.
 
-    def number(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable", ignore_index=True)
-        return part.assign(**{out: fold(part)})
+    A document's rows are one array, of which only those lists leave the JVM."""
 
-    schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
-    return rows.groupBy("doc_id").applyInPandas(number, f"{schema}, {out} int")
+    def number(*lists: pd.Series) -> pd.Series:
+        return pd.Series([fold(*row) for row in zip(*lists)], dtype=object)
+
+    names, kinds = [c for c in rows.columns if c not in ("doc_id", order)], [f"_need{i}" for i in range(len(needs))]
+    packed = F.struct(F.col(order), *names, *(c.alias(k) for c, k in zip(needs, kinds)))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(packed)).alias("_rows"))
+    groups = F.pandas_udf(number, "array<int>")(*(F.col(f"_rows.{k}") for k in kinds))
+    numbered = docs.withColumn("_groups", groups).select("doc_id", F.explode(F.arrays_zip("_rows", "_groups")).alias("_z"))
+    return numbered.select("doc_id", *(F.col(f"_z._rows.`{c}`").alias(c) for c in rows.columns if c != "doc_id"), F.col("_z._groups").alias(out))
 
 
 def capped(starts: list[bool], ends: list[bool], sizes: list[int], most_rows: int, most_size: int, joint: int = 0, after: bool = False) -> list[int]:
@@ -95,22 +101,21 @@ def sentence_segments(lines: DataFrame) -> DataFrame:
     """(doc_id, segment_id, text, kind, start_line, end_line) of lines (doc_id, line_id, text).
 
     Structural lines stand alone; others run to a sentence's end, 8 lines or 1200 characters."""
-    s = t.stripped("_s")
-    flagged = lines.withColumn("_s", t.strip("text")).select("doc_id", "line_id", "text", t.is_hard_structural(s).alias("hard"), t.ends_sentence(s).alias("ends"), F.length("text").alias("size"))
-    grouped = _grouped(flagged, "line_id", lambda p: capped(list(p.hard), list(p.hard | p.ends), list(p["size"]), SEGMENT_LINES, SEGMENT_CHARS, 1, True), "segment_id")
+    flagged = judged(lines.select("doc_id", "line_id", "text"), t.strip("text"), lambda s: [t.is_hard_structural(s).alias("hard"), t.ends_sentence(s).alias("ends")]).withColumn("size", F.length("text"))
+    grouped = _grouped(flagged, "line_id", [F.col("hard"), F.col("hard") | F.col("ends"), F.col("size")], lambda *of: capped(*of, SEGMENT_LINES, SEGMENT_CHARS, 1, True), "segment_id")
     one = grouped.groupBy("doc_id", "segment_id").agg(ordered_text(F.col("text"), F.col("line_id")).alias("text"), F.min_by("text", "line_id").alias("first"), F.min("line_id").alias("start_line"), F.max("line_id").alias("end_line"), F.count("*").alias("n"))
     total = F.max("end_line").over(Window.partitionBy("doc_id"))
-    one = one.withColumn("first", t.strip("first"))
-    first = t.stripped("first")
-    fixed = (
-        F.when(t.is_title_like(first, True), "STRUCTURAL_TITLE").when(t.any_marker(first, True), "STRUCTURAL_UNIT").when(t.is_footer_or_signature(first), "FOOTER_OR_SIGNATURE")
-        .when(t.is_strict_metadata(first, (F.col("start_line") - 1) / F.col("total")), "METADATA")
-    )
-    goes_on = t.starts_lower(first) | ~t.strip(first).rlike("[.!?…:]$") | t.strip(first).rlike(r"(?iuU)^\d{1,2}\s+năm\b")
-    rows = one.withColumn("total", total).withColumn("fixed", fixed)
+
+    def kinds(first: Column) -> list[Column]:
+        fixed = F.when(t.is_title_like(first, True), "STRUCTURAL_TITLE").when(t.any_marker(first, True), "STRUCTURAL_UNIT").when(t.is_footer_or_signature(first), "FOOTER_OR_SIGNATURE")
+        fixed = fixed.when(t.is_strict_metadata(first, (F.col("start_line") - 1) / F.col("total")), "METADATA")
+        goes_on = t.starts_lower(first) | ~first.rlike("[.!?…:]$") | first.rlike(r"(?iuU)^\d{1,2}\s+năm\b")
+        return [fixed.alias("fixed"), goes_on.alias("goes_on")]
+
+    rows = judged(one.withColumn("total", total), t.strip("first"), kinds)
     # What precedes decides through one fact, whether it is a title, footer or metadata, and that needs no fold.
     before = F.lag(F.coalesce("fixed", F.lit("LINE"))).over(in_order("segment_id"))
-    body = F.when(before.isin("STRUCTURAL_UNIT", "LINE") & goes_on, "BODY_CONTINUATION").when(F.col("n") == 1, "LINE").otherwise("PARAGRAPH_OR_SENTENCE")
+    body = F.when(before.isin("STRUCTURAL_UNIT", "LINE") & F.col("goes_on"), "BODY_CONTINUATION").when(F.col("n") == 1, "LINE").otherwise("PARAGRAPH_OR_SENTENCE")
     return rows.select("doc_id", "segment_id", "text", F.coalesce("fixed", body).alias("kind"), "start_line", "end_line")
 
 
@@ -118,13 +123,15 @@ def blocks(lines: DataFrame) -> DataFrame:
     """(doc_id, block_id, text, first_line, start_line, end_line, line_count, char_count)
     of lines (doc_id, line_id, text): noise stands alone, markers and titles start a
     block, continuing lines join it up to 12 lines and 2200 characters."""
-    s = t.stripped("_s")
-    judged = lines.withColumn("_s", t.strip("text")).withColumns({
-        "_own": t.is_title_like(s) | t.is_footer_section(s) | t.is_signature_like(s) | t.any_marker(s), "_goes_on": t.is_continuation(s), "_invites": t.invites_next(s), "noise": t.is_noise(s),
-    })
+
+    def flags(s: Column) -> list[Column]:
+        own = t.is_title_like(s) | t.is_footer_section(s) | t.is_signature_like(s) | t.any_marker(s)
+        return [own.alias("_own"), t.is_continuation(s).alias("_goes_on"), t.invites_next(s).alias("_invites"), t.is_noise(s).alias("noise")]
+
+    rows = judged(lines.select("doc_id", "line_id", "text"), t.strip("text"), flags)
     opens = F.col("_own") | ~(F.col("_goes_on") | F.lag("_invites").over(in_order("line_id")))
-    flagged = judged.select("doc_id", "line_id", "text", F.coalesce(opens, F.lit(True)).alias("opens"), "noise", F.length("text").alias("size"))
-    grouped = _grouped(flagged, "line_id", lambda p: capped(list(p.opens | p.noise), list(p.noise), list(p["size"]), BLOCK_LINES, BLOCK_CHARS, 1), "block_id")
+    flagged = rows.select("doc_id", "line_id", "text", F.coalesce(opens, F.lit(True)).alias("opens"), "noise", F.length("text").alias("size"))
+    grouped = _grouped(flagged, "line_id", [F.col("opens") | F.col("noise"), F.col("noise"), F.col("size")], lambda *of: capped(*of, BLOCK_LINES, BLOCK_CHARS, 1), "block_id")
     out = grouped.groupBy("doc_id", "block_id").agg(ordered_text(F.col("text"), F.col("line_id")).alias("text"), F.min_by("text", "line_id").alias("first_line"), F.min("line_id").alias("start_line"), F.max("line_id").alias("end_line"), F.count("*").alias("line_count"))
     return out.withColumn("char_count", F.length("text"))
 
@@ -148,30 +155,32 @@ def sections(blocks_: DataFrame) -> DataFrame:
     """``blocks_`` with ``anchor`` and ``section_id``: anchors other than a subject open a
     section, and so do 28 blocks or 5000 characters."""
     rows = with_position(blocks_.withColumn("first_line", t.strip("first_line")))
-    rows = rows.withColumn("anchor", anchor(t.stripped("first_line"), F.col("position"))).withColumn("opens", ~F.col("anchor").isin("", "DOCUMENT_SUBJECT"))
-    return _grouped(rows, "block_id", lambda p: capped(list(p.opens), [False] * len(p), list(p.char_count), SECTION_BLOCKS, SECTION_CHARS), "section_id").drop("opens")
+    rows = judged(rows, F.col("first_line"), lambda x: [anchor(x, F.col("position")).alias("anchor")]).withColumn("opens", ~F.col("anchor").isin("", "DOCUMENT_SUBJECT"))
+    return _grouped(rows, "block_id", [F.col("opens"), F.lit(False), F.col("char_count")], lambda *of: capped(*of, SECTION_BLOCKS, SECTION_CHARS), "section_id").drop("opens")
 
 
 def block_signals(blocks_: DataFrame) -> DataFrame:
     """``blocks_`` with one column for each structural signal of its first line."""
-    first = t.stripped("first_line")
-    blocks_ = blocks_.withColumn("first_line", t.strip("first_line")).withColumn("_invites", t.invites_next(first))
+
+    def signals(first: Column) -> list[Column]:
+        number = t.numbering(first)
+        return [
+            number["numbering"].alias("numbering"), number["level"].alias("numbering_level"), t.marker_kind(first).alias("marker_kind"), t.is_marker(first, "BULLET").alias("bullet"),
+            t.is_marker(first, "ARTICLE").alias("article"), t.is_chapter(first).alias("chapter"), t.is_title_like(first).alias("all_caps"), (F.col("char_count") < 80).alias("short_line"),
+            first.rlike("[.!?…]$").alias("ends_period"), t.is_continuation(first).alias("continuation"), t.is_noise(first).alias("noise_like"), t.is_metadata_like(first).alias("metadata_like"),
+            t.is_footer_section(first).alias("footer_like"), t.is_signature_like(first).alias("signature_like"), t.is_subject_like(first).alias("subject_like"), t.invites_next(first).alias("_invites"),
+        ]
+
+    rows = judged(blocks_.withColumn("first_line", t.strip("first_line")), F.col("first_line"), signals)
     before = F.lag("_invites").over(in_order("block_id"))
-    number = t.numbering(first)
-    return blocks_.select(
-        "*", number["numbering"].alias("numbering"), number["level"].alias("numbering_level"), t.marker_kind(first).alias("marker_kind"), t.is_marker(first, "BULLET").alias("bullet"),
-        t.is_marker(first, "ARTICLE").alias("article"), t.is_chapter(first).alias("chapter"), t.is_title_like(first).alias("all_caps"), (F.col("char_count") < 80).alias("short_line"),
-        t.strip(first).rlike("[.!?…]$").alias("ends_period"), t.is_continuation(first).alias("continuation"), F.coalesce(before, F.lit(False)).alias("incomplete_prev"),
-        t.is_noise(first).alias("noise_like"), t.is_metadata_like(first).alias("metadata_like"), t.is_footer_section(first).alias("footer_like"), t.is_signature_like(first).alias("signature_like"),
-        t.is_subject_like(first).alias("subject_like"),
-    ).drop("_invites")
+    return rows.withColumn("incomplete_prev", F.coalesce(before, F.lit(False))).drop("_invites")
 
 
-def _prompt_groups(part: pd.DataFrame) -> list[int]:
+def _prompt_groups(opening: list[bool], sizes: list[int], levels: list[int], titles: list[bool]) -> list[int]:
     """Groups of blocks for one recognition prompt each; a number at the level of the
     group's highest one or above opens the next, and so does a title after text."""
     out, group, n, size, top, title = [], 0, 0, 0, 0, False
-    for opens, chars, level, caps in zip(part.opens, part.char_count, part.numbering_level, part.all_caps):
+    for opens, chars, level, caps in zip(opening, sizes, levels, titles):
         numbered = level > 0 and top > 0 and level <= top
         if n == 0 or opens or n >= PROMPT_BLOCKS or size + chars > PROMPT_CHARS or numbered or (caps and not title):
             group, n, size, top, title = group + 1, 0, 0, 0, bool(caps)
@@ -186,7 +195,7 @@ def semantic_chunks(blocks_: DataFrame) -> DataFrame:
     """block_signals() with ``chunk_id``: consecutive blocks that are recognised together."""
     rows = block_signals(blocks_)
     opens = F.col("noise_like") | F.col("metadata_like") | F.col("footer_like") | F.col("signature_like") | F.col("chapter") | F.col("subject_like")
-    return _grouped(rows.withColumn("opens", opens), "block_id", _prompt_groups, "chunk_id").drop("opens")
+    return _grouped(rows, "block_id", [opens, F.col("char_count"), F.col("numbering_level"), F.col("all_caps")], _prompt_groups, "chunk_id")
 
 
 def chunk_signals(chunked: DataFrame) -> DataFrame:

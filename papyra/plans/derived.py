@@ -12,10 +12,23 @@ from pyspark.sql import functions as F
 from ..operators.lines import in_order
 
 
+#: Scan tasks up to which a table counts as small: some hundred MB each at most.
+SMALL_SCAN = 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a small scan over all cores.
+
+    A file of one row group is one task, however much work follows it; larger
+    scans have tasks enough and are left as they are."""
+    n, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if n <= SMALL_SCAN and 2 * n <= cores else rows
+
+
 def unique_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line item for each number of an order: that of the largest quantity."""
     best = F.max(F.struct("l_quantity", "l_returnflag", "l_linestatus")).alias("x")

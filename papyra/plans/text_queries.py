@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import lines as ln
-from .derived import LINES_SQL, OUTLINE_SQL, outline_lines, table
+from .derived import LINES_SQL, OUTLINE_SQL, outline_lines, spread, table
 
 BODY_SQL = OUTLINE_SQL + ", body AS (SELECT doc_id, line_num, regexp_replace(line, '^#+ ', '') AS s FROM outline)"
 _CHAPTER = r"(?i)^(PHẦN|CHƯƠNG|MỤC|TIỂU\s+MỤC)"
@@ -17,7 +17,7 @@ STRIPPED_SQL = LINES_SQL + r", st AS (SELECT doc_id, line_num, regexp_replace(li
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +42,14 @@ def numbering_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select(
-        "doc_id", "line_num", F.round(t.upper_ratio(t.strip("line")), 6).alias("upper_ratio"), t.starts_lower("line").alias("starts_lower"), t.ends_sentence("line").alias("ends_sentence"),
-        t.is_title_like("line").alias("title_like"), t.is_noise("line").alias("noise_like"), t.is_garbage("line").alias("garbage"),
-    )
+
+    def predicates(s: Column) -> list[Column]:
+        return [
+            F.round(t.upper_ratio(s), 6).alias("upper_ratio"), t.starts_lower(s).alias("starts_lower"), t.ends_sentence(s).alias("ends_sentence"),
+            t.is_title_like(s).alias("title_like"), t.is_noise(s).alias("noise_like"), t.is_garbage(s).alias("garbage"),
+        ]
+
+    return ln.judged(_lines(spark, sf_dir), t.strip("line"), predicates).drop("line")
 
 
 def spacing_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:

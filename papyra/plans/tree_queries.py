@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lines as ln
 from ..operators import packing, recognition, rules, toc, tree
-from .derived import ITEMS_SQL, OUTLINE_SQL, outline_lines, table, unique_items
+from .derived import ITEMS_SQL, OUTLINE_SQL, outline_lines, spread, table, unique_items
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +165,11 @@ def large_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.chunk_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.chunk_lines(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ln.prepare_lines(ln.explode_lines(table(spark, sf_dir, "documents")))
+    return ln.prepare_lines(ln.explode_lines(spread(table(spark, sf_dir, "documents"))))
 
 
 def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +205,8 @@ def outline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source as its pages, four characters a token."""
-    pages = table(spark, sf_dir, "documents").where("text is not null and source is not null").select(F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 50)).alias("doc_id"), F.col("doc_id").cast("int").alias("page"), "text", toc.approximate_tokens(F.col("text")).alias("token_len"))
+    """Documents of a source, the null one among them, as its pages, four characters a token."""
+    pages = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.coalesce("source", F.lit("?")), F.lit("/"), F.floor(F.col("doc_id") / 50)).alias("doc_id"), F.col("doc_id").cast("int").alias("page"), "text", toc.approximate_tokens(F.col("text")).alias("token_len"))
     return packing.pack_pages(pages, most=2000).select("doc_id", "part", "first_page", "last_page", F.length("text").alias("chars"))
 
 
@@ -253,6 +253,8 @@ bounds AS (SELECT *, lead(line_num) OVER (PARTITION BY doc_id ORDER BY line_num)
 
 _TREE_SQL = OUTLINE_SQL + ", nodes AS (SELECT doc_id, line_num AS ord, level, own, up, regexp_replace(line, '^#+ ', '') AS title FROM outline)"
 
+_KEPT_TREE_SQL = _TREE_SQL.replace("nodes AS (", "nodes AS MATERIALIZED (")
+
 SQL = {
     "descriptions": f"""WITH {_TREE_SQL}, n AS (SELECT doc_id, ord, level, '{{"title":"' || title || '","node_id":"' || printf('%04d', ord - 1) || '","depth":' || (level - 1) || CASE WHEN level = 1 THEN ',"summary":"s"}}' ELSE '}}' END AS j FROM nodes),
 l AS (SELECT doc_id, d, '[' || string_agg(j, ',' ORDER BY ord) || ']' AS s FROM n, (SELECT unnest([0, 1, 2]) AS d) WHERE level - 1 <= d GROUP BY doc_id, d)
@@ -263,9 +265,10 @@ SELECT doc_id, coalesce(arg_max(s, d) FILTER (WHERE length(s) <= 8000), max(s[1:
     "tree_node_id": f"WITH {_TREE_SQL} SELECT doc_id, own, printf('%04d', ord - 1) AS node_id, level - 1 AS depth FROM nodes",
     "subtree_size": f"""WITH {_TREE_SQL}, own_and_below AS (SELECT doc_id, own AS top, title FROM nodes UNION ALL SELECT doc_id, up, title FROM nodes WHERE up IS NOT NULL UNION ALL SELECT doc_id, 'c', title FROM nodes WHERE level = 3)
 SELECT doc_id, top AS own, count(*) AS nodes, sum(length(title)) AS subtree_chars FROM own_and_below GROUP BY doc_id, top""",
-    "leaf_nodes": f"WITH {_TREE_SQL} SELECT doc_id, own FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes m WHERE m.doc_id = n.doc_id AND m.up = n.own)",
-    "dotted_tree": f"""WITH {_TREE_SQL}, c AS (SELECT doc_id, ord, CASE level WHEN 1 THEN '1' ELSE '1.' || own[2:] END AS code, level, CASE WHEN level = 2 THEN own[2:]::BIGINT END AS o FROM nodes), k AS (SELECT * FROM c WHERE o IS NULL OR o % 5 <> 0)
-SELECT k.doc_id, k.ord, k.code, p.ord AS parent_ord FROM k LEFT JOIN k p ON p.doc_id = k.doc_id AND k.level > 1 AND p.code = array_to_string(string_split(k.code, '.')[1:len(string_split(k.code, '.')) - 1], '.')""",
+    "leaf_nodes": f"WITH {_KEPT_TREE_SQL}, above AS MATERIALIZED (SELECT DISTINCT doc_id, up FROM nodes WHERE up IS NOT NULL) SELECT n.doc_id, n.own FROM nodes n LEFT JOIN above a ON a.doc_id = n.doc_id AND a.up = n.own WHERE a.up IS NULL",
+    "dotted_tree": f"""WITH {_KEPT_TREE_SQL}, c AS (SELECT doc_id, ord, CASE level WHEN 1 THEN '1' ELSE '1.' || own[2:] END AS code, level, CASE WHEN level = 2 THEN own[2:]::BIGINT END AS o FROM nodes),
+k AS MATERIALIZED (SELECT doc_id, ord, code, CASE WHEN level > 1 THEN regexp_replace(code, '[.][^.]*$', '') END AS above FROM c WHERE o IS NULL OR o % 5 <> 0)
+SELECT k.doc_id, k.ord, k.code, p.ord AS parent_ord FROM k LEFT JOIN k p ON p.doc_id = k.doc_id AND p.code = k.above""",
     "node_bounds": f"WITH {_SHALLOW_SQL} SELECT doc_id, ord, line_num AS start_line, end_line FROM bounds",
     "node_context": rf"""WITH {_SHALLOW_SQL}, n AS (SELECT *, CASE ord WHEN 3 THEN 1 ELSE 2 END AS pick FROM bounds WHERE ord IN (2, 3)),
 x AS (SELECT n.doc_id, pick, n.line_num, end_line, regexp_replace(string_agg(s.line, chr(10) ORDER BY s.line_num), '\s+$', '') AS body FROM n JOIN shallow s ON s.doc_id = n.doc_id AND s.line_num BETWEEN n.line_num AND coalesce(end_line, n.line_num + 19) GROUP BY ALL)
