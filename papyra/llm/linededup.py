@@ -31,7 +31,7 @@ def host_of(url: Column | str) -> Column:
 def html_lines(html: Column | str) -> Column:
     """Non-empty trimmed text runs between tags and line breaks, in order."""
     text = F.regexp_replace(F.regexp_replace(html, INVISIBLE, "\n"), TAG, "\n")
-    lines = F.transform(F.split(text, "[\n\r]+"), lambda x: F.regexp_replace(F.regexp_replace(x, "^[\\x09-\\x0D ]+", ""), "[\\x09-\\x0D ]+$", ""))
+    lines = F.transform(F.split(text, "[\n\r]+"), lambda x: F.btrim(x, F.lit(" \t\n\v\f\r")))
     return F.coalesce(F.filter(lines, lambda x: x != ""), F.array().cast("array<string>"))
 
 
