@@ -175,6 +175,8 @@ _LOWER = f"regexp_matches(s, '^[{t.LOWER}]')"
 #: Documents have no metadata, footers or numbered chapters, so titles, markers and noise are what is structural.
 _MARKED = r"(regexp_matches(s, '^[-–•+]\s+') OR regexp_matches(s, '^\d+[.)]\s+') OR regexp_matches(s, '^\d+(?:\.\d+)+[.)]?\s+') OR regexp_matches(s, '(?i)^[A-Za-zÀ-ỹĐđ][.)]\s+') OR regexp_matches(s, '(?i)^[IVXLCDM]+[.)]\s+'))"
 
+_SPACED_TITLE = rf"(s <> '' AND NOT {_MARKED} AND {_WORDS} <= 12 AND {_RATIO} >= 0.65 AND NOT regexp_matches(s, '[.!?…]$'))"
+
 SQL = {
     "line_explode": f"WITH {LINES_SQL} SELECT * FROM lines",
     "marker_kind": f"WITH {BODY_SQL}, k AS (SELECT doc_id, line_num, {_KIND} AS kind FROM body) SELECT doc_id, line_num, kind, {_LEVEL} AS level FROM k",
@@ -220,3 +222,23 @@ SELECT doc_id, '[Nguồn: ' || f || ', Dòng: 7-' || (len(ls) + 6) || ']' || chr
     "rendered_markdown": rf"""WITH {STRIPPED_SQL}, h AS (SELECT doc_id, line_num, s, line_num % 6 = 1 AS head, lag(s) OVER w AS before, lag(line_num % 6 = 1) OVER w AS previous FROM st WINDOW w AS (PARTITION BY doc_id ORDER BY line_num))
 SELECT doc_id, regexp_replace(string_agg(CASE WHEN head THEN CASE WHEN before IS NULL OR previous OR before = '' THEN '' ELSE chr(10) END || repeat('#', (line_num % 4 + 1)::INTEGER) || ' ' || s || chr(10) ELSE s END, chr(10) ORDER BY line_num), '\s+$', '') || chr(10) AS text FROM h GROUP BY doc_id""",
 }
+
+#: Documents have no page marks, letterheads or labels to repair, so of the rules those about stray marks are left.
+_RULED = "regexp_replace(regexp_replace(regexp_replace({x}, '^[_]+\\s+', '', 'g'), ',\\s*\\.\\s*', ', ', 'g'), '\\.\\s+\\.\\s+\\.', '...', 'g')"
+
+
+def _ruled(x: str) -> str:
+    return _spaced(_RULED.format(x=_spaced(x)))
+
+
+#: Cleaned lines (doc_id, line_id, s).
+PREPARED_SQL = rf"""{LINES_SQL}, ruled AS (SELECT doc_id, line_num, {_ruled("line")} AS s FROM lines WHERE {_spaced("line")} <> ''),
+prepared AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_num) AS line_id, s FROM ruled WHERE NOT {_GARBAGE})"""
+
+_MERGED = SQL["wrapped_line_merge"]
+SQL |= {
+    "prepared_lines": f"WITH {PREPARED_SQL} SELECT doc_id, line_id::INTEGER AS line_id, s AS text, NULL::INTEGER AS page FROM prepared",
+    "final_cleanup": rf"""WITH merged AS ({_MERGED.replace("f AS (SELECT *,", f"clean AS (SELECT * FROM sp WHERE NOT {_GARBAGE}), f AS (SELECT *,", 1).replace("ORDER BY line_num) AS p FROM sp)", "ORDER BY line_num) AS p FROM clean)", 1)}),
+j AS (SELECT doc_id, string_agg({_ruled("text")}, chr(10) ORDER BY line_id) AS text FROM merged GROUP BY doc_id)
+SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') || chr(10) AS text FROM j""",
+}

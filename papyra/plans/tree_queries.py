@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lines as ln
 from ..operators import packing, recognition, rules, toc, tree
+from . import text_queries
 from .derived import ITEMS_SQL, OUTLINE_SQL, outline_lines, spread, table, unique_items
 
 
@@ -312,3 +313,20 @@ n AS (SELECT doc_id, chunk_id, q, CASE WHEN told THEN d ELSE 'REVIEW' END AS d,
 v AS (SELECT *, CASE WHEN d = 'KEEP' THEN 'accept' WHEN d = 'MERGE_PREVIOUS' THEN CASE WHEN q % 3 = 0 OR q % 5 = 0 THEN 'reject' ELSE 'accept' END ELSE 'flag_review' END AS trust FROM n)
 SELECT doc_id, chunk_id, role, trust, CASE trust WHEN 'accept' THEN d WHEN 'reject' THEN 'KEEP' ELSE 'REVIEW' END AS final_decision, CASE WHEN role = 'HEADING' AND q % 3 = 0 THEN q % 4 + 1 ELSE level END AS final_level, trust <> 'flag_review' AS applied, is_node FROM v""",
 }
+
+_HARD = f"({text_queries._GARBAGE} OR {text_queries._MARKED} OR {text_queries._SPACED_TITLE})"
+SQL |= {
+    "tree_thinning": f"""WITH {_KEPT_TREE_SQL}, o AS (SELECT *, CASE level WHEN 1 THEN NULL WHEN 2 THEN own ELSE up END AS article FROM nodes),
+z AS (SELECT *, sum(length(title)) OVER (PARTITION BY doc_id) AS whole, sum(length(title)) OVER (PARTITION BY doc_id, article) AS part FROM o),
+h AS (SELECT *, CASE WHEN whole < 60 THEN 'c' WHEN level > 1 AND part < 60 THEN article ELSE own END AS host FROM z) SELECT doc_id, host AS own, string_agg(title, chr(10) || chr(10) ORDER BY ord) AS text FROM h GROUP BY doc_id, host""",
+    "sentence_segments": rf"""WITH RECURSIVE {text_queries.PREPARED_SQL},
+g AS MATERIALIZED (SELECT doc_id, line_id, s, {_HARD} AS hard, regexp_matches(s, '[.!?…;]$') AS ends, length(s) AS own FROM prepared),
+f(doc_id, line_id, seg, n, size, shut) AS (
+  SELECT doc_id, line_id, 1, 1, own::BIGINT, hard OR ends OR own >= 1200 FROM g WHERE line_id = 1 UNION ALL
+  SELECT doc_id, l, seg + x::INTEGER, CASE WHEN x THEN 1 ELSE n + 1 END, CASE WHEN x THEN own ELSE size + own + 1 END, hard OR ends OR (CASE WHEN x THEN 1 ELSE n + 1 END) >= 8 OR (CASE WHEN x THEN own ELSE size + own + 1 END) >= 1200
+  FROM (SELECT f.*, g.own, g.hard, g.ends, f.shut OR g.hard AS x, g.line_id AS l FROM f JOIN g ON g.doc_id = f.doc_id AND g.line_id = f.line_id + 1) q),
+t AS (SELECT doc_id, seg, string_agg(g.s, chr(10) ORDER BY line_id) AS text, arg_min(g.s, line_id) AS s, min(line_id) AS start_line, max(line_id) AS end_line, count(*) AS n FROM f JOIN g USING (doc_id, line_id) GROUP BY doc_id, seg),
+k AS (SELECT *, CASE WHEN {text_queries._SPACED_TITLE} THEN 'STRUCTURAL_TITLE' WHEN {text_queries._MARKED} THEN 'STRUCTURAL_UNIT' END AS fixed, {text_queries._LOWER} OR NOT regexp_matches(s, '[.!?…:]$') AS goes_on FROM t),
+b AS (SELECT *, lag(coalesce(fixed, 'LINE')) OVER (PARTITION BY doc_id ORDER BY seg) AS before FROM k)
+SELECT doc_id, seg AS segment_id, text, coalesce(fixed, CASE WHEN before IN ('STRUCTURAL_UNIT', 'LINE') AND goes_on THEN 'BODY_CONTINUATION' WHEN n = 1 THEN 'LINE' ELSE 'PARAGRAPH_OR_SENTENCE' END) AS kind, start_line, end_line FROM b""",
+}
