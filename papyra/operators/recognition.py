@@ -72,12 +72,38 @@ def node_summaries(nodes: DataFrame, model: Callable[[], Callable[[str], str]],
     return asked.withColumn("summary", F.when(F.col("is_leaf"), summary)).withColumn("prefix_summary", F.when(~F.col("is_leaf"), summary)).drop("_p", "_s")
 
 
-def split_large(spans: DataFrame, find_large: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame], DataFrame], rounds: int = 5) -> DataFrame:
-    """Split spans (doc_id, ord, ...) until none is too large, ``rounds`` times at most:
-    ``find_large`` picks the large ones, ``split`` gives the parts that replace them."""
+def document_summaries(docs: DataFrame, model: Callable[[], Callable[[str, int], str]], length: str = "medium", instructions: str = "") -> DataFrame:
+    """``docs`` (doc_id, text) with a model's ``summary`` and the ``max_tokens`` it had for it.
+
+    A length that is not known counts as medium; long texts are given by head and
+    tail, empty ones get an empty summary."""
+    size = length if length in SUMMARY_TOKENS else "medium"
+    tokens = SUMMARY_TOKENS[size]
+
+    def make() -> Callable[[str], str]:
+        ask = model()
+        return lambda prompt: ask(prompt, tokens)
+
+    prompt = F.when(t.strip("text") != "", F.concat(F.lit(f"{instructions}\n"), t.truncate_context("text")))
+    return with_model(docs.withColumn("_prompt", prompt), "_prompt", make, "summary").withColumn("max_tokens", F.lit(tokens)).drop("_prompt")
+
+
+def reviewed_texts(segments: DataFrame, model: Callable[[], Callable[[str], str]], instructions: str = "") -> DataFrame:
+    """``segments`` (text, ...) with ``reviewed``: a model's corrected text if it has between
+    half and twice the length, else the text; ``review_error`` says why it failed."""
+    told = with_model(segments.withColumn("_prompt", F.concat(F.lit(f"{instructions}\n"), "text")), "_prompt", model, "_said", error="review_error")
+    said, n = t.strip("_said"), F.length("text")
+    fits = (said != "") & (F.length(said) >= n * 0.5) & (F.length(said) <= n * 2)
+    return told.withColumn("reviewed", F.when(fits, said).otherwise(F.col("text"))).drop("_prompt", "_said")
+
+
+def split_large(spans: DataFrame, find_large: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame], DataFrame], rounds: int = 50) -> DataFrame:
+    """Split spans (doc_id, ord, ...) until none is too large: ``find_large`` picks the
+    large ones, ``split`` gives the parts that replace them.  Spans that are still
+    too large after ``rounds`` rounds, as a split makes no progress, are an error."""
     for _ in range(rounds):
         large = find_large(spans)
         if large.isEmpty():
-            break
+            return spans
         spans = spans.join(large.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").unionByName(split(large).select(spans.columns))
-    return spans
+    raise ValueError(f"spans are too large after {rounds} rounds of splitting")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vectors as v
+from ..functions.replies import first_object
 from .lines import cited_blocks, ordered_text
 
 TOP_K, KEYWORD_WEIGHT, ACCEPT, CATALOGUE_TOP, CATALOGUE_MOST, HISTORY = 5, 0.5, 0.35, 5, 3, 5
@@ -103,28 +105,75 @@ def ask_document(chunks: DataFrame, doc_id: str | int, query: list[float], quest
     return told.select("doc_id", F.col("plain_answer").alias("answer"), "source_file", "source_lines")
 
 
-def with_model(rows: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], out: str, fallback: str = "") -> DataFrame:
-    """``rows`` with ``out``, a text model's reply to ``prompt``; empty prompts and failing
-    calls get ``fallback``.  ``model`` makes the callable once a task."""
+def with_model(rows: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], out: str, fallback: str = "", error: str | None = None, tries: int = 3, wait: float = 0.0) -> DataFrame:
+    """``rows`` with ``out``, a text model's reply to ``prompt``; empty prompts and calls that
+    fail ``tries`` times get ``fallback``.  ``model`` makes the callable once a task.
 
-    def call(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    After a failure the next call waits ``wait`` seconds, then twice as long, and so
+    on.  A column named ``error`` says why a row has the fallback, null where a
+    model has answered."""
+
+    def call(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         reply = model()
 
-        def safe(p: str | None) -> str:
+        def safe(p: str | None) -> tuple[str, str | None]:
             if not p or not p.strip():
-                return fallback
-            for _ in range(3):
+                return fallback, "empty prompt"
+            why = None
+            for k in range(tries):
+                if k and wait:
+                    time.sleep(wait * 2 ** (k - 1))
+                try:
+                    said = reply(p)
+                    return (said, None) if said else (fallback, "empty reply")
+                except Exception as e:
+                    why = f"{type(e).__name__}: {e}"
+            return fallback, why
+
+        for frame in frames:
+            yield pd.DataFrame([safe(p) for p in frame], columns=["reply", "error"], index=frame.index)
+
+    reply_of = F.pandas_udf(call, "reply string, error string")  # type: ignore[call-overload]
+    told = rows.withColumn("_told", reply_of(F.col(prompt)))
+    return told.withColumns({out: F.col("_told.reply")} | ({error: F.col("_told.error")} if error else {})).drop("_told")
+
+
+def with_json_model(rows: DataFrame, prompt: str, model: Callable[[], Callable[[str, str | None], str]], schema: str, out: str, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """``rows`` with ``out``, the JSON object of a model's reply to (prompt, schema), null
+    where there is none, and ``{out}_error``.
+
+    A model that cannot keep to the schema (it raises, or replies without an
+    object) is asked once more without one before the next try."""
+
+    def make() -> Callable[[str], str]:
+        ask = model()
+
+        def reply(p: str) -> str:
+            for asked in (schema, None):
                 try:
-                    return reply(p) or fallback
+                    found = first_object(ask(p, asked))
                 except Exception:
+                    if asked is None:
+                        raise
                     continue
-            return fallback
+                if found:
+                    return found
+            raise ValueError("no JSON object in the reply")
+
+        return reply
+
+    told = with_model(rows, prompt, make, out, "", f"{out}_error", tries, wait)
+    return told.withColumn(out, F.nullif(out, F.lit("")))
 
-        for frame in frames:
-            yield frame.map(safe)
 
-    reply_of = F.pandas_udf(call, "string")  # type: ignore[call-overload]
-    return rows.withColumn(out, reply_of(F.col(prompt)))
+def condensed_questions(messages: DataFrame, questions: DataFrame, model: Callable[[], Callable[[str], str]], n: int = HISTORY, by: str = "conv_id", order: str = "turn", instructions: str = "") -> DataFrame:
+    """``questions`` (conversation, question) with ``condensed``: the question put so that it
+    stands without the last ``n`` messages; itself where there are none or the
+    model fails."""
+    asked = questions.join(history_prompts(messages, n, by, order), by, "left")
+    prompt = F.when(F.col("history").isNotNull(), F.concat(F.lit(f"{instructions}\n"), "history", F.lit("\n\n"), "question"))
+    told = with_model(asked.withColumn("_prompt", prompt), "_prompt", model, "_said")
+    return told.withColumn("condensed", F.when(t.strip("_said") != "", t.strip("_said")).otherwise(F.col("question"))).drop("history", "_prompt", "_said")
 
 
 def embed(rows: DataFrame, text: str, model: Callable[[], Callable[[list[str]], list[list[float]]]], out: str = "vector") -> DataFrame:

@@ -136,6 +136,36 @@ def apply_fixes(texts: DataFrame, fixes: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.concat(F.array_join(pieces, ""), tail).alias("text"), F.size("fs").alias("n_fixes"))
 
 
+def reviewed_fixes(flagged: DataFrame, answers: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, token, position, candidates of size one): what a model's ``answers``
+    (doc_id, ord, word, chosen, action) allow to be fixed, for apply_fixes().
+
+    ``flagged`` has doc_id, token, position, candidates.  A word has to be a flagged
+    token, or to have the base form of one; proper nouns are left.  To pick, the
+    choice has to be among the token's candidates; to suggest, it has to be in the
+    dictionary ``words`` (term, freq), or to have the base form of a term, of
+    which the most frequent is taken; anything else, or an empty choice, skips.
+    Where a token stands several times, answers go to its places in order."""
+    chosen, word = F.regexp_replace(t.strip("chosen"), r"^\[|\]$", ""), t.strip("word")
+    asked = answers.select("doc_id", "ord", word.alias("word"), chosen.alias("chosen"), F.coalesce(F.lower(t.strip("action")), F.lit("pick")).alias("action"))
+    asked = asked.where((F.col("action") != "skip") & (F.col("word") != "") & (F.col("chosen") != "")).where(~t.is_proper_noun("word"))
+    places = flagged.select("doc_id", "token", "position", "candidates", F.lower("token").alias("low"), t.strip_diacritics("token").alias("base"))
+    names = places.groupBy("doc_id", "low", "base").agg(F.flatten(F.collect_set("candidates")).alias("allowed"), F.min("position").alias("at"))
+    asked = asked.withColumn("low_word", F.lower("word")).withColumn("base", t.strip_diacritics("word"))
+    hits = asked.join(names, ["doc_id", "base"])
+    best = hits.groupBy("doc_id", "ord").agg(F.min_by(F.struct("low", "allowed", "chosen", "action"), F.struct(F.col("low") != F.col("low_word"), "at")).alias("b")).select("doc_id", "ord", "b.*")
+    # a suggestion: the term itself, or the most frequent one of its base form
+    terms = words.select(F.lower("term").alias("term"), "freq").groupBy("term").agg(F.max("freq").alias("freq"))
+    bases = terms.groupBy(t.strip_diacritics("term").alias("chosen_base")).agg(F.max_by("term", F.struct("freq", "term")).alias("common"))
+    best = best.withColumn("chosen_low", F.lower("chosen")).withColumn("chosen_base", t.strip_diacritics("chosen"))
+    best = best.join(terms.select(F.col("term").alias("chosen_low"), F.lit(True).alias("known")), "chosen_low", "left").join(bases, "chosen_base", "left")
+    picked = F.when(F.exists("allowed", lambda c: F.lower(c) == F.col("chosen_low")), F.col("chosen"))
+    fix = F.when(F.col("action") == "suggest", F.when(F.col("known"), F.col("chosen")).otherwise(F.col("common"))).otherwise(picked)
+    fixes = best.withColumn("fix", fix).where("fix is not null").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "low").orderBy("ord")))
+    numbered = places.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "low").orderBy("position")))
+    return numbered.join(fixes.select("doc_id", "low", "k", "fix"), ["doc_id", "low", "k"]).select("doc_id", "token", "position", F.array("fix").alias("candidates"))
+
+
 def needs_review(text: Column, bases: list[str] | None = None) -> Column:
     """Whether a segment has three or more ASCII words of three letters or longer."""
     words = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])[a-zA-Z]{3,}(?![\p{L}\p{N}])"), F.lit(0))

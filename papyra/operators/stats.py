@@ -140,3 +140,9 @@ def known_progress(tables: list[DataFrame]) -> DataFrame:
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def catalogue_summaries(docs: DataFrame, catalogue: DataFrame, default: str = "") -> DataFrame:
+    """``docs`` (id, ...) with the ``summary`` that the catalogue (doc_id, summary) has, else ``default``."""
+    known = catalogue.select(F.col("doc_id").alias("id"), "summary").dropDuplicates(["id"])
+    return docs.join(known, "id", "left").withColumn("summary", F.coalesce("summary", F.lit(default)))

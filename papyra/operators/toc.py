@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .lines import in_order, running
+from .tree import page_spans, span_texts, with_preface
 
 TOC_SCAN_PAGES, NODE_PAGES, NODE_TOKENS, TOKEN_LIMIT = 20, 10, 1024, 110_000
 
@@ -111,3 +112,41 @@ def approximate_tokens(text: Column) -> Column:
 
 def clean_toc(c: Column) -> Column:
     return t.dot_leaders(c)
+
+
+ACCEPT_ACCURACY, REPAIR_ACCURACY, REPAIR_ROUNDS = 1.0, 0.6, 3
+
+
+def settled_toc(modes: list[DataFrame], pages: DataFrame) -> DataFrame:
+    """(doc_id, mode, ord, title, physical_index): each document's entries from the first of
+    ``modes`` (tables doc_id, ord, title, physical_index, best first) that holds.
+
+    Entries beyond the document's pages (doc_id, page, text) lose their page and
+    go, as do those without one.  A mode holds for a document if all its entries
+    are right; above 0.6 it holds once its wrong entries are repaired, three
+    rounds at most; else the next mode is tried.  Documents for which no mode
+    holds are left out."""
+    ends = pages.groupBy("doc_id").agg(F.max("page").alias("_last"))
+    open_, found = pages.select("doc_id").distinct(), None
+    for k, mode in enumerate(modes):
+        items = mode.select("doc_id", "ord", "title", "physical_index").join(open_, "doc_id", "left_semi").join(ends, "doc_id")
+        items = truncate_indices(items, F.col("_last")).where("physical_index is not null").drop("_last")
+        judged = toc_accuracy(items, pages)
+        right = items.join(judged.where(F.col("accuracy") >= ACCEPT_ACCURACY), "doc_id", "left_semi")
+        wrong = items.join(judged.where((F.col("accuracy") > REPAIR_ACCURACY) & (F.col("accuracy") < ACCEPT_ACCURACY)), "doc_id", "left_semi")
+        for _ in range(REPAIR_ROUNDS):
+            wrong = repair_entries(wrong, pages)
+        kept = right.unionByName(wrong.select(right.columns)).withColumn("mode", F.lit(k))
+        found = kept if found is None else found.unionByName(kept)
+        open_ = open_.join(judged.where(F.col("accuracy") > REPAIR_ACCURACY).select("doc_id"), "doc_id", "left_anti")
+    return found.select("doc_id", "mode", "ord", "title", "physical_index")
+
+
+def page_index(modes: list[DataFrame], pages: DataFrame) -> DataFrame:
+    """(doc_id, ord, title, start_index, end_index, text): the sections of each document's
+    settled contents, with a Preface where the first one starts after page 1."""
+    toc = settled_toc(modes, pages).withColumn("structure", F.lit(None).cast("string"))
+    items = with_preface(toc).join(pages.groupBy("doc_id").agg(F.max("page").alias("_last")), "doc_id")
+    shown = items.join(pages.select("doc_id", F.col("page").alias("physical_index"), F.col("text").alias("_text")), ["doc_id", "physical_index"], "left")
+    shown = shown.withColumn("appear_start", F.when(title_on_page(F.col("title"), F.col("_text"), True), "yes").otherwise("no"))
+    return span_texts(page_spans(shown, F.col("_last")).select("doc_id", "ord", "title", "start_index", "end_index"), pages)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 from .lines import explode_lines, in_order, ordered_text, running, with_fences
@@ -206,3 +207,20 @@ def sibling_levels(nodes: DataFrame) -> DataFrame:
     rows = nodes.withColumn("_g", group)
     n = F.count("_g").over(Window.partitionBy("doc_id", "parent_ord", "_g"))
     return rows.withColumn("fixed_level", F.when(F.col("_g").isNotNull() & (n >= 2), t.level_of_kind(F.col("_g"))).otherwise(F.col("level"))).drop("_g")
+
+
+def node_fields(nodes: DataFrame, first: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """``nodes`` with the fields ``first`` in that order, then the others, but none of ``without``;
+    inside struct columns and arrays of structs those are removed too."""
+    gone = set(without or [])
+
+    def pruned(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            return F.transform(c, lambda x: pruned(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*(pruned(c[f.name], f.dataType).alias(f.name) for f in kind if f.name not in gone)))
+        return c
+
+    kinds = {f.name: f.dataType for f in nodes.schema if f.name not in gone}
+    order = [n for n in first or [] if n in kinds]
+    return nodes.select(*(pruned(F.col(n), kinds[n]).alias(n) for n in [*order, *(n for n in kinds if n not in order)]))

@@ -211,10 +211,85 @@ def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.replace_rows(old, old.where("id % 10 = 0").withColumn("status", F.lit("new")), "id")
 
 
+def merged_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as blocks; a model calls some of them the head of a footer."""
+    number = F.col("l_quantity").cast("int")
+    blocks = unique_items(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_id"), _pick(["plain words", "Nơi nhận:", "- item"], number).alias("first_line"), F.lit(3).alias("line_count"), ((F.col("l_linenumber") - 1) / 7).alias("position"), number.alias("q"))
+    model = blocks.where("q % 7 = 0").select("doc_id", "block_id", F.lit("FOOTER_SECTION").alias("role"))
+    return rules.block_roles(blocks.drop("q"), model).select("doc_id", "block_id", "role")
+
+
+def reviewed_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"))
+    flagged = rows.select("doc_id", F.lit("phap").alias("token"), F.lit(0).alias("position"), F.array(F.lit("pháp"), F.lit("phạp")).alias("candidates"))
+    chosen, action = _pick(["Pháp", "xyz", "luật", "luat", "pháp"], F.col("doc_id")), _pick(["pick", "pick", "suggest", "suggest", "skip"], F.col("doc_id"))
+    answers = rows.select("doc_id", F.lit(1).alias("ord"), F.lit("pháp").alias("word"), chosen.alias("chosen"), action.alias("action"))
+    words = spark.createDataFrame([("luật", 9), ("luát", 2), ("pháp", 5)], "term string, freq long")
+    return spell.reviewed_fixes(flagged, answers, words).select("doc_id", "token", "position", F.col("candidates")[0].alias("fix"))
+
+
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("text"))
+    return recognition.document_summaries(docs, lambda: lambda prompt, tokens: f"{len(prompt.strip())} of {tokens}", "unheard of").select("doc_id", "summary", "max_tokens")
+
+
+def reviewed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that lowers some texts and answers others at three times their length."""
+    rows = _orders(spark, sf_dir).select("o_orderkey", F.col("o_orderpriority").alias("text"))
+    return recognition.reviewed_texts(rows, lambda: lambda p: p.lower() if "1" in p else p * 3).select("o_orderkey", "reviewed")
+
+
+def model_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that keeps to a schema for some prompts, answers others without one, and fails for the rest."""
+
+    def ask(prompt: str, schema: str | None) -> str:
+        if "5" in prompt:
+            raise ValueError("no")
+        return f'{{"a": "{prompt}"}}' if schema is None or "1" in prompt else "nothing"
+
+    told = retrieval.with_json_model(_orders(spark, sf_dir).select("o_orderkey", "o_orderpriority"), "o_orderpriority", lambda: ask, "{}", "found", wait=0.0)
+    return told.select("o_orderkey", "found", "found_error")
+
+
+def condensed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    ids = said.select("conv_id").distinct()
+    asked = ids.union(ids.select(F.col("conv_id") + 1_000_000)).withColumn("question", F.lit("why?"))
+    return retrieval.condensed_questions(said, asked, lambda: lambda p: p.split("\n")[-1].upper()).select("conv_id", "condensed")
+
+
+def catalogue_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = stored_documents(spark, sf_dir).select("id", "status")
+    known = docs.where("id % 3 = 0").select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("summary"))
+    return stats.catalogue_summaries(docs, known, "none yet").select("id", "summary")
+
+
+def node_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = outline_lines(spark, sf_dir).select("doc_id", "own", F.struct("level", "line", F.array(F.struct("line", "up")).alias("more")).alias("f"))
+    kept = tree.node_fields(nodes, first=["own"], without=["line"])
+    return kept.select("own", "doc_id", "f.level", F.to_json("f").alias("json"))
+
+
+def _modes(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]:
+    """Contents that are right at once, right without page numbers, or never."""
+    items = unique_items(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("T"), "l_linenumber").alias("title"), F.col("l_linenumber").alias("physical_index"))
+    wrong = F.when(F.col("doc_id") % 3 == 0, F.col("title")).otherwise("zz")
+    later = F.when(F.col("doc_id") % 3 == 1, F.col("title")).otherwise("zz")
+    return [items.withColumn("title", wrong), items.withColumn("title", later)], items.select("doc_id", F.col("ord").alias("page"), F.col("title").alias("text"))
+
+
+def settled_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toc.settled_toc(*_modes(spark, sf_dir))
+
+
+def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toc.page_index(*_modes(spark, sf_dir))
+
+
 QUERIES = [
     letterhead_flags, line_links, line_feature_rows, straight_quotes, safe_fixes, page_tags, phrase_windows, name_shapes, relative_times, reply_objects, token_limits, shifted_pages, span_texts, applied_decisions,
     table_types, header_rows, clean_layouts, tagged_boxes, resized_shapes, visible_names, found_document, renamed_documents, changed_roles, owned_sessions, final_sources, review_flags, leaf_summaries,
-    stored_pages, page_reports, replaced_rows,
+    stored_pages, page_reports, replaced_rows, merged_roles, reviewed_fixes, document_summaries, reviewed_texts, model_objects, condensed_questions, catalogue_summaries, node_fields, settled_toc, page_index,
 ]
 
 _AREA = "((least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * (least({a}.bottom, {b}.bottom) - greatest({a}.top, {b}.top)))"
@@ -265,4 +340,17 @@ SELECT b.page, b.box_id, CASE c.k WHEN 0 THEN 'text' WHEN 2 THEN 'table' ELSE ''
     "page_reports": r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s, text FROM documents), r AS (SELECT *, length(s) < 500 AS short, CASE WHEN doc_id % 3 = 0 AND length(s) < 500 THEN regexp_replace(coalesce(text || ' more', ''), '^\s+|\s+$', '', 'g') ELSE '' END AS o FROM n)
 SELECT doc_id, 1 AS page, CASE WHEN o = '' THEN 'native_text_selected_ocr_empty' WHEN s = '' THEN 'ocr_selected_native_empty' ELSE 'ocr_selected_longer_text' END AS method, CASE WHEN short THEN 'native_text_too_short' ELSE 'native_text_enough' END AS reason, length(CASE WHEN o = '' THEN s ELSE o END) AS selected_chars FROM r""",
     "replaced_rows": f"WITH {STATS_SQL} SELECT id, CASE WHEN id % 10 = 0 THEN 'new' ELSE status END AS status FROM docs",
+    "merged_roles": f"""WITH {ITEMS_SQL}, b AS (SELECT l_orderkey AS doc_id, l_linenumber AS block_id, trunc(l_quantity)::INTEGER AS q, l_linenumber - 1 > 7 * 0.45 AS late FROM items),
+h AS (SELECT *, (q % 3 = 1 AND late) OR q % 7 = 0 AS head FROM b), f AS (SELECT *, coalesce(bool_or(head) OVER (PARTITION BY doc_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS below FROM h)
+SELECT doc_id, block_id, CASE WHEN q % 3 = 1 AND late THEN 'FOOTER_SECTION' WHEN below AND q % 3 = 2 THEN 'FOOTER_ITEM' WHEN q % 7 = 0 THEN 'FOOTER_SECTION' WHEN below THEN 'BODY_DETAIL' WHEN q % 3 = 1 THEN 'SECTION_INTRO' WHEN q % 3 = 2 THEN 'LIST_ITEM' ELSE 'BODY_DETAIL' END AS role FROM f""",
+    "reviewed_fixes": """SELECT o_orderkey AS doc_id, 'phap' AS token, 0 AS position, CASE o_orderkey % 5 WHEN 0 THEN 'Pháp' ELSE 'luật' END AS fix FROM orders WHERE o_orderkey % 5 IN (0, 2, 3)""",
+    "document_summaries": "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 > 0 THEN length(o_orderpriority) || ' of 1024' ELSE '' END AS summary, 1024 AS max_tokens FROM orders",
+    "reviewed_texts": "SELECT o_orderkey, CASE WHEN contains(o_orderpriority, '1') THEN lower(o_orderpriority) ELSE o_orderpriority END AS reviewed FROM orders",
+    "model_objects": """SELECT o_orderkey, CASE WHEN NOT contains(o_orderpriority, '5') THEN '{"a": "' || o_orderpriority || '"}' END AS found, CASE WHEN contains(o_orderpriority, '5') THEN 'ValueError: no' END AS found_error FROM orders""",
+    "condensed_questions": "SELECT DISTINCT conv_id, 'WHY?' AS condensed FROM conversations UNION ALL SELECT DISTINCT conv_id + 1000000, 'why?' FROM conversations",
+    "catalogue_summaries": f"WITH {STATS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 's' || id ELSE 'none yet' END AS summary FROM docs",
+    "node_fields": f"""WITH {OUTLINE_SQL} SELECT own, doc_id, level, '{{"level":' || level || ',"more":[{{' || CASE WHEN up IS NULL THEN '' ELSE '"up":"' || up || '"' END || '}}]}}' AS json FROM outline""",
+    "settled_toc": f"""WITH {ITEMS_SQL} SELECT l_orderkey AS doc_id, (l_orderkey % 3)::INTEGER AS mode, l_linenumber AS ord, 'T' || l_linenumber AS title, l_linenumber AS physical_index FROM items WHERE l_orderkey % 3 < 2""",
+    "page_index": f"""WITH {ITEMS_SQL}, i AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, lead(l_linenumber) OVER w AS n, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first FROM items WHERE l_orderkey % 3 < 2 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
+SELECT doc_id, ord, 'T' || ord AS title, ord AS start_index, coalesce(n - 1, ord) AS end_index, 'T' || ord AS text FROM i UNION ALL SELECT doc_id, first - 1, 'Preface', 1, first - 1, NULL FROM i WHERE ord = first AND first > 1""",
 }
