@@ -19,8 +19,18 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHINGLE_WORDS = 5
 
 
+#: Scan tasks up to which a table of texts counts as small: some hundred MB each at most.
+SMALL_SCAN = 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder.  A small table of texts, which may be one row group and
+    so one task, is dealt over all cores; larger ones have tasks enough."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in ("documents", "pages"):
+        return rows
+    n, cores = rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if n <= SMALL_SCAN and 2 * n <= cores else rows
 
 
 def scratch_dir(spark: SparkSession) -> str:
