@@ -330,3 +330,37 @@ k AS (SELECT *, CASE WHEN {text_queries._SPACED_TITLE} THEN 'STRUCTURAL_TITLE' W
 b AS (SELECT *, lag(coalesce(fixed, 'LINE')) OVER (PARTITION BY doc_id ORDER BY seg) AS before FROM k)
 SELECT doc_id, seg AS segment_id, text, coalesce(fixed, CASE WHEN before IN ('STRUCTURAL_UNIT', 'LINE') AND goes_on THEN 'BODY_CONTINUATION' WHEN n = 1 THEN 'LINE' ELSE 'PARAGRAPH_OR_SENTENCE' END) AS kind, start_line, end_line FROM b""",
 }
+
+_GOES_ON = rf"({text_queries._LOWER} OR regexp_matches(s, '(?i)^\\d{{1,2}}\\s+(ngày|tháng|năm)') OR (length(s) <= 35 AND NOT {text_queries._ANY} AND NOT regexp_matches(s, '[.!?;:]$')))"
+_INVITES = rf"CASE WHEN regexp_matches(s, '[,;\\-–]$') THEN true WHEN s LIKE '%:' THEN false ELSE NOT regexp_matches(s, '[.!?…]$') AND {text_queries._WORDS} >= 6 AND NOT {text_queries._TITLE} END"
+_NOISE = rf"(s = '' OR ({text_queries._PLAIN} <= 1 AND length(s) <= 8) OR regexp_matches(s, '(?i)^={{2,}}\\s*PAGE\\s+\\d+') OR regexp_matches(s, '^\\d+\\s*$'))"
+#: Every line of the outline is a block, as each has a marker of its own or is noise.
+_ROLES_SQL = _SHALLOW_SQL + r""",
+b AS (SELECT doc_id, line_num AS block_id, regexp_replace(line, '^#+ ', '') AS s FROM shallow), ro AS (
+  SELECT doc_id, block_id, s, CASE WHEN s = '```' THEN 'NOISE' WHEN regexp_matches(s, '^(CHƯƠNG|Điều|\d|[c]\))') THEN 'MAIN_CONTENT_UNIT' ELSE 'SUB_CONTENT_UNIT' END AS role,
+    CASE WHEN s LIKE 'CHƯƠNG%' THEN 1 WHEN s LIKE 'Điều%' THEN 2 WHEN regexp_matches(s, '^\d') THEN 3 ELSE 4 END AS level FROM b)"""
+SQL |= {
+    "text_blocks": rf"""WITH RECURSIVE {text_queries.PREPARED_SQL},
+j AS (SELECT doc_id, line_id, s, {text_queries._TITLE} OR {text_queries._ANY} AS own_, {_GOES_ON} AS goes_on, {_INVITES} AS invites, {_NOISE} AS noise FROM prepared),
+g AS MATERIALIZED (SELECT doc_id, line_id, s, noise, length(s) AS own, noise OR coalesce(own_ OR NOT (goes_on OR lag(invites) OVER (PARTITION BY doc_id ORDER BY line_id)), true) AS start FROM j),
+f(doc_id, line_id, seg, n, size, shut) AS (
+  SELECT doc_id, line_id, 1, 1, own::BIGINT, noise FROM g WHERE line_id = 1 UNION ALL
+  SELECT doc_id, l, seg + x::INTEGER, CASE WHEN x THEN 1 ELSE n + 1 END, CASE WHEN x THEN own ELSE size + own + 1 END, noise
+  FROM (SELECT f.*, g.own, g.noise, f.shut OR g.start OR f.n >= 12 OR f.size + g.own > 2200 AS x, g.line_id AS l FROM f JOIN g ON g.doc_id = f.doc_id AND g.line_id = f.line_id + 1) q),
+t AS (SELECT doc_id, seg, string_agg(g.s, chr(10) ORDER BY line_id) AS text, arg_min(g.s, line_id) AS first_line, min(line_id) AS start_line, max(line_id) AS end_line, count(*) AS line_count FROM f JOIN g USING (doc_id, line_id) GROUP BY doc_id, seg)
+SELECT doc_id, seg AS block_id, text, first_line, start_line, end_line, line_count, length(text) AS char_count FROM t""",
+    "page_parts": """WITH RECURSIVE p AS (SELECT coalesce(source, '?') || '/' || (doc_id // 50) AS doc, doc_id AS page, text, ceil(length(text) / 4.0)::BIGINT AS n FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc, sum(n) AS total, list(n ORDER BY page) AS ns, list(page ORDER BY page) AS ps, list(length(text) ORDER BY page) AS ls FROM p GROUP BY doc),
+e AS MATERIALIZED (SELECT *, CASE WHEN total > 2000 THEN ceil((total / ceil(total / 2000.0) + 2000) / 2) ELSE 1e18 END AS target FROM d),
+f(doc, i, first, size, k, done) AS (
+  SELECT doc, 0, 0, 0::BIGINT, 0, NULL::INTEGER[] FROM e UNION ALL
+  SELECT doc, i + 1, CASE WHEN over THEN greatest(i - 1, 0) ELSE first END, CASE WHEN NOT over THEN size WHEN i > 0 THEN ns[i] ELSE 0 END + own, k + over::INTEGER, CASE WHEN over THEN [k, first, i - 1] END
+  FROM (SELECT f.*, e.ns, e.ns[f.i + 1] AS own, f.size + e.ns[f.i + 1] > e.target AS over FROM f JOIN e ON e.doc = f.doc WHERE f.i < len(e.ns)) q),
+c AS (SELECT doc, done[1] AS k, done[2] AS a, done[3] AS b FROM f WHERE done IS NOT NULL UNION ALL SELECT f.doc, f.k, f.first, f.i - 1 FROM f JOIN e ON e.doc = f.doc WHERE f.i = len(ns))
+SELECT c.doc AS doc_id, k AS part, ps[a + 1] AS first_page, ps[b + 1] AS last_page, list_sum(ls[a + 1 : b + 1]) AS chars FROM c JOIN e ON e.doc = c.doc WHERE a <= b""",
+    "block_roles": f"WITH {_ROLES_SQL} SELECT doc_id, block_id, role, CASE role WHEN 'SUB_CONTENT_UNIT' THEN 'SUB' ELSE 'MAIN' END AS rough_level, level FROM ro WHERE role <> 'NOISE'",
+    "outline_nodes": f"""WITH {_ROLES_SQL} SELECT doc_id, block_id, level, CASE level WHEN 2 THEN max(block_id) FILTER (WHERE level < 2) OVER w WHEN 3 THEN max(block_id) FILTER (WHERE level < 3) OVER w WHEN 4 THEN max(block_id) FILTER (WHERE level < 4) OVER w END AS parent_block_id
+FROM ro WHERE role <> 'NOISE' WINDOW w AS (PARTITION BY doc_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "sections": f"""WITH {_ROLES_SQL}, a AS (SELECT doc_id, block_id, CASE WHEN s LIKE 'CHƯƠNG%' THEN 'MAJOR_STRUCTURAL' WHEN s LIKE 'Điều%' OR regexp_matches(s, '^[0-9]') THEN 'MAIN_UNIT' ELSE '' END AS anchor FROM ro),
+g AS (SELECT *, count(*) FILTER (WHERE anchor <> '') OVER (PARTITION BY doc_id ORDER BY block_id) AS section_id FROM a) SELECT doc_id, section_id, min(block_id) AS first_block, count(*) AS n_blocks, arg_min(anchor, block_id) AS anchor FROM g GROUP BY doc_id, section_id""",
+}
