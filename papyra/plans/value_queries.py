@@ -353,4 +353,11 @@ SELECT doc_id, block_id, CASE WHEN q % 3 = 1 AND late THEN 'FOOTER_SECTION' WHEN
     "settled_toc": f"""WITH {ITEMS_SQL} SELECT l_orderkey AS doc_id, (l_orderkey % 3)::INTEGER AS mode, l_linenumber AS ord, 'T' || l_linenumber AS title, l_linenumber AS physical_index FROM items WHERE l_orderkey % 3 < 2""",
     "page_index": f"""WITH {ITEMS_SQL}, i AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, lead(l_linenumber) OVER w AS n, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first FROM items WHERE l_orderkey % 3 < 2 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
 SELECT doc_id, ord, 'T' || ord AS title, ord AS start_index, coalesce(n - 1, ord) AS end_index, 'T' || ord AS text FROM i UNION ALL SELECT doc_id, first - 1, 'Preface', 1, first - 1, NULL FROM i WHERE ord = first AND first > 1""",
+    "box_suppression": f"""WITH RECURSIVE {BOXES_SQL}, r AS MATERIALIZED (SELECT page, box_id % 3 AS kind, {{'id': box_id, 'x0': x0, 'x1': x1, 'a': top, 'b': bottom}} AS o, row_number() OVER (PARTITION BY page, box_id % 3 ORDER BY box_id * 31 % 101 DESC, box_id) AS i FROM boxes),
+f(page, kind, i, kept) AS (SELECT page, kind, i, [o] FROM r WHERE i = 1 UNION ALL
+  SELECT f.page, f.kind, r.i, CASE WHEN len(list_filter(kept, lambda k: greatest(0, least(k.x1, r.o.x1) - greatest(k.x0, r.o.x0) + 1.0) * greatest(0, least(k.b, r.o.b) - greatest(k.a, r.o.a) + 1.0)
+    > 0.45 * ((k.x1 - k.x0) * (k.b - k.a) + (r.o.x1 - r.o.x0) * (r.o.b - r.o.a) - greatest(0, least(k.x1, r.o.x1) - greatest(k.x0, r.o.x0) + 1.0) * greatest(0, least(k.b, r.o.b) - greatest(k.a, r.o.a) + 1.0)))) > 0 THEN kept ELSE list_append(kept, r.o) END
+  FROM f JOIN r ON r.page = f.page AND r.kind = f.kind AND r.i = f.i + 1),
+n AS (SELECT page, kind, max(i) AS i FROM r GROUP BY page, kind)
+SELECT page, kind, unnest(kept).id AS box_id FROM f JOIN n USING (page, kind, i)""",
 }

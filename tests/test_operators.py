@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.operators import geometry, lines, packing, retrieval, rules, spell, stats, toc, tree
+from papyra.operators import geometry, lines, packing, recognition, retrieval, rules, spell, stats, toc, tree
 from papyra.sources import store
 from papyra.streaming import ingest
 
@@ -313,3 +313,59 @@ def test_asking_one_document(spark):
     cites = lambda: lambda p: "x [Nguồn: c.md, Dòng: 7-8]"
     assert retrieval.ask_document(chunks, "d", [1.0, 0.1], "luật gì", cites).collect() == [("d", "x", "c.md", "7-8")]
     assert retrieval.ask_document(chunks, "none", [1.0, 0.1], "luật gì", cites).count() == 0
+
+
+def test_contents_are_repaired_or_fall_back(spark):
+    pages = spark.createDataFrame([(d, p, f"page {p} Title{p}") for d in (1, 2, 3) for p in range(1, 9)], "doc_id int, page int, text string")
+    # document 1: one wrong page of eight; 2: all wrong, right in the next table; 3: never right
+    first = [(1, k, f"Title{k}", 5 if k == 4 else k) for k in range(1, 9)] + [(2, k, "none", k) for k in range(1, 9)] + [(3, 1, "none", 9)]
+    second = [(2, 1, "Title1", 1), (2, 2, "Title7", 7), (3, 1, "none", 2)]
+    tables = [spark.createDataFrame(x, "doc_id int, ord int, title string, physical_index int") for x in (first, second)]
+    got = sorted((r.doc_id, r["mode"], r.ord, r.physical_index) for r in toc.settled_toc(tables, pages).collect())
+    assert got == [(1, 0, k, k) for k in range(1, 9)] + [(2, 1, 1, 1), (2, 1, 2, 7)]
+    spans = {(r.doc_id, r.title): (r.start_index, r.end_index, r.text) for r in toc.page_index(tables, pages).collect()}
+    # a title that does not open its page shares the page with the section before
+    assert spans[2, "Title1"][:2] == (1, 7) and spans[2, "Title7"] == (7, 8, "page 7 Title7page 8 Title8")
+
+
+def test_failing_models_say_why(spark):
+    def model():
+        calls = []
+
+        def reply(prompt):
+            calls.append(prompt)
+            if "late" in prompt and calls.count(prompt) < 3:
+                raise TimeoutError("busy")
+            if "bad" in prompt:
+                raise ValueError("no")
+            return prompt.upper()
+
+        return reply
+
+    rows = spark.createDataFrame([(1, "late"), (2, "bad"), (3, " ")], "id int, prompt string")
+    told = retrieval.with_model(rows, "prompt", model, "out", "none", "why", wait=0.01).orderBy("id").collect()
+    assert [(r.out, r.why) for r in told] == [("LATE", None), ("none", "ValueError: no"), ("none", "empty prompt")]
+
+
+def test_fixes_go_to_their_places_in_order(spark):
+    texts = spark.createDataFrame([(1, "phap luat Phap")], "doc_id int, text string")
+    flagged = spark.createDataFrame([(1, "phap", 0, ["pháp", "phạp"]), (1, "Phap", 10, ["pháp", "phạp"]), (1, "luat", 5, ["luật"])], "doc_id int, token string, position int, candidates array<string>")
+    answers = [(1, 1, "phap", "pháp", "pick"), (1, 2, "PHÁP", "[phạp]", "pick"), (1, 3, "luat", "nowhere", "suggest"), (1, 4, "Hà Nội", "x", "pick")]
+    words = spark.createDataFrame([("luật", 9)], "term string, freq long")
+    fixes = spell.reviewed_fixes(flagged, spark.createDataFrame(answers, "doc_id int, ord int, word string, chosen string, action string"), words)
+    assert [r.text for r in spell.apply_fixes(texts, fixes).collect()] == ["pháp luat Phạp"]
+
+
+def test_splitting_without_progress_is_an_error(spark):
+    spans = spark.createDataFrame([(1, 0, 16)], "doc_id int, ord int, end int")
+    with pytest.raises(ValueError):
+        recognition.split_large(spans, lambda x: x.where("end - ord > 4"), lambda x: x, rounds=3)
+
+
+def test_a_models_footer_opens_the_footer(spark):
+    blocks = spark.createDataFrame([(1, i, line, 1, i / 10) for i, line in enumerate(["TITLE OF ALL", "Điều 1. one", "words", "more words", "- item", "Điều 2. two"])], "doc_id int, block_id int, first_line string, line_count int, position double")
+    model = spark.createDataFrame([(1, 2, "FOOTER_SECTION"), (1, 1, "FOOTER_SECTION")], "doc_id int, block_id int, role string")
+    plain = [r.role for r in rules.block_roles(blocks).orderBy("block_id").collect()]
+    merged = [r.role for r in rules.block_roles(blocks, model).orderBy("block_id").collect()]
+    assert plain == ["DOCUMENT_TITLE", "MAIN_CONTENT_UNIT", "BODY_DETAIL", "BODY_DETAIL", "LIST_ITEM", "MAIN_CONTENT_UNIT"]
+    assert merged == ["DOCUMENT_TITLE", "MAIN_CONTENT_UNIT", "FOOTER_SECTION", "FOOTER_ITEM", "FOOTER_ITEM", "FOOTER_ITEM"]
