@@ -1,7 +1,7 @@
 """Boxes of recognised pages: overlaps, layout tags, suppression, tables.
 
-A box is (page, box_id, x0, x1, top, bottom, ...).  Joins are on the page, or on
-a page's horizontal bands where a page holds many boxes.
+A box is (page, box_id, x0, x1, top, bottom, ...).  Joins are on the page, so work
+grows with the square of a page's boxes, which a page's size bounds.
 """
 
 from __future__ import annotations
