@@ -331,9 +331,9 @@ b AS (SELECT *, lag(coalesce(fixed, 'LINE')) OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, seg AS segment_id, text, coalesce(fixed, CASE WHEN before IN ('STRUCTURAL_UNIT', 'LINE') AND goes_on THEN 'BODY_CONTINUATION' WHEN n = 1 THEN 'LINE' ELSE 'PARAGRAPH_OR_SENTENCE' END) AS kind, start_line, end_line FROM b""",
 }
 
-_GOES_ON = rf"({text_queries._LOWER} OR regexp_matches(s, '(?i)^\\d{{1,2}}\\s+(ngày|tháng|năm)') OR (length(s) <= 35 AND NOT {text_queries._ANY} AND NOT regexp_matches(s, '[.!?;:]$')))"
-_INVITES = rf"CASE WHEN regexp_matches(s, '[,;\\-–]$') THEN true WHEN s LIKE '%:' THEN false ELSE NOT regexp_matches(s, '[.!?…]$') AND {text_queries._WORDS} >= 6 AND NOT {text_queries._TITLE} END"
-_NOISE = rf"(s = '' OR ({text_queries._PLAIN} <= 1 AND length(s) <= 8) OR regexp_matches(s, '(?i)^={{2,}}\\s*PAGE\\s+\\d+') OR regexp_matches(s, '^\\d+\\s*$'))"
+_GOES_ON = rf"({text_queries._LOWER} OR regexp_matches(s, '(?i)^\d{{1,2}}\s+(ngày|tháng|năm)') OR (length(s) <= 35 AND NOT {text_queries._ANY} AND NOT regexp_matches(s, '[.!?;:]$')))"
+_INVITES = rf"CASE WHEN regexp_matches(s, '[,;\-–]$') THEN true WHEN s LIKE '%:' THEN false ELSE NOT regexp_matches(s, '[.!?…]$') AND {text_queries._WORDS} >= 6 AND NOT {text_queries._TITLE} END"
+_NOISE = rf"(s = '' OR ({text_queries._PLAIN} <= 1 AND length(s) <= 8) OR regexp_matches(s, '(?i)^={{2,}}\s*PAGE\s+\d+') OR regexp_matches(s, '^\d+\s*$'))"
 #: Every line of the outline is a block, as each has a marker of its own or is noise.
 _ROLES_SQL = _SHALLOW_SQL + r""",
 b AS (SELECT doc_id, line_num AS block_id, regexp_replace(line, '^#+ ', '') AS s FROM shallow), ro AS (
