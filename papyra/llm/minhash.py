@@ -101,7 +101,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those ``pairs`` (a, b) whose texts (doc_id, text) share enough shingles.
 
     Both joins are plain equi-joins on the id, which adaptive execution splits
-    where one document has very many partners."""
+    where one document has very many partners.  Pairs with a null end, or with an
+    id that ``texts`` lacks, go; null and empty texts are like nothing; an id with
+    several texts is linked if any of them is; no pairs give an empty result."""
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb", F.lit(percent).alias("p")).mapInArrow(_verify, "a long, b long").distinct()

@@ -220,4 +220,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def archive_folder(spark) -> str:
+    """A new folder for archives in the shared one; it is made with the first archive."""
     return f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"

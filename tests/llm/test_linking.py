@@ -210,3 +210,20 @@ def test_neighbours_over_many_blocks(spark, monkeypatch):
         assert [r for r, _, _ in mine] == list(range(1, 11)) and [s for _, _, s in mine] == pytest.approx([gap[i] for _, i, _ in mine])
         hits += len({i for _, i, _ in mine} & set(np.argsort(gap)[:10].tolist()))
     assert hits >= 0.9 * 120
+
+
+def test_repeated_items_and_documents_are_one_pair(spark):
+    rng = random.Random(21)
+    item = " ".join(f"i{rng.randrange(900)}" for _ in range(40))
+    filler = " ".join(f"f{rng.randrange(900)}" for _ in range(300))
+    docs = [(1, f"{item} {filler} {item}"), (1, f"{filler} {item}"), (2, filler), (3, f"{item} {item}")]
+    bench = [(7, item), (7, item), (8, item)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 7), (1, 8), (3, 7), (3, 8)] and all(r.item_overlap == 1.0 for r in found)
+
+
+def test_verified_pairs_edge_cases(spark, rows):
+    same = "a b c d e f g h"
+    texts = spark.createDataFrame([(1, same), (2, same), (3, None), (4, ""), (5, "x"), (5, same), (None, same)], DOCS)
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (3, 4), (1, 5), (1, 99), (None, 1), (2, None)], "a long, b long")
+    assert rows(minhash.verified(pairs, texts, 75)) == [(1, 2), (1, 5)] and minhash.verified(pairs.where("false"), texts, 75).count() == 0
