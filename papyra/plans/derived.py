@@ -26,7 +26,7 @@ def spread(rows: DataFrame) -> DataFrame:
     A file of one row group is one task, however much work follows it; larger
     scans have tasks enough and are left as they are."""
     n, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if n <= SMALL_SCAN and 2 * n <= cores else rows
+    return rows.repartition(cores) if n <= min(SMALL_SCAN, cores) else rows
 
 
 def unique_items(spark: SparkSession, sf_dir: str) -> DataFrame:
