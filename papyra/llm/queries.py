@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, licenses, linededup, minhash, mixing, quality, sharding, urlfilter, warc
+from . import ann, bestfit, decontaminate, licenses, linededup, minhash, mixing, quality, sharding, urlfilter, warc
 from .common import materialise, table
 
 KEEP_SCORE = 0.3
@@ -69,8 +69,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.is_held_out().alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
 
 
+#: The vocabulary file of op11; a parameter of the operator, found where the tokenizers are installed.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = bestfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=1)
+    return packed.drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_linededup, op3_mixing, op4_licenses, op5_ann, op6_decontamination, op7_urlfilter, op8_minhash, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_linededup, op3_mixing, op4_licenses, op5_ann, op6_decontamination, op7_urlfilter, op8_minhash, op9_warc, op10_quality, op11_packing)}
 
 
 #: Brute force over all pairs that share a shingle; components by recursion.
