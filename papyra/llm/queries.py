@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bestfit, decontaminate, licenses, linededup, minhash, mixing, quality, sharding, urlfilter, warc
+from . import ann, bestfit, decontaminate, licenses, linededup, minhash, mixing, negatives, quality, sharding, urlfilter, variants, warc
 from .common import materialise, table
 
 KEEP_SCORE = 0.3
@@ -80,8 +80,19 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumns({"label": noisy, "embedding": negatives.quantised("embedding")})
+    return negatives.hard_negatives(rows, k=5, positives=5, every=100, low=(80, 100))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_groups(variants.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_linededup, op3_mixing, op4_licenses, op5_ann, op6_decontamination, op7_urlfilter, op8_minhash, op9_warc, op10_quality, op11_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_linededup, op3_mixing, op4_licenses, op5_ann, op6_decontamination, op7_urlfilter, op8_minhash, op9_warc, op10_quality, op11_packing, op12_negatives, op13_variants)}
 
 
 #: Brute force over all pairs that share a shingle; components by recursion.
@@ -134,5 +145,61 @@ FROM g
 """
 
 
+#: All anchors against all rows.
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM r a JOIN r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 5
+"""
+
+
+#: crc32 by a table of its rule and a step a byte; near words by what they have in common without one code point.
+OP13_SQL = """
+WITH RECURSIVE
+t AS (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents WHERE text IS NOT NULL),
+occ AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS c, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS hx FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+crc(doc_id, run, rest, v) AS (
+  SELECT doc_id, run, hx, 4294967295::BIGINT FROM occ
+  UNION ALL
+  SELECT doc_id, run, substr(rest, 3), xor(crc.v >> 8, t.v) FROM crc
+  JOIN t ON t.i = xor(crc.v & 255, 16 * (position(rest[1] IN '0123456789ABCDEF') - 1) + position(rest[2] IN '0123456789ABCDEF') - 1)
+  WHERE rest <> ''),
+h AS (SELECT doc_id, run, xor(v, 4294967295) AS h FROM crc WHERE rest = ''),
+w AS MATERIALIZED (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word
+    FROM occ JOIN h ON h.run = occ.run AND h.doc_id IS NOT DISTINCT FROM occ.doc_id)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+d AS MATERIALIZED (
+  SELECT word, n, length(word) AS len, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+e AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.less = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.less = w.word),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, count(e.near) AS n_near, arg_min(e.near, (-e.near_n, e.near)) AS best, max(e.near_n) AS best_n
+  FROM w LEFT JOIN e USING (word) GROUP BY w.word, w.n),
+g AS MATERIALIZED (
+  SELECT word, n, n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM f),
+r(word, at) AS (SELECT word, word FROM g UNION ALL SELECT r.word, g.form FROM r JOIN g ON g.word = r.at WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, r.at AS root, g.n, g.n_near, g.form_n
+FROM g JOIN r USING (word) JOIN g last ON last.word = r.at AND last.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_linededup": OP2_SQL, "op8_minhash": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op2_linededup": OP2_SQL, "op8_minhash": OP8_SQL, "op9_warc": OP9_SQL, "op12_negatives": OP12_SQL, "op13_variants": OP13_SQL}
