@@ -181,7 +181,7 @@ crc(doc_id, run, rest, v) AS (
 h AS (SELECT doc_id, run, xor(v, 4294967295) AS h FROM crc WHERE rest = ''),
 w AS MATERIALIZED (
   SELECT word, sum(c)::BIGINT AS n FROM (
-    SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word
+    SELECT c, CASE WHEN h % 97 = 0 THEN substr(occ.run, 1, (h % length(occ.run))::BIGINT) || substr(occ.run, (h % length(occ.run))::BIGINT + 2) ELSE occ.run END AS word
     FROM occ JOIN h ON h.run = occ.run AND h.doc_id IS NOT DISTINCT FROM occ.doc_id)
   WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
 d AS MATERIALIZED (
@@ -195,9 +195,9 @@ f AS MATERIALIZED (
   FROM w LEFT JOIN e USING (word) GROUP BY w.word, w.n),
 g AS MATERIALIZED (
   SELECT word, n, n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM f),
-r(word, at) AS (SELECT word, word FROM g UNION ALL SELECT r.word, g.form FROM r JOIN g ON g.word = r.at WHERE g.form IS NOT NULL)
-SELECT g.word, g.form, r.at AS root, g.n, g.n_near, g.form_n
-FROM g JOIN r USING (word) JOIN g last ON last.word = r.at AND last.form IS NULL
+r(word, root) AS (SELECT word, word FROM g UNION ALL SELECT r.word, g.form FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, r.root, g.n, g.n_near, g.form_n
+FROM g JOIN r USING (word) JOIN g z ON z.word = r.root AND z.form IS NULL
 """
 
 
