@@ -68,6 +68,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 lists = pa.array(kept, pa.list_(pa.int32())) if with_ids else pa.nulls(len(length), pa.list_(pa.int32()))
                 columns = [doc_ids.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), lists, pa.array(np.full(len(length), task, np.int32)), pa.array(nth)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "nth"])
+                pa.default_memory_pool().release_unused()
 
     return run
 

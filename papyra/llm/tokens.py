@@ -9,6 +9,7 @@ ids of those that it met lately, and the rest of a batch is numpy.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -18,11 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are tokenised at once, and chunks after which the memory starts a new generation.
-SLICE_BYTES, GENERATION = 12 << 20, 200_000
+SLICE_BYTES, GENERATION = 8 << 20, 100_000
 #: The tokenizer always parts an ASCII letter from these marks, so that a chunk can be cut before its last ones.
 TAIL = '.,;:!?*$%&#"()[]-'
-#: Chunks of these letters can be tokenised together, told apart by a digit that they do not hold.
-_PLAIN, _DIGIT = re.compile(r"[a-zß-öø-ÿ]+"), "0"
+#: Chunks that normalising leaves as they are and the tokenizer does not cut into words.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 
 
 class Tokens:
@@ -33,30 +34,38 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self._ids([_DIGIT])[0]
+        # the same model for words as they are: no normaliser, and of the cuts only the bytes' letters
+        parts = json.loads(self.tokenizer.to_str())
+        steps = parts["pre_tokenizer"] or {}
+        steps = [x for x in steps.get("pretokenizers", [steps]) if x.get("type") == "ByteLevel"]
+        self.words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": steps[0] if steps else None}))
+        # ids that end a word, if the model marks them
+        suffix, vocabulary = parts["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
+        self.agree = None if suffix else False
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [np.array(e.ids, "<u4") for e in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words, all in one call."""
+        ids = np.array(self.words.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends, flat = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()], ids.tobytes()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
     def _learn(self, chunks: list[str]) -> None:
-        """The ids of new chunks; plain ones in one text, parted by the mark."""
-        plain = [c for c in chunks if _PLAIN.fullmatch(c)] if len(self.mark) == 1 else []
-        for i in range(0, len(plain), 50_000):
-            part = plain[i : i + 50_000]
-            ids = self._ids([f" {_DIGIT} ".join(part)])[0]
-            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            if len(ends) != len(part):  # the tokenizer joins what this takes to be apart
-                self.young.update(zip(part, (x.tobytes() for x in self._ids(part))))
-                continue
-            flat, first = ids.tobytes(), 0
-            for c, end in zip(part, ends):
-                self.young[c] = flat[4 * first : 4 * end]
-                first = end + 1
+        """The ids of new chunks."""
+        plain = [c for c in chunks if _PLAIN.fullmatch(c)]
+        if plain and self.agree is None:  # does this file's tokenizer leave plain words alone?
+            self.agree = self._word_ids(plain[:2000]) == self._ids(plain[:2000])
+        if plain and self.agree and len(found := self._word_ids(plain)) == len(plain):
+            self.young.update(zip(plain, found))
         rest = [c for c in chunks if c not in self.young]
-        self.young.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
+        self.young.update(zip(rest, self._ids(rest)))
 
     def _of_chunks(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of some distinct chunks."""
