@@ -1,7 +1,8 @@
 """Boxes of recognised pages: overlaps, layout tags, suppression, tables.
 
-A box is (page, box_id, x0, x1, top, bottom, ...).  Joins are on the page, so work
-grows with the square of a page's boxes, which a page's size bounds.
+A box is (page, box_id, x0, x1, top, bottom, ...).  Boxes that overlap meet in the
+buckets of a page's coordinates that both cover, so the work grows with a page's
+boxes and what they share, not with the square of the page.
 """
 
 from __future__ import annotations
@@ -39,10 +40,33 @@ def _other(boxes: DataFrame, prefix: str = "b_") -> DataFrame:
     return boxes.select("page", *(F.col(c).alias(f"{prefix}{c}") for c in boxes.columns if c != "page"))
 
 
+#: Side of a bucket; a page-sized region covers some hundred of them.
+BUCKET = 64.0
+
+
+def overlapping(boxes: DataFrame, regions: DataFrame, size: float = BUCKET) -> DataFrame:
+    """``boxes`` with the columns of each of the ``regions`` (prefix b_) of their page that
+    they share an area with, a pair once.
+
+    Either side is dealt into the buckets that it covers; a pair counts in the bucket
+    that holds the first corner of what it shares.  Boxes without an area or with a
+    null side share none."""
+
+    def bucketed(rows: DataFrame, prefix: str) -> DataFrame:
+        span = lambda low, high: F.sequence(F.floor(F.col(f"{prefix}{low}") / size), F.floor(F.col(f"{prefix}{high}") / size))
+        real = rows.where((F.col(f"{prefix}x0") < F.col(f"{prefix}x1")) & (F.col(f"{prefix}top") < F.col(f"{prefix}bottom")))
+        return real.withColumn("_bx", F.explode(span("x0", "x1"))).withColumn("_by", F.explode(span("top", "bottom")))
+
+    pairs = bucketed(boxes, "").join(bucketed(_other(regions), "b_"), ["page", "_bx", "_by"])
+    left, top = F.greatest("x0", "b_x0"), F.greatest("top", "b_top")
+    shared = (left < F.least("x1", "b_x1")) & (top < F.least("bottom", "b_bottom"))
+    return pairs.where(shared & (F.floor(left / size) == F.col("_bx")) & (F.floor(top / size) == F.col("_by"))).drop("_bx", "_by")
+
+
 def best_overlap(boxes: DataFrame, regions: DataFrame, least: float = 0.3) -> DataFrame:
     """``boxes`` with ``region_id``: the region that covers the largest share of each, at
     least ``least``; of equal shares the region of which the box takes more, then the later."""
-    pairs = boxes.join(_other(regions), "page").withColumn("_ov", overlap_area()).withColumn("_vo", overlap_area("b_", "")).where(F.col("_ov") >= least)
+    pairs = overlapping(boxes, regions).withColumn("_ov", overlap_area()).withColumn("_vo", overlap_area("b_", "")).where(F.col("_ov") >= least)
     best = pairs.groupBy("page", "box_id").agg(F.max_by("b_box_id", F.struct("_ov", "_vo", "b_box_id")).alias("region_id"))
     return boxes.join(best, ["page", "box_id"], "left")
 
@@ -50,7 +74,7 @@ def best_overlap(boxes: DataFrame, regions: DataFrame, least: float = 0.3) -> Da
 def first_overlap(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """``boxes`` with ``region_id``: the region with the largest share of its own area in
     each box, the earlier of equals."""
-    pairs = boxes.join(_other(regions), "page").withColumn("_ov", overlap_area("b_", "")).where("_ov > 0")
+    pairs = overlapping(boxes, regions).withColumn("_ov", overlap_area("b_", "")).where("_ov > 0")
     best = pairs.groupBy("page", "box_id").agg(F.max_by("b_box_id", F.struct(F.col("_ov"), -F.col("b_box_id"))).alias("region_id"))
     return boxes.join(best, ["page", "box_id"], "left")
 
@@ -67,7 +91,7 @@ def tag_layouts(boxes: DataFrame, layouts: DataFrame, least: float = 0.4, keep_g
     """``boxes`` with layout_type and layoutno of the region that claims each, kinds taken
     in their fixed order; boxes of headers, footers and references go."""
     order = F.array_position(F.array(*(F.lit(x) for x in LAYOUT_PRIORITY)), F.col("b_type"))
-    pairs = boxes.join(_other(layouts), "page").withColumn("_ov", overlap_area()).withColumn("_vo", overlap_area("b_", "")).where((F.col("_ov") >= least) & (order > 0))
+    pairs = overlapping(boxes, layouts).withColumn("_ov", overlap_area()).withColumn("_vo", overlap_area("b_", "")).where((F.col("_ov") >= least) & (order > 0))
     best = pairs.groupBy("page", "box_id").agg(F.max_by(F.struct("b_type", "b_box_id"), F.struct(-order, F.col("_ov"), F.col("_vo"), F.col("b_box_id"))).alias("_l"))
     out = boxes.join(best, ["page", "box_id"], "left").withColumn("layout_type", F.coalesce("_l.b_type", F.lit("")))
     out = out.withColumn("layoutno", F.when(F.col("_l").isNotNull(), F.concat_ws("-", F.col("_l.b_type"), F.col("_l.b_box_id").cast("string"))).otherwise("")).drop("_l")
@@ -103,8 +127,9 @@ def suppress(boxes: DataFrame, most_iou: float = 0.45, edge: float = 1.0) -> Dat
 
 def clean_layouts(layouts: DataFrame, least: float = 0.7) -> DataFrame:
     """Layouts (page, box_id, type, score, ...) without those that a better one of the same
-    type and page covers, or is covered by, to ``least`` or more; ties keep the earlier."""
-    pairs = layouts.join(_other(layouts), "page").where("b_type = type and b_box_id != box_id")
+    type and page covers, or is covered by, to ``least`` or more; ties keep the earlier.  All doubles go, wherever they come in the page's
+    order; tables.clean_ahead() looks at the next few only."""
+    pairs = overlapping(layouts, layouts).where("b_type = type and b_box_id != box_id")
     better = (F.col("b_score") > F.col("score")) | ((F.col("b_score") == F.col("score")) & (F.col("b_box_id") < F.col("box_id")))
     worse = pairs.where(better & (F.greatest(overlap_area(), overlap_area("b_", "")) >= least)).select("page", "box_id").distinct()
     return layouts.join(worse, ["page", "box_id"], "left_anti")
@@ -113,7 +138,7 @@ def clean_layouts(layouts: DataFrame, least: float = 0.7) -> DataFrame:
 def compose_pages(texts: DataFrame, tables: DataFrame, least: float = 0.5) -> DataFrame:
     """(page, text): recognised boxes outside tables, and the tables (page, box_id, sides,
     markdown), from top to bottom with blank lines between."""
-    covered = texts.join(_other(tables), "page").where(overlap_area() >= least).select("page", "box_id").distinct()
+    covered = overlapping(texts, tables).where(overlap_area() >= least).select("page", "box_id").distinct()
     free = texts.join(covered, ["page", "box_id"], "left_anti").select("page", "top", "x0", F.col("text").alias("t"))
     parts = free.unionByName(tables.select("page", "top", "x0", F.col("markdown").alias("t")))
     return parts.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "t"))), lambda r: r["t"]), "\n\n").alias("text"))

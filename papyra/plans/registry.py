@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries, text_queries, tree_queries, value_queries
+from . import data_queries, model_queries, text_queries, tree_queries, value_queries
 
-_FAMILIES = (data_queries, text_queries, tree_queries, value_queries)
+_FAMILIES = (data_queries, text_queries, tree_queries, value_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
