@@ -67,32 +67,18 @@ class Tokens:
         rest = [c for c in chunks if c not in self.young]
         self.young.update(zip(rest, self._ids(rest)))
 
-    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each of some distinct chunks."""
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of some distinct chunks, remembered or learnt."""
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        out, missing, fresh = list(map(young.get, chunks)), [], set()
-        for i, ids in enumerate(out):
-            if ids is None:
-                c = chunks[i]
-                if (ids := old.get(c)) is not None:
-                    out[i] = young[c] = ids
-                    continue
-                stem = c.rstrip(TAIL)
-                if not (stem and stem[-1].isascii() and stem[-1].isalpha()):
-                    stem = c
-                tail = c[len(stem) :]
-                if stem.isascii():
-                    stem = stem.lower()
-                missing.append((i, stem, tail))
-                fresh.add(stem)
-                fresh.add(tail)
-        for c in fresh & old.keys():
-            young[c] = old[c]
+        out = list(map(young.get, chunks))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        fresh = [chunks[i] for i in missing]
+        young.update((c, old[c]) for c in fresh if c in old)
         self._learn([c for c in fresh if c not in young])
-        for i, stem, tail in missing:
-            out[i] = young[chunks[i]] = young[stem] + young[tail] if tail else young[stem]
+        for i, c in zip(missing, fresh):
+            out[i] = young[c]
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,17 +89,31 @@ class Tokens:
             flat = pc.replace_substring(flat, space, " ")
         split = pc.split_pattern(flat, " ")
         coded = pc.dictionary_encode(split.flatten())
-        known = self._of_chunks(coded.dictionary.to_pylist())
+        # a chunk is a stem and the marks after it, so that fewer chunks are new
+        chunks = coded.dictionary
+        stems = pc.utf8_rtrim(chunks, TAIL)
+        cut = pc.match_substring_regex(stems, "[A-Za-z]$")
+        tails = pc.if_else(cut, pc.replace_substring_regex(chunks, r"(?s)^.*[A-Za-z]", ""), "")
+        stems, tails = (pc.dictionary_encode(x) for x in (pc.ascii_lower(pc.if_else(cut, stems, chunks)), tails))
+        known = self._known(stems.dictionary.to_pylist())
+        first_tail = len(known)
+        known += self._known(tails.dictionary.to_pylist())
         sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
-        ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
-        codes = coded.indices.to_numpy()
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths, dtype=np.int32)
-        # the place of each id among the known ones: steps of one, and a jump where a chunk begins
-        at = np.repeat(starts[codes] - (ends - lengths), lengths)
-        at += np.arange(len(at), dtype=np.int32)
+        units = np.stack([stems.indices.to_numpy(), tails.indices.to_numpy() + first_tail], 1)
+        ids, _ = _picked(np.frombuffer(b"".join(known), "<u4"), sizes, units.ravel())
+        ids, ends = _picked(ids, sizes[units].sum(1, dtype=np.int32), coded.indices.to_numpy())
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return ids[at], np.concatenate([np.zeros(1, np.int32), ends])[offsets]
+        return ids, np.concatenate([np.zeros(1, np.int32), ends])[offsets]
+
+
+def _picked(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``ids``, which are of ``sizes`` in a row, as ``codes`` name them, and where each ends."""
+    starts, lengths = (np.cumsum(sizes, dtype=np.int32) - sizes)[codes], sizes[codes]
+    ends = np.cumsum(lengths, dtype=np.int32)
+    # the place of each id: steps of one, and a jump where a run begins
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at], ends
 
 
 _open: dict[str, Tokens] = {}
