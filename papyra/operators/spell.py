@@ -125,7 +125,7 @@ def apply_fixes(texts: DataFrame, fixes: DataFrame) -> DataFrame:
     The text is cut at the fixes' places and joined again, so positions never shift."""
     one = fixes.where("size(candidates) = 1").join(texts.select("doc_id", "text"), "doc_id")
     here = F.substring(F.col("text"), F.col("position") + 1, F.length("token")) == F.col("token")
-    safe = t.fix_is_safe(F.col("token"), F.col("candidates")[0])["safe"]
+    safe = F.size(t.fix_breaks(F.col("token"), F.col("candidates")[0])) == 0
     good = one.where(here & safe).select("doc_id", F.struct(F.col("position").alias("at"), F.length("token").alias("n"), t.match_case(F.col("token"), F.col("candidates")[0]).alias("to")).alias("f"))
     listed = good.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
     rows = texts.select("doc_id", "text").join(listed, "doc_id", "left").withColumn("fs", F.coalesce("fs", F.expr("cast(array() as array<struct<at:int,n:int,to:string>>)")))

@@ -9,10 +9,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contents, tables
+from ..operators import contents, navigate, tables, tree
 from ..operators.lines import in_order
 from . import derived
-from .derived import BOXES_SQL, ITEMS_SQL, table, unique_items
+from .derived import BOXES_SQL, ITEMS_SQL, OUTLINE_SQL, outline_lines, table, unique_items
 
 #: Entries that the stub gives in one reply before it breaks off.
 A_REPLY = 4
@@ -116,7 +116,33 @@ def region_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.tables_as_markdown(*_order_tables(spark, sf_dir))
 
 
-QUERIES = [contents_turns, scanned_positions, tolerant_positions, layouts_ahead, table_cells, table_spans, region_markdown]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _by_title():
+    """A model that opens a chapter, then the articles that name the target, then their second points; and an id that is none."""
+
+    def ask(prompt: str) -> str:
+        target = re.search(r"^Question: find (.*)$", prompt, re.M)[1]
+        shown = re.findall(r"^- \[([0-9]+)\] (.*)$", prompt, re.M)
+        return json.dumps({"node_list": [i for i, title in shown if title.startswith(("CHƯƠNG", "2. ")) or target in title] + ["no id"]})
+
+    return ask
+
+
+def navigated_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each customer, answered from the outline of its orders and line items."""
+    lines = outline_lines(spark, sf_dir).select("doc_id", "line_num", "level", "line")
+    nodes = lines.select("doc_id", "line_num", F.col("line_num").alias("ord"), "level", F.regexp_replace("line", "^#+ ", "").alias("title"), F.lit(None).cast("string").alias("summary"))
+    nodes = tree.with_node_ids(tree.with_parents(nodes))
+    customers = table(spark, sf_dir, "customer")
+    target = F.element_at(F.array(*(F.lit(p) for p in PRIORITIES)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    questions = customers.select(F.col("c_custkey").alias("question_id"), F.col("c_custkey").alias("doc_id"), F.concat(F.lit("find "), target).alias("question"))
+    names = customers.select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("filename"))
+    return navigate.navigate(questions, nodes, lines.select("doc_id", "line_num", "line"), names, _by_title)
+
+
+QUERIES = [navigated_contexts, contents_turns, scanned_positions, tolerant_positions, layouts_ahead, table_cells, table_spans, region_markdown]
 
 _GRID_SQL = f"""{ITEMS_SQL},
 it AS (SELECT l_orderkey AS page, l_quantity, l_linestatus, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM items),
@@ -125,6 +151,19 @@ cells AS (
   UNION ALL SELECT DISTINCT page, 0, j, CASE WHEN j = 1 AND page % 5 = 0 THEN 'quantity' ELSE (['quantity', 'price', 'flag'])[j + 1] END FROM it, (SELECT unnest([0, 1, 2]) AS j))"""
 
 SQL = {
+    "navigated_contexts": f"""
+WITH {OUTLINE_SQL},
+q AS (SELECT c_custkey AS doc_id, c_name, ({PRIORITIES})[(c_custkey % 5 + 1)::INTEGER] AS target FROM customer),
+o AS (SELECT outline.* FROM outline JOIN q USING (doc_id) WHERE level = 2 AND contains(line, target)),
+i AS (SELECT outline.* FROM outline JOIN o ON outline.doc_id = o.doc_id AND outline.up = o.own WHERE outline.level = 3 AND outline.line LIKE '### 2. %'),
+p AS (
+  SELECT doc_id, line_num, line FROM i
+  UNION ALL SELECT doc_id, line_num, line FROM o WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = o.doc_id AND i.up = o.own)
+  UNION ALL SELECT doc_id, line_num, line FROM outline WHERE level = 1 AND doc_id NOT IN (SELECT doc_id FROM o)),
+m AS (SELECT doc_id, max(line_num) AS last_line FROM outline GROUP BY doc_id)
+SELECT doc_id AS question_id, doc_id, string_agg('[Nguồn: ' || c_name || ', Dòng: ' || line_num || '-' || CASE WHEN line_num = last_line THEN '...' ELSE line_num::VARCHAR END || ']' || chr(10) || line,
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY line_num) AS context
+FROM p JOIN q USING (doc_id) JOIN m USING (doc_id) GROUP BY doc_id""",
     "contents_turns": f"""
 WITH k AS (
   SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderpriority AS title, o_orderkey % 300 AS page FROM orders)

@@ -18,7 +18,6 @@ from .text_queries import _ANY, _LOWER, _PLAIN, _TITLE, _WORDS, STRIPPED_SQL, _K
 #: Lines of letterheads and closings, by the remainder of the key.
 LINES = ["Số: 12/QĐ", "Hà Nội, ngày 3 tháng 4 năm 2020", "Nơi nhận:", "CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM", "TM.ỦY BAN", "Về việc mua sắm", "plain words"]
 NAMES = ["Hà Nội", "plain words", "VIỆT NAM", "Acme Corp", "One", "đường/phố"]
-FIXES = [("same", "same"), ("a", "bc"), ("có 12 mục", "có 13 mục"), ("hợp đông", "hợp đồng"), ("x" * 40, "y" * 40), ("Điều 3 cũ", "Điều 3 mới"), ("một hai", "một hai ba bốn")]
 
 
 def _pick(values: list, key: Column) -> Column:
@@ -54,9 +53,12 @@ def straight_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safe_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir).select("o_orderkey", _pick([a for a, _ in FIXES], F.col("o_orderkey")).alias("a"), _pick([b for _, b in FIXES], F.col("o_orderkey")).alias("b"))
-    found = lines.judged(rows, F.col("a"), lambda a: [t.fix_is_safe(a, F.col("b")).alias("f")])
-    return found.select("o_orderkey", "f.safe", "f.reason")
+    """The first words of a text, replaced by the next ones."""
+    words = F.split("text", " ")
+    n, m = F.col("doc_id") % 4 + 1, F.col("doc_id") % 3 + 1
+    part = lambda at, k: F.array_join(F.slice(words, at.cast("int"), k.cast("int")), " ")
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", part(F.lit(1), n).alias("a"), part(n + 1, m).alias("b"))
+    return lines.judged(rows, F.col("a"), lambda a: [F.array_join(t.fix_breaks(a, F.col("b")), " ").alias("breaks")]).select("doc_id", "breaks")
 
 
 def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,8 +305,16 @@ FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)""",
     "line_feature_rows": rf"""WITH {OUTLINE_SQL}, b AS (SELECT doc_id, line_num, regexp_replace(line, '^#+ ', '') AS s FROM outline)
 SELECT doc_id, line_num, {_KIND} AS marker_kind, {_TITLE} AS title_like, (s = '' OR ({_PLAIN} <= 1 AND length(s) <= 8) OR regexp_matches(s, '^\d+\s*$')) AS noise_like, {_ANY} AS starts_marker, regexp_matches(s, '^[-–•+]') AS starts_bullet, false AS subject_like, false AS footer_section_like FROM b""",
     "straight_quotes": """SELECT o_orderkey, '"' || o_orderpriority || '"  – đ…' AS clean FROM orders""",
-    "safe_fixes": """SELECT o_orderkey, k = 3 AS safe, (['empty or unchanged fix', 'source too short', 'numbers/codes are protected', 'generic shape is safe', 'fix too long', 'structural/metadata text is protected', 'token count changes too much'])[k + 1] AS reason
-FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)""",
+    "safe_fixes": f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws, doc_id % 4 + 1 AS n, doc_id % 3 + 1 AS m FROM documents),
+f AS (SELECT doc_id, regexp_replace(array_to_string(ws[1 : n], ' '), '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(array_to_string(ws[n + 1 : n + m], ' '), '^\\s+|\\s+$', '', 'g') AS b FROM w),
+c AS (SELECT doc_id, coalesce(a, '') AS a, coalesce(b, '') AS b FROM f),
+k AS (SELECT *, CASE WHEN a = '' THEN 0 ELSE len(regexp_split_to_array(a, '\\s+')) END AS wa, CASE WHEN b = '' THEN 0 ELSE len(regexp_split_to_array(b, '\\s+')) END AS wb FROM c)
+SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN contains(a, chr(10)) OR contains(b, chr(10)) THEN 'layout' END, CASE WHEN a = b THEN 'nothing' END,
+  CASE WHEN regexp_replace(a, '[^0-9]', '', 'g') <> regexp_replace(b, '[^0-9]', '', 'g') THEN 'numbers' END,
+  CASE WHEN length(a) < 2 OR length(a) > 36 OR length(b) > 44 OR length(b) > 2 * length(a) + 6 THEN 'size' END,
+  CASE WHEN {_KIND.replace("(s,", "(a,")} <> '' THEN 'structure' END,
+  CASE WHEN greatest(wa, wb) > 5 OR abs(wa - wb) > 1 THEN 'words' END], lambda x: x IS NOT NULL), ' ') AS breaks FROM k""",
     "page_tags": """SELECT o_orderkey, tag || chr(10) || o_orderpriority || ' :  ' || o_orderkey || ' : end' || chr(10) || tag || chr(10) || '<physical_index_7>' || chr(10) || 'x' || chr(10) || '<physical_index_7>' || chr(10) AS tagged, p || ' ' || p || ' 7 7' AS pages
 FROM (SELECT *, o_orderkey % 50 AS p, '<physical_index_' || (o_orderkey % 50) || '>' AS tag FROM orders)""",
     "phrase_windows": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'absent' ELSE 'a2 a3 a4 ' || o_orderstatus || ' b1 b2 b3' END AS \"window\" FROM orders",

@@ -102,7 +102,7 @@ def test_helpers():
 
 def test_pages_numbers_and_places(spark, rows):
     pages = spark.createDataFrame([(1, 2, "B.......... 9\n"), (1, 1, "A . . . . . . 4\n"), (2, 1, None)], "doc_id long, page int, text string")
-    assert rows(contents.raw_contents(pages)) == [(1, "A : 4\nB:  9\n"), (2, "")] or [r[0] for r in rows(contents.raw_contents(pages))] == [1, 2]
+    assert rows(contents.raw_contents(pages)) == [(1, "A : 4\nB:  9\n"), (2, "")]
     docs = spark.createDataFrame([(1, "A: 4"), (2, "A"), (3, None)], "doc_id long, contents string")
     said = contents.has_page_numbers(docs, lambda: lambda p, schema: '{"numbered": "YES"}' if re.search(r": \d", p) else "no idea")
     assert [(r[0], r[2]) for r in rows(said)] == [(1, True), (2, False), (3, False)]
