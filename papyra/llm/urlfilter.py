@@ -1,10 +1,14 @@
 """URL filter: stated rules, and a tree of path templates judged by labels.
 
-For every host the tree is built from the root.  At each depth a position with
-many rarely seen segments is variable, and those segments become ``*``; a
-segment that is seen often, or whose labels differ significantly from those of
-the rest, is a branch.  Branches of similar labelled shares are merged.  A
-template whose smoothed share of bad labels is high rejects its pages.
+For every host the tree is built from the root.  A position with many segments of
+which none has much of the node's pages is variable, and those segments become
+``*``; a segment that has much of them, or whose labels differ significantly from
+those of the rest, is a branch.  Branches of similar labelled shares are merged.
+A template's share of bad labels is smoothed towards that of the node above, up
+to the host; where it is high, the template rejects its pages.
+
+In a template ``*`` and ``|`` stand for any segment and for one or the other; where
+a segment itself has them, or a backslash, a backslash goes before.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import at_most, looked_up, materialise
 from .linededup import host_of
 
-#: A segment with fewer pages is rare, and a node with that many distinct rare segments is variable there.
-SUPPORT, DISTINCT = 5, 5
+#: A segment with at most this part of its node's pages is rare, and a node with so many distinct rare segments is variable there.
+DISTINCT = 5
 #: Two-sided 5 % point of the normal distribution, for the comparison of two shares.
 Z = 1.96
 #: Classes of labelled shares, of equal width on the arcsine scale, within which branches are compared.
@@ -58,6 +62,11 @@ def _with_totals(children: DataFrame, keys: list[str], sums: dict[str, Column])
     return looked_up(children, totals, keys, F.xxhash64("seg"), at_most(totals, BROADCAST_NODES))
 
 
+def _literal(seg: Column) -> Column:
+    """A segment in a template, told apart from wildcards and merged names."""
+    return F.regexp_replace(seg, r"([\\*|])", r"\\$1")
+
+
 def _branches(children: DataFrame) -> DataFrame:
     """(host, tmpl, seg, name) of the children (n, bad, good) of every node: ``*`` for the
     rare segments of a variable position, a common name for branches that are
@@ -66,9 +75,11 @@ def _branches(children: DataFrame) -> DataFrame:
     Rare segments are pooled but for those whose labels differ from the pool's.
     Branches with labels are alike if their smoothed shares are of one class and
     neither differs from the class's other labels; a branch without labels shows
-    no likeness.  All are sums over children: no node is collected."""
-    rare, m = F.col("n") < SUPPORT, F.col("m")
-    children = children.withColumn("m", F.col("bad") + F.col("good"))
+    no likeness.  All are sums over children: no node is collected, and as rareness
+    is a part of the node's pages, more data of the same kind give the same names."""
+    m = F.col("m")
+    children = _with_totals(children.withColumn("m", F.col("bad") + F.col("good")), ["host", "tmpl"], {"all_n": F.col("n")})
+    rare = F.col("n") * DISTINCT <= F.col("all_n")
     pool = {"rare": rare.cast("int"), "rare_bad": F.when(rare, F.col("bad")), "rare_m": F.when(rare, m)}
     pooled = rare & (F.col("rare") >= DISTINCT) & ~_differs(F.col("bad"), m, F.col("rare_bad"), F.col("rare_m"))
     grade = F.floor(F.asin(F.sqrt((F.col("bad") + 1) / (m + 2))) * (2 * GRADES / math.pi))
@@ -78,41 +89,79 @@ def _branches(children: DataFrame) -> DataFrame:
     alike = materialise(graded.where(~_differs(F.col("bad"), m, F.col("all_bad"), F.col("all_m"))).select("host", "tmpl", "seg", "grade"), "alike")
     sets = alike.groupBy("host", "tmpl", "grade").agg(F.min("seg").alias("a"), F.max("seg").alias("z"), F.count("*").alias("of"))
     # two sets have no segment in common, so their first ones tell them apart
-    name = F.when(F.col("of") == 1, F.col("a")).when(F.col("of") == 2, F.concat_ws("|", "a", "z")).otherwise(F.concat_ws("|", "a", F.concat(F.lit("…"), F.col("of") - 2), "z"))
+    first, last = _literal(F.col("a")), _literal(F.col("z"))
+    name = F.when(F.col("of") == 1, first).when(F.col("of") == 2, F.concat_ws("|", first, last)).otherwise(F.concat_ws("|", first, F.concat(F.lit("…"), F.col("of") - 2), last))
     sets = materialise(sets.select("host", "tmpl", "grade", name.alias("name")), "sets")
     named = looked_up(alike, sets, ["host", "tmpl", "grade"], F.xxhash64("seg"), at_most(sets, BROADCAST_NODES)).select("host", "tmpl", "seg", "name")
     alone = placed.join(named.select("host", "tmpl", "seg"), ["host", "tmpl", "seg"], "left_anti")
-    return named.union(alone.select("host", "tmpl", "seg", F.when(F.col("pooled"), "*").otherwise(F.col("seg"))))
+    return named.union(alone.select("host", "tmpl", "seg", F.when(F.col("pooled"), "*").otherwise(_literal(F.col("seg")))))
+
+
+def _smoothed(bad: Column, m: Column, above: Column) -> Column:
+    """Share of bad labels with two more, one as undecided as can be and one like the node above.
+
+    So a template without labels leans to its branch, but no other branch's labels reject it."""
+    return (bad + 0.5 + above + 0.5) / (m + 3)
+
+
+_PATH = ["host", "path", "n", "bad", "good"]
+_NODE = ["segs", "tmpl", "p", "above"]
+
+
+def _shared_steps(live: DataFrame) -> DataFrame:
+    """``live`` behind the segments that all paths of their node share, however many: so
+    rounds follow the branching, not the length of paths.
+
+    The first and the last of a node's paths share what all of them share.  A path
+    alone in its node is settled with all its segments."""
+    size = F.size
+    nodes = live.groupBy("host", "tmpl").agg(F.min("segs").alias("lo"), F.max("segs").alias("hi"), F.count("*").alias("paths"), F.sum("bad").alias("_bad"), F.sum(F.col("bad") + F.col("good")).alias("_m"))
+    same = F.zip_with("lo", "hi", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    differ = F.array_position(same, False)
+    nodes = materialise(nodes.select("host", "tmpl", F.when(differ > 0, differ - 1).otherwise(size(same)).cast("int").alias("steps"), (F.col("paths") == 1).alias("lone"), "_bad", "_m"), "nodes")
+    rows = looked_up(live, nodes, ["host", "tmpl"], F.xxhash64("path"), at_most(nodes, BROADCAST_NODES))
+    taken = F.transform(F.slice("segs", F.lit(1), F.col("steps")), _literal)
+    # the purities of the nodes passed follow p -> a + b p
+    a, b = (F.col("_bad") + 1) / (F.col("_m") + 3), 1 / (F.col("_m") + 3)
+    at = lambda k: F.pow(b, k) * F.col("p") + a * (1 - F.pow(b, k)) / (1 - b)
+    moved = (F.col("steps") > 0) & ~F.col("lone")
+    return rows.select(
+        *_PATH, F.slice("segs", F.col("steps") + 1, size("segs")).alias("segs"), F.when(F.col("steps") > 0, F.concat("tmpl", F.lit("/"), F.array_join(taken, "/"))).otherwise(F.col("tmpl")).alias("tmpl"),
+        F.when(moved, at(F.col("steps"))).otherwise(F.col("p")).alias("p"), F.when(moved, at(F.col("steps") - 1)).when(F.col("lone"), F.col("p")).otherwise(F.col("above")).alias("above"),
+    )
 
 
 def path_templates(urls: DataFrame) -> DataFrame:
     """(host, path, template, n, bad, good, purity) of every distinct host and path.
 
-    ``urls`` has host, path and bad (1, 0, or null where no label is known).
-    purity is (bad + 1) / (bad + good + 2) over the template, so one half where no
-    label is known and below 0.7 until two labels say bad.  Empty segments do not
-    count; the rest of a path that is alone in its node is settled at once, by
-    its own pages.  An empty table gives an empty result."""
-    paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(F.when(F.col("bad") == 1, 1)).alias("bad"), F.count(F.when(F.col("bad") == 0, 1)).alias("good"))
+    ``urls`` has host, path and bad (1, 0, or null where no label is known).  n, bad
+    and good are of the pages that end at the template; purity is their share of bad
+    labels as smoothed by the node above: (bad + 1 + above) / (bad + good + 3), the
+    same of all labels below each node, one half above the host.  Without labels it
+    stays under 2/3.  Empty segments do not count.  Null hosts and paths are of no
+    template.  An empty table gives an empty result."""
+    paths = urls.where("host is not null and path is not null").groupBy("host", "path")
+    paths = paths.agg(F.count("*").alias("n"), F.count(F.when(F.col("bad") == 1, 1)).alias("bad"), F.count(F.when(F.col("bad") == 0, 1)).alias("good"))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    columns = ["host", "path", "n", "bad", "good", "segs", "tmpl"]
-    state = materialise(paths.select("host", "path", "n", "bad", "good", parts.alias("segs"), F.lit("").alias("tmpl")), "paths")
-    ended, depth = state.where(F.size("segs") == 0), 0
-    while not (live := state.where(F.size("segs") > depth)).isEmpty():
-        seg = F.get("segs", F.lit(depth))
-        at = live.select("host", "tmpl", seg.alias("seg"), "n", "bad", "good")
-        children = materialise(at.groupBy("host", "tmpl", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "good")), F.count("*").alias("paths")), "children")
-        lone = children.groupBy("host", "tmpl").agg(F.sum("paths").alias("paths")).where("paths = 1").select("host", "tmpl", F.lit(True).alias("lone"))
-        named = _branches(children.drop("paths")).join(lone, ["host", "tmpl"], "left")
-        rest = F.transform(F.slice("segs", depth + 1, F.size("segs")), lambda x: F.when(F.col("n") >= SUPPORT, x).otherwise("*"))
-        state = live.withColumn("seg", seg).join(named, ["host", "tmpl", "seg"])
-        step = F.when(F.col("lone"), F.array_join(rest, "/")).otherwise(F.col("name"))
-        state = state.withColumn("tmpl", F.concat("tmpl", F.lit("/"), step)).withColumn("over", F.coalesce("lone", F.lit(False)) | (F.size("segs") == depth + 1))
-        state = materialise(state.select(*columns, "over"), "paths")
-        ended, state, depth = ended.union(state.where("over").select(columns)), state.where("not over").select(columns), depth + 1
+    root = _with_totals(materialise(paths.withColumn("seg", F.col("path")), "paths"), ["host"], {"_bad": F.col("bad"), "_m": F.col("bad") + F.col("good")})
+    state = root.select(*_PATH, parts.alias("segs"), F.lit("").alias("tmpl"), _smoothed(F.col("_bad"), F.col("_m"), F.lit(0.5)).alias("p"), F.lit(0.5).alias("above"))
+    state = materialise(state, "paths")
+    ended = state.where(F.size("segs") == 0)
+    while not (live := state.where(F.size("segs") > 0)).isEmpty():
+        state = materialise(_shared_steps(live), "paths")
+        ended, live = ended.union(state.where(F.size("segs") == 0)), state.where(F.size("segs") > 0)
+        seg = F.get("segs", F.lit(0))
+        children = live.select("host", "tmpl", seg.alias("seg"), "n", "bad", "good").groupBy("host", "tmpl", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "good")))
+        named = _branches(materialise(children, "children"))
+        below = live.withColumn("seg", seg).join(named, ["host", "tmpl", "seg"])
+        below = materialise(below.select(*_PATH, F.slice("segs", 2, F.size("segs")).alias("segs"), F.concat("tmpl", F.lit("/"), "name").alias("tmpl"), F.col("p").alias("above"), "seg"), "below")
+        sums = {"_bad": F.col("bad"), "_m": F.col("bad") + F.col("good")}
+        state = _with_totals(below, ["host", "tmpl"], sums).withColumn("p", _smoothed(F.col("_bad"), F.col("_m"), F.col("above")))
+        state = materialise(state.select(*_PATH, *_NODE), "paths")
+        ended = ended.union(state.where(F.size("segs") == 0))
     sums = materialise(ended.groupBy("host", "tmpl").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "bad", "good"))), "purity")
-    purity = (F.col("t_bad") + 1) / (F.col("t_bad") + F.col("t_good") + 2)
     judged = looked_up(ended, sums, ["host", "tmpl"], F.xxhash64("path"), at_most(sums, BROADCAST_NODES))
+    purity = _smoothed(F.col("t_bad"), F.col("t_bad") + F.col("t_good"), F.col("above"))
     return judged.select("host", "path", F.col("tmpl").alias("template"), F.col("t_n").alias("n"), F.col("t_bad").alias("bad"), F.col("t_good").alias("good"), purity.alias("purity"))
 
 

@@ -8,6 +8,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -419,11 +420,11 @@ def test_templates_reach_the_true_depth(spark):
     judged = {r.url: (r.template, r.verdict) for r in urlfilter.judge_urls(pages, [], spark.createDataFrame(rows, "url string, bad int")).collect()}
     assert all(judged[u] == (f"/a/b/c/d/e/f/{'spam' if bad else 'news'}/x/*", "block" if bad else "allow") for u, bad in rows)
     assert judged["http://h.com/a/b/c/d/e/f/spam/x/new"] == ("/a/b/c/d/e/f/spam/x/*", "block")
-    assert judged["http://alone.com/" + "s/1/" * 300] == ("/*" * 600, "allow")
+    assert judged["http://alone.com/" + "s/1/" * 300] == ("/s/1" * 300, "allow")
 
 
-def brute_templates(paths, support=5, distinct=5):
-    """Template of each path of a host ({path: [n, bad, good]}), node by node."""
+def brute_templates(paths, distinct=5):
+    """(template, purity of the node above) of each path of a host ({path: [n, bad, good]}), node by node."""
 
     def differs(bad, m, all_bad, all_m):
         rest = all_m - m
@@ -432,21 +433,28 @@ def brute_templates(paths, support=5, distinct=5):
         p = all_bad / all_m
         return abs(bad / m - (all_bad - bad) / rest) > 1.96 * (p * (1 - p) * (1 / m + 1 / rest)) ** 0.5
 
+    literal = lambda s: s.replace("\\", "\\\\").replace("*", "\\*").replace("|", "\\|")
     out = {}
 
-    def walk(node, prefix):
+    def purity(node, above):
+        bad, m = (sum(paths[p][1] for p, _ in node), sum(paths[p][1] + paths[p][2] for p, _ in node))
+        return (bad + 1 + above) / (m + 3)
+
+    def walk(node, prefix, above):
+        own = purity(node, above)
         for path, _ in [x for x in node if not x[1]]:
-            out[path] = prefix
+            out[path] = (prefix, above)
         node = [x for x in node if x[1]]
         if len(node) == 1:
             path, segs = node[0]
-            out[path] = prefix + "".join("/" + (s if paths[path][0] >= support else "*") for s in segs)
+            out[path] = (prefix + "".join("/" + literal(s) for s in segs), own)
             return
         kids = defaultdict(lambda: [0, 0, 0])
         for path, segs in node:
             for k in range(3):
                 kids[segs[0]][k] += paths[path][k]
-        rare = {s: v for s, v in kids.items() if v[0] < support}
+        total = sum(v[0] for v in kids.values())
+        rare = {s: v for s, v in kids.items() if v[0] * distinct <= total}
         pool_bad, pool_m = sum(v[1] for v in rare.values()), sum(v[1] + v[2] for v in rare.values())
         name, grades = {}, defaultdict(list)
         for s, (_, bad, good) in kids.items():
@@ -455,19 +463,21 @@ def brute_templates(paths, support=5, distinct=5):
             elif bad + good:
                 grades[int(math.asin(((bad + 1) / (bad + good + 2)) ** 0.5) * 10 / math.pi)].append(s)
             else:
-                name[s] = s
+                name[s] = literal(s)
         for members in grades.values():
             all_bad, all_m = sum(kids[s][1] for s in members), sum(kids[s][1] + kids[s][2] for s in members)
             alike = sorted(s for s in members if not differs(kids[s][1], kids[s][1] + kids[s][2], all_bad, all_m))
-            joined = "|".join(alike) if len(alike) < 3 else f"{alike[0]}|…{len(alike) - 2}|{alike[-1]}"
-            name |= {s: joined if s in alike else s for s in members}
+            lits = [literal(s) for s in alike]
+            joined = "|".join(lits) if len(alike) < 3 else f"{lits[0]}|…{len(alike) - 2}|{lits[-1]}"
+            name |= {s: joined if s in alike else literal(s) for s in members}
         below = defaultdict(list)
         for path, segs in node:
             below[name[segs[0]]].append((path, segs[1:]))
+        # a node that all share is no new set of pages, so its own purity follows from the whole node's
         for step, rest in below.items():
-            walk(rest, f"{prefix}/{step}")
+            walk(rest, f"{prefix}/{step}", own)
 
-    walk([(p, [s for s in p.split("/") if s]) for p in paths], "")
+    walk([(p, [s for s in p.split("/") if s]) for p in paths], "", 0.5)
     return out
 
 
@@ -481,6 +491,7 @@ def test_templates_match_brute_force(spark, monkeypatch, most):
         host, s = rng.choice(["a.com", "b.org"]), rng.choice([*section, f"rare{rng.randrange(40)}"])
         tail = rng.choice(["", f"/{rng.randrange(500)}", f"/list/{rng.randrange(4)}", f"/p{rng.randrange(3)}/q/{rng.randrange(9)}/"])
         rows.append((host, f"/{s}{tail}", rng.choice([None, int(rng.random() < section.get(s, 0.5))])))
+    rows += [("c.com", f"/x/y/z/{i % 2}/w{'/deep' * 40}/{i}", i % 3 and 1) for i in range(12)] + [("d.org", f"/{s}/{i}", 1) for s in ("*", "a|b", "a", "b", "\\\\") for i in range(7)] + [("d.org", "/x/y", None)]
     frame = spark.createDataFrame([*rows, ("", "", None), ("c.com", "//x//", 1)], "host string, path string, bad int").repartition(3)
     got = {(r.host, r.path): (r.template, r.n, r.bad, r.good, r.purity) for r in urlfilter.path_templates(frame).collect()}
     counts = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
@@ -490,15 +501,45 @@ def test_templates_match_brute_force(spark, monkeypatch, most):
     want = {}
     for host, paths in counts.items():
         templates, sums = brute_templates(paths), defaultdict(lambda: [0, 0, 0])
-        for path, t in templates.items():
+        for path, (t, _) in templates.items():
             for k in range(3):
                 sums[t][k] += paths[path][k]
-        for path, t in templates.items():
+        for path, (t, above) in templates.items():
             n, bad, good = sums[t]
-            want[host, path] = (t, n, bad, good, (bad + 1) / (bad + good + 2))
+            want[host, path] = (t, n, bad, good, pytest.approx((bad + 1 + above) / (bad + good + 3)))
     assert got == want and any("|" in t for t, *_ in want.values()) and any("v2" in t for t, *_ in want.values())
 
 
+def test_a_literal_star_is_no_wildcard(spark):
+    pages = [f"http://h.org/a/*/{i}" for i in range(6)] + [f"http://h.org/a/{i}" for i in range(6)] + ["http://h.org/x|y/1", "http://h.org/x|y/2"]
+    judged = {r.url: (r.template, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame([(u,) for u in pages], "url string"), [("block", "h.org/a/*")]).collect()}
+    assert all(judged[f"http://h.org/a/{i}"] == ("/a/*", "allow") and judged[f"http://h.org/a/*/{i}"] == (r"/a/\*/*", "block") for i in range(6))
+    assert judged["http://h.org/x|y/1"] == (r"/x\|y/1", "allow")
+
+
+@pytest.mark.parametrize("each", [2, 20])
+def test_ids_are_variable_however_often_each_is_seen(spark, each):
+    rows = [(f"http://h.org/u/{i}/p?{k}",) for i in range(50) for k in range(each)] + [(f"http://h.org/about?{k}",) for k in range(100)]
+    found = {r.template for r in urlfilter.judge_urls(spark.createDataFrame(rows, "url string"), []).collect()}
+    assert found == {"/u/*/p", "/about"}
+
+
+def test_unlabelled_templates_lean_to_their_branch_and_are_not_rejected_for_it(spark):
+    rows = [(f"http://{h}/x/{k}/{i}", None if k == "new" else b) for h, b in (("bad.org", 1), ("good.org", 0)) for k in ("old", "new") for i in range(30)]
+    pages = spark.createDataFrame([(u,) for u, _ in rows], "url string")
+    got = {(r.host, r.template): (r.purity, r.verdict) for r in urlfilter.judge_urls(pages, [], spark.createDataFrame([r for r in rows if r[1] is not None], "url string, bad int")).collect()}
+    assert got["bad.org", "/x/new/*"][0] > 0.5 > got["good.org", "/x/new/*"][0]
+    assert got["bad.org", "/x/new/*"][1] == "allow" and got["bad.org", "/x/old/*"][1] == "block" and got["good.org", "/x/old/*"][1] == "allow"
+
+
+def test_twins_of_many_segments_take_few_rounds(spark):
+    trap = "http://t.org/" + "loop/" * 300
+    pages = spark.createDataFrame([(trap + "a",), (trap + "b",), (trap,)], "url string")
+    began = time.time()
+    got = {r.url: r.template for r in urlfilter.judge_urls(pages, []).collect()}
+    assert got == {trap + x: "/loop" * 300 + (f"/{x}" if x else "") for x in ("a", "b", "")} and time.time() - began < 60
+
+
 def test_few_rare_branches_stay_apart(spark):
     urls = ["en"] * 16 + ["fr"] * 3 + ["es"] * 2 + ["de"]
     rows = [(f"http://h.com/{s}/{i}", None if s in ("en", "fr", "de") else 1) for i, s in enumerate(urls)]
