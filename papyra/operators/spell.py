@@ -118,6 +118,67 @@ def compounds(flagged: DataFrame, words: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "token", "position", "compound_with").agg(F.transform(ranked, lambda r: r["x"]).alias("compound_candidates"))
 
 
+#: White space that may stand between the words of a compound.
+COMPOUND_GAP = 2
+
+
+def compound_fixes(flagged: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, token, position, compound_with, start, end, compound_candidates): flagged
+    tokens (doc_id, token, position, base_form) that form a known term of two words
+    with a neighbour in their text (doc_id, text), flagged or not.
+
+    The next flagged token comes first, if one blank at most lies between; it is then
+    part of the compound and forms none of its own.  Else the next word does, else the
+    one before, if it has letters only.  ``start`` and ``end`` bound both words, so
+    that one fix replaces them.  Candidates are the terms of ``words`` (term, freq)
+    with that base form, most frequent first, five at most.  Null texts have no
+    tokens; no flagged tokens give no rows."""
+    w = Window.partitionBy("doc_id").orderBy("position")
+    end = F.col("position") + F.length("token")
+    rows = flagged.select("doc_id", "token", "position", "base_form").join(texts.select("doc_id", "text"), "doc_id").withColumn("_end", end)
+    rows = rows.withColumns({"_next": F.lead("token").over(w), "_next_at": F.lead("position").over(w), "_next_base": F.lead("base_form").over(w), "_nth": F.row_number().over(w)})
+    between = F.substring(F.col("text"), F.col("_end") + 1, F.col("_next_at") - F.col("_end"))
+    after, before = F.substring(F.col("text"), F.col("_end") + 1, F.length("text")), F.substring(F.col("text"), F.lit(1), F.col("position"))
+    gap_after = F.length(F.regexp_extract(after, r"^(?U)(\s*)", 1))
+    gap_before = F.length(F.regexp_extract(before, r"(?U)(\s*)$", 1))
+    following, leading = F.regexp_extract(after, r"^(?U)\s*(\S+)", 1), F.regexp_extract(before, r"(?U)(\S+)\s*$", 1)
+    letters = rf"^[{t.LETTER}]+$"
+
+    def option(kind: int, test: Column, other: Column, base: Column, start: Column, stop: Column) -> Column:
+        return F.when(test, F.struct(F.lit(kind).alias("kind"), other.alias("with"), base.alias("base"), start.alias("start"), stop.alias("end")))
+
+    pair = lambda a, b: F.concat_ws(" ", a, b)
+    options = F.array_compact(F.array(
+        option(1, F.col("_next").isNotNull() & between.rlike(r"^(?U)\s?$"), F.col("_next"), pair("base_form", "_next_base"), F.col("position"), F.col("_next_at") + F.length("_next")),
+        option(2, following.rlike(letters) & (gap_after <= COMPOUND_GAP), following, pair("base_form", t.strip_diacritics(following)), F.col("position"), F.col("_end") + gap_after + F.length(following)),
+        option(3, leading.rlike(letters) & (gap_before <= COMPOUND_GAP), leading, pair(t.strip_diacritics(leading), "base_form"), F.col("position") - gap_before - F.length(leading), F.col("_end")),
+    ))
+    offered = rows.select("doc_id", "token", "position", "_nth", F.explode(options).alias("o")).select("doc_id", "token", "position", "_nth", "o.*")
+    hits = offered.join(base_forms(words), "base").where("term != base")
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), F.col("term").alias("x")))), 1, COMPOUND_CANDIDATES)
+    found = hits.groupBy("doc_id", "token", "position", "_nth", "kind", "with", "start", "end").agg(F.transform(ranked, lambda r: r["x"]).alias("compound_candidates"))
+    by_kind = {k: F.max(F.when(F.col("kind") == k, F.struct("with", "start", "end", "compound_candidates"))).alias(f"_{k}") for k in (1, 2, 3)}
+    tokens_ = found.groupBy("doc_id", "token", "position", "_nth").agg(*by_kind.values())
+    # in a run of tokens that could each take the next one, every other one does
+    linked = tokens_.where("_1 is not null").select("doc_id", "_nth", (F.col("_nth") - F.row_number().over(Window.partitionBy("doc_id").orderBy("_nth"))).alias("_run"))
+    takes = linked.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("_nth"))).where("_k % 2 = 1").select("doc_id", "_nth")
+    taken = takes.select("doc_id", (F.col("_nth") + 1).alias("_nth"))
+    free = tokens_.join(taken, ["doc_id", "_nth"], "left_anti").join(takes.withColumn("_takes", F.lit(True)), ["doc_id", "_nth"], "left")
+    best = F.coalesce(F.when(F.col("_takes"), F.col("_1")), F.col("_2"), F.col("_3"))
+    out = free.withColumn("_b", best).where("_b is not null")
+    return out.select("doc_id", "token", "position", F.col("_b.with").alias("compound_with"), "_b.start", "_b.end", "_b.compound_candidates")
+
+
+def apply_compounds(texts: DataFrame, compounds: DataFrame) -> DataFrame:
+    """apply_fixes() of the compounds that have one candidate, each a single fix over both
+    words; of those that overlap, the first."""
+    one = compounds.where("size(compound_candidates) = 1").join(texts.select("doc_id", "text"), "doc_id")
+    before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    apart = one.withColumn("_before", before).where("_before is null or start >= _before")
+    both = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return apply_fixes(texts, apart.select("doc_id", both.alias("token"), F.col("start").alias("position"), F.col("compound_candidates").alias("candidates")))
+
+
 def apply_fixes(texts: DataFrame, fixes: DataFrame) -> DataFrame:
     """(doc_id, text, n_fixes): unambiguous fixes (doc_id, token, position, candidates of
     size one) put in at their positions, in the case of what they replace.

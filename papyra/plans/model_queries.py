@@ -9,7 +9,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contents, navigate, tables, tree
+from ..operators import contents, navigate, spell, tables, tree
 from ..operators.lines import in_order
 from . import derived
 from .derived import BOXES_SQL, ITEMS_SQL, OUTLINE_SQL, outline_lines, table, unique_items
@@ -142,7 +142,18 @@ def navigated_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigate.navigate(questions, nodes, lines.select("doc_id", "line_num", "line"), names, _by_title)
 
 
-QUERIES = [navigated_contexts, contents_turns, scanned_positions, tolerant_positions, layouts_ahead, table_cells, table_spans, region_markdown]
+def compound_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of texts that with a neighbour are a pair which texts of the same language have with accents; the tests restate it."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pair = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(?=\b(\p{L}+ \p{L}+)\b)"), F.lit(1)))
+    terms = texts.where("lang in ('es', 'fr')").select(pair.alias("term")).where(F.col("term").rlike("[à-ÿ]"))
+    words = terms.groupBy("term").agg(F.count("*").alias("freq")).where("freq >= 3")
+    plain = spell.tokens(texts).where(F.col("token").rlike("^[a-z]{4,}$")).withColumn("base_form", F.col("token"))
+    found = spell.compound_fixes(plain, texts, words)
+    return found.select("doc_id", "token", "position", "compound_with", "start", "end", F.array_join("compound_candidates", ",").alias("compound_candidates"))
+
+
+QUERIES = [navigated_contexts, compound_tokens, contents_turns, scanned_positions, tolerant_positions, layouts_ahead, table_cells, table_spans, region_markdown]
 
 _GRID_SQL = f"""{ITEMS_SQL},
 it AS (SELECT l_orderkey AS page, l_quantity, l_linestatus, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM items),

@@ -267,9 +267,9 @@ SELECT doc_id, coalesce(arg_max(s, d) FILTER (WHERE length(s) <= 8000), max(s[1:
     "subtree_size": f"""WITH {_TREE_SQL}, own_and_below AS (SELECT doc_id, own AS top, title FROM nodes UNION ALL SELECT doc_id, up, title FROM nodes WHERE up IS NOT NULL UNION ALL SELECT doc_id, 'c', title FROM nodes WHERE level = 3)
 SELECT doc_id, top AS own, count(*) AS nodes, sum(length(title)) AS subtree_chars FROM own_and_below GROUP BY doc_id, top""",
     "leaf_nodes": f"WITH {_KEPT_TREE_SQL}, above AS MATERIALIZED (SELECT DISTINCT doc_id, up FROM nodes WHERE up IS NOT NULL) SELECT n.doc_id, n.own FROM nodes n LEFT JOIN above a ON a.doc_id = n.doc_id AND a.up = n.own WHERE a.up IS NULL",
-    "dotted_tree": f"""WITH {_KEPT_TREE_SQL}, c AS (SELECT doc_id, ord, CASE level WHEN 1 THEN '1' ELSE '1.' || own[2:] END AS code, level, CASE WHEN level = 2 THEN own[2:]::BIGINT END AS o FROM nodes),
-k AS MATERIALIZED (SELECT doc_id, ord, code, CASE WHEN level > 1 THEN regexp_replace(code, '[.][^.]*$', '') END AS above FROM c WHERE o IS NULL OR o % 5 <> 0)
-SELECT k.doc_id, k.ord, k.code, p.ord AS parent_ord FROM k LEFT JOIN k p ON p.doc_id = k.doc_id AND p.code = k.above""",
+    "dotted_tree": f"""WITH {_KEPT_TREE_SQL}, c AS (SELECT doc_id, ord, level, CASE level WHEN 1 THEN '1' ELSE '1.' || own[2:] END AS code, CASE WHEN level > 1 THEN regexp_extract(own, '[0-9]+')::BIGINT END AS o FROM nodes),
+k AS MATERIALIZED (SELECT * FROM c WHERE NOT (level = 2 AND o % 5 = 0))
+SELECT doc_id, ord, code, CASE level WHEN 2 THEN min(ord) FILTER (WHERE level = 1) OVER (PARTITION BY doc_id) WHEN 3 THEN max(ord) FILTER (WHERE level = 2) OVER (PARTITION BY doc_id, o) END AS parent_ord FROM k""",
     "node_bounds": f"WITH {_SHALLOW_SQL} SELECT doc_id, ord, line_num AS start_line, end_line FROM bounds",
     "node_context": rf"""WITH {_SHALLOW_SQL}, n AS (SELECT *, CASE ord WHEN 3 THEN 1 ELSE 2 END AS pick FROM bounds WHERE ord IN (2, 3)),
 x AS (SELECT n.doc_id, pick, n.line_num, end_line, regexp_replace(string_agg(s.line, chr(10) ORDER BY s.line_num), '\s+$', '') AS body FROM n JOIN shallow s ON s.doc_id = n.doc_id AND s.line_num BETWEEN n.line_num AND coalesce(end_line, n.line_num + 19) GROUP BY ALL)
