@@ -134,14 +134,19 @@ def compound_fixes(flagged: DataFrame, texts: DataFrame, words: DataFrame) -> Da
     with that base form, most frequent first, five at most.  Null texts have no
     tokens; no flagged tokens give no rows."""
     w = Window.partitionBy("doc_id").orderBy("position")
-    end = F.col("position") + F.length("token")
-    rows = flagged.select("doc_id", "token", "position", "base_form").join(texts.select("doc_id", "text"), "doc_id").withColumn("_end", end)
+    rows = flagged.select("doc_id", "token", "position", "base_form", (F.col("position") + F.length("token")).alias("_end"))
     rows = rows.withColumns({"_next": F.lead("token").over(w), "_next_at": F.lead("position").over(w), "_next_base": F.lead("base_form").over(w), "_nth": F.row_number().over(w)})
-    between = F.substring(F.col("text"), F.col("_end") + 1, F.col("_next_at") - F.col("_end"))
-    after, before = F.substring(F.col("text"), F.col("_end") + 1, F.length("text")), F.substring(F.col("text"), F.lit(1), F.col("position"))
-    gap_after = F.length(F.regexp_extract(after, r"^(?U)(\s*)", 1))
-    gap_before = F.length(F.regexp_extract(before, r"(?U)(\s*)$", 1))
-    following, leading = F.regexp_extract(after, r"^(?U)\s*(\S+)", 1), F.regexp_extract(before, r"(?U)(\S+)\s*$", 1)
+    # every word between white space with its neighbours; a token has those of its word where it begins or ends it
+    k = Window.partitionBy("doc_id").orderBy("k")
+    placed = texts.select("doc_id", F.posexplode(F.split("text", r"(?U)\s")).alias("k", "word"))
+    placed = placed.withColumn("at", F.coalesce(F.sum(F.length("word") + 1).over(k.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("word != ''")
+    near = placed.select("doc_id", "at", (F.col("at") + F.length("word")).alias("stop"), *(f("word").over(k).alias(f"{n}_word") for n, f in (("lag", F.lag), ("lead", F.lead))), *(f("at").over(k).alias(f"{n}_at") for n, f in (("lag", F.lag), ("lead", F.lead))))
+    rows = rows.join(near.select("doc_id", F.col("stop").alias("_end"), F.col("lead_word").alias("_after"), F.col("lead_at").alias("_after_at")), ["doc_id", "_end"], "left")
+    rows = rows.join(near.select("doc_id", F.col("at").alias("position"), F.col("lag_word").alias("_before"), F.col("lag_at").alias("_before_at"), F.lit(True).alias("_begins")), ["doc_id", "position"], "left")
+    following, leading = F.col("_after"), F.col("_before")
+    gap_after, gap_before = F.col("_after_at") - F.col("_end"), F.col("position") - F.col("_before_at") - F.length(leading)
+    # one blank between: the token ends its word, and the next one begins behind it
+    touching = (F.col("_next_at") == F.col("_end")) | ((F.col("_next_at") == F.col("_end") + 1) & (F.col("_after_at") == F.col("_next_at")))
     letters = rf"^[{t.LETTER}]+$"
 
     def option(kind: int, test: Column, other: Column, base: Column, start: Column, stop: Column) -> Column:
@@ -149,7 +154,7 @@ def compound_fixes(flagged: DataFrame, texts: DataFrame, words: DataFrame) -> Da
 
     pair = lambda a, b: F.concat_ws(" ", a, b)
     options = F.array_compact(F.array(
-        option(1, F.col("_next").isNotNull() & between.rlike(r"^(?U)\s?$"), F.col("_next"), pair("base_form", "_next_base"), F.col("position"), F.col("_next_at") + F.length("_next")),
+        option(1, touching, F.col("_next"), pair("base_form", "_next_base"), F.col("position"), F.col("_next_at") + F.length("_next")),
         option(2, following.rlike(letters) & (gap_after <= COMPOUND_GAP), following, pair("base_form", t.strip_diacritics(following)), F.col("position"), F.col("_end") + gap_after + F.length(following)),
         option(3, leading.rlike(letters) & (gap_before <= COMPOUND_GAP), leading, pair(t.strip_diacritics(leading), "base_form"), F.col("position") - gap_before - F.length(leading), F.col("_end")),
     ))

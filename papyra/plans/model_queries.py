@@ -145,8 +145,9 @@ def navigated_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compound_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of texts that with a neighbour are a pair which texts of the same language have with accents; the tests restate it."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    pair = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(?=\b(\p{L}+ \p{L}+)\b)"), F.lit(1)))
-    terms = texts.where("lang in ('es', 'fr')").select(pair.alias("term")).where(F.col("term").rlike("[à-ÿ]"))
+    split = F.split(F.lower("text"), " ")
+    pair = F.explode(F.zip_with(split, F.slice(split, F.lit(2), F.size(split)), lambda a, b: F.concat_ws(" ", a, b)))
+    terms = texts.where("lang in ('es', 'fr')").select(pair.alias("term")).where(F.col("term").rlike(r"^\p{L}+ \p{L}+$") & F.col("term").rlike("[à-ÿ]"))
     words = terms.groupBy("term").agg(F.count("*").alias("freq")).where("freq >= 3")
     plain = spell.tokens(texts).where(F.col("token").rlike("^[a-z]{4,}$")).withColumn("base_form", F.col("token"))
     found = spell.compound_fixes(plain, texts, words)
