@@ -7,13 +7,17 @@ that a passage covers) suits short and long items alike.  Postings are cut in
 blocks of ``BLOCK_ITEMS`` neighbouring items, the same cut for every term, each
 with its largest impact: a passage skips a block in which its terms' largest
 impacts cannot sum to the threshold, and walks the rest by WAND's pivots.
+
+Postings and largest impacts are flat arrays, a run for each term, so an index
+takes some 30 bytes a posting besides its words, and none for blocks in which a
+term does not occur.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from array import array
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,56 +36,70 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode().lower().translate(None, PUNCTUATION).split() if text else []
 
 
-@dataclass
-class Index:
-    """Postings of a bounded block of items, all of one length class."""
+#: Sums of largest impacts that are held at once.
+BOUNDS = 2_000_000
 
-    items: list[int]
-    words: list[list[bytes]]
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    postings: list[list[tuple[int, float]]] = field(default_factory=list)
 
-    def __post_init__(self) -> None:
-        self.passage = max(128, 2 * max(map(len, self.words), default=0))
-        self.halves = [self._halves(w) for w in self.words]
+def halves(words: list[bytes]) -> tuple[set, set, set]:
+    """Shingles of an item, of its question (first half) and of its answer."""
+    middle = (len(words) + 1) // 2
+    return shingle_set(words), shingle_set(words[:middle]), shingle_set(words[middle:])
 
-    @staticmethod
-    def _halves(words: list[bytes]) -> tuple[set, set, set]:
-        """Shingles of the item, of its question (first half) and of its answer."""
-        middle = (len(words) + 1) // 2
-        return shingle_set(words), shingle_set(words[:middle]), shingle_set(words[middle:])
+
+class Index:
+    """Postings of a bounded block of items, all of one length class.
+
+    Run t of ``item`` and ``impact``, from ``first[t]`` on, are term t's postings by item;
+    run t of ``block`` and ``top``, from ``blocks_of[t]`` on, its blocks and largest impacts, and
+    ``at`` is where each block's postings begin."""
+
+    def __init__(self, items: list[int], words: list[list[bytes]]) -> None:
+        self.items, self.texts = items, [b" ".join(w) for w in words]
+        self.passage = max(128, 2 * max(map(len, words), default=0))
 
     def weigh(self, n_items: int, mean_words: float, df: dict[bytes, int]) -> Index:
         """Fill the postings; the counts are those of all items, not of this block."""
-        for i, words in enumerate(self.words):
+        self.vocabulary: dict[bytes, int] = {}
+        terms, items, impacts = array("i"), array("i"), array("d")
+        for i, text in enumerate(self.texts):
+            words = text.split()
             norm = K1 * (1 - B + B * len(words) / mean_words)
-            tf: dict[bytes, int] = {}
-            for w in words:
-                tf[w] = tf.get(w, 0) + 1
-            score = {w: np.log1p((n_items - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in tf.items()}
+            score = {w: np.log1p((n_items - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in Counter(words).items()}
             whole = sum(score.values())
-            for w, s in score.items():
-                at = self.vocabulary.setdefault(w, len(self.vocabulary))
-                if at == len(self.postings):
-                    self.postings.append([])
-                self.postings[at].append((i, float(s / whole)))
-        blocks = -(-max(1, len(self.words)) // BLOCK_ITEMS)
-        self.block_max = np.zeros((len(self.postings) + 1, blocks), np.float32)  # last row: words of no item
-        for at, plist in enumerate(self.postings):
-            for i, s in plist:
-                self.block_max[at, i // BLOCK_ITEMS] = max(self.block_max[at, i // BLOCK_ITEMS], s)
+            for w, x in score.items():
+                terms.append(self.vocabulary.setdefault(w, len(self.vocabulary)))
+                items.append(i)
+                impacts.append(float(x / whole))
+        term = np.frombuffer(terms, np.int32) if len(terms) else np.empty(0, np.int32)
+        order = np.argsort(term, kind="stable")  # items are ascending in each term
+        term = term[order]
+        self.item = np.array(items, np.int32)[order]
+        self.impact = np.array(impacts, np.float64)[order]
+        n, self.blocks = len(self.vocabulary), -(-max(1, len(self.texts)) // BLOCK_ITEMS)
+        key = term.astype(np.int64) * self.blocks + self.item // BLOCK_ITEMS
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        self.at = np.append(starts, len(key)).astype(np.int64)
+        self.block = (key[starts] % self.blocks).astype(np.int32)
+        self.top = np.maximum.reduceat(self.impact, starts).astype(np.float32) if len(starts) else np.empty(0, np.float32)
+        self.blocks_of = np.searchsorted(term[starts], np.arange(n + 1))
         return self
 
+    def _bounds(self, row: np.ndarray, terms: np.ndarray, rows: int) -> np.ndarray:
+        """Sums of the largest impacts of ``terms``, by ``row`` and block."""
+        counts = self.blocks_of[terms + 1] - self.blocks_of[terms]
+        ends = np.cumsum(counts)
+        run = np.repeat(self.blocks_of[terms] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        keys = np.repeat(row, counts) * self.blocks + self.block[run]
+        return np.bincount(keys, self.top[run], rows * self.blocks).reshape(rows, self.blocks)
+
     def wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """Items of one block that score at least ``threshold``, by pivoting."""
-        low, high, found = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS, []
-        cursors = []  # [item, position, postings, largest impact in this block]
+        found, cursors = [], []  # [item, place, end, largest impact in this block]
         for t in terms:
-            top = float(self.block_max[t, block])
-            if top:
-                plist = self.postings[t]
-                at = bisect_left(plist, (low, 0.0))
-                cursors.append([plist[at][0], at, plist, top])
+            low, high = self.blocks_of[t], self.blocks_of[t + 1]
+            j = int(low + np.searchsorted(self.block[low:high], block))
+            if j < high and self.block[j] == block:
+                cursors.append([int(self.item[self.at[j]]), int(self.at[j]), int(self.at[j + 1]), float(self.top[j])])
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, None
@@ -93,36 +111,42 @@ class Index:
             if pivot is None:
                 break
             if cursors[0][0] == pivot:
-                score = sum(c[2][c[1]][1] for c in cursors if c[0] == pivot)
+                score = sum(float(self.impact[c[1]]) for c in cursors if c[0] == pivot)
                 if score >= threshold - 1e-9:
                     found.append((pivot, score))
                 pivot += 1
             for c in cursors:
-                if c[0] < pivot:
-                    c[1] = bisect_left(c[2], (pivot, 0.0), c[1])
-                    c[0] = c[2][c[1]][0] if c[1] < len(c[2]) else high
-            cursors = [c for c in cursors if c[0] < high]
+                while c[1] < c[2] and self.item[c[1]] < pivot:
+                    c[1] += 1
+            cursors = [[int(self.item[c[1]]), *c[1:]] for c in cursors if c[1] < c[2]]
         return found
 
     def search(self, words: list[bytes], threshold: float) -> Iterator[tuple[int, float, int]]:
         """(item, score, passage start) of every passage that retrieves an item."""
-        get, none = self.vocabulary.get, len(self.postings)
+        get, none = self.vocabulary.get, len(self.vocabulary)
         ids = np.array([get(w, none) for w in words], np.int64)
         step = self.passage // 2
-        if not len(ids):
-            return
         # Bounds of half passages, each term once a half; two of them bound a passage.
-        terms = np.unique(np.arange(len(ids)) // step * (none + 1) + ids)
-        half = np.searchsorted(terms, np.arange(-(-len(ids) // step)) * (none + 1))
-        bounds = np.add.reduceat(self.block_max[terms % (none + 1)], half, axis=0)
-        if len(bounds) > 1:
-            bounds = bounds[:-1] + bounds[1:]
-        for k in np.flatnonzero((bounds >= threshold - 1e-6).any(1)):
-            start = int(k) * step
-            terms = np.unique(ids[start : start + self.passage])
-            for block in np.flatnonzero(self.block_max[terms].sum(0) >= threshold - 1e-6):
-                for i, s in self.wand(terms[terms < none].tolist(), int(block), threshold):
-                    yield i, s, start
+        n_halves, held = -(-len(ids) // step), max(2, BOUNDS // self.blocks)
+        pairs = np.unique(np.arange(len(ids)) // step * (none + 1) + ids)
+        half, term = pairs // (none + 1), pairs % (none + 1)
+        half, term = half[term < none], term[term < none]
+        for first in range(0, n_halves, held - 1):
+            rows = min(held, n_halves - first)
+            if first and rows < 2:
+                break  # the last half was the second one of the passage before
+            own = slice(*np.searchsorted(half, [first, first + rows]))
+            bounds = self._bounds(half[own] - first, term[own], rows)
+            if rows > 1:
+                bounds = bounds[:-1] + bounds[1:]
+            for k in np.flatnonzero((bounds >= threshold - 1e-6).any(1)):
+                start = (first + int(k)) * step
+                terms = np.unique(ids[start : start + self.passage])
+                terms = terms[terms < none]
+                tight = self._bounds(np.zeros(len(terms), np.int64), terms, 1)[0]
+                for block in np.flatnonzero(tight >= threshold - 1e-6):
+                    for i, s in self.wand(terms.tolist(), int(block), threshold):
+                        yield i, s, start
 
     def confirmed(self, words: list[bytes], threshold: float, percent: int, part_percent: int) -> dict[int, tuple[float, ...]]:
         """For each item in the text: the best of score, item, question and answer
@@ -130,14 +154,16 @@ class Index:
 
         A score says nothing of word order, so no passage stands for another."""
         best: dict[int, tuple[float, ...]] = {}
-        at, have = -1, {}
+        at, have, parts = -1, {}, {}
         for i, score, start in self.search(words, threshold):
             if start != at:
                 at, have = start, {}
-            size = shingle_size(self.halves[i])
+            if i not in parts:
+                parts[i] = halves(self.texts[i].split())
+            size = shingle_size(parts[i])
             if size not in have:
                 have[size] = shingles_of(words[start : start + self.passage], size)
-            whole, question, answer = shares(have[size], self.halves[i])
+            whole, question, answer = shares(have[size], parts[i])
             if 100 * whole >= percent and 100 * min(question, answer) >= part_percent:
                 figures = (score, whole, question, answer)
                 best[i] = tuple(map(max, figures, best.get(i, figures)))
@@ -179,7 +205,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([flat, pa.array(block, pa.int32())], ["term", "block"])
 
 
-def indexes(items: DataFrame, block_bytes: int = 16 << 20) -> Iterator[list[Index]]:
+def indexes(items: DataFrame, block_bytes: int = 8 << 20) -> Iterator[list[Index]]:
     """One block after another, each of items of about ``block_bytes`` of text, with
     an index for each length class, so that passages fit their items.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -143,12 +144,82 @@ def test_wand_scores_what_a_full_scan_scores():
         terms = sorted({index.vocabulary[w] for w in rng.choice(words) + rng.choice(words)})
         full = {}
         for t in terms:
-            for i, s in index.postings[t]:
-                full[i] = full.get(i, 0) + s
-        got = {i: s for b in range(index.block_max.shape[1]) for i, s in index.wand(terms, b, 0.4)}
+            for k in range(index.at[index.blocks_of[t]], index.at[index.blocks_of[t + 1]]):
+                full[int(index.item[k])] = full.get(int(index.item[k]), 0) + float(index.impact[k])
+        got = {i: s for b in range(index.blocks) for i, s in index.wand(terms, b, 0.4)}
         assert got == pytest.approx({i: s for i, s in full.items() if s >= 0.4})
 
 
+def test_many_short_items_take_little_memory():
+    rng = random.Random(8)
+    words = [[f"w{rng.randrange(200_000)}".encode() for _ in range(20)] for _ in range(20_000)]
+    df: dict = {}
+    for row in words:
+        for w in set(row):
+            df[w] = df.get(w, 0) + 1
+    index = decontaminate.Index(list(range(len(words))), words).weigh(len(words), 20.0, df)
+    arrays = sum(x.nbytes for x in (index.item, index.impact, index.at, index.block, index.top, index.blocks_of))
+    assert arrays < 40 * 20 * len(words)  # 3 MB of items
+    text = [f"w{rng.randrange(200_000)}".encode() for _ in range(400)]
+    text[150:150] = words[777]
+    assert set(index.confirmed(text, 0.6, 75, 50)) == {777}
+
+
+def test_a_small_hold_of_bounds_finds_the_same(monkeypatch):
+    rng = random.Random(9)
+    words = [[f"t{rng.randrange(300)}".encode() for _ in range(rng.randrange(8, 40))] for _ in range(60)]
+    df = {w: sum(w in row for row in words) for row in words for w in row}
+    index = decontaminate.Index(list(range(60)), words).weigh(60, 20.0, df)
+    texts = [[f"t{rng.randrange(300)}".encode() for _ in range(rng.randrange(0, 900))] for _ in range(20)]
+    for k, text in enumerate(texts):
+        text[len(text) // 2 : len(text) // 2] = words[k]
+    whole = [sorted(index.search(text, 0.5)) for text in texts]
+    monkeypatch.setattr(decontaminate, "BOUNDS", 1)
+    assert [sorted(index.search(text, 0.5)) for text in texts] == whole and sum(map(len, whole)) >= 20
+    # every passage that holds an item's words retrieves it
+    for text, got in zip(texts, whole):
+        for start in range(0, max(1, len(text) - index.passage // 2), index.passage // 2):
+            have = set(text[start : start + index.passage])
+            score = {i: sum(float(index.impact[np.flatnonzero(index.item[index.at[index.blocks_of[t]] : index.at[index.blocks_of[t + 1]]] == i) + index.at[index.blocks_of[t]]].sum()) for w, t in index.vocabulary.items() if w in have) for i in range(60)}
+            assert {(i, start) for i, s in score.items() if s >= 0.5} == {(i, at) for i, _, at in got if at == start}
+
+
+def test_all_items_against_all_passages(spark):
+    rng = random.Random(31)
+    word = lambda: f"q{rng.randrange(400)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(3, 50)))) for i in range(25)] + [(25, "One, two three!")]
+    docs = []
+    for d in range(50):
+        body = [word() for _ in range(rng.randrange(1, 500))]
+        own = items[rng.randrange(26)][1].split()
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(len(own))] = word()
+        at = rng.randrange(len(body))
+        docs.append((d, " ".join(body[:at] + own + body[at:])))
+    plain = {i: decontaminate.plain_words(x) for i, x in items}
+    df: dict = {}
+    for ws in plain.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    mean = sum(len(x.split()) for _, x in items) / len(items)
+    want = set()
+    for i, ws in plain.items():
+        longest = max(len(v) for v in plain.values() if decontaminate.length_class(v) == decontaminate.length_class(ws))
+        size, parts = max(128, 2 * longest), decontaminate.halves(ws)
+        norm = 1.2 * (0.25 + 0.75 * len(ws) / mean)
+        weight = {w: np.log1p((26 - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + norm) for w, n in Counter(ws).items()}
+        for d, text in docs:
+            have = decontaminate.plain_words(text)
+            for start in range(0, max(1, len(have) - size // 2), size // 2):
+                part = have[start : start + size]
+                shingle = decontaminate.shingles_of(part, decontaminate.shingle_size(parts))
+                whole, question, answer = decontaminate.shares(shingle, parts)
+                if sum(weight[w] for w in weight if w in set(part)) >= 0.6 * sum(weight.values()) and whole >= 0.75 and min(question, answer) >= 0.5:
+                    want.add((d, i))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 10
+
+
 def neighbours(x, ids, k, every):
     out = {}
     for i in np.flatnonzero(ids % every == 0):
