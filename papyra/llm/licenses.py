@@ -199,7 +199,8 @@ def _scored(found: DataFrame, keys: list[str], model: Classifier) -> DataFrame:
 def _curve(scored: DataFrame, unseen: DataFrame, percent: int) -> tuple[float, float]:
     """Slope and offset of the probability that a margin means a licence.
 
-    Learnt from all paragraphs of the corpus: those that a template confirms are
+    Learnt from all paragraphs of the corpus that hold an n-gram of the templates (any
+    other has the same margin, that of no evidence): those that a template confirms are
     licences, those that share less than half as much with one are none, and what
     lies between says nothing.  Examples that the classifier has not seen are
     added, each as one paragraph.  The fit is on counts by quarters of a margin."""
@@ -256,6 +257,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, p
     slope, offset = _curve(scored, _scored(held, ["row", "label"], model), percent)
     licence = 1 / (1 + F.exp(-F.greatest(F.least(F.col("margin") * slope + offset, F.lit(30.0)), F.lit(-30.0))))
     confirmed = F.col("similarity") * 100 >= percent
-    out = scored.withColumn("licence", licence).where((F.col("licence") >= 0.5) | confirmed)
-    out = out.groupBy("doc_id", "paragraph", "family").agg(F.max(F.col("licence") * F.col("share")).alias("probability"), F.max("similarity").alias("template_similarity"))
+    # of this family: that it is a licence, and this one of all
+    out = scored.withColumn("probability", licence * F.col("share")).where((F.col("probability") >= 0.5) | confirmed)
+    out = out.groupBy("doc_id", "paragraph", "family").agg(F.max("probability").alias("probability"), F.max("similarity").alias("template_similarity"))
     return out.withColumn("confirmed", F.col("template_similarity") * 100 >= percent)

@@ -337,6 +337,7 @@ def test_licences_are_found_and_prose_is_not(spark):
     assert got == planted
     # prose of licence words is told from a licence by its probability alone
     assert all(0 <= r.probability <= 1 for r in found) and sum(not r.confirmed for r in found) <= 0.02 * len(planted)
+    assert all(r.confirmed or r.probability >= 0.5 for r in found)
 
 
 def test_licence_scores_match_brute_force(spark):
