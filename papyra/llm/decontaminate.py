@@ -79,7 +79,8 @@ class Index:
         key = term.astype(np.int64) * self.blocks + self.item // BLOCK_ITEMS
         starts = np.flatnonzero(np.diff(key, prepend=-1))
         self.at = np.append(starts, len(key)).astype(np.int64)
-        self.block = (key[starts] % self.blocks).astype(np.int32)
+        self.key = key[starts]
+        self.block = (self.key % self.blocks).astype(np.int32)
         self.top = np.maximum.reduceat(self.impact, starts).astype(np.float32) if len(starts) else np.empty(0, np.float32)
         self.blocks_of = np.searchsorted(term[starts], np.arange(n + 1))
         return self
@@ -92,14 +93,14 @@ class Index:
         keys = np.repeat(row, counts) * self.blocks + self.block[run]
         return np.bincount(keys, self.top[run], rows * self.blocks).reshape(rows, self.blocks)
 
-    def wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
+    def wand(self, terms: list[int] | np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
         """Items of one block that score at least ``threshold``, by pivoting."""
-        found, cursors = [], []  # [item, place, end, largest impact in this block]
-        for t in terms:
-            low, high = self.blocks_of[t], self.blocks_of[t + 1]
-            j = int(low + np.searchsorted(self.block[low:high], block))
-            if j < high and self.block[j] == block:
-                cursors.append([int(self.item[self.at[j]]), int(self.at[j]), int(self.at[j + 1]), float(self.top[j])])
+        want = np.asarray(terms, np.int64) * self.blocks + block
+        j = np.searchsorted(self.key, want)
+        j = j[self.key[np.minimum(j, len(self.key) - 1)] == want] if len(self.key) else j[:0]
+        # [item, place, end, largest impact in this block]
+        found, cursors = [], [list(c) for c in zip(self.item[self.at[j]].tolist(), self.at[j].tolist(), self.at[j + 1].tolist(), self.top[j].tolist())]
+        item, impact = self.item, self.impact
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, None
@@ -111,14 +112,15 @@ class Index:
             if pivot is None:
                 break
             if cursors[0][0] == pivot:
-                score = sum(float(self.impact[c[1]]) for c in cursors if c[0] == pivot)
+                score = sum(float(impact[c[1]]) for c in cursors if c[0] == pivot)
                 if score >= threshold - 1e-9:
                     found.append((pivot, score))
                 pivot += 1
             for c in cursors:
-                while c[1] < c[2] and self.item[c[1]] < pivot:
+                while c[0] < pivot:
                     c[1] += 1
-            cursors = [[int(self.item[c[1]]), *c[1:]] for c in cursors if c[1] < c[2]]
+                    c[0] = int(item[c[1]]) if c[1] < c[2] else len(self.texts)
+            cursors = [c for c in cursors if c[1] < c[2]]
         return found
 
     def search(self, words: list[bytes], threshold: float) -> Iterator[tuple[int, float, int]]:
@@ -139,13 +141,13 @@ class Index:
             bounds = self._bounds(half[own] - first, term[own], rows)
             if rows > 1:
                 bounds = bounds[:-1] + bounds[1:]
-            for k in np.flatnonzero((bounds >= threshold - 1e-6).any(1)):
+            for k in np.flatnonzero((bounds >= threshold - 1e-5).any(1)):
                 start = (first + int(k)) * step
                 terms = np.unique(ids[start : start + self.passage])
                 terms = terms[terms < none]
                 tight = self._bounds(np.zeros(len(terms), np.int64), terms, 1)[0]
-                for block in np.flatnonzero(tight >= threshold - 1e-6):
-                    for i, s in self.wand(terms.tolist(), int(block), threshold):
+                for block in np.flatnonzero(tight >= threshold - 1e-5):
+                    for i, s in self.wand(terms, int(block), threshold):
                         yield i, s, start
 
     def confirmed(self, words: list[bytes], threshold: float, percent: int, part_percent: int) -> dict[int, tuple[float, ...]]:
