@@ -93,12 +93,15 @@ def repair_entries(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 def large_sections(spans: DataFrame, pages: DataFrame, most_pages: int = NODE_PAGES, least_tokens: int = NODE_TOKENS) -> DataFrame:
     """Spans (doc_id, ord, start_index, end_index) of more than ``most_pages`` pages and at
-    least ``least_tokens`` tokens, which are to be split; token sums from running totals."""
+    least ``least_tokens`` tokens, which are to be split; token sums from running totals.
+
+    Pages are far more rows than a plan can tell where they come out of an array, so
+    both joins are by sorting: the pages are never sent whole to every task."""
     run = pages.select("doc_id", "page", F.sum("token_len").over(running("page")).alias("run"), "token_len")
     start = run.select("doc_id", F.col("page").alias("start_index"), (F.col("run") - F.col("token_len")).alias("before"))
     end = run.select("doc_id", F.col("page").alias("end_index"), F.col("run").alias("upto"))
     wide = spans.where(F.col("end_index") - F.col("start_index") > most_pages)
-    return wide.join(start, ["doc_id", "start_index"]).join(end, ["doc_id", "end_index"]).withColumn("tokens", F.col("upto") - F.col("before")).where(F.col("tokens") >= least_tokens).drop("before", "upto")
+    return wide.join(start.hint("merge"), ["doc_id", "start_index"]).join(end.hint("merge"), ["doc_id", "end_index"]).withColumn("tokens", F.col("upto") - F.col("before")).where(F.col("tokens") >= least_tokens).drop("before", "upto")
 
 
 def over_token_limit(nodes: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
