@@ -2,11 +2,14 @@
 
 A box is (page, box_id, x0, x1, top, bottom, ...).  Boxes that overlap meet in the
 buckets of a page's coordinates that both cover, so the work grows with a page's
-boxes and what they share, not with the square of the page.
+boxes and what they share, not with the square of the page.  Boxes of one page with the
+same four sides meet once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,26 +60,39 @@ def overlapping(boxes: DataFrame, regions: DataFrame, size: float = BUCKET) -> D
         real = rows.where((F.col(f"{prefix}x0") < F.col(f"{prefix}x1")) & (F.col(f"{prefix}top") < F.col(f"{prefix}bottom")))
         return real.withColumn("_bx", F.explode(span("x0", "x1"))).withColumn("_by", F.explode(span("top", "bottom")))
 
-    pairs = bucketed(boxes, "").join(bucketed(_other(regions), "b_"), ["page", "_bx", "_by"])
+    # what comes out of arrays is more than a plan can tell, so neither side is sent whole to every task
+    pairs = bucketed(boxes, "").join(bucketed(_other(regions), "b_").hint("merge"), ["page", "_bx", "_by"])
     left, top = F.greatest("x0", "b_x0"), F.greatest("top", "b_top")
     shared = (left < F.least("x1", "b_x1")) & (top < F.least("bottom", "b_bottom"))
     return pairs.where(shared & (F.floor(left / size) == F.col("_bx")) & (F.floor(top / size) == F.col("_by"))).drop("_bx", "_by")
 
 
+def shapes(boxes: DataFrame, *more: str, keep: Callable[[str], Column] | None = None) -> DataFrame:
+    """(page, more, sides) of ``boxes``, each once; with ``keep`` the box_id that it picks of equals."""
+    keys = ["page", *more, *SIDES]
+    return boxes.groupBy(*keys).agg(keep("box_id").alias("box_id")) if keep else boxes.select(*keys).distinct()
+
+
+def _with_best(boxes: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
+    """``boxes`` with the columns that ``best`` has for their ``keys``."""
+    found = [c for c in best.columns if c not in keys]
+    return boxes.join(best, keys, "left").select(*boxes.columns, *found)
+
+
 def best_overlap(boxes: DataFrame, regions: DataFrame, least: float = 0.3) -> DataFrame:
     """``boxes`` with ``region_id``: the region that covers the largest share of each, at
     least ``least``; of equal shares the region of which the box takes more, then the later."""
-    pairs = overlapping(boxes, regions).withColumn("_ov", overlap_area()).withColumn("_vo", overlap_area("b_", "")).where(F.col("_ov") >= least)
-    best = pairs.groupBy("page", "box_id").agg(F.max_by("b_box_id", F.struct("_ov", "_vo", "b_box_id")).alias("region_id"))
-    return boxes.join(best, ["page", "box_id"], "left")
+    pairs = overlapping(shapes(boxes), shapes(regions, keep=F.max)).withColumn("_ov", overlap_area()).withColumn("_vo", overlap_area("b_", "")).where(F.col("_ov") >= least)
+    best = pairs.groupBy("page", *SIDES).agg(F.max(F.struct("_ov", "_vo", "b_box_id"))["b_box_id"].alias("region_id"))
+    return _with_best(boxes, best, ["page", *SIDES])
 
 
 def first_overlap(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """``boxes`` with ``region_id``: the region with the largest share of its own area in
     each box, the earlier of equals."""
-    pairs = overlapping(boxes, regions).withColumn("_ov", overlap_area("b_", "")).where("_ov > 0")
-    best = pairs.groupBy("page", "box_id").agg(F.max_by("b_box_id", F.struct(F.col("_ov"), -F.col("b_box_id"))).alias("region_id"))
-    return boxes.join(best, ["page", "box_id"], "left")
+    pairs = overlapping(shapes(boxes), shapes(regions, keep=F.min)).withColumn("_ov", overlap_area("b_", "")).where("_ov > 0")
+    best = pairs.groupBy("page", *SIDES).agg(F.max_by("b_box_id", F.struct(F.col("_ov"), -F.col("b_box_id"))).alias("region_id"))
+    return _with_best(boxes, best, ["page", *SIDES])
 
 
 def tightest_fit(boxes: DataFrame, columns: DataFrame) -> DataFrame:
@@ -91,9 +107,9 @@ def tag_layouts(boxes: DataFrame, layouts: DataFrame, least: float = 0.4, keep_g
     """``boxes`` with layout_type and layoutno of the region that claims each, kinds taken
     in their fixed order; boxes of headers, footers and references go."""
     order = F.array_position(F.array(*(F.lit(x) for x in LAYOUT_PRIORITY)), F.col("b_type"))
-    pairs = overlapping(boxes, layouts).withColumn("_ov", overlap_area()).withColumn("_vo", overlap_area("b_", "")).where((F.col("_ov") >= least) & (order > 0))
-    best = pairs.groupBy("page", "box_id").agg(F.max_by(F.struct("b_type", "b_box_id"), F.struct(-order, F.col("_ov"), F.col("_vo"), F.col("b_box_id"))).alias("_l"))
-    out = boxes.join(best, ["page", "box_id"], "left").withColumn("layout_type", F.coalesce("_l.b_type", F.lit("")))
+    pairs = overlapping(shapes(boxes), shapes(layouts, "type", keep=F.max)).withColumn("_ov", overlap_area()).withColumn("_vo", overlap_area("b_", "")).where((F.col("_ov") >= least) & (order > 0))
+    best = pairs.groupBy("page", *SIDES).agg(F.max_by(F.struct("b_type", "b_box_id"), F.struct(-order, F.col("_ov"), F.col("_vo"), F.col("b_box_id"))).alias("_l"))
+    out = _with_best(boxes, best, ["page", *SIDES]).withColumn("layout_type", F.coalesce("_l.b_type", F.lit("")))
     out = out.withColumn("layoutno", F.when(F.col("_l").isNotNull(), F.concat_ws("-", F.col("_l.b_type"), F.col("_l.b_box_id").cast("string"))).otherwise("")).drop("_l")
     return out if keep_garbage else out.where(~F.col("layout_type").isin(GARBAGE_LAYOUTS))
 
