@@ -9,6 +9,7 @@ same four sides meet once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,11 +97,31 @@ def first_overlap(boxes: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def tightest_fit(boxes: DataFrame, columns: DataFrame) -> DataFrame:
-    """``boxes`` with ``column_id``: the horizontally nearest column of the same layoutno."""
-    pairs = boxes.join(_other(columns), "page").where(F.coalesce("layoutno", F.lit("0")) == F.coalesce("b_layoutno", F.lit("0")))
-    distance = F.least(F.abs(F.col("x0") - F.col("b_x0")), F.abs(F.col("x1") - F.col("b_x1")), F.abs(F.col("x0") + F.col("x1") - F.col("b_x1") - F.col("b_x0")) / 2)
-    best = pairs.groupBy("page", "box_id").agg(F.min_by("b_box_id", F.struct(distance.alias("d"), F.col("b_box_id"))).alias("column_id"))
-    return boxes.join(best, ["page", "box_id"], "left")
+    """``boxes`` with ``column_id``: the horizontally nearest column of the same layoutno, by
+    left sides, right sides or middles, the earlier of equals.
+
+    Of each measure only the next column before and after a box can be nearest, so
+    both stand in one order and a running value tells them: no box meets every
+    column.  A null side is no measure; columns and boxes without any take no part."""
+    measures = {0: F.col("x0"), 1: F.col("x1"), 2: F.col("x0") + F.col("x1")}
+
+    def places(rows: DataFrame, *more: str | Column) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), c.cast("double").alias("_v")) for k, c in measures.items()))).alias("_m")
+        return rows.select("page", F.coalesce("layoutno", F.lit("0")).alias("_layout"), *more, each).select("page", "_layout", *more, "_m.*").where("_v is not null")
+
+    axis, none = ["page", "_layout", "_k"], F.lit(None).cast(dict(columns.dtypes)["box_id"])
+    asked = places(boxes.select("page", "layoutno", "x0", "x1").distinct(), "x0", "x1")
+    points = places(columns, "box_id").unionByName(asked.select(*axis, "_v", none.alias("box_id")).distinct()).groupBy(*axis, "_v").agg(F.min("box_id").alias("box_id"))
+    here = F.when(F.col("box_id").isNotNull(), F.struct("_v", "box_id"))
+    for name, order in (("_before", F.asc("_v")), ("_after", F.desc("_v"))):
+        points = points.withColumn(name, F.last(here, ignorenulls=True).over(Window.partitionBy(*axis).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    near = [F.when(F.col(n).isNotNull(), F.struct((F.abs(F.col("_v") - F.col(n)["_v"]) / F.when(F.col("_k") == 2, 2).otherwise(1)).alias("d"), F.col(n)["box_id"].alias("column_id"))) for n in ("_before", "_after")]
+    nearest = points.select(*axis, "_v", F.least(*near).alias("_near")).where("_near is not null")
+    best = asked.join(nearest, [*axis, "_v"]).groupBy("page", "_layout", "x0", "x1").agg(F.min("_near")["column_id"].alias("column_id"))
+    keys = ["page", "_layout", "x0", "x1"]
+    placed = boxes.withColumn("_layout", F.coalesce("layoutno", F.lit("0")))
+    same = reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
+    return placed.alias("a").join(best.alias("b"), same, "left").select(*(F.col(f"a.{c}") for c in boxes.columns), "b.column_id")
 
 
 def tag_layouts(boxes: DataFrame, layouts: DataFrame, least: float = 0.4, keep_garbage: bool = False) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from papyra.operators import toc
+from papyra.operators import geometry, toc
 
 
 def plan(frame) -> str:
@@ -17,3 +19,38 @@ def test_large_sections_sends_no_pages_to_every_task(spark, rows):
     got = toc.large_sections(spans, pages, least_tokens=801)
     assert rows(got.select("doc_id", "ord", "tokens")) == [(0, 1, 1450)]
     assert "Broadcast" not in plan(got)
+
+
+BOX = "page int, box_id int, x0 double, x1 double, top double, bottom double"
+
+
+def test_copies_of_boxes_meet_once(spark, monkeypatch):
+    met, real = [], geometry.overlapping
+    monkeypatch.setattr(geometry, "overlapping", lambda a, b, *more: (met.append((a.count(), b.count())), real(a, b, *more))[1])
+    boxes = spark.createDataFrame([(1, i, 0.0, 10.0, 0.0, 10.0) for i in range(20)] + [(1, 20, None, 10.0, 0.0, 10.0)], BOX)
+    regions = spark.createDataFrame([(1, i, 0.0, 8.0, 0.0, 10.0) for i in range(30)], BOX)
+    late = {r.box_id: r.region_id for r in geometry.best_overlap(boxes, regions).collect()}
+    early = {r.box_id: r.region_id for r in geometry.first_overlap(boxes, regions).collect()}
+    kinds = regions.withColumn("type", F.when(F.col("box_id") < 25, "text").otherwise("title"))
+    tagged = {r.box_id: r.layoutno for r in geometry.tag_layouts(boxes, kinds).collect()}
+    assert late == {i: 29 for i in range(20)} | {20: None} and early == {i: 0 for i in range(20)} | {20: None} and tagged == {i: "title-29" for i in range(20)} | {20: ""}
+    assert all(a <= 2 and b <= 2 for a, b in met)
+
+
+def test_tightest_fit_is_the_nearest_of_all(spark):
+    rng = random.Random(5)
+    side = lambda: None if rng.random() < 0.05 else float(rng.randrange(40))
+    make = lambda n: [(rng.randrange(2), i, side(), side(), 0.0, 1.0, rng.choice(["a", "b", None, "0"])) for i in range(n)]
+    boxes, columns = make(80), make(30)
+    got = geometry.tightest_fit(*(spark.createDataFrame(x, BOX + ", layoutno string") for x in (boxes, columns)))
+    want = {}
+    for b in boxes:
+        near = []
+        for c in columns:
+            if c[0] == b[0] and (c[6] or "0") == (b[6] or "0"):
+                d = [abs(b[i] - c[i]) for i in (2, 3) if b[i] is not None and c[i] is not None]
+                d += [abs(b[2] + b[3] - c[2] - c[3]) / 2] if None not in (*b[2:4], *c[2:4]) else []
+                near += [(min(d), c[1])] if d else []
+        want[b[1]] = min(near)[1] if near else None
+    assert {r.box_id: r.column_id for r in got.collect()} == want
+    assert "Window" in plan(got)  # neighbours in one order, no pairs of all with all
