@@ -9,10 +9,11 @@ fold over that table's own rows; tables are dealt over the tasks.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left, insort
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from functools import cmp_to_key
-from itertools import pairwise
+from itertools import groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import text as t
-from .geometry import SIDES, cell_type, overlap_area, overlapping
+from .geometry import SIDES, cell_type, overlap_area, overlapping, shapes
 
 #: Labels of table parts by what they are, the tolerance of their first order, how much of a double is covered.
 PART_LABELS = {"row": ("^.* (row|header)", 0.6), "header": ("^.*header$", 0.6), "span": ("^.*spanning", 0.6), "column": ("^table column$", 0.5)}
@@ -32,8 +33,8 @@ CAPTION = r"^[图表]+[ 0-9:：]{2,}"
 LEAST_LINES = 4
 
 
-#: Pages or tables that are plain Python rows at once.
-FOLDED = 256
+#: Pages or tables that are plain Python rows at once, and their bytes in Arrow.
+FOLDED, FOLDED_BYTES = 256, 1 << 20
 
 
 def folded(pages: DataFrame, fold: Callable[[dict], list[dict]], schema: str) -> DataFrame:
@@ -43,8 +44,9 @@ def folded(pages: DataFrame, fold: Callable[[dict], list[dict]], schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, FOLDED):
-                out = [x for row in batch.slice(i, FOLDED).to_pylist() for x in fold(row)]
+            step = max(1, min(FOLDED, batch.num_rows * FOLDED_BYTES // max(1, batch.nbytes)))
+            for i in range(0, batch.num_rows, step):
+                out = [x for row in batch.slice(i, step).to_pylist() for x in fold(row)]
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     return pages.mapInArrow(run, schema)
@@ -55,6 +57,11 @@ def _listed(rows: DataFrame, name: str, *columns: str | Column) -> DataFrame:
     return rows.groupBy("page").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of few, large pages dealt over all tasks, however small their bytes are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
+
+
 def tolerant(items: list[dict], first: str, then: str, within: float) -> list[dict]:
     """``items`` by ``first``, or by ``then`` where ``first`` differs by less than ``within``.
 
@@ -66,14 +73,11 @@ def tolerant(items: list[dict], first: str, then: str, within: float) -> list[di
 def settle(items: list[dict], number: str, then: str) -> list[dict]:
     """Each item in turn moves forward past every one before it that has a larger
     ``number``, or the same and a larger ``then``; those without a number neither
-    move nor are passed."""
-    items = list(items)
-    for end in range(1, len(items)):
-        for j in range(end, 0, -1):
-            a, b = items[j - 1], items[j]
-            if a[number] is not None and b[number] is not None and (b[number], b[then]) < (a[number], a[then]):
-                items[j - 1 : j + 1] = b, a
-    return items
+    move nor are passed.  So what stands between two of these is sorted."""
+    out: list[dict] = []
+    for numbered, run in groupby(items, key=lambda r: r[number] is not None):
+        out += sorted(run, key=lambda r: (r[number], r[then])) if numbered else run
+    return out
 
 
 def scan_order(boxes: DataFrame, near: float = 10.0) -> DataFrame:
@@ -82,17 +86,41 @@ def scan_order(boxes: DataFrame, near: float = 10.0) -> DataFrame:
     They come by (top, x0, box_id); then each moves forward past those right of it
     whose top is nearer than ``near``, until one is not.  Null sides come first and
     pass nothing.  A page's boxes are one array; no boxes give no rows."""
-    row = F.struct("top", "x0", "box_id")
-    pages = boxes.groupBy("page").agg(F.array_sort(F.collect_list(row)).alias("_b"))
-
-    def placed(done: Column, box: Column) -> Column:
-        stays = F.filter(F.sequence(F.lit(1), F.size(done)), lambda i: ~F.coalesce((F.abs(box["top"] - F.get(done, i - 1)["top"]) < near) & (box["x0"] < F.get(done, i - 1)["x0"]), F.lit(False)))
-        at = F.when(F.size(done) > 0, F.coalesce(F.array_max(stays), F.lit(0))).otherwise(0)
-        return F.concat(F.slice(done, F.lit(1), at), F.array(box), F.slice(done, at + 1, F.size(done)))
-
-    empty = F.filter("_b", lambda x: F.lit(False))
-    order = pages.select("page", F.posexplode(F.aggregate("_b", empty, placed)).alias("_p", "_x")).select("page", (F.col("_p") + 1).alias("position"), F.col("_x.box_id").alias("box_id"))
-    return boxes.join(order, ["page", "box_id"])
+    kinds = dict(boxes.dtypes)
+    sides = [F.col(c).cast("double").alias(c) for c in ("top", "x0")]
+    placed = folded(_listed(_dealt(boxes), "boxes", *sides, "box_id"), lambda page: [{"page": page["page"], "box_id": i, "position": k} for k, i in enumerate(scanned(page["boxes"], near), 1)], f"page {kinds['page']}, box_id {kinds['box_id']}, position int")
+    return boxes.join(placed, ["page", "box_id"])
+
+
+def scanned(boxes: list[dict], near: float) -> list:
+    """box_ids of ``boxes`` (top, x0, box_id) as scan_order() places them.
+
+    Tops only grow, so behind the last box whose top is no longer near all stand from
+    left to right: a box finds its place among those by halving, and what stands
+    before the last far one is done."""
+    done, tail, waiting, open_ = [], [], deque(), set()
+    low = lambda v: (v is not None, v if v is not None else 0.0)
+
+    def close(n: int) -> None:
+        done.extend(i for _, _, i in tail[:n])
+        open_.difference_update(k for _, k, _ in tail[:n])
+        del tail[:n]
+
+    for k, b in enumerate(sorted(boxes, key=lambda r: (low(r["top"]), low(r["x0"]), r["box_id"]))):
+        top, x0 = b["top"], b["x0"]
+        if top is None or x0 is None:
+            close(len(tail))
+            done.append(b["box_id"])
+            continue
+        while waiting and not abs(top - waiting[0][0]) < near:
+            _, far, at = waiting.popleft()
+            if far in open_:
+                close(bisect_left(tail, (at, far)) + 1)
+        insort(tail, (x0, k, b["box_id"]))
+        open_.add(k)
+        waiting.append((top, k, x0))
+    close(len(tail))
+    return done
 
 
 def tolerant_order(boxes: DataFrame, within: float, first: str = "top", then: str = "x0", number: str | None = None, out: str = "position") -> DataFrame:
@@ -110,7 +138,7 @@ def tolerant_order(boxes: DataFrame, within: float, first: str = "top", then: st
         return [{"page": page["page"], "box_id": r["box_id"], out: i} for i, r in enumerate(done, 1)]
 
     kinds = dict(boxes.dtypes)
-    placed = folded(_listed(boxes, "boxes", "box_id", *used), order, f"page {kinds['page']}, box_id {kinds['box_id']}, {out} int")
+    placed = folded(_listed(_dealt(boxes), "boxes", "box_id", *used), order, f"page {kinds['page']}, box_id {kinds['box_id']}, {out} int")
     return boxes.drop(out).join(placed, ["page", "box_id"])
 
 
@@ -124,12 +152,12 @@ def _touch(a: dict, b: dict) -> bool:
     return min(a["x1"], b["x1"]) >= max(a["x0"], b["x0"]) and min(a["bottom"], b["bottom"]) >= max(a["top"], b["top"])
 
 
-def without_doubles(parts: list[dict], boxes: list[dict], ahead: int, least: float) -> list[dict]:
+def without_doubles(parts: list[dict], shared: Callable[[dict], float], ahead: int, least: float) -> list[dict]:
     """``parts`` in their order, of doubles the better one.
 
     A part is compared with the first of the next ``ahead - 1`` that has its type and
     touches it.  If one covers ``least`` of the other, the one of lower score goes, the
-    earlier of equals; where a score is missing or 0, the one that shares less with ``boxes``."""
+    earlier of equals; where a score is missing or 0, the one that has less ``shared`` with boxes."""
     kept, i = list(parts), 0
     while i + 1 < len(kept):
         a = kept[i]
@@ -139,7 +167,7 @@ def without_doubles(parts: list[dict], boxes: list[dict], ahead: int, least: flo
             i += 1
             continue
         b = kept[j]
-        weight = (lambda x: x["score"]) if a.get("score") and b.get("score") else lambda x: sum(_area(x, box) for box in boxes)
+        weight = (lambda x: x["score"]) if a.get("score") and b.get("score") else shared
         kept.pop(j if weight(a) > weight(b) else i)
     return kept
 
@@ -155,12 +183,15 @@ def clean_ahead(layouts: DataFrame, boxes: DataFrame, ahead: int = 2, least: flo
         whole = whole & F.col(s).isNotNull()
 
     def kept(page: dict) -> list[dict]:
-        done = without_doubles(sorted(page["parts"], key=lambda r: r["box_id"]), page["boxes"] or [], ahead, least)
+        done = without_doubles(sorted(page["parts"], key=lambda r: r["box_id"]), lambda r: r["_shared"], ahead, least)
         return [{"page": page["page"], "box_id": r["box_id"]} for r in done]
 
+    # what a layout shares with boxes is a join, each shape once; the walk only compares it
+    counted = boxes.where(whole).groupBy("page", *SIDES).agg(F.count("*").alias("n"))
+    met = overlapping(shapes(layouts.where(whole)), counted).groupBy("page", *SIDES).agg(F.sum(overlap_area(ratio=False) * F.col("b_n")).alias("_shared"))
+    weighed = layouts.where(whole).join(met, ["page", *SIDES], "left").withColumn("_shared", F.coalesce("_shared", F.lit(0.0)))
     kinds = dict(layouts.dtypes)
-    pages = _listed(layouts.where(whole), "parts", *used[1:]).join(_listed(boxes.where(whole), "boxes", *SIDES), "page", "left")
-    clean = folded(pages, kept, f"page {kinds['page']}, box_id {kinds['box_id']}").withColumn("_kept", F.lit(True))
+    clean = folded(_listed(_dealt(weighed), "parts", *used[1:], "_shared"), kept, f"page {kinds['page']}, box_id {kinds['box_id']}").withColumn("_kept", F.lit(True))
     joined = layouts.join(clean, ["page", "box_id"], "left")
     return joined.where(F.col("_kept") | ~whole).drop("_kept")
 
@@ -175,10 +206,11 @@ def table_parts(parts: DataFrame, boxes: DataFrame) -> DataFrame:
 
     def number(table: dict) -> list[dict]:
         texts, out = table["boxes"] or [], []
+        shared = lambda x: sum(_area(x, box) for box in texts)
         for kind, (pattern, least) in PART_LABELS.items():
             items = sorted((r for r in table["parts"] if re.search(pattern, r["label"])), key=lambda r: r["part_id"])
             items = sorted(items, key=lambda r: r["x0"]) if kind == "column" else tolerant(items, "top", "x0", PART_TOLERANCE)
-            items = without_doubles(items, texts, LOOK_AHEAD, least)
+            items = without_doubles(items, shared, LOOK_AHEAD, least)
             items = items if kind == "column" else sorted(items, key=lambda r: r["top"])
             out += [{"page": table["page"], "kind": kind, "number": i} | {s: r[s] for s in SIDES} for i, r in enumerate(items)]
         return out

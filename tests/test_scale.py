@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from papyra.operators import geometry, toc
+from papyra.operators import geometry, tables, toc
 
 
 def plan(frame) -> str:
@@ -54,3 +54,58 @@ def test_tightest_fit_is_the_nearest_of_all(spark):
         want[b[1]] = min(near)[1] if near else None
     assert {r.box_id: r.column_id for r in got.collect()} == want
     assert "Window" in plan(got)  # neighbours in one order, no pairs of all with all
+
+
+class Counted(float):
+    """A number that counts how often it is compared."""
+
+    n = 0
+
+    def __lt__(self, other):
+        Counted.n += 1
+        return float.__lt__(self, other)
+
+    def __gt__(self, other):
+        Counted.n += 1
+        return float.__gt__(self, other)
+
+
+def test_settle_sorts_between_walls():
+    rng = random.Random(3)
+    items = [{"id": i, "n": rng.choice([None, 0, 0, 0, 1]) if i % 9 else 1, "x": Counted(rng.randrange(50))} for i in range(2000)]
+    want = list(items)
+    for end in range(1, 300):  # as it is told, on the first ones
+        for j in range(end, 0, -1):
+            a, b = want[j - 1], want[j]
+            if None not in (a["n"], b["n"]) and (b["n"], float(b["x"])) < (a["n"], float(a["x"])):
+                want[j - 1 : j + 1] = b, a
+    assert [r["id"] for r in tables.settle(items[:300], "n", "x")] == [r["id"] for r in want[:300]]
+    walls = [r | {"n": 0} for r in items]
+    Counted.n = 0
+    tables.settle(walls, "n", "x")
+    assert Counted.n < 40 * len(walls)
+
+
+def test_scanned_finds_places_by_halving():
+    rng = random.Random(4)
+    for _ in range(60):
+        boxes = [{"box_id": i, "top": rng.choice([None] + [float(rng.randrange(40)) for _ in range(9)]), "x0": rng.choice([None] + [float(rng.randrange(9)) for _ in range(9)])} for i in range(60)]
+        none_first = lambda v: (v is not None, v or 0.0)
+        done = []
+        for b in sorted(boxes, key=lambda r: (none_first(r["top"]), none_first(r["x0"]), r["box_id"])):
+            at = len(done)
+            while at and None not in (b["top"], b["x0"], done[at - 1]["top"], done[at - 1]["x0"]) and abs(b["top"] - done[at - 1]["top"]) < 7 and b["x0"] < done[at - 1]["x0"]:
+                at -= 1
+            done.insert(at, b)
+        assert tables.scanned(boxes, 7) == [b["box_id"] for b in done]
+    many = [{"box_id": i, "top": Counted(0), "x0": Counted(-i % 700)} for i in range(3000)]
+    Counted.n = 0
+    assert len(tables.scanned(many, 7)) == 3000 and Counted.n < 120 * 3000
+
+
+def test_layouts_ahead_collects_no_boxes(spark):
+    layouts = spark.createDataFrame([(1, i, "text", None, 0.0, 10.0 + i, 0.0, 10.0) for i in range(2)], "page int, box_id int, type string, score double, x0 double, x1 double, top double, bottom double")
+    boxes = spark.createDataFrame([(1, i, 0.0, 20.0, 0.0, 10.0) for i in range(40)], BOX)
+    got = tables.clean_ahead(layouts, boxes)
+    assert [r.box_id for r in got.collect()] == [1]
+    assert plan(tables.clean_ahead(layouts, boxes)).count("collect_list") <= 2  # the layouts' own list, by parts and whole
