@@ -13,7 +13,7 @@ from ..functions import text as t
 from ..operators import geometry, lines, recognition, retrieval, rules, spell, stats, toc, tree
 from ..sources import store
 from .derived import BOXES_SQL, ITEMS_SQL, OUTLINE_SQL, STATS_SQL, boxes, outline_lines, sessions, spread, stored_documents, table, unique_items, users
-from .text_queries import _ANY, _LOWER, _PLAIN, _TITLE, _WORDS, STRIPPED_SQL, _KIND
+from .text_queries import _ANY, _LOWER, _MARKED, _PLAIN, _TITLE, _WORDS, STRIPPED_SQL, _KIND
 
 #: Lines of letterheads and closings, by the remainder of the key.
 LINES = ["Số: 12/QĐ", "Hà Nội, ngày 3 tháng 4 năm 2020", "Nơi nhận:", "CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM", "TM.ỦY BAN", "Về việc mua sắm", "plain words"]
@@ -297,6 +297,9 @@ QUERIES = [
 _AREA = "((least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * (least({a}.bottom, {b}.bottom) - greatest({a}.top, {b}.top)))"
 _SHARE = "CASE WHEN least({a}.x1, {b}.x1) > greatest({a}.x0, {b}.x0) AND least({a}.bottom, {b}.bottom) > greatest({a}.top, {b}.top) THEN " + _AREA + " / (({a}.x1 - {a}.x0) * ({a}.bottom - {a}.top)) ELSE 0 END"
 
+#: White space of any kind, as fix_breaks() takes it.
+_SPACE = r"[\s\x0b\x{85}\p{Z}]"
+
 SQL = {
     "letterhead_flags": """SELECT o_orderkey, k IN (0, 1, 3) AS metadata, k IN (0, 3) OR (k = 1 AND o_orderkey % 10 < 2) AS strict, k IN (2, 4) AS closing, k = 2 AS footer, k = 4 AS signature, k = 5 AS subject
 FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)""",
@@ -305,15 +308,18 @@ FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)""",
     "line_feature_rows": rf"""WITH {OUTLINE_SQL}, b AS (SELECT doc_id, line_num, regexp_replace(line, '^#+ ', '') AS s FROM outline)
 SELECT doc_id, line_num, {_KIND} AS marker_kind, {_TITLE} AS title_like, (s = '' OR ({_PLAIN} <= 1 AND length(s) <= 8) OR regexp_matches(s, '^\d+\s*$')) AS noise_like, {_ANY} AS starts_marker, regexp_matches(s, '^[-–•+]') AS starts_bullet, false AS subject_like, false AS footer_section_like FROM b""",
     "straight_quotes": """SELECT o_orderkey, '"' || o_orderpriority || '"  – đ…' AS clean FROM orders""",
-    "safe_fixes": f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws, doc_id % 4 + 1 AS n, doc_id % 3 + 1 AS m FROM documents),
-f AS (SELECT doc_id, regexp_replace(array_to_string(ws[1 : n], ' '), '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(array_to_string(ws[n + 1 : n + m], ' '), '^\\s+|\\s+$', '', 'g') AS b FROM w),
+    "safe_fixes": rf"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws, doc_id % 4 + 1 AS n, doc_id % 3 + 1 AS m FROM documents),
+f AS (SELECT doc_id, regexp_replace(array_to_string(ws[1 : n], ' '), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS a, regexp_replace(array_to_string(ws[n + 1 : n + m], ' '), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS b FROM w),
 c AS (SELECT doc_id, coalesce(a, '') AS a, coalesce(b, '') AS b FROM f),
-k AS (SELECT *, CASE WHEN a = '' THEN 0 ELSE len(regexp_split_to_array(a, '\\s+')) END AS wa, CASE WHEN b = '' THEN 0 ELSE len(regexp_split_to_array(b, '\\s+')) END AS wb FROM c)
+k AS (SELECT *, CASE WHEN a = '' THEN 0 ELSE len(regexp_split_to_array(a, '{_SPACE}+')) END AS wa, CASE WHEN b = '' THEN 0 ELSE len(regexp_split_to_array(b, '{_SPACE}+')) END AS wb FROM c)
 SELECT doc_id, array_to_string(list_filter([
   CASE WHEN contains(a, chr(10)) OR contains(b, chr(10)) THEN 'layout' END, CASE WHEN a = b THEN 'nothing' END,
-  CASE WHEN regexp_replace(a, '[^0-9]', '', 'g') <> regexp_replace(b, '[^0-9]', '', 'g') THEN 'numbers' END,
+  CASE WHEN regexp_replace(a, '[^\p{{Nd}}]', '', 'g') <> regexp_replace(b, '[^\p{{Nd}}]', '', 'g') THEN 'numbers' END,
+  CASE WHEN regexp_matches(a || b, '[\x{{3400}}-\x{{9fff}}]') THEN 'script' END,
   CASE WHEN length(a) < 2 OR length(a) > 36 OR length(b) > 44 OR length(b) > 2 * length(a) + 6 THEN 'size' END,
-  CASE WHEN {_KIND.replace("(s,", "(a,")} <> '' THEN 'structure' END,
+  CASE WHEN {_MARKED.replace("(s,", "(a,")} OR regexp_matches(a, '(?i)^Điều\s+\d+[.:]?\s+') OR regexp_matches(a, '(?i)^(PHẦN|CHƯƠNG|MỤC|TIỂU\s+MỤC)\s+([IVXLCDM]+|\d+|THỨ\s+[\p{{L}}\p{{N}}_]+)')
+    OR regexp_matches(a, '(?i)^(số|so)\s*[:：]') OR regexp_matches(a, '(?i)(^|[^\p{{L}}\p{{N}}_])ngày\s+\d{{1,2}}\s+tháng\s+\d{{1,2}}\s+năm\s+\d{{4}}($|[^\p{{L}}\p{{N}}_])')
+    OR regexp_matches(a, '(?i){t.MOTTO}') OR regexp_matches(a, '(?i)^({t.STATE})$') THEN 'structure' END,
   CASE WHEN greatest(wa, wb) > 5 OR abs(wa - wb) > 1 THEN 'words' END], lambda x: x IS NOT NULL), ' ') AS breaks FROM k""",
     "page_tags": """SELECT o_orderkey, tag || chr(10) || o_orderpriority || ' :  ' || o_orderkey || ' : end' || chr(10) || tag || chr(10) || '<physical_index_7>' || chr(10) || 'x' || chr(10) || '<physical_index_7>' || chr(10) AS tagged, p || ' ' || p || ' 7 7' AS pages
 FROM (SELECT *, o_orderkey % 50 AS p, '<physical_index_' || (o_orderkey % 50) || '>' AS tag FROM orders)""",

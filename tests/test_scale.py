@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from papyra.operators import geometry, tables, toc
+from papyra.plans import value_queries
 
 
 def plan(frame) -> str:
@@ -109,3 +111,15 @@ def test_layouts_ahead_collects_no_boxes(spark):
     got = tables.clean_ahead(layouts, boxes)
     assert [r.box_id for r in got.collect()] == [1]
     assert plan(tables.clean_ahead(layouts, boxes)).count("collect_list") <= 2  # the layouts' own list, by parts and whole
+
+
+def test_safe_fixes_sql_has_the_spaced_markers(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["+1 (477) 555-4197 x", "41.244.73.125 a b c", "1) a b c", "+ a b c", "a) b", "Điều 5 a b c d", "Mục 3 a b", "số: 12 a b", "a\u00a0b c d", "中国 a b", None, ""]
+    frame = spark.createDataFrame([(12 * i + k, x) for i, x in enumerate(texts) for k in range(12)], "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = dict(map(tuple, value_queries.safe_fixes(spark, str(tmp_path)).collect()))
+    assert got == dict(con.execute(value_queries.SQL["safe_fixes"]).fetchall())
+    assert "structure" not in got[0] and "structure" in got[25]
