@@ -6,6 +6,12 @@ on the strings that up to two deletions leave, checked by levenshtein().
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +21,12 @@ MOST_CANDIDATES, COMPOUND_CANDIDATES, EDITS, PREFIX = 10, 5, 2, 7
 #: Labels after which a token is left alone.
 LABELS = ["số:", "ngày:", "tháng:", "năm:", "điều:", "khoản:", "mục:", "phần:"]
 RARE, RATIO = 2000, 10
+#: How often an accented token may occur, and how near after a label a token is left alone.
+MOST_TIMES, LABEL_CHARS = 3, 30
+#: Texts that are plain Python strings at once.
+TEXTS = 64
+#: White space of any kind, as (?U)\\s in Java's patterns.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
@@ -30,12 +42,58 @@ def base_forms(words: DataFrame) -> DataFrame:
     return plain.unionByName(alias).select("base", "term", "freq")
 
 
+def first_places(text: str) -> list[tuple[str, int]]:
+    """The distinct words of a text, two characters or longer with a letter, and the first
+    place of each in the text, be it inside a longer word.
+
+    What holds a word is a word, and its first occurrence comes first, so a word is
+    looked for among the distinct ones, not in the whole text."""
+    words: dict[str, int] = {}
+    for m in re.finditer(r"[^\W_]+", text):
+        words.setdefault(m[0], m.start())
+    row, starts = " ".join(words), []
+    at = 0
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    places, out = list(words.values()), []
+    for w in words:
+        if len(w) >= 2 and any(c.isalpha() for c in w):
+            at = row.find(w)
+            k = bisect_right(starts, at) - 1
+            out.append((w, places[k] + at - starts[k]))
+    return out
+
+
 def tokens(texts: DataFrame) -> DataFrame:
     """(doc_id, token, position from 0) of each text's distinct words with a letter, two
     characters or longer, at their first place."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("token")
-    rows = texts.select("doc_id", "text", word).where(F.length("token") >= 2).where(F.col("token").rlike(r"\p{L}"))
-    return rows.withColumn("position", F.instr(F.col("text"), F.col("token")) - 1)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
+                found = [first_places(x) for x in part.column("text").to_pylist()]
+                ids = part.column("doc_id").take(pa.array([k for k, f in enumerate(found) for _ in f], pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([w for f in found for w, _ in f], pa.string()), pa.array([at for f in found for _, at in f], pa.int32())], names=["doc_id", "token", "position"])
+
+    return texts.where("text is not null").select("doc_id", "text").mapInArrow(find, f"doc_id {dict(texts.dtypes)['doc_id']}, token string, position int")
+
+
+def _with_text(rows: DataFrame, texts: DataFrame, needs: list[str], find: Callable[..., list], kind: str, out: str) -> DataFrame:
+    """``rows`` (doc_id, ...) with ``out``, of type ``kind``, that ``find`` gives a document's
+    rows from its text and the lists of what it ``needs`` of them.
+
+    A text meets all its rows at once, and is sent once."""
+
+    def each(text: pd.Series, *lists: pd.Series) -> pd.Series:
+        return pd.Series([find(*row) for row in zip(text, *lists)], dtype=object)
+
+    names = [c for c in rows.columns if c != "doc_id"]
+    docs = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("_rows")).join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+    found = F.pandas_udf(each, f"array<{kind}>")("_text", *(F.col(f"_rows.{c}") for c in needs))  # type: ignore[call-overload]
+    both = docs.withColumn("_found", found).select("doc_id", F.explode(F.arrays_zip("_rows", "_found")).alias("_z"))
+    return both.select("doc_id", *(F.col(f"_z._rows.{c}").alias(c) for c in names), F.col("_z._found").alias(out))
 
 
 def flag_errors(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -60,13 +118,19 @@ def flag_errors(texts: DataFrame, words: DataFrame) -> DataFrame:
 def in_context(flagged: DataFrame, texts: DataFrame) -> DataFrame:
     """``flagged`` without accented tokens that occur more than three times and tokens
     within 30 characters after a label on their line."""
-    rows = flagged.join(texts.select("doc_id", "text"), "doc_id")
-    low, token = F.lower("text"), F.lower("token")
-    times = (F.length(low) - F.length(F.replace(low, token, F.lit("")))) / F.length(token)
-    line = F.substring_index(F.substring(F.lower("text"), F.lit(1), F.col("position")), "\n", -1)
-    recent = F.right(line, F.lit(30))
-    labelled = F.exists(F.array(*(F.lit(x) for x in LABELS)), lambda x: F.contains(recent, x))
-    return rows.where(~(t.has_accents("token") & (times > 3)) & ~labelled).drop("text")
+
+    def stay(low: str | None, lows: list[str], positions: list[int], accents: list[bool]) -> list[bool]:
+        if low is None:
+            return [False] * len(lows)
+        out = []
+        for token, at, accented in zip(lows, positions, accents):
+            recent = low[max(0, at - LABEL_CHARS) : at].rpartition("\n")[2]
+            out.append(not (accented and low.count(token) > MOST_TIMES) and not any(x in recent for x in LABELS))
+        return out
+
+    rows = flagged.withColumns({"_low": F.lower("token"), "_accents": t.has_accents("token")})
+    judged = _with_text(rows, texts.select("doc_id", F.lower("text").alias("text")), ["_low", "position", "_accents"], stay, "boolean", "_stays")
+    return judged.where("_stays").select(*flagged.columns)
 
 
 def deletions(word: Column, edits: int = EDITS) -> Column:
@@ -122,6 +186,19 @@ def compounds(flagged: DataFrame, words: DataFrame) -> DataFrame:
 COMPOUND_GAP = 2
 
 
+def neighbours(text: str | None, starts: list[int], ends: list[int]) -> list[dict]:
+    """For tokens from ``starts`` to ``ends`` the words between white space around them: the
+    next one and its place if the token ends its word, the one before if it begins it."""
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(f"[^{SPACES}]+", text or "")]
+    begins, stops = {w[1]: k for k, w in enumerate(words)}, {w[2]: k for k, w in enumerate(words)}
+    out = []
+    for start, end in zip(starts, ends):
+        after, before = stops.get(end, len(words)) + 1, begins.get(start, 0) - 1
+        a, b = words[after] if after < len(words) else (None, None, None), words[before] if before >= 0 else (None, None, None)
+        out.append({"after": a[0], "after_at": a[1], "before": b[0], "before_at": b[1]})
+    return out
+
+
 def compound_fixes(flagged: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, token, position, compound_with, start, end, compound_candidates): flagged
     tokens (doc_id, token, position, base_form) that form a known term of two words
@@ -136,13 +213,8 @@ def compound_fixes(flagged: DataFrame, texts: DataFrame, words: DataFrame) -> Da
     w = Window.partitionBy("doc_id").orderBy("position")
     rows = flagged.select("doc_id", "token", "position", "base_form", (F.col("position") + F.length("token")).alias("_end"))
     rows = rows.withColumns({"_next": F.lead("token").over(w), "_next_at": F.lead("position").over(w), "_next_base": F.lead("base_form").over(w), "_nth": F.row_number().over(w)})
-    # every word between white space with its neighbours; a token has those of its word where it begins or ends it
-    k = Window.partitionBy("doc_id").orderBy("k")
-    placed = texts.select("doc_id", F.posexplode(F.split("text", r"(?U)\s")).alias("k", "word"))
-    placed = placed.withColumn("at", F.coalesce(F.sum(F.length("word") + 1).over(k.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("word != ''")
-    near = placed.select("doc_id", "at", (F.col("at") + F.length("word")).alias("stop"), *(f("word").over(k).alias(f"{n}_word") for n, f in (("lag", F.lag), ("lead", F.lead))), *(f("at").over(k).alias(f"{n}_at") for n, f in (("lag", F.lag), ("lead", F.lead))))
-    rows = rows.join(near.select("doc_id", F.col("stop").alias("_end"), F.col("lead_word").alias("_after"), F.col("lead_at").alias("_after_at")), ["doc_id", "_end"], "left")
-    rows = rows.join(near.select("doc_id", F.col("at").alias("position"), F.col("lag_word").alias("_before"), F.col("lag_at").alias("_before_at"), F.lit(True).alias("_begins")), ["doc_id", "position"], "left")
+    rows = _with_text(rows, texts, ["position", "_end"], neighbours, "struct<after:string,after_at:long,before:string,before_at:long>", "_n")
+    rows = rows.select("*", *(F.col(f"_n.{c}").alias(f"_{c}") for c in ("after", "after_at", "before", "before_at"))).drop("_n")
     following, leading = F.col("_after"), F.col("_before")
     gap_after, gap_before = F.col("_after_at") - F.col("_end"), F.col("position") - F.col("_before_at") - F.length(leading)
     # one blank between: the token ends its word, and the next one begins behind it

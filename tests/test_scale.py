@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.operators import geometry, tables, toc
+from papyra.operators import geometry, spell, tables, toc
 from papyra.plans import value_queries
 
 
@@ -123,3 +124,25 @@ def test_safe_fixes_sql_has_the_spaced_markers(spark, tmp_path):
     got = dict(map(tuple, value_queries.safe_fixes(spark, str(tmp_path)).collect()))
     assert got == dict(con.execute(value_queries.SQL["safe_fixes"]).fetchall())
     assert "structure" not in got[0] and "structure" in got[25]
+
+
+def test_words_are_found_at_their_first_place(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aabé1 . \n_") for _ in range(rng.randrange(80))) for _ in range(200)] + ["", "than an _an", "x1 1x"]
+    for text in texts:
+        words = list(dict.fromkeys(re.findall(r"[^\W_]+", text)))
+        assert spell.first_places(text) == [(w, text.find(w)) for w in words if len(w) > 1 and any(c.isalpha() for c in w)]
+    frame = spark.createDataFrame([(1, "than an"), (2, None), (3, "")], "doc_id long, text string")
+    assert [tuple(r) for r in spell.tokens(frame).collect()] == [(1, "than", 0), (1, "an", 2)]
+    assert "instr" not in plan(spell.tokens(frame))
+
+
+def test_words_of_texts_are_not_shuffled(spark):
+    texts = spark.createDataFrame([(1, "xin  chao ban. nhe"), (2, None)], "doc_id long, text string")
+    flagged = spark.createDataFrame([(1, "chao", 5, "chao"), (2, "ab", 0, "ab")], "doc_id long, token string, position int, base_form string")
+    found = spell.neighbours("xin  chao ban. nhe", [5, 10], [9, 13])
+    assert found == [{"after": "ban.", "after_at": 10, "before": "xin", "before_at": 0}, {"after": None, "after_at": None, "before": "chao", "before_at": 5}]
+    words = spark.createDataFrame([("xin chào", 4)], "term string, freq long")
+    got = spell.compound_fixes(flagged, texts, words)
+    assert [tuple(r) for r in got.collect()] == [(1, "chao", 5, "xin", 0, 9, ["xin chào"])]
+    assert "posexplode" not in plan(spell.compound_fixes(flagged, texts, words))
