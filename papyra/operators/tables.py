@@ -227,17 +227,20 @@ def placed_cells(boxes: DataFrame, parts: DataFrame) -> DataFrame:
     row, header, span (the part that covers most, 0.3 at least) and column (the
     nearest), their numbers and sides; null where there is none.  Sides of a span
     stand in for those of a header."""
-    regions = parts.where("kind != 'column'").select("page", F.col("number").alias("box_id"), "kind", *SIDES)
-    met = overlapping(boxes.select("page", "box_id", *SIDES), regions).withColumn("_ov", overlap_area()).where(F.col("_ov") >= LEAST_OVERLAP)
-    part = F.struct("_ov", overlap_area("b_", "").alias("_vo"), F.col("b_box_id").alias("number"), F.struct(*(F.col(f"b_{s}").alias(s) for s in SIDES)).alias("sides"))
-    kinds = ("row", "header", "span")
-    best = met.groupBy("page", "box_id").agg(*(F.max(F.when(F.col("b_kind") == k, part)).alias(f"_{k}") for k in kinds))
-    columns = _listed(parts.where("kind = 'column'"), "_columns", "number", F.struct(*SIDES).alias("sides"))
-    gap = lambda c: F.least(F.abs(F.col("x0") - c["x0"]), F.abs(F.col("x1") - c["x1"]), F.abs(F.col("x0") + F.col("x1") - c["x1"] - c["x0"]) / 2)
-    nearest = F.array_min(F.transform("_columns", lambda c: F.struct(gap(c["sides"]).alias("d"), c["number"].alias("number"), c["sides"].alias("sides"))))
-    out = boxes.join(best, ["page", "box_id"], "left").join(columns, "page", "left").withColumn("_column", nearest)
+    # all of a table meets by its key alone, so boxes and parts are sent once
+    regions = parts.select("page", F.col("kind").alias("b_kind"), F.col("number").alias("b_number"), *(F.col(c).alias(f"b_{c}") for c in SIDES))
+    met = boxes.join(regions, "page", "left")
+    sides = F.struct(*(F.col(f"b_{c}").alias(c) for c in SIDES)).alias("sides")
+    gap = F.least(F.abs(F.col("x0") - F.col("b_x0")), F.abs(F.col("x1") - F.col("b_x1")), F.abs(F.col("x0") + F.col("x1") - F.col("b_x1") - F.col("b_x0")) / 2)
+    real = (F.col("x0") < F.col("x1")) & (F.col("top") < F.col("bottom")) & (F.col("b_x0") < F.col("b_x1")) & (F.col("b_top") < F.col("b_bottom"))
+    part = F.struct(overlap_area().alias("_ov"), overlap_area("b_", "").alias("_vo"), F.col("b_number").alias("number"), sides)
+    best = {k: F.max(F.when(real & (F.col("b_kind") == k) & (overlap_area() >= LEAST_OVERLAP), part)) for k in ("row", "header", "span")}
+    best["column"] = F.min(F.when(F.col("b_kind") == "column", F.struct(gap.alias("d"), F.col("b_number").alias("number"), sides)))
+    rest = [c for c in boxes.columns if c not in ("page", "box_id")]
+    out = met.groupBy("page", "box_id").agg(F.first(F.struct(*rest)).alias("_box"), *(c.alias(f"_{k}") for k, c in best.items()))
+    out = out.select(*(F.col(c) if c in ("page", "box_id") else F.col(f"_box.{c}").alias(c) for c in boxes.columns), *(f"_{k}" for k in best))
     found = {k: F.col(f"_{k}.number") for k in PART_LABELS} | {f"{k}_sides": F.col(f"_{k}.sides") for k in PART_LABELS}
-    return out.withColumns(found).withColumn("header_sides", F.coalesce("span_sides", "header_sides")).drop(*(f"_{k}" for k in PART_LABELS), "_columns")
+    return out.withColumns(found).withColumn("header_sides", F.coalesce("span_sides", "header_sides")).drop(*(f"_{k}" for k in PART_LABELS))
 
 
 def _mean(values: list[float]) -> float:

@@ -146,3 +146,11 @@ def test_words_of_texts_are_not_shuffled(spark):
     got = spell.compound_fixes(flagged, texts, words)
     assert [tuple(r) for r in got.collect()] == [(1, "chao", 5, "xin", 0, 9, ["xin chào"])]
     assert "posexplode" not in plan(spell.compound_fixes(flagged, texts, words))
+
+
+def test_cells_and_parts_meet_by_their_table(spark):
+    boxes = spark.createDataFrame([(1, 1, 0.0, 10.0, 0.0, 10.0, "a"), (2, 1, 0.0, 10.0, 0.0, 10.0, "b")], BOX + ", text string")
+    parts = spark.createDataFrame([(1, "row", 0, 0.0, 9.0, 0.0, 10.0), (1, "row", 1, 9.0, 20.0, 0.0, 10.0), (1, "column", 3, 5.0, 12.0, 0.0, 9.0)], "page int, kind string, number int, x0 double, x1 double, top double, bottom double")
+    got = tables.placed_cells(boxes, parts)
+    assert sorted((r.page, r.text, r.row, r.column, r.header) for r in got.collect()) == [(1, "a", 0, 3, None), (2, "b", None, None, None)]
+    assert "_bx" not in plan(got)
