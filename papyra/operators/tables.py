@@ -217,7 +217,9 @@ def table_parts(parts: DataFrame, boxes: DataFrame) -> DataFrame:
 
     doubles = [F.col(s).cast("double").alias(s) for s in SIDES]
     own = _listed(parts.dropna(subset=["label", *SIDES]), "parts", "part_id", "label", F.col("score").cast("double").alias("score"), *doubles)
-    tables_ = own.join(_listed(boxes.dropna(subset=list(SIDES)), "boxes", *doubles), "page", "left")
+    # texts decide between doubles without a score only
+    unscored = parts.where("coalesce(score, 0) = 0").select("page").distinct()
+    tables_ = own.join(_listed(boxes.dropna(subset=list(SIDES)).join(unscored, "page", "left_semi"), "boxes", *doubles), "page", "left")
     sides = ", ".join(f"{s} double" for s in SIDES)
     return folded(tables_, number, f"page {dict(parts.dtypes)['page']}, kind string, number int, {sides}")
 
