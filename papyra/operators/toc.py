@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +122,22 @@ def clean_toc(c: Column) -> Column:
 ACCEPT_ACCURACY, REPAIR_ACCURACY, REPAIR_ROUNDS = 1.0, 0.6, 3
 
 
+def _settled(modes: list[DataFrame], pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries of each document's chosen mode, those that are right already and those to
+    repair.  All modes are judged at once, so that entries meet their pages once."""
+    every = reduce(DataFrame.unionByName, (m.select("doc_id", "ord", "title", "physical_index").withColumn("mode", F.lit(k)) for k, m in enumerate(modes)))
+    ends = pages.groupBy("doc_id").agg(F.max("page").alias("_last"), F.count("*").alias("_n"))
+    items = truncate_indices(every.join(ends, "doc_id"), F.col("_last")).where("physical_index is not null")
+    shown = items.join(pages.select("doc_id", F.col("page").alias("physical_index"), F.col("text").alias("_text")), ["doc_id", "physical_index"], "left")
+    right = F.coalesce(title_on_page(F.col("title"), F.col("_text")), F.lit(False)).cast("int")
+    own = Window.partitionBy("doc_id", "mode")
+    judged = shown.select(*items.columns, right.alias("_right")).repartition("doc_id")
+    judged = judged.withColumn("_share", F.when(F.max_by("physical_index", "ord").over(own) >= F.col("_n") / 2, F.avg("_right").over(own)).otherwise(0.0))
+    best = F.min(F.when(F.col("_share") > REPAIR_ACCURACY, F.col("mode"))).over(Window.partitionBy("doc_id"))
+    chosen = judged.withColumn("_best", best).where("mode = _best").select("doc_id", "mode", "ord", "title", "physical_index", "_share")
+    return chosen.where(F.col("_share") >= ACCEPT_ACCURACY).drop("_share"), chosen.where(F.col("_share") < ACCEPT_ACCURACY).drop("_share")
+
+
 def settled_toc(modes: list[DataFrame], pages: DataFrame) -> DataFrame:
     """(doc_id, mode, ord, title, physical_index): each document's entries from the first of
     ``modes`` (tables doc_id, ord, title, physical_index, best first) that holds.
@@ -129,20 +147,13 @@ def settled_toc(modes: list[DataFrame], pages: DataFrame) -> DataFrame:
     are right; above 0.6 it holds once its wrong entries are repaired, three
     rounds at most; else the next mode is tried.  Documents for which no mode
     holds are left out."""
-    ends = pages.groupBy("doc_id").agg(F.max("page").alias("_last"))
-    open_, found = pages.select("doc_id").distinct(), None
-    for k, mode in enumerate(modes):
-        items = mode.select("doc_id", "ord", "title", "physical_index").join(open_, "doc_id", "left_semi").join(ends, "doc_id")
-        items = truncate_indices(items, F.col("_last")).where("physical_index is not null").drop("_last")
-        judged = toc_accuracy(items, pages)
-        right = items.join(judged.where(F.col("accuracy") >= ACCEPT_ACCURACY), "doc_id", "left_semi")
-        wrong = items.join(judged.where((F.col("accuracy") > REPAIR_ACCURACY) & (F.col("accuracy") < ACCEPT_ACCURACY)), "doc_id", "left_semi")
-        for _ in range(REPAIR_ROUNDS):
-            wrong = repair_entries(wrong, pages)
-        kept = right.unionByName(wrong.select(right.columns)).withColumn("mode", F.lit(k))
-        found = kept if found is None else found.unionByName(kept)
-        open_ = open_.join(judged.where(F.col("accuracy") > REPAIR_ACCURACY).select("doc_id"), "doc_id", "left_anti")
-    return found.select("doc_id", "mode", "ord", "title", "physical_index")
+    right, wrong = _settled(modes, pages)
+    mended = wrong
+    for _ in range(REPAIR_ROUNDS):
+        mended = repair_entries(mended, pages)
+    # a document has one mode left, so what was mended finds its own again by the document
+    mended = mended.join(wrong.select("doc_id", "mode").distinct(), "doc_id")
+    return right.unionByName(mended.select(right.columns)).select("doc_id", "mode", "ord", "title", "physical_index")
 
 
 def page_index(modes: list[DataFrame], pages: DataFrame) -> DataFrame:

@@ -127,16 +127,19 @@ def span_texts(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """``spans`` (doc_id, ord, start_index, end_index) with the text of their pages.
 
     A span is exploded to its pages, so the join is on equal keys."""
-    wide = spans.select("doc_id", "ord", F.explode(F.sequence("start_index", F.greatest("start_index", "end_index"))).alias("page"))
-    texts = wide.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"]).groupBy("doc_id", "ord").agg(ordered_text(F.col("text"), F.col("page"), "").alias("text"))
-    return spans.join(texts, ["doc_id", "ord"], "left")
+    wide = spans.withColumn("page", F.explode_outer(F.sequence("start_index", F.greatest("start_index", "end_index"))))
+    found = wide.join(pages.select("doc_id", "page", "text", F.lit(True).alias("_found")), ["doc_id", "page"], "left")
+    page = F.when(F.col("_found"), F.struct(F.col("page").alias("o"), F.col("text").alias("l")))
+    texts = found.groupBy(spans.columns).agg(F.sort_array(F.collect_list(page)).alias("_texts"))
+    # a span without a single page has no text; one with pages without text has an empty one
+    return texts.select(*spans.columns, F.when(F.size("_texts") > 0, F.array_join("_texts.l", "")).alias("text"))
 
 
 def line_bounds(nodes: DataFrame) -> DataFrame:
     """``nodes`` with start_line and end_line: the line before the next distinct heading line."""
-    distinct = nodes.select("doc_id", "line_num").distinct()
-    ends = distinct.withColumn("end_line", F.lead("line_num").over(in_order("line_num")) - 1)
-    return nodes.join(ends, ["doc_id", "line_num"]).withColumn("start_line", F.col("line_num"))
+    # backwards, so that the frame of later lines only grows
+    later = Window.partitionBy("doc_id").orderBy(F.desc("line_num")).rangeBetween(Window.unboundedPreceding, -1)
+    return nodes.where("doc_id is not null and line_num is not null").withColumn("end_line", F.min("line_num").over(later) - 1).withColumn("start_line", F.col("line_num"))
 
 
 def context_of_nodes(asked: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:

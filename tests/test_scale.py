@@ -8,8 +8,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.operators import geometry, spell, tables, toc
-from papyra.plans import value_queries
+from papyra.functions import text as t
+from papyra.operators import geometry, navigate, packing, spell, tables, toc, tree
+from papyra.plans import derived, tree_queries, value_queries
 
 
 def plan(frame) -> str:
@@ -154,3 +155,20 @@ def test_cells_and_parts_meet_by_their_table(spark):
     got = tables.placed_cells(boxes, parts)
     assert sorted((r.page, r.text, r.row, r.column, r.header) for r in got.collect()) == [(1, "a", 0, 3, None), (2, "b", None, None, None)]
     assert "_bx" not in plan(got)
+
+
+def test_contents_meet_their_pages_few_times(spark, rows):
+    pages = spark.createDataFrame([(d, p, f"T{p}") for d in (1, 2, 3) for p in (1, 2, 3)], "doc_id long, page int, text string")
+    entries = [(1, 1, "T1", 1), (1, 2, "T2", 2), (1, 3, "T3", 3), (2, 1, "T1", 1), (2, 2, "T2", 2), (2, 3, "T3", 2), (3, 1, "zz", 3)]
+    first = spark.createDataFrame(entries, "doc_id long, ord int, title string, physical_index int")
+    second = spark.createDataFrame([(3, 1, "T2", 2), (1, 1, "T2", 2), (3, 2, "T3", 9)], first.schema)
+    # right at once, mended, the second contents without the entry beyond the last page
+    want = [(1, 0, 1, "T1", 1), (1, 0, 2, "T2", 2), (1, 0, 3, "T3", 3), (2, 0, 1, "T1", 1), (2, 0, 2, "T2", 2), (2, 0, 3, "T3", 3), (3, 1, 1, "T2", 2)]
+    got = toc.settled_toc([first, second], pages)
+    assert rows(got) == want
+    # 466 where each mode and round met the pages by itself
+    assert plan(toc.settled_toc([first, second], pages)).count("Join ") < 60
+    spans = spark.createDataFrame([(1, 1, 1, 2), (1, 2, 7, 7), (1, 3, 3, 3), (1, 4, None, 3)], "doc_id long, ord int, start_index int, end_index int")
+    shown = tree.span_texts(spans, pages.withColumn("text", F.when(F.col("page") < 3, F.col("text"))))
+    assert plan(shown).count("Join ") == 1
+    assert rows(shown.select("ord", "text")) == [(1, "T1T2"), (2, None), (3, ""), (4, None)]
