@@ -22,7 +22,6 @@ from .tree import OPEN_ENDED_LINES, OUTLINE_CHARS, TITLE_CHARS, line_bounds
 
 #: Levels that are walked at most.
 LEVELS = 12
-_FIELDS = ("node_id", "parent_id", "title", "summary")
 
 
 def _shown(nodes: list[dict], limit: int) -> list[str]:
@@ -86,9 +85,8 @@ def chosen_nodes(questions: DataFrame, nodes: DataFrame, model: Callable[[], Cal
 
     A model that fails, or a question that is null or blank, or about a document
     without nodes, gives no rows.  Repeated questions count each."""
-    up = nodes.select("doc_id", F.col("ord").alias("parent_ord"), F.col("node_id").alias("parent_id"))
-    rows = nodes.join(up, ["doc_id", "parent_ord"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *_FIELDS))).alias("_nodes"))
-    trees = rows.select("doc_id", F.transform("_nodes", lambda n: F.struct(*(n[f].alias(f) for f in _FIELDS))).alias("_nodes"))
+    # parents are looked up among the document's own nodes where these are walked
+    trees = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "node_id", "parent_ord", "title", "summary"))).alias("_nodes"))
     asked = questions.where(t.strip("question") != "").join(trees, "doc_id")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -96,7 +94,9 @@ def chosen_nodes(questions: DataFrame, nodes: DataFrame, model: Callable[[], Cal
 
         def safe(question: str, tree: list) -> list[str]:
             try:
-                return descend(question, [n if isinstance(n, dict) else n.asDict() for n in tree], ask, limit, instructions)
+                known = [n if isinstance(n, dict) else n.asDict() for n in tree]
+                ids = {n["ord"]: n["node_id"] for n in known}
+                return descend(question, [n | {"parent_id": ids.get(n["parent_ord"])} for n in known], ask, limit, instructions)
             except Exception:
                 return []
 

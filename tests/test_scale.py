@@ -172,3 +172,15 @@ def test_contents_meet_their_pages_few_times(spark, rows):
     shown = tree.span_texts(spans, pages.withColumn("text", F.when(F.col("page") < 3, F.col("text"))))
     assert plan(shown).count("Join ") == 1
     assert rows(shown.select("ord", "text")) == [(1, "T1T2"), (2, None), (3, ""), (4, None)]
+
+
+def test_nodes_meet_no_nodes_on_the_way_down(spark, rows):
+    nodes = spark.createDataFrame([(1, 1, "0", None, "A", None), (1, 2, "1", 1, "B", None), (2, 1, "0", None, "A", None)], "doc_id long, ord int, node_id string, parent_ord int, title string, summary string")
+    asked = spark.createDataFrame([(7, 1, "q")], "question_id long, doc_id long, question string")
+    model = lambda: lambda p: '{"node_list": ["0", "1"]}'
+    got = navigate.chosen_nodes(asked, nodes, model)
+    assert plan(got).count("Join ") == 1
+    assert rows(got) == [(7, 1, 1, "1")]
+    bounds = tree.line_bounds(spark.createDataFrame([(1, 1, 3), (1, 2, 3), (1, 3, 9)], "doc_id long, ord int, line_num int"))
+    assert rows(bounds.select("ord", "start_line", "end_line")) == [(1, 3, 8), (2, 3, 8), (3, 9, None)]
+    assert "Join" not in plan(bounds)
