@@ -44,7 +44,7 @@ def explode_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 def ordered_text(line: Column, order: Column, joint: str = "\n") -> Column:
     """Aggregate: the rows' texts in order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: x["l"]), joint)
+    return F.array_join(F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("l")))).getField("l"), joint)
 
 
 def kept_lines(lines: DataFrame) -> DataFrame:

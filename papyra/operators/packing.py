@@ -63,23 +63,43 @@ def chunk_lines(docs: DataFrame, most: int = CHUNK_CHARS, overlap: int = CHUNK_O
     return docs.where("text is not null").select("doc_id", "text").mapInPandas(pack, f"doc_id {kind}, chunk int, text string, line_num int, end_line_num int")
 
 
-def _grouped(rows: DataFrame, order: str, needs: list[Column], fold: Callable[..., list[int]], out: str) -> DataFrame:
-    """``rows`` with ``out``, the group numbers from 1 that ``fold`` gives a document's
-    rows in order, from the lists of what it ``needs`` of them.
-
-    A document's rows are one array, of which only those lists leave the JVM."""
+def _folded(rows: DataFrame, order: str, needs: list[Column], fold: Callable[..., list[int]]) -> DataFrame:
+    """(doc_id, _rows, _groups): a document's rows in order as one array, of which only the
+    lists of what ``fold`` ``needs`` leave the JVM, and the group numbers that it gives."""
 
     def number(*lists: pd.Series) -> pd.Series:
         return pd.Series([fold(*row) for row in zip(*lists)], dtype=object)
 
     names, kinds = [c for c in rows.columns if c not in ("doc_id", order)], [f"_need{i}" for i in range(len(needs))]
     packed = F.struct(F.col(order), *names, *(c.alias(k) for c, k in zip(needs, kinds)))
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(packed)).alias("_rows"))
-    groups = F.pandas_udf(number, "array<int>")(*(F.col(f"_rows.{k}") for k in kinds))
-    numbered = docs.withColumn("_groups", groups).select("doc_id", F.explode(F.arrays_zip("_rows", "_groups")).alias("_z"))
+    docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(packed)).alias("_rows"))
+    return docs.withColumn("_groups", F.pandas_udf(number, "array<int>")(*(F.col(f"_rows.{k}") for k in kinds)))
+
+
+def _grouped(rows: DataFrame, order: str, needs: list[Column], fold: Callable[..., list[int]], out: str) -> DataFrame:
+    """``rows`` with ``out``, the group numbers from 1 that ``fold`` gives a document's
+    rows in order, from the lists of what it ``needs`` of them."""
+    numbered = _folded(rows, order, needs, fold).select("doc_id", F.explode(F.arrays_zip("_rows", "_groups")).alias("_z"))
     return numbered.select("doc_id", *(F.col(f"_z._rows.`{c}`").alias(c) for c in rows.columns if c != "doc_id"), F.col("_z._groups").alias(out))
 
 
+def _joined(lines: DataFrame, needs: list[Column], fold: Callable[..., list[int]], out: str) -> DataFrame:
+    """(doc_id, ``out``, text, first, start_line, end_line, n) of lines (doc_id, line_id, text)
+    in groups of consecutive ones, numbered by ``fold``.
+
+    A group is a slice of its document's array, so lines are put together in one pass
+    over documents and never aggregated by group."""
+    docs = _folded(lines, "line_id", needs, fold)
+    starts = F.filter(F.transform("_groups", lambda g, i: F.when((i == 0) | (g != F.get("_groups", i - 1)), i)), lambda i: i.isNotNull())
+    spans = docs.withColumn("_starts", starts).withColumn("_ends", F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_groups"))))
+    each = spans.select("doc_id", "_rows", F.posexplode(F.arrays_zip("_starts", "_ends")).alias("_k", "_z"))
+    part = each.select("doc_id", (F.col("_k") + 1).alias(out), F.slice("_rows", F.col("_z._starts") + 1, F.col("_z._ends") - F.col("_z._starts")).alias("_part"))
+    return part.select(
+        "doc_id", out, F.array_join("_part.text", "\n").alias("text"), F.get("_part", F.lit(0))["text"].alias("first"), F.get("_part", F.lit(0))["line_id"].alias("start_line"),
+        F.element_at("_part", -1)["line_id"].alias("end_line"), F.size("_part").cast("long").alias("n"),
+    )
+
+
 def capped(starts: list[bool], ends: list[bool], sizes: list[int], most_rows: int, most_size: int, joint: int = 0, after: bool = False) -> list[int]:
     """Group numbers of rows: a start opens a group, an end closes it, and so do the caps.
 
@@ -102,8 +122,7 @@ def sentence_segments(lines: DataFrame) -> DataFrame:
 
     Structural lines stand alone; others run to a sentence's end, 8 lines or 1200 characters."""
     flagged = judged(lines.select("doc_id", "line_id", "text"), t.strip("text"), lambda s: [t.is_hard_structural(s).alias("hard"), t.ends_sentence(s).alias("ends")]).withColumn("size", F.length("text"))
-    grouped = _grouped(flagged, "line_id", [F.col("hard"), F.col("hard") | F.col("ends"), F.col("size")], lambda *of: capped(*of, SEGMENT_LINES, SEGMENT_CHARS, 1, True), "segment_id")
-    one = grouped.groupBy("doc_id", "segment_id").agg(ordered_text(F.col("text"), F.col("line_id")).alias("text"), F.min_by("text", "line_id").alias("first"), F.min("line_id").alias("start_line"), F.max("line_id").alias("end_line"), F.count("*").alias("n"))
+    one = _joined(flagged, [F.col("hard"), F.col("hard") | F.col("ends"), F.col("size")], lambda *of: capped(*of, SEGMENT_LINES, SEGMENT_CHARS, 1, True), "segment_id")
     total = F.max("end_line").over(Window.partitionBy("doc_id"))
 
     def kinds(first: Column) -> list[Column]:
@@ -125,15 +144,16 @@ def blocks(lines: DataFrame) -> DataFrame:
     block, continuing lines join it up to 12 lines and 2200 characters."""
 
     def flags(s: Column) -> list[Column]:
-        own = t.is_title_like(s) | t.is_footer_section(s) | t.is_signature_like(s) | t.any_marker(s)
-        return [own.alias("_own"), t.is_continuation(s).alias("_goes_on"), t.invites_next(s).alias("_invites"), t.is_noise(s).alias("noise")]
+        own = t.any_marker(s) | t.is_footer_section(s) | t.is_title_like(s) | t.is_signature_like(s)
+        # what opens a block itself is not asked whether it goes on
+        state = F.when(own, "own").when(t.is_continuation(s), "goes on").when(s.isNotNull(), "")
+        return [state.alias("_state"), t.invites_next(s).alias("_invites"), t.is_noise(s).alias("noise")]
 
     rows = judged(lines.select("doc_id", "line_id", "text"), t.strip("text"), flags)
-    opens = F.col("_own") | ~(F.col("_goes_on") | F.lag("_invites").over(in_order("line_id")))
+    opens = (F.col("_state") == "own") | ~((F.col("_state") == "goes on") | F.lag("_invites").over(in_order("line_id")))
     flagged = rows.select("doc_id", "line_id", "text", F.coalesce(opens, F.lit(True)).alias("opens"), "noise", F.length("text").alias("size"))
-    grouped = _grouped(flagged, "line_id", [F.col("opens") | F.col("noise"), F.col("noise"), F.col("size")], lambda *of: capped(*of, BLOCK_LINES, BLOCK_CHARS, 1), "block_id")
-    out = grouped.groupBy("doc_id", "block_id").agg(ordered_text(F.col("text"), F.col("line_id")).alias("text"), F.min_by("text", "line_id").alias("first_line"), F.min("line_id").alias("start_line"), F.max("line_id").alias("end_line"), F.count("*").alias("line_count"))
-    return out.withColumn("char_count", F.length("text"))
+    out = _joined(flagged, [F.col("opens") | F.col("noise"), F.col("noise"), F.col("size")], lambda *of: capped(*of, BLOCK_LINES, BLOCK_CHARS, 1), "block_id")
+    return out.withColumnsRenamed({"first": "first_line", "n": "line_count"}).withColumn("char_count", F.length("text"))
 
 
 def with_position(blocks_: DataFrame) -> DataFrame:
@@ -165,13 +185,14 @@ def block_signals(blocks_: DataFrame) -> DataFrame:
     def signals(first: Column) -> list[Column]:
         number = t.numbering(first)
         return [
-            number["numbering"].alias("numbering"), number["level"].alias("numbering_level"), t.marker_kind(first).alias("marker_kind"), t.is_marker(first, "BULLET").alias("bullet"),
+            number.alias("_number"), t.marker_kind(first).alias("marker_kind"), t.is_marker(first, "BULLET").alias("bullet"),
             t.is_marker(first, "ARTICLE").alias("article"), t.is_chapter(first).alias("chapter"), t.is_title_like(first).alias("all_caps"), (F.col("char_count") < 80).alias("short_line"),
             first.rlike("[.!?…]$").alias("ends_period"), t.is_continuation(first).alias("continuation"), t.is_noise(first).alias("noise_like"), t.is_metadata_like(first).alias("metadata_like"),
             t.is_footer_section(first).alias("footer_like"), t.is_signature_like(first).alias("signature_like"), t.is_subject_like(first).alias("subject_like"), t.invites_next(first).alias("_invites"),
         ]
 
     rows = judged(blocks_.withColumn("first_line", t.strip("first_line")), F.col("first_line"), signals)
+    rows = rows.withColumns({"numbering": F.col("_number.numbering"), "numbering_level": F.col("_number.level")}).drop("_number")
     before = F.lag("_invites").over(in_order("block_id"))
     return rows.withColumn("incomplete_prev", F.coalesce(before, F.lit(False))).drop("_invites")
 
@@ -200,12 +221,16 @@ def semantic_chunks(blocks_: DataFrame) -> DataFrame:
 
 def chunk_signals(chunked: DataFrame) -> DataFrame:
     """One row a chunk (doc_id, chunk_id): texts, contexts and the roll-up of its blocks' signals."""
-    level = F.coalesce(F.min(F.when(F.col("numbering_level") > 0, F.col("numbering_level"))), F.lit(0))
-    one = chunked.groupBy("doc_id", "chunk_id").agg(
-        F.array_sort(F.collect_list("block_id")).alias("source_block_ids"), ordered_text(F.col("text"), F.col("block_id")).alias("text"), F.min_by("first_line", "block_id").alias("candidate_header"),
-        F.max_by("text", "block_id").alias("_last"), F.bool_or(F.col("numbering").isNotNull()).alias("has_numbering"), level.alias("numbering_level"), F.bool_or("article").alias("has_article"),
-        F.bool_or("chapter").alias("has_chapter"), F.bool_or("all_caps").alias("is_all_caps"), F.bool_and("short_line").alias("is_short"), F.max_by("ends_period", "block_id").alias("ends_period"),
-        F.min_by("continuation", "block_id").alias("is_continuation"), F.sum("char_count").alias("char_count"), F.count("*").alias("block_count"),
+    level = F.when(F.col("numbering_level") > 0, F.col("numbering_level"))
+    # one sorted list of a chunk's blocks: an aggregate for each signal costs several times as much
+    own = F.struct("block_id", "text", "first_line", F.col("numbering").isNotNull().alias("numbered"), level.alias("level"), "article", "chapter", "all_caps", "short_line", "ends_period", "continuation")
+    rolled = chunked.groupBy("doc_id", "chunk_id").agg(F.sort_array(F.collect_list(own)).alias("_b"), F.sum("char_count").alias("char_count"), F.count("*").alias("block_count"))
+    first, last = F.get("_b", F.lit(0)), F.element_at("_b", -1)
+    one = rolled.select(
+        "doc_id", "chunk_id", F.col("_b.block_id").alias("source_block_ids"), F.array_join("_b.text", "\n").alias("text"), first["first_line"].alias("candidate_header"),
+        last["text"].alias("_last"), F.array_max("_b.numbered").alias("has_numbering"), F.coalesce(F.array_min("_b.level"), F.lit(0)).alias("numbering_level"), F.array_max("_b.article").alias("has_article"),
+        F.array_max("_b.chapter").alias("has_chapter"), F.array_max("_b.all_caps").alias("is_all_caps"), F.array_min("_b.short_line").alias("is_short"), last["ends_period"].alias("ends_period"),
+        first["continuation"].alias("is_continuation"), "char_count", "block_count",
     )
     w = in_order("chunk_id")
     around = one.withColumn("context_before", F.coalesce(t.clip(F.lag("_last").over(w), CONTEXT_CHARS), F.lit(""))).withColumn("context_after", F.coalesce(t.clip(F.lead("candidate_header").over(w), CONTEXT_CHARS), F.lit("")))

@@ -184,3 +184,16 @@ def test_nodes_meet_no_nodes_on_the_way_down(spark, rows):
     bounds = tree.line_bounds(spark.createDataFrame([(1, 1, 3), (1, 2, 3), (1, 3, 9)], "doc_id long, ord int, line_num int"))
     assert rows(bounds.select("ord", "start_line", "end_line")) == [(1, 3, 8), (2, 3, 8), (3, 9, None)]
     assert "Join" not in plan(bounds)
+
+
+def test_groups_of_lines_are_slices(spark, rows):
+    lines = spark.createDataFrame([(1, 1, "Điều 1. abc"), (1, 2, "còn lại"), (1, 3, "a) mục"), (2, 1, None), (2, 2, "x")], "doc_id long, line_id int, text string")
+    got = packing.blocks(lines)
+    assert rows(got.select("doc_id", "block_id", "text", "first_line", "start_line", "end_line", "line_count")) == [
+        (1, 1, "Điều 1. abc\ncòn lại", "Điều 1. abc", 1, 2, 2), (1, 2, "a) mục", "a) mục", 3, 3, 1), (2, 1, "", None, 1, 1, 1), (2, 2, "x", "x", 2, 2, 1),
+    ]
+    # one aggregate a document, none a group
+    assert "min_by" not in plan(got) and "min_by" not in plan(packing.sentence_segments(lines))
+    chunks = packing.chunk_signals(packing.semantic_chunks(got))
+    assert "min_by" not in plan(chunks) and "bool_or" not in plan(chunks)
+    assert rows(chunks.where("doc_id = 1").select("text", "candidate_header", "has_numbering", "numbering_level", "block_count"))[0][0].startswith("Điều 1. abc")
