@@ -197,3 +197,21 @@ def test_groups_of_lines_are_slices(spark, rows):
     chunks = packing.chunk_signals(packing.semantic_chunks(got))
     assert "min_by" not in plan(chunks) and "bool_or" not in plan(chunks)
     assert rows(chunks.where("doc_id = 1").select("text", "candidate_header", "has_numbering", "numbering_level", "block_count"))[0][0].startswith("Điều 1. abc")
+
+
+def test_lines_without_faults_are_searched_once(spark):
+    rng = random.Random(8)
+    bits = [" ", "  ", "\t", "﻿", " ", "\n", ",", ".", ";", ":", "/", "-", " - ", "a", "Số", "so", "ngay 5 tháng", "thang 12", "nam 2020", "_", "1", "IV.", "Điều 3", "é", "\x0b", "Mục 2 "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(3000)] + ["", None, "plain words only"]
+    frame = spark.createDataFrame([(x,) for x in texts], "x string")
+
+    def in_full(c):
+        return t._spaced(t._ruled(t._spaced(c)))
+
+    wrong = frame.where(~(t.spacing("x").eqNullSafe(t._spaced(F.col("x")))) | ~(t.rule_corrections("x").eqNullSafe(in_full(F.col("x")))))
+    assert wrong.collect() == []
+    for spaced in (False, True):
+        kinds = [t.is_marker("x", k, spaced) for k in t.MARKERS] + [t.strip("x").rlike(t.CHAPTER_NUMBERED if spaced else t.CHAPTER)]
+        each = F.greatest(*kinds)
+        assert frame.where(~t.any_marker("x", spaced).eqNullSafe(each)).collect() == []
+    assert plan(frame.select(t.any_marker("x"))).count("RLIKE") <= 2
