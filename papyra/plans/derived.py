@@ -14,6 +14,8 @@ from ..operators.lines import in_order
 
 #: Scan tasks up to which a table counts as small: some hundred MB each at most.
 SMALL_SCAN = 8
+#: Rows that a task sorts at once: some ten MB for each sort.
+ROWS_A_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,24 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if n <= min(SMALL_SCAN, cores) else rows
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows`` of about ``n`` dealt by ``keys`` over tasks of ROWS_A_TASK.
+
+    Adaptive execution deals rows to few tasks by their packed size, so what a task
+    sorts would grow with the table; a small table is left to it."""
+    tasks = -(-n // ROWS_A_TASK)
+    return rows.repartition(tasks, *keys) if tasks > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def unique_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line item for each number of an order: that of the largest quantity."""
+    """One line item for each number of an order: that of the largest quantity.
+
+    Hardly any number comes twice, so items are dealt by their orders first, which later
+    steps by order need as well, and not aggregated in the scan."""
     best = F.max(F.struct("l_quantity", "l_returnflag", "l_linestatus")).alias("x")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(best).select("l_orderkey", "l_linenumber", "x.*")
+    item = table(spark, sf_dir, "lineitem")
+    items = dealt(item.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"), item.count(), "l_orderkey")
+    return items.groupBy("l_orderkey", "l_linenumber").agg(best).select("l_orderkey", "l_linenumber", "x.*")
 
 
 ITEMS_SQL = """
@@ -52,7 +68,7 @@ def outline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.col("l_linenumber"), F.lit(". "), F.col("l_returnflag"))).otherwise(F.concat(F.chr(F.lit(96) + number), F.lit(") "), F.col("l_linestatus")))
     keys = item.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     three = keys.select(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("o"), number.alias("i"), F.lit(3).alias("level"), F.concat(F.lit("i"), F.col("l_orderkey"), F.lit("."), F.col("l_linenumber")).alias("own"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("up"), F.concat(F.lit("### "), title).alias("line"))
-    rows = one.unionByName(two).unionByName(three)
+    rows = dealt(one.unionByName(two).unionByName(three), table(spark, sf_dir, "lineitem").count() + orders.count(), "doc_id")
     return rows.withColumn("line_num", F.row_number().over(in_order("o", "i", "line"))).select("doc_id", "line_num", "level", "own", "up", "line")
 
 

@@ -215,3 +215,10 @@ def test_lines_without_faults_are_searched_once(spark):
         each = F.greatest(*kinds)
         assert frame.where(~t.any_marker("x", spaced).eqNullSafe(each)).collect() == []
     assert plan(frame.select(t.any_marker("x"))).count("RLIKE") <= 2
+
+
+def test_outlines_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(derived, "ROWS_A_TASK", 500)
+    got = tree_queries.sibling_levels(spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() + spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert "hashpartitioning(doc_id" in plan(got) and f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan(got)
