@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import contents, navigate, spell, tables, tree
 from ..operators.lines import in_order
 from . import derived
-from .derived import BOXES_SQL, ITEMS_SQL, OUTLINE_SQL, outline_lines, table, unique_items
+from .derived import BOXES_SQL, ITEMS_SQL, OUTLINE_SQL, outline_lines, table
 
 #: Entries that the stub gives in one reply before it breaks off.
 A_REPLY = 4
@@ -71,32 +71,42 @@ HEADS = ["quantity", "price", "flag"]
 
 def _order_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(boxes, parts): each order as a recognised table, its line items as rows, with a
-    doubled row part in some and a spanning head in others."""
-    items = unique_items(spark, sf_dir).withColumn("i", F.row_number().over(in_order("l_linenumber", by="l_orderkey")))
-    heads = items.groupBy("l_orderkey").agg(F.max("i").alias("n"))
-    spanned = F.col("l_orderkey") % 5 == 0
-    texts = F.array(F.col("l_quantity").cast("int").cast("string"), F.col("l_linestatus"), F.col("l_returnflag"))
-    cells = items.select("l_orderkey", "i", F.posexplode(texts).alias("j", "text"))
-    top = heads.select("l_orderkey", F.lit(0).alias("i"), F.posexplode(F.array(*(F.lit(h) for h in HEADS))).alias("j", "text")).where(~(spanned & (F.col("j") == 1)))
-    cells = cells.unionByName(top)
-    x, y = 100.0 * F.col("j") + 5 + (F.col("l_orderkey") + F.col("i")) % 4, 20.0 * F.col("i") + 2 + (F.col("l_orderkey") + F.col("j")) % 3
-    boxes = cells.select(F.col("l_orderkey").alias("page"), (F.col("i") * 10 + F.col("j")).cast("int").alias("box_id"), x.alias("x0"), (x + 60).alias("x1"), y.alias("top"), (y + 13).alias("bottom"), "text", F.lit("table").alias("layout_type"))
-
-    def part(rows: DataFrame, number, label: str, score: float, x0, x1, top, bottom) -> DataFrame:
-        sides = {"x0": x0, "x1": x1, "top": top, "bottom": bottom}
-        return rows.select(F.col("l_orderkey").alias("page"), number.cast("int").alias("part_id"), F.lit(label).alias("label"), F.lit(score).alias("score"), *((c if not isinstance(c, float) else F.lit(c)).cast("double").alias(s) for s, c in sides.items()))
-
-    row, low = 20.0 * F.col("i"), 20.0 * F.col("i") + 18
-    doubled = items.where((F.col("l_orderkey") % 3 == 0) & (F.col("i") == 1))
-    column = heads.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(HEADS) - 1))))
-    parts = [
-        part(heads, F.lit(0), "table column header", 0.9, 0.0, 300.0, 0.0, 18.0), part(items, F.col("i"), "table row", 0.9, 0.0, 300.0, row, low), part(doubled, F.lit(90), "table row", 0.4, 0.0, 300.0, row + 1, low - 1),
-        part(column, 70 + F.col("j"), "table column", 0.8, 100.0 * F.col("j"), 100.0 * F.col("j") + 95, 0.0, 20.0 * F.col("n") + 20), part(heads.where(spanned), F.lit(80), "table spanning cell", 0.7, 0.0, 198.0, 0.0, 18.0),
+    doubled row part in some and a spanning head in others.
+
+    An order's items are one array, of which both are made, so that only items are shuffled."""
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-item.count() // derived.ROWS_A_TASK))
+    items = item.repartition(tasks, "l_orderkey").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_list(F.struct(*item.columns[1:]))).alias("items"))
+    # as unique_items(): of a number that comes twice the largest, which is the last
+    last = F.filter("items", lambda x, k: ~F.coalesce(F.get("items", k + 1)["l_linenumber"].eqNullSafe(x["l_linenumber"]) & (k + 1 < F.size("items")), F.lit(False)))
+    rows = items.select("page", F.transform(last, lambda x: F.struct(x["l_quantity"].cast("int").cast("string").alias("a"), x["l_linestatus"].alias("b"), x["l_returnflag"].alias("c"))).alias("rows"))
+    spanned, heads = F.col("page") % 5 == 0, F.struct(*(F.lit(h).alias(c) for h, c in zip(HEADS, "abc")))
+    lines = rows.select("page", F.posexplode(F.concat(F.array(heads), "rows")).alias("i", "x"))
+    cells = lines.select("page", "i", F.posexplode(F.array("x.a", "x.b", "x.c")).alias("j", "text")).where(~(spanned & (F.col("i") == 0) & (F.col("j") == 1)))
+    x, y = 100.0 * F.col("j") + 5 + (F.col("page") + F.col("i")) % 4, 20.0 * F.col("i") + 2 + (F.col("page") + F.col("j")) % 3
+    boxes = cells.select("page", (F.col("i") * 10 + F.col("j")).cast("int").alias("box_id"), x.alias("x0"), (x + 60).alias("x1"), y.alias("top"), (y + 13).alias("bottom"), "text", F.lit("table").alias("layout_type"))
+
+    # a header, n rows, columns, a double of the first row, a span
+    n, k = F.col("n"), F.col("k")
+    j = (k - n - 1).cast("double")
+    each = rows.select("page", F.size("rows").alias("n")).select("page", "n", F.explode(F.sequence(F.lit(0), n + len(HEADS) + 2)).alias("k"))
+    low, high = 20.0 * k, 20.0 * n + 20
+    kinds = [
+        (k == 0, (0, "table column header", 0.9, 0.0, 300.0, 0.0, 18.0), None), (k <= n, (k, "table row", 0.9, 0.0, 300.0, low, low + 18), None),
+        (k <= n + len(HEADS), (k - n + 69, "table column", 0.8, 100.0 * j, 100.0 * j + 95, 0.0, high), None),
+        (k == n + len(HEADS) + 1, (90, "table row", 0.4, 0.0, 300.0, 21.0, 37.0), F.col("page") % 3 == 0), (F.lit(True), (80, "table spanning cell", 0.7, 0.0, 198.0, 0.0, 18.0), spanned),
     ]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
-    return boxes, every
+
+    def chosen(make) -> F.Column:
+        found = F.when(kinds[0][0], make(kinds[0]))
+        for kind in kinds[1:]:
+            found = found.when(kind[0], make(kind))
+        return found
+
+    value = lambda at, of: chosen(lambda kind: F.lit(kind[1][at]).cast(of))
+    names = {"part_id": "int", "label": "string", "score": "double", "x0": "double", "x1": "double", "top": "double", "bottom": "double"}
+    there = chosen(lambda kind: F.lit(True) if kind[2] is None else kind[2])
+    return boxes, each.where(there).select("page", *(value(at, of).alias(name) for at, (name, of) in enumerate(names.items())))
 
 
 def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

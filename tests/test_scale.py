@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from papyra.functions import text as t
 from papyra.operators import geometry, navigate, packing, spell, tables, toc, tree
-from papyra.plans import derived, tree_queries, value_queries
+from papyra.plans import derived, model_queries, tree_queries, value_queries
 
 
 def plan(frame) -> str:
@@ -222,3 +223,42 @@ def test_outlines_are_dealt_by_their_rows(spark, monkeypatch):
     got = tree_queries.sibling_levels(spark, "/root/testdata/sf0.001")
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() + spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
     assert "hashpartitioning(doc_id" in plan(got) and f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan(got)
+
+
+def test_region_markdown_sends_a_table_once(spark):
+    got = model_queries.region_markdown(spark, "/root/testdata/sf0.001")
+    # items for the boxes and for the parts; cells, lines and captions are not dealt again
+    assert plan(got).count("Exchange hashpartitioning") == 2
+
+
+def test_boxes_lie_in_the_parts_that_cover_most(spark, monkeypatch):
+    rng = random.Random(9)
+    side = lambda: None if rng.random() < 0.05 else float(rng.randrange(60))
+    boxes = [(rng.randrange(4), i, side(), side(), side(), side()) for i in range(150)]
+    parts = [(page, kind, i, *(float(rng.randrange(60)) for _ in range(4))) for page in range(3) for kind in tables.PART_LABELS for i in range(9)]
+    want = {}
+    for page, i, x0, x1, top, bottom in boxes:
+        best, lines = {}, []
+        for q, kind, number, u0, u1, v0, v1 in parts:
+            if q != page:
+                continue
+            if kind == "column":
+                d = [abs(a - b) for a, b in ((x0, u0), (x1, u1)) if a is not None] + ([] if None in (x0, x1) else [abs(x0 + x1 - u1 - u0) / 2])
+                lines.append((min(d, default=-1.0), number))
+            elif None not in (x0, x1, top, bottom) and x0 < x1 and top < bottom and u0 < u1 and v0 < v1:
+                shared = max(min(x1, u1) - max(x0, u0), 0.0) * max(min(bottom, v1) - max(top, v0), 0.0)
+                share = shared / ((x1 - x0) * (bottom - top))
+                if share >= 0.3:
+                    best[kind] = max(best.get(kind, (0.0,)), (share, shared / ((u1 - u0) * (v1 - v0)), number))
+        want[i] = tuple(best[k][-1] if k in best else None for k in ("row", "header", "span")) + (min(lines)[1] if lines else None,)
+    frames = spark.createDataFrame(boxes, BOX), spark.createDataFrame(parts, "page int, kind string, number int, x0 double, x1 double, top double, bottom double")
+    got = {r.box_id: (r.row, r.header, r.span, r.column) for r in tables.placed_cells(*frames).collect()}
+    assert got == want and len({x[0] for x in want.values()}) > 3
+    # however few pairs are looked at at once
+    array = lambda rows, at: np.array([r[at] for r in rows], float)
+    own = {s: array(sorted(boxes), 2 + k) for k, s in enumerate(tables.SIDES)}, np.array([b[0] for b in sorted(boxes)])
+    others = {s: array(parts, 3 + k) for k, s in enumerate(tables.SIDES)} | {"kind": np.array([tables.KINDS[r[1]] for r in parts]), "number": np.array([r[2] for r in parts])}
+    whole = tables.meet(*own, others, np.array([36, 36, 36, 0]))
+    monkeypatch.setattr(tables, "PAIRS", 50)
+    few = tables.meet(*own, others, np.array([36, 36, 36, 0]))
+    assert all((whole[k] == few[k]).all() for k in whole)
