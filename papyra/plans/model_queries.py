@@ -109,17 +109,12 @@ def _order_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return boxes, each.where(there).select("page", *(value(at, of).alias(name) for at, (name, of) in enumerate(names.items())))
 
 
-def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes, parts = _order_tables(spark, sf_dir)
-    return tables.placed_cells(boxes, tables.table_parts(parts, boxes))
-
-
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_cells(spark, sf_dir).select("page", "box_id", "row", "column", "header", "span")
+    return tables.recognised_cells(*_order_tables(spark, sf_dir)).select("page", "box_id", "row", "column", "header", "span")
 
 
 def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.built_tables(_order_cells(spark, sf_dir)).select("page", "row_no", "col_no", "text", "row_span", "col_span")
+    return tables.recognised_tables(*_order_tables(spark, sf_dir)).select("page", "row_no", "col_no", "text", "row_span", "col_span")
 
 
 def region_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,3 +262,17 @@ def test_boxes_lie_in_the_parts_that_cover_most(spark, monkeypatch):
     monkeypatch.setattr(tables, "PAIRS", 50)
     few = tables.meet(*own, others, np.array([36, 36, 36, 0]))
     assert all((whole[k] == few[k]).all() for k in whole)
+
+
+def test_table_spans_and_cells_are_the_steps_together(spark, rows):
+    for query in (model_queries.table_spans, model_queries.table_cells):
+        assert plan(query(spark, "/root/testdata/sf0.001")).count("Exchange hashpartitioning") == 2
+    rng = random.Random(2)
+    boxes = [(p, 10 * i + j, 100.0 * j + rng.randrange(9), rng.choice([100.0 * j + 60, 100.0 * j + 130, None]), 20.0 * i + rng.randrange(3), 20.0 * i + 15, rng.choice(["a", "7", "", None])) for p in range(12) for i in range(5) for j in range(4)]
+    parts = [(p, 10 * k + i, kind, score, 0.0 if kind != "table column" else 100.0 * i, 400.0 if kind != "table column" else 100.0 * i + 95, 20.0 * i if kind != "table column" else 0.0, 20.0 * i + 18 if kind != "table column" else 100.0)
+             for p in range(11) for k, kind in enumerate(["table row", "table column", "table row", "table spanning cell"]) for i in range(5) if rng.random() < (0.9 if k < 2 else 0.2) for score in [rng.choice([0.9, 0.5, None])]]
+    b, p = spark.createDataFrame(boxes, BOX + ", text string"), spark.createDataFrame(parts, "page int, part_id int, label string, score double, x0 double, x1 double, top double, bottom double")
+    cells = tables.placed_cells(b, tables.table_parts(p, b))
+    assert rows(tables.recognised_cells(b, p)) == rows(cells) and cells.columns == tables.recognised_cells(b, p).columns
+    grid = rows(tables.recognised_tables(b, p))
+    assert grid == rows(tables.built_tables(cells)) and any(r[-1] > 1 for r in grid)
