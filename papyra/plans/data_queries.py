@@ -10,7 +10,7 @@ from ..operators import geometry, retrieval, spell, stats
 from ..sources import store
 from ..streaming import ingest
 from . import derived
-from .derived import BOXES_SQL, CHUNKS_SQL, ITEMS_SQL, STATS_SQL, chunks, table, unique_items
+from .derived import BOXES_SQL, CHUNKS_SQL, ITEMS_SQL, STATS_SQL, chunks, spread, table, unique_items
 
 QUERY = [((i * 37) % 64 - 31.5) / 32 for i in range(64)]
 QUESTION = "where the edth thar Und"
@@ -198,10 +198,8 @@ def edit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = _dictionary(spark, sf_dir)
-    found = spell.in_context(spell.flag_errors(texts, words), texts)
-    return spell.candidates(found, words).select("doc_id", "token", "position", F.array_join("reasons", ",").alias("reasons"), F.array_join("candidates", ",").alias("candidates"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spell.flagged_in_context(texts, _dictionary(spark, sf_dir)).select("doc_id", "token", "position", F.array_join("reasons", ",").alias("reasons"), F.array_join("candidates", ",").alias("candidates"))
 
 
 def applied_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:

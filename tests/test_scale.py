@@ -276,3 +276,33 @@ def test_table_spans_and_cells_are_the_steps_together(spark, rows):
     assert rows(tables.recognised_cells(b, p)) == rows(cells) and cells.columns == tables.recognised_cells(b, p).columns
     grid = rows(tables.recognised_tables(b, p))
     assert grid == rows(tables.built_tables(cells)) and any(r[-1] > 1 for r in grid)
+
+
+def test_flagged_tokens_are_judged_by_the_vocabulary(spark, rows, monkeypatch):
+    rng = random.Random(13)
+    bits = ["là", "la", "cafe", "café", "Café", "caffe", "cafés", "straße", "ñu", "a1", "1b2", "số: xé", "năm:\nxé", "xé", "éx", "12", "_", "thé", "the", "tho", "Éa", "đa", "da", "ĐA"]
+    texts = spark.createDataFrame([(i, " ".join(rng.choice(bits) for _ in range(rng.randrange(14)))) for i in range(150)] + [(900, None), (901, "")], "doc_id long, text string").repartition(3)
+    words = spark.createDataFrame([("café", 5000), ("cafe", 30), ("thé", 900), ("the", 80), ("cafés", 7), ("đa", 40), ("tho", 3), ("straße", 4)], "term string, freq long")
+    want = rows(spell.candidates(spell.in_context(spell.flag_errors(texts, words), texts), words).select("doc_id", "token", "position", "base_form", "reasons", "candidates"))
+    got = spell.flagged_in_context(texts, words)
+    assert rows(got) == want and len({r[1] for r in want}) > 8
+    assert "ArrowEvalPython" not in plan(got)  # no text is sent to its tokens
+    monkeypatch.setattr(spell, "MOST_BASES", 1)
+    assert rows(spell.flagged_in_context(texts, words)) == want
+
+
+def test_near_terms_meet_by_long_keys(spark, rows):
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    terms = sorted({word(rng.randrange(1, 17)) for _ in range(400)})
+    asked = sorted({word(rng.randrange(1, 17)) for _ in range(150)} | {w[: len(w) // 2] + "b" + w[len(w) // 2 + 1 :] for w in terms[::9]} | set(terms[::50]))
+    words = spark.createDataFrame([(w, i) for i, w in enumerate(terms)], "term string, freq long")
+    tokens = spark.createDataFrame([(w,) for w in asked], "token string")
+    for edits in (0, 1, 2):
+        pairs = tokens.crossJoin(words).withColumn("distance", F.levenshtein("token", "term")).where(F.col("distance") <= edits)
+        least = pairs.groupBy("token").agg(F.min("distance").alias("distance"))
+        assert rows(spell.near_terms(tokens, words, edits).select("token", "term", "distance", "freq")) == rows(pairs.join(least, ["token", "distance"]).select("token", "term", "distance", "freq"))
+    # terms that begin alike are no pairs
+    alike = spark.createDataFrame([("abcdefg" + x * 5, 1) for x in "hijklm"], "term string, freq long")
+    assert spell.near_terms(spark.createDataFrame([("abcdefgzzzzz",)], "token string"), alike).count() == 0
+    assert f", 1, {spell.KEY_LETTERS})" in plan(spell.near_terms(tokens, words))
