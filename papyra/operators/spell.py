@@ -14,6 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as t
 
@@ -55,9 +57,9 @@ def base_forms(words: DataFrame) -> DataFrame:
     return plain.unionByName(alias).select("base", "term", "freq")
 
 
-def first_places(text: str) -> list[tuple[str, int]]:
+def first_places(text: str, wanted: Callable[[str], object] | None = None) -> list[tuple[str, int]]:
     """The distinct words of a text, two characters or longer with a letter, and the first
-    place of each in the text, be it inside a longer word.
+    place of each in the text, be it inside a longer word; with ``wanted`` those it holds for.
 
     What holds a word is a word, and its first occurrence comes first, so a word is
     looked for among the distinct ones, not in the whole text."""
@@ -71,7 +73,7 @@ def first_places(text: str) -> list[tuple[str, int]]:
         at += len(w) + 1
     places, out = list(words.values()), []
     for w in words:
-        if len(w) >= 2 and any(c.isalpha() for c in w):
+        if (wanted is None or wanted(w)) and len(w) >= 2 and any(c.isalpha() for c in w):
             at = row.find(w)
             k = bisect_right(starts, at) - 1
             out.append((w, places[k] + at - starts[k]))
@@ -274,19 +276,26 @@ def compounds(flagged: DataFrame, words: DataFrame) -> DataFrame:
 COMPOUND_GAP = 2
 
 
+_BEYOND = re.compile(f"[{SPACES}]+([^{SPACES}]+)")
+
+
 def neighbours(text: str | None, starts: list[int], ends: list[int]) -> list[dict]:
     """For tokens from ``starts`` to ``ends`` the words between white space around them: the
     next one and its place if the token ends its word, the one before if it begins it."""
-    words = [(m[0], m.start(), m.end()) for m in re.finditer(f"[^{SPACES}]+", text or "")]
-    begins, stops = {w[1]: k for k, w in enumerate(words)}, {w[2]: k for k, w in enumerate(words)}
-    out = []
+    text = text or ""
+    n, back, out = len(text), text[::-1], []
     for start, end in zip(starts, ends):
-        after, before = stops.get(end, len(words)) + 1, begins.get(start, 0) - 1
-        a, b = words[after] if after < len(words) else (None, None, None), words[before] if before >= 0 else (None, None, None)
-        out.append({"after": a[0], "after_at": a[1], "before": b[0], "before_at": b[1]})
+        a = _BEYOND.match(text, end) if end < n else None
+        b = _BEYOND.match(back, n - start) if 0 < start < n else None
+        out.append({"after": a and a[1], "after_at": a and a.start(1), "before": b and b[1][::-1], "before_at": b and n - b.end(1)})
     return out
 
 
+#: Hashes of base forms that are sent to every task at most.
+MOST_HASHES = 2_000_000
+_NEIGHBOURS = "_next string, _next_at int, _nth int, _after string, _after_at long, _before string, _before_at long"
+
+
 def compound_fixes(flagged: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, token, position, compound_with, start, end, compound_candidates): flagged
     tokens (doc_id, token, position, base_form) that form a known term of two words
@@ -298,11 +307,43 @@ def compound_fixes(flagged: DataFrame, texts: DataFrame, words: DataFrame) -> Da
     that one fix replaces them.  Candidates are the terms of ``words`` (term, freq)
     with that base form, most frequent first, five at most.  Null texts have no
     tokens; no flagged tokens give no rows."""
-    w = Window.partitionBy("doc_id").orderBy("position")
+    # of two at one place, one begins the other
+    w = Window.partitionBy("doc_id").orderBy("position", "token")
     rows = flagged.select("doc_id", "token", "position", "base_form", (F.col("position") + F.length("token")).alias("_end"))
     rows = rows.withColumns({"_next": F.lead("token").over(w), "_next_at": F.lead("position").over(w), "_next_base": F.lead("base_form").over(w), "_nth": F.row_number().over(w)})
     rows = _with_text(rows, texts, ["position", "_end"], neighbours, "struct<after:string,after_at:long,before:string,before_at:long>", "_n")
-    rows = rows.select("*", *(F.col(f"_n.{c}").alias(f"_{c}") for c in ("after", "after_at", "before", "before_at"))).drop("_n")
+    return _fixed(rows.select("*", *(F.col(f"_n.{c}").alias(f"_{c}") for c in ("after", "after_at", "before", "before_at"))).drop("_n"), words)
+
+
+def compound_fixes_of(texts: DataFrame, pattern: str, words: DataFrame) -> DataFrame:
+    """compound_fixes() of the tokens of ``texts`` that match ``pattern`` as a whole.
+
+    Tokens and their neighbours are found where the text is, so neither is sent."""
+    wanted, kind = re.compile(pattern), dict(texts.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, token string, position int, {_NEIGHBOURS}"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                part, out = batch.slice(i, TEXTS), []
+                for k, text in enumerate(part.column("text").to_pylist()):
+                    own = sorted(first_places(text, wanted.fullmatch), key=lambda x: (x[1], x[0]))
+                    near = neighbours(text, [at for _, at in own], [at + len(w) for w, at in own]) if own else []
+                    for n, ((w, at), (following, next_at), x) in enumerate(zip(own, [*own[1:], (None, None)], near), 1):
+                        out.append((k, w, at, following, next_at, n, x["after"], x["after_at"], x["before"], x["before_at"]))
+                if out:
+                    of, *columns = zip(*out)
+                    ids = part.column("doc_id").take(pa.array(of, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns, list(kinds)[1:]))], schema=kinds)
+
+    rows = texts.where("text is not null").select("doc_id", "text").mapInArrow(find, schema)
+    rows = rows.withColumns({"_end": F.col("position") + F.length("token"), "base_form": t.strip_diacritics("token"), "_next_base": t.strip_diacritics("_next")})
+    return _fixed(rows, words)
+
+
+def _fixed(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """compound_fixes() of flagged tokens with the next one and their neighbours."""
     following, leading = F.col("_after"), F.col("_before")
     gap_after, gap_before = F.col("_after_at") - F.col("_end"), F.col("position") - F.col("_before_at") - F.length(leading)
     # one blank between: the token ends its word, and the next one begins behind it
@@ -313,22 +354,28 @@ def compound_fixes(flagged: DataFrame, texts: DataFrame, words: DataFrame) -> Da
         return F.when(test, F.struct(F.lit(kind).alias("kind"), other.alias("with"), base.alias("base"), start.alias("start"), stop.alias("end")))
 
     pair = lambda a, b: F.concat_ws(" ", a, b)
-    options = F.array_compact(F.array(
+    options = F.array(
         option(1, touching, F.col("_next"), pair("base_form", "_next_base"), F.col("position"), F.col("_next_at") + F.length("_next")),
         option(2, following.rlike(letters) & (gap_after <= COMPOUND_GAP), following, pair("base_form", t.strip_diacritics(following)), F.col("position"), F.col("_end") + gap_after + F.length(following)),
         option(3, leading.rlike(letters) & (gap_before <= COMPOUND_GAP), leading, pair(t.strip_diacritics(leading), "base_form"), F.col("position") - gap_before - F.length(leading), F.col("_end")),
-    ))
-    offered = rows.select("doc_id", "token", "position", "_nth", F.explode(options).alias("o")).select("doc_id", "token", "position", "_nth", "o.*")
-    hits = offered.join(base_forms(words), "base").where("term != base")
+    )
+    offered = rows.select("doc_id", "token", "position", "_nth", F.explode(options).alias("o")).where("o is not null").select("doc_id", "token", "position", "_nth", "o.*")
+    # most are no term's base, and go before they are sent; beyond so many bases all are sent
+    bases = base_forms(words).where("term != base")
+    hashes = bases.select(F.xxhash64("base").alias("_hash")).distinct()
+    if hashes.limit(MOST_HASHES + 1).count() <= MOST_HASHES:
+        offered = offered.withColumn("_hash", F.xxhash64("base")).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
+    hits = offered.join(bases, "base")
     ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), F.col("term").alias("x")))), 1, COMPOUND_CANDIDATES)
     found = hits.groupBy("doc_id", "token", "position", "_nth", "kind", "with", "start", "end").agg(F.transform(ranked, lambda r: r["x"]).alias("compound_candidates"))
     by_kind = {k: F.max(F.when(F.col("kind") == k, F.struct("with", "start", "end", "compound_candidates"))).alias(f"_{k}") for k in (1, 2, 3)}
     tokens_ = found.groupBy("doc_id", "token", "position", "_nth").agg(*by_kind.values())
-    # in a run of tokens that could each take the next one, every other one does
-    linked = tokens_.where("_1 is not null").select("doc_id", "_nth", (F.col("_nth") - F.row_number().over(Window.partitionBy("doc_id").orderBy("_nth"))).alias("_run"))
-    takes = linked.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("_nth"))).where("_k % 2 = 1").select("doc_id", "_nth")
-    taken = takes.select("doc_id", (F.col("_nth") + 1).alias("_nth"))
-    free = tokens_.join(taken, ["doc_id", "_nth"], "left_anti").join(takes.withColumn("_takes", F.lit(True)), ["doc_id", "_nth"], "left")
+    # in a run of tokens that could each take the next one, every other one does; windows tell, so hits are found once
+    links, order = F.col("_1").isNotNull(), Window.partitionBy("doc_id").orderBy("_nth")
+    tokens_ = tokens_.withColumn("_run", F.when(links, F.col("_nth") - F.sum(links.cast("int")).over(order)))
+    tokens_ = tokens_.withColumn("_takes", links & (F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("_nth")) % 2 == 1))
+    taken = F.lag(F.when(F.col("_takes"), F.col("_nth") + 1)).over(order)
+    free = tokens_.withColumn("_taken", taken).where("_taken is null or _taken != _nth")
     best = F.coalesce(F.when(F.col("_takes"), F.col("_1")), F.col("_2"), F.col("_3"))
     out = free.withColumn("_b", best).where("_b is not null")
     return out.select("doc_id", "token", "position", F.col("_b.with").alias("compound_with"), "_b.start", "_b.end", "_b.compound_candidates")

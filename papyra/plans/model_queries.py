@@ -153,9 +153,9 @@ def compound_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.split(F.lower("text"), " ")
     pair = F.explode(F.zip_with(split, F.slice(split, F.lit(2), F.size(split)), lambda a, b: F.concat_ws(" ", a, b)))
     terms = texts.where("lang in ('es', 'fr')").select(pair.alias("term")).where(F.col("term").rlike(r"^\p{L}+ \p{L}+$") & F.col("term").rlike("[à-ÿ]"))
-    words = terms.groupBy("term").agg(F.count("*").alias("freq")).where("freq >= 3")
-    plain = spell.tokens(texts).where(F.col("token").rlike("^[a-z]{4,}$")).withColumn("base_form", F.col("token"))
-    found = spell.compound_fixes(plain, texts, words)
+    counted = terms.groupBy("term").agg(F.count("*").alias("freq")).where("freq >= 3")
+    words = spell.once(counted, "term", F.max("freq").alias("freq"))
+    found = spell.compound_fixes_of(derived.spread(texts.select("doc_id", "text")), "[a-z]{4,}", words)
     return found.select("doc_id", "token", "position", "compound_with", "start", "end", F.array_join("compound_candidates", ",").alias("compound_candidates"))
 
 

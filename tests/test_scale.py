@@ -306,3 +306,22 @@ def test_near_terms_meet_by_long_keys(spark, rows):
     alike = spark.createDataFrame([("abcdefg" + x * 5, 1) for x in "hijklm"], "term string, freq long")
     assert spell.near_terms(spark.createDataFrame([("abcdefgzzzzz",)], "token string"), alike).count() == 0
     assert f", 1, {spell.KEY_LETTERS})" in plan(spell.near_terms(tokens, words))
+
+
+def test_compounds_are_found_where_the_text_is(spark, rows, monkeypatch):
+    rng = random.Random(15)
+    words = ["than", "thank", "pho", "hop", "dong", "Pho", "12", "co", "phố"]
+    texts = spark.createDataFrame([(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", " ", "  ", "   ", "\n", ", ", "-"]) for _ in range(rng.randrange(14)))) for i in range(150)] + [(900, None), (901, "")], "doc_id long, text string").repartition(3)
+    terms = spark.createDataFrame([("thán phố", 5), ("thản phố", 9), ("hợp dong", 3), ("phố cỏ", 2), ("pho hop", 8), ("dong thàn", 1)], "term string, freq long")
+    flagged = spell.tokens(texts).where(F.col("token").rlike("^[a-z]{3,}$")).withColumn("base_form", F.col("token"))
+    want = rows(spell.compound_fixes(flagged, texts, terms))
+    got = spell.compound_fixes_of(texts, "[a-z]{3,}", terms)
+    # what is dealt are hits; neither texts nor tokens are, and hits are found once
+    assert "ArrowEvalPython" not in plan(got) and plan(got).count("MapInArrow") == 1
+    assert rows(got) == want and len(want) > 20
+    monkeypatch.setattr(spell, "MOST_HASHES", 1)
+    assert rows(spell.compound_fixes_of(texts, "[a-z]{3,}", terms)) == want
+    # of two words at one place the shorter one comes first
+    both = spark.createDataFrame([(1, "thank pho than")], "doc_id long, text string")
+    pair = spark.createDataFrame([("thánk pho", 1)], "term string, freq long")
+    assert [tuple(r)[1:6] for r in spell.compound_fixes_of(both, "[a-z]{3,}", pair).collect()] == [("thank", 0, "pho", 0, 9)]
